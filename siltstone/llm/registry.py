@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, token_counts, topk
+from . import exact_dedup, mixing, quality, sentencepiece_codec, sharding, token_counts, topk, toxicity
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_token_counts": token_counts.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_source_mixing": mixing.query,
+    "op5_sentencepiece": sentencepiece_codec.query,
     "op6_sharding": sharding.query,
     "op8_topk_search": topk.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLE_SQL = {
