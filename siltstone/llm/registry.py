@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, sentencepiece_codec, sharding, token_counts, topk, toxicity
+from . import exact_dedup, jaccard_join, mixing, quality, sentencepiece_codec, sharding, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sharding": sharding.query,
     "op8_topk_search": topk.query,
     "op9_toxicity": toxicity.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 
 ORACLE_SQL = {
