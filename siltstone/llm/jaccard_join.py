@@ -100,12 +100,9 @@ def described(docs: DataFrame, width: int, percent: int, common: np.ndarray) ->
     return docs.mapInPandas(run, "doc_id bigint, n bigint, key binary, prefix array<bigint>, a bigint, b bigint")
 
 
-BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
-
-
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The number of differing bits of sketches (rows of two 64-bit numbers)."""
-    return BITS[np.ascontiguousarray(x ^ y).view(np.uint16)].reshape(-1, 8).sum(1, dtype=np.int64)
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
 
 
 def passes(n: np.ndarray, sk: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:

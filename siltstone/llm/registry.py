@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, quality, sentencepiece_codec, sharding, token_counts, topk, toxicity
+from . import exact_dedup, jaccard_join, mixing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_source_mixing": mixing.query,
     "op5_sentencepiece": sentencepiece_codec.query,
     "op6_sharding": sharding.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_topk_search": topk.query,
     "op9_toxicity": toxicity.query,
     "op10_jaccard_join": jaccard_join.query,
