@@ -2,5 +2,484 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import constants as K
+from ..functions import globs, text
+from ..operators import diff, evaluate, feasibility, graph, index, pack, rules, score, tasks
+from ..sources.shared import written
+from . import sql as S
+from . import virtual as V
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(name: str, oracle: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return put
+
+
+def exploded(c: str) -> F.Column:
+    return F.concat_ws("|", c)
+
+
+# --- documents and benchmark -------------------------------------------------------------------
+
+RAW_BENCHMARK = "SELECT CAST(item_id AS STRING) AS task_id, text AS raw_text FROM benchmark"
+RAW_TURNS = "SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS task_id, text AS raw_text FROM conversations"
+
+
+def benchmark_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.load(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("task_id"), F.col("text").alias("raw_text"), F.lit(True).alias("markdown"))
+    return tasks.parse(rows)
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.load(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("task_id"), F.col("text").alias("raw_text"), F.lit(True).alias("markdown"))
+
+
+HEAD = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> ''))"
+
+
+@query(
+    "relevance_topk",
+    S.with_(S.parsed(RAW_BENCHMARK), f"docs AS (SELECT doc_id, {HEAD} AS toks FROM documents)", "tk AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS tok FROM docs)", "an AS (SELECT task_id, len(list_distinct(alow)) AS m, unnest(list_distinct(alow)) AS tok FROM parsed)")
+    + """, hit AS (SELECT task_id, doc_id, count(*) AS shared, any_value(n) AS n, any_value(m) AS m FROM tk JOIN an USING (tok) GROUP BY task_id, doc_id),
+    s AS (SELECT task_id, doc_id, CAST(shared AS DOUBLE) / (n + m - shared) AS s_doc FROM hit),
+    r AS (SELECT task_id, doc_id, s_doc, CAST(row_number() OVER (PARTITION BY task_id ORDER BY s_doc DESC, doc_id) AS INTEGER) AS rank FROM s)
+    SELECT task_id, doc_id, round(s_doc, 9) AS s_doc, rank FROM r WHERE rank <= 10""",
+)
+def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each benchmark item the ten documents of highest token similarity to its anchors."""
+    docs = V.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), text.alnum_tokens(F.col("text")).alias("tokens"))
+    rows = score.overlap(benchmark_tasks(spark, sf_dir), docs).withColumnRenamed("path", "doc_id")
+    rank = F.row_number().over(W.partitionBy("task_id").orderBy(F.col("signal").desc(), "doc_id"))
+    rows = rows.withColumn("rank", rank).where("rank <= 10")
+    return rows.select("task_id", "doc_id", F.round("signal", 9).alias("s_doc"), "rank")
+
+
+@query("task_parse", S.with_(S.parsed(RAW_TURNS)) + f"""SELECT task_id, concat('tsk_', substr(sha256(raw_text), 1, 16)) AS hash_id, type, len(anchors) AS n_anchors,
+    type IN ('feature', 'bugfix', 'refactor', 'migration', 'test-addition') OR {S.says(K.TEST_WORDS)} AS expects_tests, {S.any_anchor(K.CONFIG_ANCHORS)} AS expects_config,
+    type = 'documentation' OR {S.says(K.DOC_WORDS)} AS expects_docs, type = 'migration' OR {S.says(K.MIGRATION_WORDS)} AS expects_migration, {S.any_anchor(K.API_ANCHORS)} AS expects_api FROM parsed""")
+def task_parse(spark, sf_dir):
+    rows = tasks.parse(turns(spark, sf_dir))
+    return rows.select("task_id", tasks.task_id(F.col("raw_text")).alias("hash_id"), "type", F.size("anchors").cast("bigint").alias("n_anchors"), "expects_tests", "expects_config", "expects_docs", "expects_migration", "expects_api")
+
+
+@query("task_flags_virtual", S.with_(S.parsed(S.TASKS)) + f"""SELECT task_id, type, array_to_string(anchors, '|') AS anchors, split_part(raw_text, chr(10), 1) AS objective,
+    type IN ('feature', 'bugfix', 'refactor', 'migration', 'test-addition') OR {S.says(K.TEST_WORDS)} AS expects_tests, {S.any_anchor(K.CONFIG_ANCHORS)} AS expects_config, {S.any_anchor(K.API_ANCHORS)} AS expects_api FROM parsed""")
+def task_flags_virtual(spark, sf_dir):
+    rows = V.task_table(spark, sf_dir)
+    return rows.select("task_id", "type", exploded("anchors").alias("anchors"), "objective", "expects_tests", "expects_config", "expects_api")
+
+
+@query("task_anchors_exploded", S.with_(S.parsed(RAW_BENCHMARK)) + "SELECT task_id, unnest(anchors) AS anchor FROM parsed")
+def task_anchors_exploded(spark, sf_dir):
+    return benchmark_tasks(spark, sf_dir).select("task_id", F.explode("anchors").alias("anchor"))
+
+
+@query("doc_token_stats", f"SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(len({HEAD}) AS BIGINT) AS n_tokens, CAST(ceil(strlen(text) * 2 / 7) AS BIGINT) AS est_tokens FROM documents")
+def doc_token_stats(spark, sf_dir):
+    docs = V.load(spark, sf_dir, "documents")
+    n = F.octet_length("text").cast("bigint")
+    return docs.select("doc_id", n.alias("n_bytes"), F.size(text.alnum_tokens(F.col("text"))).cast("bigint").alias("n_tokens"), text.tokens_heuristic(n).alias("est_tokens"))
+
+
+@query("size_band_counts", """SELECT lang, band, count(*) AS n FROM (SELECT lang, CASE WHEN b <= 8192 AND t <= 2000 THEN 'small' WHEN b <= 32768 AND t <= 8000 THEN 'medium' ELSE 'large' END AS band
+    FROM (SELECT lang, strlen(text) AS b, ceil(strlen(text) * 2 / 7) + 32 AS t FROM documents)) GROUP BY lang, band""")
+def size_band_counts(spark, sf_dir):
+    n = F.octet_length("text").cast("bigint")
+    return V.load(spark, sf_dir, "documents").select("lang", pack.size_band(n, pack.full_tokens(n)).alias("band")).groupBy("lang", "band").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- the virtual repository --------------------------------------------------------------------
+
+
+@query("language_hints", S.with_(S.FILES) + "SELECT language, CASE WHEN language = 'go' THEN 'tier1_deep' WHEN language = 'typescript' THEN 'tier2_structural' ELSE 'tier3_lexical' END AS language_tier, count(*) AS n FROM files GROUP BY language")
+def language_hints(spark, sf_dir):
+    return V.file_table(spark, sf_dir).groupBy("language", "language_tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("packages", S.with_(S.FILES) + "SELECT package AS dir, count(*) AS n, string_agg(path, '|' ORDER BY path) AS files FROM files WHERE package <> '' GROUP BY package")
+def packages(spark, sf_dir):
+    return index.packages(V.file_table(spark, sf_dir)).select("dir", F.size("files").cast("bigint").alias("n"), exploded("files").alias("files"))
+
+
+PAGE_PATH = "regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')"
+
+
+@query("glob_exclusions", f"""SELECT path, CASE WHEN regexp_matches(path, '^m\\.[^/]*/[^/]*(/[^/]*)?$') OR regexp_matches(path, '(^|/)825$') THEN 'user_pattern' ELSE 'default_pattern' END AS reason, n FROM
+    (SELECT {PAGE_PATH} AS path, count(*) AS n FROM pages GROUP BY 1) WHERE regexp_matches(path, '^m\\.[^/]*/[^/]*(/[^/]*)?$') OR regexp_matches(path, '(^|/)825$') OR regexp_matches(path, '^(build|out|dist|bin)/')""")
+def glob_exclusions(spark, sf_dir):
+    rows = V.load(spark, sf_dir, "pages").select(F.expr(PAGE_PATH).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    # a wildcard host has a slash, so it is matched over the whole path; 825 is a base name
+    user = ["m.*/*", "m.*/*/*", "825"]
+    return index.exclusions(rows, user).join(rows, "path").select("path", "reason", "n")
+
+
+@query("supplemental_buckets", S.with_(S.FILES) + """, x AS (SELECT path FROM files UNION SELECT CASE n_nationkey % 9 WHEN 0 THEN concat('specs/', n_name, '/SPEC.md') WHEN 1 THEN 'README.md' WHEN 2 THEN concat('sub/', n_name, '/Makefile')
+    WHEN 3 THEN concat('docs/adr/', n_name, '.md') WHEN 4 THEN '.github/workflows/ci.yaml' WHEN 5 THEN concat(n_name, '/conftest.py') WHEN 6 THEN 'docs/Design-notes.md' WHEN 7 THEN 'docker-compose.yml' ELSE 'AGENTS.md' END FROM nation)
+    SELECT category, path FROM (SELECT path, CASE WHEN path LIKE 'specs/%/SPEC.md' THEN 'spec' WHEN path = 'README.md' THEN 'readme' WHEN path LIKE '%/Makefile' THEN 'build_files' WHEN path LIKE 'docs/adr/%.md' THEN 'architecture'
+    WHEN path = '.github/workflows/ci.yaml' THEN 'ci_config' WHEN path LIKE '%/conftest.py' THEN 'test_config' WHEN path = 'docs/Design-notes.md' THEN 'architecture' WHEN path = 'docker-compose.yml' THEN 'build_files' WHEN path = 'AGENTS.md' THEN 'agents' END AS category FROM x) WHERE category IS NOT NULL""")
+def supplemental_buckets(spark, sf_dir):
+    extra = """CASE n_nationkey % 9 WHEN 0 THEN concat('specs/', n_name, '/SPEC.md') WHEN 1 THEN 'README.md' WHEN 2 THEN concat('sub/', n_name, '/Makefile') WHEN 3 THEN concat('docs/adr/', n_name, '.md')
+    WHEN 4 THEN '.github/workflows/ci.yaml' WHEN 5 THEN concat(n_name, '/conftest.py') WHEN 6 THEN 'docs/Design-notes.md' WHEN 7 THEN 'docker-compose.yml' ELSE 'AGENTS.md' END"""
+    rows = V.file_table(spark, sf_dir).select("path").unionByName(V.load(spark, sf_dir, "nation").select(F.expr(extra).alias("path"))).distinct()
+    return index.supplementals(rows)
+
+
+@query("forbidden_hits", S.with_(S.FILES) + """SELECT pattern, count(*) AS n FROM (SELECT path, 'internal/brand1/**' AS pattern FROM files WHERE path LIKE 'internal/brand1/%'
+    UNION ALL SELECT path, 'internal/**/red_ring.go' FROM files WHERE path LIKE 'internal/%' AND base = 'red_ring.go' UNION ALL SELECT path, 'docs/*/blue_*.md' FROM files WHERE regexp_matches(path, '^docs/[^/]*/blue_[^/]*\\.md$')) GROUP BY pattern""")
+def forbidden_hits(spark, sf_dir):
+    patterns = ["internal/brand1/**", "internal/**/red_ring.go", "docs/*/blue_*.md"]
+    hits = F.filter(F.array(*[F.when(globs.any_of(F.col("path"), [p], globs.forbidden), F.lit(p)) for p in patterns]), lambda p: p.isNotNull())
+    return V.file_table(spark, sf_dir).select(F.explode(hits).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scope_projection", S.with_(S.FILES) + "SELECT path, FALSE AS out_of_scope FROM files WHERE path LIKE 'internal/brand2/%'")
+def scope_projection(spark, sf_dir):
+    files = V.file_table(spark, sf_dir)
+    return index.scoped(files, index.supplementals(files), "internal/brand2").select("path", "out_of_scope")
+
+
+@query("test_links", S.with_(S.FILES) + "SELECT path, link FROM links")
+def test_links(spark, sf_dir):
+    return index.test_links(V.file_table(spark, sf_dir))
+
+
+EFFECT_SQL = " UNION ALL ".join(f"SELECT '{p}' AS prefix, '{t}' AS tag" for t, ps in K.SIDE_EFFECTS.items() for p in ps.split())
+
+
+@query("side_effect_tags", S.with_(S.FILES, f"fx AS ({EFFECT_SQL})") + "SELECT DISTINCT path, tag FROM imports JOIN fx ON (import = prefix OR starts_with(import, prefix || '/')) AND NOT (prefix = 'os' AND (import = 'os/exec' OR starts_with(import, 'os/exec/')))")
+def side_effect_tags(spark, sf_dir):
+    return index.side_effects(V.import_table(spark, sf_dir))
+
+
+def dirs(files: DataFrame) -> DataFrame:
+    return files.where("package <> ''").select(F.col("package").alias("dir")).distinct()
+
+
+@query("import_resolution", S.with_(S.FILES) + "SELECT import, dir FROM resolved")
+def import_resolution(spark, sf_dir):
+    return graph.resolve_imports(V.import_table(spark, sf_dir), dirs(V.file_table(spark, sf_dir)))
+
+
+@query("two_hop_reach", S.with_(S.FILES) + """SELECT src, dst, CAST(1 AS INTEGER) AS hops FROM edges UNION ALL
+    SELECT DISTINCT a.src, b.dst, CAST(2 AS INTEGER) FROM edges a JOIN edges b ON b.src = a.dst WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = a.src AND e.dst = b.dst)""")
+def two_hop_reach(spark, sf_dir):
+    files, imports = V.file_table(spark, sf_dir), V.import_table(spark, sf_dir)
+    return graph.reach(graph.package_edges(files, imports, graph.resolve_imports(imports, dirs(files))))
+
+
+SCORED = S.with_(S.parsed(S.TASKS), S.FILES, S.SIGNALS)
+
+
+def signal(name: str, column: str, build):
+    @query(f"{name}_signal", SCORED + f"SELECT task_id, path, round({column}, 9) AS signal FROM dense WHERE {column} > 0")
+    def run(spark, sf_dir, build=build):
+        rows = build(V.task_table(spark, sf_dir), V.file_table(spark, sf_dir))
+        return rows.select("task_id", "path", F.round(F.col("signal").cast("double"), 9).alias("signal"))
+
+
+signal("mention", "mention", lambda t, f: score.mention(t, f).withColumn("signal", F.lit(1.0)))
+signal("filename", "filename", score.filename)
+signal("symbol", "symbol", score.symbol)
+signal("package", "package_signal", score.package)
+signal("doc", "doc", score.doc)
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = V.file_table(spark, sf_dir)
+    return score.score(V.task_table(spark, sf_dir), files, V.import_table(spark, sf_dir), index.test_links(files))
+
+
+@query("combined_score", SCORED + "SELECT task_id, path, round(import_signal, 9) AS s_import, round(test, 9) AS s_test, round(config, 9) AS s_config, round(dampener, 9) AS dampener, round(score, 9) AS score FROM scores")
+def combined_score(spark, sf_dir):
+    rows = scores(spark, sf_dir)
+    return rows.select("task_id", "path", F.round("import", 9).alias("s_import"), F.round("test", 9).alias("s_test"), F.round("config", 9).alias("s_config"), F.round("dampener", 9).alias("dampener"), F.round("score", 9).alias("score"))
+
+
+FACTOR_SQL = {"mention": "mention", "filename": "filename", "symbol": "symbol", "import": "import_signal", "package": "package_signal", "test": "test", "doc": "doc", "config": "config"}
+
+
+@query("score_breakdown", SCORED + "SELECT task_id, path, factor, round(signal, 9) AS signal, round(contribution, 9) AS contribution FROM (" + " UNION ALL ".join(
+    f"SELECT task_id, path, '{f}' AS factor, {c} AS signal, {c} * {K.WEIGHTS[f]}{' * dampener' if f == 'mention' else ''} AS contribution FROM scores" for f, c in FACTOR_SQL.items()) + ") WHERE signal <> 0")
+def score_breakdown(spark, sf_dir):
+    rows = score.breakdown(scores(spark, sf_dir))
+    return rows.select("task_id", "path", "factor", F.round("signal", 9).alias("signal"), F.round("contribution", 9).alias("contribution"))
+
+
+@query("score_band_counts", SCORED + "SELECT task_id, CASE WHEN score >= 0.8 THEN 'highly_relevant' WHEN score >= 0.6 THEN 'moderately_relevant' WHEN score >= 0.3 THEN 'plausibly_relevant' ELSE 'low' END AS band, count(*) AS n FROM scores GROUP BY ALL")
+def score_band_counts(spark, sf_dir):
+    return scores(spark, sf_dir).groupBy("task_id", pack.score_band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dampener_curve", "SELECT event_id, round(least(1.0, 0.3 + 0.7 * least(1.0, greatest(0.0, value / 100))), 9) AS dampener FROM events")
+def dampener_curve(spark, sf_dir):
+    return V.load(spark, sf_dir, "events").select("event_id", F.round(score.dampener([F.col("value") / 100, F.lit(0.0)], score.Settings()), 9).alias("dampener"))
+
+
+# --- packing -------------------------------------------------------------------------------------
+
+ELIGIBLE = S.with_(S.CANDIDATES)
+
+
+def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.with_eligibility(V.candidate_table(spark, sf_dir))
+
+
+@query("eligibility_modes", ELIGIBLE + "SELECT task_id, path, mode, cost, efficiency FROM pairs")
+def eligibility_modes(spark, sf_dir):
+    return pack.mode_rows(eligible(spark, sf_dir)).select("task_id", "path", "mode", "cost", "efficiency")
+
+
+@query("pack_greedy", S.with_(S.CANDIDATES, S.picked("chosen", "pairs", "buds"), recursive=True) + "SELECT task_id, path, mode, cost FROM chosen")
+def pack_greedy(spark, sf_dir):
+    return pack.greedy(pack.mode_rows(eligible(spark, sf_dir)), V.candidate_budgets(spark, sf_dir))
+
+
+FORCED = """
+forced AS (SELECT task_id, path, mode, cost FROM pairs WHERE mode = 'full'),
+fspent AS (SELECT task_id, sum(cost) AS spent FROM forced GROUP BY task_id),
+fleft AS (SELECT b.task_id, CAST(b.budget - coalesce(s.spent, 0) AS BIGINT) AS budget FROM buds b LEFT JOIN fspent s USING (task_id)),
+frest AS (SELECT p.* FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM forced f WHERE f.task_id = p.task_id AND f.path = p.path))"""
+
+
+@query("pack_forced_full", S.with_(S.CANDIDATES, FORCED, S.picked("chosen", "frest", "fleft"), recursive=True) + "SELECT task_id, path, mode, cost FROM forced UNION ALL SELECT task_id, path, mode, cost FROM chosen")
+def pack_forced_full(spark, sf_dir):
+    return pack.forced_full(pack.mode_rows(eligible(spark, sf_dir)), V.candidate_budgets(spark, sf_dir))[0]
+
+
+@query("forced_overflow", S.with_(S.CANDIDATES, FORCED) + "SELECT task_id, CAST(greatest(0, -budget) AS BIGINT) AS overflow FROM fleft")
+def forced_overflow(spark, sf_dir):
+    return pack.forced_full(pack.mode_rows(eligible(spark, sf_dir)), V.candidate_budgets(spark, sf_dir))[1]
+
+
+@query("budget_underflow", ELIGIBLE + """SELECT b.task_id, coalesce(b.budget < m.least, FALSE) AS underflow FROM buds b LEFT JOIN
+    (SELECT p.task_id, min(p.cost) AS least FROM pairs p JOIN (SELECT task_id, max(score) AS top FROM cand GROUP BY task_id) t ON t.task_id = p.task_id AND p.score = t.top AND t.top >= 0.3 GROUP BY p.task_id) m USING (task_id)""")
+def budget_underflow(spark, sf_dir):
+    return pack.underflow(eligible(spark, sf_dir), V.candidate_budgets(spark, sf_dir))
+
+
+ASSIGNED = """
+assigned AS (SELECT e.task_id, e.path, coalesce(c.mode, 'reachable') AS load_mode, e.score, coalesce(c.cost, 0) AS cost, e.band,
+  CASE WHEN e.band = 'highly_relevant' AND c.mode IS NOT NULL AND c.mode <> 'full' THEN CASE WHEN e.size_band <> 'large' AND e.is_full THEN 'budget_insufficient' ELSE 'size_band=large' END END AS demoted_reason
+  FROM elig e LEFT JOIN chosen c ON c.task_id = e.task_id AND c.path = e.path WHERE c.mode IS NOT NULL OR e.band <> 'low')"""
+
+
+@query("assignments", S.with_(S.CANDIDATES, S.picked("chosen", "pairs", "buds"), ASSIGNED, recursive=True) + "SELECT task_id, path, load_mode, round(score, 9) AS score, cost, demoted_reason FROM assigned")
+def assignments(spark, sf_dir):
+    rows = eligible(spark, sf_dir)
+    chosen = pack.greedy(pack.mode_rows(rows), V.candidate_budgets(spark, sf_dir))
+    return pack.assignments(rows, chosen).withColumn("score", F.round("score", 9))
+
+
+@query("loadmode_ab", S.with_(S.CANDIDATES, S.picked("chosen", "pairs", "buds"), ASSIGNED, recursive=True) + "SELECT task_id, path, load_mode AS mode_a FROM assigned a WHERE demoted_reason IS NOT NULL AND EXISTS (SELECT 1 FROM pairs p WHERE p.task_id = a.task_id AND p.path = a.path AND p.mode = 'full')")
+def loadmode_ab(spark, sf_dir):
+    rows, limits = eligible(spark, sf_dir), V.candidate_budgets(spark, sf_dir)
+    pairs = pack.mode_rows(rows)
+    a = pack.assignments(rows, pack.greedy(pairs, limits))
+    b = pack.assignments(rows, pack.forced_full(pairs, limits)[0])
+    return evaluate.variant_diff(a, b)
+
+
+# --- rules, feasibility and whole plans ----------------------------------------------------------
+
+PLAN = [
+    S.parsed(S.TASKS),
+    S.FILES,
+    S.SIGNALS,
+    """
+fxt AS (SELECT DISTINCT path, tag FROM imports JOIN fx ON (import = prefix OR starts_with(import, prefix || '/')) AND NOT (prefix = 'os' AND (import = 'os/exec' OR starts_with(import, 'os/exec/')))),
+fxn AS (SELECT path, count(*) AS n FROM fxt GROUP BY path),
+buds AS (SELECT concat('task-', CAST(n_nationkey AS STRING)) AS task_id, CAST(300 * (n_nationkey + 1) AS BIGINT) AS budget FROM nation),
+cand AS (SELECT s.task_id, s.path, s.score, s.mention = 1.0 AS mentioned, s.size_bytes, CAST(ceil(s.size_bytes * 2 / 7) AS BIGINT) + 32 AS cost_full, CAST(ceil(s.size_bytes / 2 / 7) AS BIGINT) + 24 AS cost_structural,
+  CAST(ceil(s.size_bytes / 3 / 7) AS BIGINT) + 24 AS cost_behavioral, s.language, CASE WHEN f.blob = '' THEN 0 ELSE 2 END AS n_symbols, coalesce(x.n, 0) AS n_tags,
+  CASE WHEN score >= 0.8 THEN 'highly_relevant' WHEN score >= 0.6 THEN 'moderately_relevant' WHEN score >= 0.3 THEN 'plausibly_relevant' ELSE 'low' END AS band,
+  CASE WHEN s.size_bytes <= 8192 AND CAST(ceil(s.size_bytes * 2 / 7) AS BIGINT) + 32 <= 2000 THEN 'small' WHEN s.size_bytes <= 32768 AND CAST(ceil(s.size_bytes * 2 / 7) AS BIGINT) + 32 <= 8000 THEN 'medium' ELSE 'large' END AS size_band
+  FROM scores s JOIN files f USING (path) LEFT JOIN fxn x ON x.path = s.path WHERE s.score >= 0.3),
+elig0 AS (SELECT *, (band = 'highly_relevant' OR mentioned) AND size_band <> 'large' AS is_full, band IN ('highly_relevant', 'moderately_relevant') AND language = 'go' AND n_symbols > 0 AS is_structural FROM cand),
+elig AS (SELECT *, band IN ('highly_relevant', 'moderately_relevant') AND (NOT is_structural OR n_tags >= 2 OR path LIKE '%.md') AS is_behavioral FROM elig0),
+modes AS (
+  SELECT task_id, path, 'full' AS mode, cost_full AS cost, score, 1.0 AS w, 3 AS prio FROM elig WHERE is_full
+  UNION ALL SELECT task_id, path, 'structural_summary', cost_structural, score, 0.6, 2 FROM elig WHERE is_structural
+  UNION ALL SELECT task_id, path, 'behavioral_summary', cost_behavioral, score, 0.4, 1 FROM elig WHERE is_behavioral),
+pairs AS (SELECT *, floor(abs(score * w / greatest(1, cost)) * 1000000000.0 + 0.5) / 1000000000.0 AS efficiency FROM modes)""",
+    S.picked("chosen", "pairs", "buds"),
+    ASSIGNED,
+    f"""
+under AS (SELECT b.task_id, coalesce(b.budget < m.least, FALSE) AS underflow FROM buds b LEFT JOIN
+  (SELECT p.task_id, min(p.cost) AS least FROM pairs p JOIN (SELECT task_id, max(score) AS top FROM cand GROUP BY task_id) t ON t.task_id = p.task_id AND p.score = t.top GROUP BY p.task_id) m USING (task_id)),
+declared AS (SELECT DISTINCT unnest(string_split(blob, chr(31))) AS low FROM files WHERE language = 'go' AND blob <> ''),
+unres AS (SELECT task_id, name FROM (SELECT task_id, name, row_number() OVER (PARTITION BY task_id ORDER BY lower(name), name) AS r FROM (SELECT task_id, unnest(anchors) AS name FROM parsed)
+  WHERE regexp_matches(name, '^[A-Z][A-Za-z0-9_]{{2,}}$') AND lower(name) NOT IN (SELECT low FROM declared)) WHERE r <= 5),
+topa AS (SELECT task_id, path, score, package FROM (SELECT a.task_id, a.path, a.score, f.package, row_number() OVER (PARTITION BY a.task_id ORDER BY a.score DESC, a.path) AS r FROM assigned a JOIN files f USING (path)) WHERE r = 1),
+amb AS (SELECT t.task_id, t.package FROM topa t JOIN assigned a ON a.task_id = t.task_id AND a.path <> t.path JOIN files f ON f.path = a.path AND f.package = t.package AND f.package <> ''
+  WHERE t.score < 0.8 GROUP BY t.task_id, t.package HAVING count(*) FILTER (a.score >= 0.6) >= 2 AND max(a.score) < 0.8),
+gap0 AS (
+  SELECT task_id, 1 AS o, 'missing_spec' AS type, 'warning' AS severity, 'no specification is present' AS description FROM parsed WHERE type IN ('feature', 'refactor', 'migration', 'investigation')
+  UNION ALL SELECT task_id, 2, 'missing_tests', 'warning', 'no relevant test is selected' FROM parsed p WHERE type IN ('feature', 'bugfix', 'refactor', 'migration') AND NOT EXISTS (SELECT 1 FROM assigned a WHERE a.task_id = p.task_id AND a.score >= 0.5 AND a.path LIKE '%!_test.go' ESCAPE '!')
+  UNION ALL SELECT task_id, 3, 'missing_config_context', 'warning', 'no configuration is selected' FROM parsed p WHERE {S.any_anchor(K.CONFIG_GAP)} AND NOT EXISTS (SELECT 1 FROM assigned a WHERE a.task_id = p.task_id AND a.path LIKE 'config/%')
+  UNION ALL SELECT task_id, 4, 'unresolved_symbol_dependency', 'warning', 'symbol not found: ' || name FROM unres
+  UNION ALL SELECT a.task_id, 5, 'ambiguous_ownership', 'info', 'several files could own this: ' || package FROM amb a JOIN parsed p USING (task_id) WHERE p.type IN ('bugfix', 'feature', 'refactor')
+  UNION ALL SELECT task_id, 6, 'missing_runtime_path', 'warning', 'no file with side effects is selected' FROM parsed p WHERE type IN ('feature', 'bugfix', 'migration') AND {S.any_anchor(K.RUNTIME_GAP)}
+    AND NOT EXISTS (SELECT 1 FROM assigned a JOIN fxn x ON x.path = a.path JOIN files f ON f.path = a.path WHERE a.task_id = p.task_id AND f.language = 'go')
+  UNION ALL SELECT task_id, 7, 'missing_external_contract', 'warning', 'no external contract is selected' FROM parsed p WHERE {S.any_anchor(K.CONTRACT_GAP)}
+  UNION ALL SELECT task_id, 8, 'oversized_primary_context', 'warning', 'not loaded in full: ' || min(path) FROM assigned WHERE demoted_reason IS NOT NULL AND task_id NOT IN (SELECT task_id FROM under WHERE underflow) GROUP BY task_id
+  UNION ALL SELECT task_id, 9, 'task_underspecified', 'warning', 'no file scores 0.60' FROM parsed p WHERE coalesce((SELECT max(a.score) FROM assigned a WHERE a.task_id = p.task_id), 0) < 0.6
+  UNION ALL SELECT task_id, 0, 'oversized_primary_context', 'blocking', 'the best file exceeds the budget' FROM under WHERE underflow),
+gaps AS (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY o, description) AS INTEGER) AS ordinal FROM gap0),
+cov AS (SELECT task_id, count(*) FILTER (load_mode = 'full') + 0.5 * count(*) FILTER (load_mode = 'structural_summary') + 0.3 * count(*) FILTER (load_mode = 'behavioral_summary') AS v, sum(cost) AS spent FROM assigned GROUP BY task_id),
+gc AS (SELECT task_id, count(*) FILTER (severity = 'warning') AS warn, count(*) FILTER (severity = 'blocking') AS block FROM gaps GROUP BY task_id),
+sel AS (SELECT a.task_id, f.path AS p, f.base, f.blob FROM assigned a JOIN files f USING (path) WHERE a.load_mode <> 'reachable'),
+an AS (SELECT task_id, unnest(anchors) AS anchor FROM parsed),
+res AS (SELECT an.task_id, count(DISTINCT an.anchor) AS hits FROM an JOIN sel ON sel.task_id = an.task_id AND ('/' || sel.p || '/' LIKE '%/' || lower(an.anchor) || '/%' OR lower(an.anchor) = regexp_replace(sel.base, '\\.[^.]*$', '') OR contains(sel.blob, lower(an.anchor))) GROUP BY an.task_id),
+feas0 AS (SELECT p.task_id, least(1.0, coalesce(c.v, 0) / CASE p.type WHEN 'feature' THEN 4 WHEN 'refactor' THEN 5 WHEN 'migration' THEN 4 ELSE 3 END) AS coverage,
+  coalesce(r.hits, 0) / len(p.anchors) AS anchor_resolution,
+  CASE WHEN len(p.anchors) >= 3 AND p.type IN ('bugfix', 'feature', 'refactor', 'test-addition', 'migration') AND len(list_filter(p.anchors, lambda a: contains(a, '/') OR regexp_matches(lower(a), '.\\.({"|".join(K.TASK_EXTENSIONS)})$'))) > 0 THEN 1.0
+    WHEN len(p.anchors) >= 2 AND p.type <> 'unknown' THEN 0.7 WHEN len(p.anchors) >= 1 THEN 0.4 ELSE 0.1 END AS task_specificity,
+  least(1.0, greatest(0.0, (b.budget - coalesce(c.spent, 0)) / b.budget)) AS budget_headroom,
+  least(0.5, 0.05 * coalesce(g.warn, 0) + 0.2 * coalesce(g.block, 0)) AS gap_penalty, coalesce(g.block, 0) AS block
+  FROM parsed p JOIN buds b USING (task_id) LEFT JOIN cov c ON c.task_id = p.task_id LEFT JOIN res r ON r.task_id = p.task_id LEFT JOIN gc g ON g.task_id = p.task_id),
+feas1 AS (SELECT *, least(1.0, greatest(0.0, 0.4 * coverage + 0.25 * anchor_resolution + 0.2 * task_specificity + 0.15 * budget_headroom)) - gap_penalty AS s FROM feas0),
+feas AS (SELECT *, greatest(0.0, CASE WHEN block > 0 THEN least(0.4, s) ELSE s END) AS score FROM feas1)""",
+]
+PLAN_SQL = S.with_(f"fx AS ({EFFECT_SQL})", *PLAN, recursive=True)
+
+
+class Plan:
+    """The tables of a plan over the virtual repository; those that several others read are written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.tasks, self.budgets = written(V.task_table(spark, sf_dir), "tasks"), V.budgets(spark, sf_dir)
+        imports = V.import_table(spark, sf_dir)
+        effects = index.side_effects(imports).groupBy("path").agg(F.sort_array(F.collect_set("tag")).alias("side_effects"))
+        files = V.file_table(spark, sf_dir).join(effects, "path", "left")
+        self.files = written(files.withColumn("side_effects", F.coalesce("side_effects", F.array().cast("array<string>"))), "files")
+        self.scores = score.score(self.tasks, self.files, imports, index.test_links(self.files))
+        viable = self.scores.where("score >= 0.3").join(self.files.select("path", "size_bytes", "language", "symbols", "side_effects"), "path")
+        half, third = F.ceil(F.col("size_bytes") / 2 / F.lit(7)), F.ceil(F.col("size_bytes") / 3 / F.lit(7))
+        candidates = viable.select("task_id", "path", "score", (F.col("mention") == 1).alias("mentioned"), "size_bytes", pack.full_tokens(F.col("size_bytes")).alias("cost_full"), (half + 24).cast("bigint").alias("cost_structural"), (third + 24).cast("bigint").alias("cost_behavioral"), "language", F.size("symbols").alias("n_symbols"), "side_effects")
+        self.eligible = written(pack.with_eligibility(candidates), "candidates")
+        self.assigned = written(pack.assignments(self.eligible, pack.greedy(pack.mode_rows(self.eligible), self.budgets)), "assigned")
+        self.underflow = pack.underflow(self.eligible, self.budgets)
+        self.supplemental = index.supplementals(self.files)
+        self.gaps = rules.gaps(self.tasks, self.assigned, self.files, self.supplemental, self.underflow)
+        self.feasibility = feasibility.compute(self.tasks, self.assigned, self.files, self.gaps, self.budgets)
+
+
+@query("plan_assignments", PLAN_SQL + "SELECT task_id, path, load_mode, round(score, 9) AS score, cost, demoted_reason FROM assigned")
+def plan_assignments(spark, sf_dir):
+    return Plan(spark, sf_dir).assigned.withColumn("score", F.round("score", 9))
+
+
+@query("gap_rules", PLAN_SQL + "SELECT task_id, ordinal, concat('gap-', CAST(ordinal AS STRING)) AS id, type, severity, description FROM gaps")
+def gap_rules(spark, sf_dir):
+    return Plan(spark, sf_dir).gaps
+
+
+@query("feasibility_score", PLAN_SQL + """SELECT task_id, round(coverage, 9) AS coverage, round(anchor_resolution, 9) AS anchor_resolution, CAST(task_specificity AS DOUBLE) AS task_specificity, round(budget_headroom, 9) AS budget_headroom,
+    CAST(round(gap_penalty, 9) AS DOUBLE) AS gap_penalty, round(score, 9) AS score, CASE WHEN score >= 0.85 THEN 'high feasibility' WHEN score >= 0.65 THEN 'moderate feasibility' WHEN score >= 0.4 THEN 'weak feasibility' ELSE 'poor feasibility' END AS assessment FROM feas""")
+def feasibility_score(spark, sf_dir):
+    rows = Plan(spark, sf_dir).feasibility
+    return rows.select("task_id", *[F.round(c, 9).alias(c) for c in ("coverage", "anchor_resolution", "task_specificity", "budget_headroom", "gap_penalty", "score")], "assessment")
+
+
+# --- evaluation, diffs, fingerprints -------------------------------------------------------------
+
+
+@query("eval_prf", """WITH e AS (SELECT source AS name, doc_id AS path FROM documents JOIN labels USING (doc_id) WHERE quality = 1), a AS (SELECT source AS name, doc_id AS path FROM documents WHERE strlen(text) >= 1000),
+    c AS (SELECT DISTINCT source AS name FROM documents), h AS (SELECT name, count(*) AS hits FROM e JOIN a USING (name, path) GROUP BY name),
+    r AS (SELECT c.name, coalesce((SELECT count(*) FROM e WHERE e.name = c.name), 0) AS ne, coalesce((SELECT count(*) FROM a WHERE a.name = c.name), 0) AS na, coalesce(h.hits, 0) AS hits FROM c LEFT JOIN h USING (name)),
+    p AS (SELECT name, ne, na, CASE WHEN na = 0 THEN 1.0 ELSE hits / na END AS p, CASE WHEN ne = 0 THEN 1.0 ELSE hits / ne END AS r FROM r)
+    SELECT name, ne AS n_expected, na AS n_actual, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM p""")
+def eval_prf(spark, sf_dir):
+    docs = V.load(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.col("doc_id").alias("path"), F.octet_length("text").alias("n"))
+    good = V.load(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("path"))
+    expected = docs.join(good, "path").select("name", "path", F.lit(None).cast("string").alias("load_mode"))
+    actual = docs.where("n >= 1000").select("name", "path", F.lit("full").alias("load_mode"))
+    rows = evaluate.metrics(docs, expected, actual)
+    return rows.select("name", "n_expected", "n_actual", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+SEGMENTS = "SELECT c_mktsegment || '-' || CAST(c_nationkey AS STRING) AS name, round(avg(c_acctbal) / 10000, 6) AS precision, round(max(c_acctbal) / 10000, 6) AS recall, round(min(c_acctbal) / 10000, 6) AS f1 FROM customer WHERE {} GROUP BY 1"
+
+
+@query("eval_regressions", f"""WITH c AS ({SEGMENTS.format("c_custkey % 2 = 0")}), b AS ({SEGMENTS.format("c_custkey % 2 = 1")})
+    SELECT coalesce(c.name, b.name) AS name, CASE WHEN c.name IS NULL THEN 'orphaned' WHEN b.name IS NULL THEN 'unreferenced' WHEN b.precision - c.precision > 0.02 OR b.recall - c.recall > 0.02 OR b.f1 - c.f1 > 0.02 THEN 'regressed' ELSE 'ok' END AS status FROM c FULL JOIN b ON b.name = c.name""")
+def eval_regressions(spark, sf_dir):
+    def half(rest: int) -> DataFrame:
+        rows = V.load(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == rest).groupBy(F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("name"))
+        return rows.agg(*[F.round(f("c_acctbal") / 10000, 6).alias(n) for n, f in (("precision", F.avg), ("recall", F.max), ("f1", F.min))])
+
+    return evaluate.regressions(half(0), half(1))
+
+
+@query("term_topn", S.with_(S.parsed(RAW_BENCHMARK)) + """, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL),
+    t AS (SELECT DISTINCT task_id, unnest(alow) AS term FROM parsed), h AS (SELECT task_id, doc_id, CAST(sum(n) AS BIGINT) AS cnt FROM c JOIN t USING (term) GROUP BY ALL)
+    SELECT task_id, doc_id, cnt, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY cnt DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 20""")
+def term_topn(spark, sf_dir):
+    terms = score.anchor_rows(benchmark_tasks(spark, sf_dir)).withColumnRenamed("anchor", "term")
+    texts = V.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return evaluate.term_counts(terms, texts, 20).withColumnRenamed("path", "doc_id")
+
+
+@query("advisory", """SELECT event_type AS name, floor(ra * 10000 + 0.5) / 10000 AS rate_a, floor(rb * 10000 + 0.5) / 10000 AS rate_b, rb - ra >= 10 AS advise FROM
+    (SELECT event_type, avg(CASE WHEN value >= 30 THEN 1 ELSE 0 END) * 100 AS ra, avg(CASE WHEN value >= 12 THEN 1 ELSE 0 END) * 100 AS rb FROM events GROUP BY event_type)""")
+def advisory(spark, sf_dir):
+    return evaluate.advisory(V.load(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (F.col("value") >= 30).alias("a"), (F.col("value") >= 12).alias("b")))
+
+
+@query("check_deltas", "SELECT event_type, CASE WHEN value >= 30 AND user_id % 2 = 0 THEN 'both_pass' WHEN value >= 30 THEN 'a_only' WHEN user_id % 2 = 0 THEN 'b_only' ELSE 'both_fail' END AS delta, count(*) AS n FROM events GROUP BY ALL")
+def check_deltas(spark, sf_dir):
+    delta = evaluate.check_delta(F.col("value") >= 30, F.col("user_id") % 2 == 0)
+    return V.load(spark, sf_dir, "events").groupBy("event_type", delta.alias("delta")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bench_percentiles", """WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+    g AS (SELECT event_type, max(value) FILTER (r = 1) AS cold, list_sort(list(value) FILTER (r > 1)) AS rest, list_sort(list(value)) AS alls FROM s GROUP BY event_type)
+    SELECT event_type, cold, rest[greatest(1, CAST(ceil(0.5 * len(rest)) AS INTEGER))] AS warm, alls[greatest(1, CAST(ceil(0.95 * len(alls)) AS INTEGER))] AS p95 FROM g""")
+def bench_percentiles(spark, sf_dir):
+    rows = V.load(spark, sf_dir, "events").withColumn("order", F.struct("ts", "event_id"))
+    return evaluate.percentiles(rows, "event_type", "value", "order")
+
+
+VERSION = "SELECT l_partkey AS k, min(l_suppkey) AS supp, CAST(round(max(l_quantity), 2) AS DOUBLE) AS qty FROM lineitem WHERE l_shipdate {} TIMESTAMP '1998-01-01' GROUP BY 1"
+
+
+@query("diff_added_removed_changed", f"""WITH a AS ({VERSION.format("<")}), b AS ({VERSION.format(">=")}), j AS (SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_a, b.k IS NOT NULL AS in_b, a.supp AS supp_a, b.supp AS supp_b, a.qty AS qty_a, b.qty AS qty_b FROM a FULL JOIN b ON a.k = b.k)
+    SELECT k, CASE WHEN NOT in_a THEN 'added' WHEN NOT in_b THEN 'removed' ELSE 'changed' END AS change, supp_a, supp_b, qty_a, qty_b FROM j WHERE NOT in_a OR NOT in_b OR supp_a IS DISTINCT FROM supp_b OR qty_a IS DISTINCT FROM qty_b""")
+def diff_added_removed_changed(spark, sf_dir):
+    def version(cond: F.Column) -> DataFrame:
+        return V.load(spark, sf_dir, "lineitem").where(cond).groupBy(F.col("l_partkey").alias("k")).agg(F.min("l_suppkey").alias("supp"), F.max("l_quantity").alias("qty"))
+
+    cut = F.lit("1998-01-01").cast("timestamp")
+    return diff.changes(version(F.col("l_shipdate") < cut), version(F.col("l_shipdate") >= cut), ["k"], ["supp", "qty"]).select("k", "change", "supp_a", "supp_b", "qty_a", "qty_b")
+
+
+@query("anchor_setdiff", """WITH t AS (SELECT c_nationkey, list_sort(list_distinct(list(c_mktsegment) FILTER (c_acctbal < 2000))) AS a, list_sort(list_distinct(list(c_mktsegment) FILTER (c_acctbal >= 8000))) AS b FROM customer GROUP BY c_nationkey)
+    SELECT c_nationkey, array_to_string(list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(a, []), x)), '|') AS added, array_to_string(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x)), '|') AS removed FROM t""")
+def anchor_setdiff(spark, sf_dir):
+    sets = V.load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_set(F.when(F.col("c_acctbal") < 2000, F.col("c_mktsegment"))).alias("a"), F.collect_set(F.when(F.col("c_acctbal") >= 8000, F.col("c_mktsegment"))).alias("b"))
+    return sets.select("c_nationkey", F.concat_ws("|", diff.added(F.col("a"), F.col("b"))).alias("added"), F.concat_ws("|", diff.added(F.col("b"), F.col("a"))).alias("removed"))
+
+
+@query("corpus_fingerprint", "SELECT source, sha256(string_agg(CAST(doc_id AS STRING) || ':' || sha256(text), ',' ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM documents GROUP BY source")
+def corpus_fingerprint(spark, sf_dir):
+    rows = V.load(spark, sf_dir, "documents").select("source", F.struct("doc_id", F.sha2("text", 256).alias("sha")).alias("x")).groupBy("source").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    line = F.array_join(F.transform("xs", lambda x: F.concat_ws(":", x["doc_id"], x["sha"])), ",")
+    return rows.select("source", F.sha2(line, 256).alias("fingerprint"), F.size("xs").cast("bigint").alias("n"))
+
+
+@query("cache_hit_miss", "SELECT d.doc_id, sha256(CAST(d.doc_id AS STRING) || '|' || CAST(strlen(d.text) AS STRING) || '|v1') AS key, e.k IS NOT NULL AS hit FROM documents d LEFT JOIN (SELECT DISTINCT user_id AS k FROM events) e ON e.k = d.doc_id")
+def cache_hit_miss(spark, sf_dir):
+    docs = V.load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("|", "doc_id", F.octet_length("text"), F.lit("v1")), 256).alias("key"))
+    seen = V.load(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
+    return docs.join(seen, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
