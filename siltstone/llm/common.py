@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-WORD = r"[^\x20\x09-\x0D]+"
+from ..sources.shared import shared_dir, written
 
+__all__ = ["ascii_lower", "held_out", "join_groups", "shared_dir", "table", "unit", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = held.get() if held.isDefined() else None
-    if not place:
-        place = tempfile.mkdtemp(prefix="siltstone-shared-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df written once as Parquet in the shared folder, and read from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ascii_lower(c: Column) -> Column:
