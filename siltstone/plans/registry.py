@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import globs, text
-from ..operators import diff, evaluate, feasibility, graph, index, pack, rules, score, tasks
-from ..sources.shared import written
+from ..operators import diff, evaluate, graph, index, manifest, pack, score, summary, tasks
 from . import sql as S
 from . import virtual as V
+from .plan import Plan
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -354,44 +354,53 @@ feas AS (SELECT *, greatest(0.0, CASE WHEN block > 0 THEN least(0.4, s) ELSE s E
 PLAN_SQL = S.with_(f"fx AS ({EFFECT_SQL})", *PLAN, recursive=True)
 
 
-class Plan:
-    """The tables of a plan over the virtual repository; those that several others read are written once."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.tasks, self.budgets = written(V.task_table(spark, sf_dir), "tasks"), V.budgets(spark, sf_dir)
-        imports = V.import_table(spark, sf_dir)
-        effects = index.side_effects(imports).groupBy("path").agg(F.sort_array(F.collect_set("tag")).alias("side_effects"))
-        files = V.file_table(spark, sf_dir).join(effects, "path", "left")
-        self.files = written(files.withColumn("side_effects", F.coalesce("side_effects", F.array().cast("array<string>"))), "files")
-        self.scores = score.score(self.tasks, self.files, imports, index.test_links(self.files))
-        viable = self.scores.where("score >= 0.3").join(self.files.select("path", "size_bytes", "language", "symbols", "side_effects"), "path")
-        half, third = F.ceil(F.col("size_bytes") / 2 / F.lit(7)), F.ceil(F.col("size_bytes") / 3 / F.lit(7))
-        candidates = viable.select("task_id", "path", "score", (F.col("mention") == 1).alias("mentioned"), "size_bytes", pack.full_tokens(F.col("size_bytes")).alias("cost_full"), (half + 24).cast("bigint").alias("cost_structural"), (third + 24).cast("bigint").alias("cost_behavioral"), "language", F.size("symbols").alias("n_symbols"), "side_effects")
-        self.eligible = written(pack.with_eligibility(candidates), "candidates")
-        self.assigned = written(pack.assignments(self.eligible, pack.greedy(pack.mode_rows(self.eligible), self.budgets)), "assigned")
-        self.underflow = pack.underflow(self.eligible, self.budgets)
-        self.supplemental = index.supplementals(self.files)
-        self.gaps = rules.gaps(self.tasks, self.assigned, self.files, self.supplemental, self.underflow)
-        self.feasibility = feasibility.compute(self.tasks, self.assigned, self.files, self.gaps, self.budgets)
+def virtual_plan(spark: SparkSession, sf_dir: str) -> Plan:
+    return Plan(V.task_table(spark, sf_dir), V.file_table(spark, sf_dir), V.import_table(spark, sf_dir), V.budgets(spark, sf_dir))
 
 
 @query("plan_assignments", PLAN_SQL + "SELECT task_id, path, load_mode, round(score, 9) AS score, cost, demoted_reason FROM assigned")
 def plan_assignments(spark, sf_dir):
-    return Plan(spark, sf_dir).assigned.withColumn("score", F.round("score", 9))
+    return virtual_plan(spark, sf_dir).assigned.withColumn("score", F.round("score", 9))
 
 
 @query("gap_rules", PLAN_SQL + "SELECT task_id, ordinal, concat('gap-', CAST(ordinal AS STRING)) AS id, type, severity, description FROM gaps")
 def gap_rules(spark, sf_dir):
-    return Plan(spark, sf_dir).gaps
+    return virtual_plan(spark, sf_dir).gaps
 
 
 @query("feasibility_score", PLAN_SQL + """SELECT task_id, round(coverage, 9) AS coverage, round(anchor_resolution, 9) AS anchor_resolution, CAST(task_specificity AS DOUBLE) AS task_specificity, round(budget_headroom, 9) AS budget_headroom,
     CAST(round(gap_penalty, 9) AS DOUBLE) AS gap_penalty, round(score, 9) AS score, CASE WHEN score >= 0.85 THEN 'high feasibility' WHEN score >= 0.65 THEN 'moderate feasibility' WHEN score >= 0.4 THEN 'weak feasibility' ELSE 'poor feasibility' END AS assessment FROM feas""")
 def feasibility_score(spark, sf_dir):
-    rows = Plan(spark, sf_dir).feasibility
+    rows = virtual_plan(spark, sf_dir).feasibility
     return rows.select("task_id", *[F.round(c, 9).alias(c) for c in ("coverage", "anchor_resolution", "task_specificity", "budget_headroom", "gap_penalty", "score")], "assessment")
 
 
+@query("plan_manifests")
+def plan_manifests(spark, sf_dir):
+    """Whole plans: hash, id, Markdown and explanation of each task's manifest."""
+    m = virtual_plan(spark, sf_dir).manifests()
+    rows = m.select("task_id", "manifest_hash", "manifest_id").join(manifest.markdown(m), "task_id").join(manifest.explain(m), "task_id")
+    return rows.join(manifest.gates(m, fail_on_gaps=True, least=0.3), "task_id")
+
+
+@query("summary_costs", S.with_(S.FILES) + """SELECT path, CAST(strlen('# behavioral summary: ' || path || chr(10) || 'size_band: ' || CASE WHEN size_bytes <= 8192 AND t <= 2000 THEN 'small' WHEN size_bytes <= 32768 AND t <= 8000 THEN 'medium' ELSE 'large' END || chr(10)
+    || 'size_bytes: ' || CAST(size_bytes AS STRING) || chr(10) || 'estimated_tokens_full: ' || CAST(t AS STRING) || chr(10) || 'language: ' || language || chr(10) || CASE WHEN language = 'go' AND blob <> '' THEN 'exported_api:' || chr(10) || '  - func New' || camel || chr(10) || '  - type ' || camel || chr(10) ELSE '' END) AS BIGINT) AS behavioral_bytes
+    FROM (SELECT *, CAST(ceil(size_bytes * 2 / 7) AS BIGINT) + 32 AS t FROM files)""")
+def summary_costs(spark, sf_dir):
+    kind = {"New": "func", "": "type"}
+    none = F.array().cast("array<string>")
+    symbols = F.transform("symbols", lambda n: F.struct(n.alias("name"), F.when(n.startswith("New"), kind["New"]).otherwise(kind[""]).alias("kind"), F.lit("").alias("receiver"), F.lit(True).alias("exported")))
+    files = V.file_table(spark, sf_dir).withColumns({"symbols": symbols, "imports": none, "side_effects": none, "test_links": none, "parse_error": F.lit(False), "package_name": F.lit("")})
+    body = summary.behavioral(pack.full_tokens(F.col("size_bytes")))
+    return files.select("path", F.octet_length(body).cast("bigint").alias("behavioral_bytes"))
+
+
+@query("rationale", SCORED + "SELECT task_id, path, string_agg(phrase, '|' ORDER BY signal DESC, factor) AS rationale FROM (" + " UNION ALL ".join(
+    f"SELECT task_id, path, '{f}' AS factor, '{manifest.PHRASES[f]}' AS phrase, {c} AS signal FROM scores" for f, c in FACTOR_SQL.items()) + ") WHERE signal > 0 GROUP BY task_id, path")
+def rationale(spark, sf_dir):
+    return manifest.rationale(scores(spark, sf_dir)).select("task_id", "path", exploded("rationale").alias("rationale"))
+
+
 # --- evaluation, diffs, fingerprints -------------------------------------------------------------
 
 
