@@ -6,11 +6,12 @@ within their prefixes. Nodes of identical prefix and size form a group, and only
 joins; groups that meet on a prefix shingle are filtered by size and by a parity sketch (a lower
 bound of the symmetric difference), and what is left is verified on the texts.
 
-Links are found in two steps, so that a large cluster is not expanded into all its pairs. The
-first compares members with the first of their group, and groups with the middle and the first of
-the groups that share one of their LEADING rarest shingles. What these links connect is one
-component. The second step takes every prefix shingle of every node and compares all pairs that
-still lie in different components; no pair is left out, so no link between components is lost.
+A cluster of near copies is not expanded into all its pairs of texts. Nodes that resemble the middle
+or the first node of a list of groups that share one of their LEADING rarest shingles make a family
+(a guess, which only decides who compares what). Within a family all pairs are compared by wide
+sketches, tile by tile: first only pairs that join what is not joined yet are verified, then all
+that may still link different components. Between families, all pairs that share any prefix
+shingle are compared. No pair is left out that could join two components.
 
 Defined cases: a null text or one without words has no shingles, links with nothing and is its
 own component; with fewer words than a shingle the whole sequence is the only one; rows that
@@ -37,6 +38,10 @@ WIDTH, PERCENT = 3, 90
 #: Shingles that are ordered last, at most (8 bytes each go to every task); any choice of them gives the same links.
 COMMON = 100_000
 LEADING = 8
+#: Bits of the wide sketch, and members of a family that one task compares with as many others.
+WIDE, TILE = 1024, 2048
+#: Sets above LONG shingles have a sketch that grows with them, of LONGEST bits at most.
+LONG, LONGEST = 600, 1 << 17
 #: Members that one task compares with the first of their pairs.
 FAN = 256
 #: Buckets of the filter that keeps texts no pair asks for out of the shuffle.
@@ -71,8 +76,26 @@ def sketch(s: np.ndarray) -> tuple[int, int]:
     return int(odd[0]), int(odd[1])
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % WIDE, minlength=WIDE) & 1).astype(np.uint8)).tobytes()
+
+
+def long_sketch(s: np.ndarray) -> bytes | None:
+    """For long sets, the parities of about two to four classes for each shingle; folding halves its width."""
+    if len(s) <= LONG:
+        return None
+    width = min(LONGEST, 1 << (2 * len(s)).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % width, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(x: np.ndarray, n: int) -> np.ndarray:
+    while len(x) > n:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def described(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, key (of the set), prefix (shingles in order), a and b (sketch) of every row."""
+    """doc_id, n, key (of the set), prefix (shingles in order), a and b, wide and long (sketches) of every row."""
     by_value = np.argsort(common)
     values = common[by_value]
 
@@ -93,16 +116,16 @@ def described(docs: DataFrame, width: int, percent: int, common: np.ndarray) ->
                         late = s[last]
                         prefix = np.concatenate([prefix, late[np.argsort(by_value[rank[last]])]])[:length]
                     a, b = sketch(s)
-                    rows.append((doc_id, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix.view(np.int64), a, b))
-                out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix", "a", "b"])
+                    rows.append((doc_id, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix.view(np.int64), a, b, wide_sketch(s), long_sketch(s)))
+                out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix", "a", "b", "wide", "long"])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    return docs.mapInPandas(run, "doc_id bigint, n bigint, key binary, prefix array<bigint>, a bigint, b bigint")
+    return docs.mapInPandas(run, "doc_id bigint, n bigint, key binary, prefix array<bigint>, a bigint, b bigint, wide binary, long binary")
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The number of differing bits of sketches (rows of two 64-bit numbers)."""
-    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(1, dtype=np.int64)  # signed numbers would be counted by absolute value
 
 
 def passes(n: np.ndarray, sk: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -113,44 +136,82 @@ def passes(n: np.ndarray, sk: np.ndarray, i: np.ndarray, j: np.ndarray, percent:
     return ok
 
 
-def star_pairs(node: np.ndarray, n: np.ndarray, sk: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The middle and the first node, each with all others of the list."""
-    bits = np.unpackbits(sk.view(np.uint8).reshape(len(node), -1), axis=1)
-    middle = int((bits != (bits.mean(0) > 0.5)).sum(1).argmin())
-    out_i, out_j = [], []
-    for lead in {middle, int(node.argmin())}:
-        j = np.flatnonzero(node != node[lead])
-        i = np.full(len(j), lead)
-        ok = passes(n, sk, i, j, percent)
-        out_i.append(i[ok])
-        out_j.append(j[ok])
-    return np.concatenate(out_i), np.concatenate(out_j)
+def unpack(wide) -> np.ndarray:
+    """Wide sketches as rows of 64-bit numbers."""
+    return np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WIDE // 64)
+
+
+def estimate(bits: np.ndarray) -> np.ndarray:
+    """The symmetric difference that so many differing bits of wide sketches suggest."""
+    return -WIDE / 2 * np.log(np.maximum(1e-9, 1 - 2 * bits / WIDE))
+
+
+def alike(lead: int, n: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Which nodes resemble the leading one, at a similarity of about 0.6, as far as sketches tell."""
+    bits = differing(wide, wide[lead][None, :])
+    return (bits < WIDE // 2 - 80) & (estimate(bits) <= (n + n[lead]) / 4)
+
+
+def families(groups: DataFrame) -> DataFrame:
+    """u, v: edges that hold families together, from lists of s, node, n, wide."""
 
+    def choose(now: dict[str, np.ndarray]) -> np.ndarray:
+        node, n, wide = now["node"], now["n"], unpack(now["wide"])
+        if len(node) == 2:
+            out = [np.array([[0, 1]])[alike(0, n, wide)[1:]]]
+            return node[out[0]]
+        some = wide[:: max(1, len(node) // TILE)]
+        middle = int(differing(wide, np.packbits((np.unpackbits(some.view(np.uint8), axis=1).mean(0) > 0.5).astype(np.uint8)).view(np.uint64)[None, :]).argmin())
+        out = []
+        for lead in {middle, int(node.argmin())}:
+            j = np.flatnonzero(alike(lead, n, wide) & (node != node[lead]))
+            out.append(np.stack([np.full(len(j), node[lead]), node[j]], 1))
+        return np.concatenate(out)
 
-def all_pairs(node: np.ndarray, n: np.ndarray, sk: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of different components; rows go by size, so that each meets only sizes it can match."""
+    return pairs_of_lists(groups.select("s", "node", "n", "wide"), choose)
+
+
+def between(percent: int):
+    """Picks the pairs of different families from a list."""
+
+    def choose(now: dict[str, np.ndarray]) -> np.ndarray:
+        node, n, family = now["node"], now["n"], now["family"]
+        if (family == family[0]).all():
+            return np.zeros((0, 2), np.int64)
+        i, j = all_pairs(n, np.stack([now["a"], now["b"]], 1), family, percent)
+        return np.stack([node[i], node[j]], 1)
+
+    return choose
+
+
+def all_pairs(n: np.ndarray, sk: np.ndarray, part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of different parts; rows go by size, so that each meets only sizes it can match."""
+    if len(n) <= 256:
+        i, j = np.triu_indices(len(n), 1)
+        ok = part[i] != part[j]
+        i, j = i[ok], j[ok]
+        ok = passes(n, sk, i, j, percent)
+        return i[ok], j[ok]
     order = np.argsort(n, kind="stable")
     sizes = n[order]
     upto = np.searchsorted(sizes, sizes * 100 // percent, side="right")
-    out_i, out_j = [], []
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(len(order)):
         j = order[at + 1 : upto[at]]
-        j = j[comp[j] != comp[order[at]]]
+        j = j[part[j] != part[order[at]]]
         if len(j):
             i = np.full(len(j), order[at])
             ok = passes(n, sk, i, j, percent)
             out_i.append(i[ok])
             out_j.append(j[ok])
-    if not out_i:
-        return np.zeros(0, int), np.zeros(0, int)
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def candidates(entries: DataFrame, percent: int, choose: Callable) -> DataFrame:
-    """Distinct pairs u < v of nodes that share a shingle, of those that choose picks from each list.
+def pairs_of_lists(entries: DataFrame, choose: Callable) -> DataFrame:
+    """Distinct pairs u < v of nodes that choose picks from the lists of entries with the same s.
 
-    entries has s, node, n, a, b, comp. They are dealt by shingle and sorted, and lists are taken
-    from the stream as they come, so that a task holds one list at a time.
+    Entries are dealt by shingle and sorted, and lists are taken from the stream as they come, so
+    that a task holds one list at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,30 +219,98 @@ def candidates(entries: DataFrame, percent: int, choose: Callable) -> DataFrame:
         for pdf in with_end(batches):
             if pdf is not None:
                 rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-                last = rest["s"].iloc[-1]
-                whole = int(np.searchsorted(rest["s"].to_numpy(), last))
+                whole = int(np.searchsorted(rest["s"].to_numpy(), rest["s"].iloc[-1]))
                 now, rest = rest.iloc[:whole], rest.iloc[whole:]
             else:
                 now, rest = rest, None
             if now is None or not len(now):
                 continue
-            s, node, n, comp = (now[c].to_numpy() for c in ("s", "node", "n", "comp"))
-            sk = np.ascontiguousarray(now[["a", "b"]].to_numpy(np.int64))
-            cut = np.flatnonzero(np.diff(s, prepend=s[0] - 1 if s[0] > np.iinfo(np.int64).min else s[0] + 1))
+            s = now["s"].to_numpy()
+            cut = np.append(0, np.flatnonzero(np.diff(s)) + 1)
             end = np.append(cut[1:], len(s))
-            out = []
-            for a, b in zip(cut[end - cut > 1], end[end - cut > 1], strict=True):
-                if (comp[a:b] != comp[a]).any():
-                    i, j = choose(node[a:b], n[a:b], sk[a:b], comp[a:b], percent)
-                    out.append(np.stack([node[a:b][i], node[a:b][j]], 1))
+            columns = {c: now[c].to_numpy() for c in now.columns if c != "s"}
+            out = [choose({c: x[a:b] for c, x in columns.items()}) for a, b in zip(cut[end - cut > 1], end[end - cut > 1], strict=True)]
             if out:
                 both = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
                 yield pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
 
-    dealt = entries.select("s", "node", "n", "a", "b", "comp").repartition("s").sortWithinPartitions("s")
+    dealt = entries.repartition("s").sortWithinPartitions("s")
     return dealt.mapInPandas(run, "u bigint, v bigint").where("u <> v").distinct()
 
 
+def tiles(members: DataFrame) -> DataFrame:
+    """members (family, node, n, wide and others) with tile: each pair of a family's members meets in some tile."""
+    size = members.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = members.join(size, "family").withColumn("parts", F.ceil(F.col("size") / TILE)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.withColumn("other", other).withColumn("tile", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")))
+    # the tile of one part alone is covered by those of two, if there are any
+    return rows.where("parts = 1 or own <> other").drop("size", "parts", "own", "other")
+
+
+def limit(n: np.ndarray, m, percent: int) -> np.ndarray:
+    """The largest symmetric difference of linked sets of these sizes, below 0 where sizes alone forbid it."""
+    most = (n + m) * (100 - percent) / (100 + percent)
+    return np.where(100 * np.minimum(n, m) >= percent * np.maximum(n, m), most, -1.0)
+
+
+def within(members: DataFrame, percent: int, join: bool) -> DataFrame:
+    """Pairs of a family: with join, a forest of likely links; else all possible links between its components."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        node, n, wide, comp = pdf["node"].to_numpy(), pdf["n"].to_numpy(), unpack(pdf["wide"]), pdf["comp"].to_numpy()
+        out = []
+        if join:
+            left = np.arange(len(node))
+            bits = np.unpackbits(wide.view(np.uint8), axis=1)
+            queue = [int((bits != (bits.mean(0) > 0.5)).sum(1).argmin())]
+            left = left[left != queue[0]]
+            while len(left):
+                i = queue.pop() if queue else int(left[0])
+                left = left[left != i]
+                near = estimate(differing(wide[left], wide[i][None, :])) <= limit(n[left], n[i], percent)
+                out += [(node[i], v) for v in node[left[near]]]
+                queue = left[near].tolist() + queue
+                left = left[~near]
+        else:
+            for i in range(len(node) - 1):
+                j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+                near = differing(wide[j], wide[i][None, :]) <= limit(n[j], n[i], percent)
+                out += [(node[i], v) for v in node[j[near]]]
+        both = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
+        return pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
+
+    return tiles(members).groupBy("family", "tile").applyInPandas(run, "u bigint, v bigint").where("u <> v").distinct()
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that wide sketches, and those of long sets, leave possible."""
+
+    def sided(side: str, column: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"x_{side}"))
+
+    def wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = differing(unpack(pdf["x_u"]), unpack(pdf["x_v"])) <= limit(pdf["n_u"].to_numpy(), pdf["n_v"].to_numpy(), percent)
+            yield pdf.loc[ok, ["u", "v"]]
+
+    def long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            most = limit(pdf["n_u"].to_numpy(), pdf["n_v"].to_numpy(), percent)
+            ok = []
+            for x, y, m in zip(pdf["x_u"], pdf["x_v"], most, strict=True):
+                if x is None or y is None:
+                    ok.append(True)
+                    continue
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                k = min(len(x), len(y))
+                ok.append(int(np.bitwise_count(folded(x, k) ^ folded(y, k)).sum()) <= m)
+            yield pdf.loc[ok, ["u", "v"]]
+
+    left = pairs.join(sided("u", "wide"), "u").join(sided("v", "wide"), "v").mapInPandas(wide, "u bigint, v bigint")
+    return left.join(sided("u", "long"), "u").join(sided("v", "long"), "v").mapInPandas(long, "u bigint, v bigint")
+
+
 def with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     for pdf in batches:
         if len(pdf):
@@ -235,19 +364,23 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = written(described(docs, width, percent, common_shingles(docs.select("text"), width)), "described")
     full = rows.where("doc_id is not null and n > 0")
-    top = F.min(F.struct("doc_id", "n", "prefix", "a", "b"))
-    nodes = written(full.groupBy("key").agg(top.alias("t"), F.count(F.lit(1)).alias("size")).select("key", "size", F.col("t.doc_id").alias("node"), "t.n", "t.prefix", "t.a", "t.b"), "nodes")
+    top = F.min(F.struct("doc_id", "n", "prefix", "a", "b", "wide", "long"))
+    nodes = full.groupBy("key").agg(top.alias("t"), F.count(F.lit(1)).alias("size"))
+    nodes = written(nodes.select("key", "size", F.col("t.doc_id").alias("node"), "t.n", "t.prefix", "t.a", "t.b", "t.wide", "t.long"), "nodes")
 
     group = W.partitionBy("n", F.xxhash64("prefix"), F.hash("prefix"))
-    grouped = nodes.select("node", "n", "prefix", "a", "b", F.min("node").over(group).alias("first"))
-    leading = grouped.where("node = first").select(F.explode(F.slice("prefix", 1, LEADING)).alias("s"), "node", "n", "a", "b", F.col("node").alias("comp"))
-    star = grouped.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    star = star.unionByName(candidates(leading, percent, star_pairs)).distinct()
-    links = written(verified(star, docs, width, percent), "links")
-    first = written(components(links), "components")
-
-    entries = nodes.join(first, "node", "left").select(F.explode("prefix").alias("s"), "node", "n", "a", "b", F.coalesce("component", "node").alias("comp"))
-    more = written(verified(candidates(entries, percent, all_pairs), docs, width, percent), "links")
+    grouped = nodes.select("node", "n", "prefix", "wide", F.min("node").over(group).alias("first"))
+    leading = grouped.where("node = first").select(F.explode(F.slice("prefix", 1, LEADING)).alias("s"), "node", "n", "wide")
+    kin = families(leading).unionByName(grouped.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")))
+    family = nodes.join(components(kin).withColumnRenamed("component", "family"), "node", "left").withColumn("family", F.coalesce("family", "node"))
+    family = written(family.select("node", "n", "prefix", "a", "b", "wide", "family"), "families")
+    entries = family.select(F.explode("prefix").alias("s"), "node", "n", "a", "b", "family")
+    members = family.select("family", "node", "n", "wide")
+    apart = pairs_of_lists(entries, between(percent))
+    first = within(members.withColumn("comp", F.col("node")), percent, join=True)
+    links = written(verified(possible(first.unionByName(apart), nodes, percent), docs, width, percent), "links")
+    joined = members.join(components(links), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    more = written(verified(possible(within(joined, percent, join=False), nodes, percent), docs, width, percent), "links")
     final = components(links.unionByName(more).select("u", "v"))
 
     named = nodes.join(final, "node", "left").select("key", "size", F.coalesce("component", "node").alias("component_id"))
