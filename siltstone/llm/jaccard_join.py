@@ -3,8 +3,9 @@
 Every document becomes its set of word shingles. Equal sets are one node. Shingles are put in
 one order for all sets (the commonest last), and two sets that are similar enough share a shingle
 within their prefixes. Nodes of identical prefix and size form a group, and only its first node
-joins; groups that meet on a prefix shingle are filtered by size and by a parity sketch (a lower
-bound of the symmetric difference), and what is left is verified on the texts.
+joins; groups that meet on a prefix shingle are filtered by size, by the shingle's places (if it is
+the first they share, at most what follows it is shared), by a parity sketch and, for longer sets,
+by a histogram (lower bounds of the symmetric difference), and what is left is verified on the texts.
 
 A cluster of near copies is not expanded into all its pairs of texts. Nodes that resemble the middle
 or the first node of a list of groups that share one of their LEADING rarest shingles make a family
@@ -42,6 +43,8 @@ LEADING = 8
 WIDE, TILE = 1024, 2048
 #: Sets above LONG shingles have a sketch that grows with them, of LONGEST bits at most.
 LONG, LONGEST = 600, 1 << 17
+#: Sets above COUNTED shingles carry a histogram of BINS bytes to the lists.
+COUNTED, BINS = 400, 64
 #: Members that one task compares with the first of their pairs.
 FAN = 256
 #: Buckets of the filter that keeps texts no pair asks for out of the shuffle.
@@ -88,6 +91,13 @@ def long_sketch(s: np.ndarray) -> bytes | None:
     return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % width, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def histogram(s: np.ndarray) -> bytes | None:
+    """For sets above COUNTED, the shingles in each of BINS classes; clipping only lessens differences."""
+    if len(s) <= COUNTED:
+        return None
+    return np.minimum(np.bincount((s >> np.uint64(34)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def folded(x: np.ndarray, n: int) -> np.ndarray:
     while len(x) > n:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
@@ -95,7 +105,7 @@ def folded(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, key (of the set), prefix (shingles in order), a and b, wide and long (sketches) of every row."""
+    """doc_id, n, key (of the set), prefix (shingles in order), a and b, wide and long (sketches), bins (histogram) of every row."""
     by_value = np.argsort(common)
     values = common[by_value]
 
@@ -116,11 +126,11 @@ def described(docs: DataFrame, width: int, percent: int, common: np.ndarray) ->
                         late = s[last]
                         prefix = np.concatenate([prefix, late[np.argsort(by_value[rank[last]])]])[:length]
                     a, b = sketch(s)
-                    rows.append((doc_id, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix.view(np.int64), a, b, wide_sketch(s), long_sketch(s)))
-                out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix", "a", "b", "wide", "long"])
+                    rows.append((doc_id, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix.view(np.int64), a, b, wide_sketch(s), long_sketch(s), histogram(s)))
+                out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix", "a", "b", "wide", "long", "bins"])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    return docs.mapInPandas(run, "doc_id bigint, n bigint, key binary, prefix array<bigint>, a bigint, b bigint, wide binary, long binary")
+    return docs.mapInPandas(run, "doc_id bigint, n bigint, key binary, prefix array<bigint>, a bigint, b bigint, wide binary, long binary, bins binary")
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -128,10 +138,11 @@ def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64)).sum(1, dtype=np.int64)  # signed numbers would be counted by absolute value
 
 
-def passes(n: np.ndarray, sk: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of positions size and sketch leave possible."""
+def passes(n: np.ndarray, pos: np.ndarray, sk: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows size, place and sketch leave possible, if the list's shingle is the first they share."""
     small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     ok = 100 * small >= percent * large
+    ok &= (100 + percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= percent * (small + large)
     ok[ok] = differing(sk[i[ok]], sk[j[ok]]) * (100 + percent) <= (n[i[ok]] + n[j[ok]]) * (100 - percent)
     return ok
 
@@ -178,19 +189,28 @@ def between(percent: int):
         node, n, family = now["node"], now["n"], now["family"]
         if (family == family[0]).all():
             return np.zeros((0, 2), np.int64)
-        i, j = all_pairs(n, np.stack([now["a"], now["b"]], 1), family, percent)
-        return np.stack([node[i], node[j]], 1)
+        i, j = all_pairs(n, now["pos"].astype(np.int64), np.stack([now["a"], now["b"]], 1), family, percent)
+        ok = np.ones(len(i), bool)
+        if len(i):
+            counted = n > COUNTED
+            both = np.flatnonzero(counted[i] & counted[j])
+            bins = np.frombuffer(b"".join([x if x is not None else bytes(BINS) for x in now["bins"]]), np.uint8).reshape(-1, BINS).astype(np.int16)
+            for at in range(0, len(both), TILE):
+                k = both[at : at + TILE]
+                apart = np.abs(bins[i[k]] - bins[j[k]]).sum(1, dtype=np.int64)
+                ok[k] = apart * (100 + percent) <= (n[i[k]] + n[j[k]]) * (100 - percent)
+        return np.stack([node[i[ok]], node[j[ok]]], 1)
 
     return choose
 
 
-def all_pairs(n: np.ndarray, sk: np.ndarray, part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def all_pairs(n: np.ndarray, pos: np.ndarray, sk: np.ndarray, part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of different parts; rows go by size, so that each meets only sizes it can match."""
     if len(n) <= 256:
         i, j = np.triu_indices(len(n), 1)
         ok = part[i] != part[j]
         i, j = i[ok], j[ok]
-        ok = passes(n, sk, i, j, percent)
+        ok = passes(n, pos, sk, i, j, percent)
         return i[ok], j[ok]
     order = np.argsort(n, kind="stable")
     sizes = n[order]
@@ -201,7 +221,7 @@ def all_pairs(n: np.ndarray, sk: np.ndarray, part: np.ndarray, percent: int) ->
         j = j[part[j] != part[order[at]]]
         if len(j):
             i = np.full(len(j), order[at])
-            ok = passes(n, sk, i, j, percent)
+            ok = passes(n, pos, sk, i, j, percent)
             out_i.append(i[ok])
             out_j.append(j[ok])
     return np.concatenate(out_i), np.concatenate(out_j)
@@ -364,17 +384,17 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = written(described(docs, width, percent, common_shingles(docs.select("text"), width)), "described")
     full = rows.where("doc_id is not null and n > 0")
-    top = F.min(F.struct("doc_id", "n", "prefix", "a", "b", "wide", "long"))
+    top = F.min(F.struct("doc_id", "n", "prefix", "a", "b", "wide", "long", "bins"))
     nodes = full.groupBy("key").agg(top.alias("t"), F.count(F.lit(1)).alias("size"))
-    nodes = written(nodes.select("key", "size", F.col("t.doc_id").alias("node"), "t.n", "t.prefix", "t.a", "t.b", "t.wide", "t.long"), "nodes")
+    nodes = written(nodes.select("key", "size", F.col("t.doc_id").alias("node"), "t.n", "t.prefix", "t.a", "t.b", "t.wide", "t.long", "t.bins"), "nodes")
 
     group = W.partitionBy("n", F.xxhash64("prefix"), F.hash("prefix"))
     grouped = nodes.select("node", "n", "prefix", "wide", F.min("node").over(group).alias("first"))
     leading = grouped.where("node = first").select(F.explode(F.slice("prefix", 1, LEADING)).alias("s"), "node", "n", "wide")
     kin = families(leading).unionByName(grouped.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")))
     family = nodes.join(components(kin).withColumnRenamed("component", "family"), "node", "left").withColumn("family", F.coalesce("family", "node"))
-    family = written(family.select("node", "n", "prefix", "a", "b", "wide", "family"), "families")
-    entries = family.select(F.explode("prefix").alias("s"), "node", "n", "a", "b", "family")
+    family = written(family.select("node", "n", "prefix", "a", "b", "wide", "bins", "family"), "families")
+    entries = family.select(F.posexplode("prefix").alias("pos", "s"), "node", "n", "a", "b", "bins", "family")
     members = family.select("family", "node", "n", "wide")
     apart = pairs_of_lists(entries, between(percent))
     first = within(members.withColumn("comp", F.col("node")), percent, join=True)

@@ -155,6 +155,9 @@ def test_sketches_never_exceed_the_difference():
         real = len(np.setxor1d(x, y))
         assert jaccard_join.differing(np.array([jaccard_join.sketch(x)]), np.array([jaccard_join.sketch(y)]))[0] <= real
         assert jaccard_join.differing(jaccard_join.unpack([jaccard_join.wide_sketch(x)]), jaccard_join.unpack([jaccard_join.wide_sketch(y)]))[0] <= real
+        a, b = (jaccard_join.histogram(z) for z in (x, y))
+        if a and b:
+            assert np.abs(np.frombuffer(a, np.uint8).astype(int) - np.frombuffer(b, np.uint8)).sum() <= real
         a, b = (jaccard_join.long_sketch(z) for z in (x, y))
         if a and b:
             a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -337,6 +340,7 @@ def test_passages_are_found(spark):
     rows = docs_of(spark, docs)
     model = toxicity.fit(rows, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
     found = {r.doc_id for r in toxicity.passages(rows, model, least=0.0).collect()}
-    toxic = {i for i, _, t in labels if t}
+    # junk made of a text's first three words has lost the words put into it
+    toxic = {i for i, t in docs if re.search("vile|nasty|grosser", t)}
     assert len(found & toxic) > 0.95 * len(toxic) and len(found - toxic) < 0.05 * len(docs)
     assert toxicity.keep_clean(rows, model).schema == rows.schema
