@@ -37,7 +37,7 @@ from .hashing import mixed
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1
 #: Bytes of text in a block, of text looked at together within it, and of spans sorted together.
-BLOCK, CHUNK, SHARD = 16 << 20, 1 << 20, 4 << 20
+BLOCK, CHUNK, SHARD = 16 << 20, 1 << 17, 4 << 20
 SHARDS_PER_BLOCK = 5
 COPY, ANCHOR, ANSWER = 0, 1, 2
 NOTES = "block int, kind int, shard int, num bigint, data binary"
@@ -233,7 +233,7 @@ def suffix_order(text: np.ndarray, end: np.ndarray, starts: np.ndarray) -> np.nd
             break
         after = np.where(loose + h < end[loose], rank[np.minimum(loose + h, n)] + 1, 0)
         pair = rank[loose] * np.int64(n + 2) + after
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         loose, pair = loose[by], pair[by]
         slots = np.flatnonzero(~single)
         order[slots] = loose
@@ -314,6 +314,19 @@ def repeats(key, pdf: pd.DataFrame) -> pd.DataFrame:
     parts = [unpacked(x) for x in pdf["data"]]
     sizes, docs, text = (np.concatenate([p[i] for p in parts]) for i in range(3))
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    # a span that several blocks sent is sorted once, with its smallest document; all others lose the whole of it
+    first: dict[bytes, int] = {}
+    raw, at = text.tobytes(), 0
+    for k, (n, d) in enumerate(zip(sizes.tolist(), docs.tolist(), strict=True)):
+        x = raw[at : at + n]
+        at += n
+        if docs[first.setdefault(x, k)] > d:
+            first[x] = k
+    keep = np.sort(np.fromiter(first.values(), np.int64, len(first)))
+    text = np.frombuffer(b"".join([x for x, _ in sorted(first.items(), key=lambda xk: xk[1])]), np.uint8)
+    every = np.where(np.isin(np.arange(len(sizes)), keep), U64(0), (U64(1) << (sizes - LENGTH + 1).astype(U64)) - U64(1))
+    del raw, first
+    sizes, docs = sizes[keep], docs[keep]
     ends = np.cumsum(sizes)
     # parts of at most SHARD bytes are sorted each for itself
     piece = (ends - 1) // SHARD
@@ -338,6 +351,8 @@ def repeats(key, pdf: pd.DataFrame) -> pd.DataFrame:
         hit = least[number] < docs[span]
         turn = np.arange(len(span)) - np.searchsorted(span, span)
         np.bitwise_or.at(mask, span[hit], U64(1) << turn[hit].astype(U64))
+    every[keep] = mask
+    mask = every
     out = [(block, ANSWER, key[0], 0, mask[owner == i].tobytes()) for i, block in enumerate(pdf["block"]) if (mask[owner == i] != 0).any()]
     return pd.DataFrame(out, columns=["block", "kind", "shard", "num", "data"])
 
@@ -347,16 +362,17 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 def removed(b: Block, notes: pd.DataFrame) -> list[np.ndarray]:
     """For each document of the block which bytes go."""
-    shared = Shared(b, notes)
-    of = distinct_spans(shared)
     answers = notes[notes["kind"] == ANSWER]
     masks = {s: np.frombuffer(d, np.uint64).tolist() for s, d in zip(answers["shard"], answers["data"], strict=True)}
-    number = {s: {x: i for i, x in enumerate(spans_of)} for s, spans_of in of.items()}
+    # spans are numbered as distinct_spans lists them; documents go by id, so the first that has one is the smallest
+    known: dict[int, dict[bytes, tuple[int, int]]] = {}
     starts: list[list[tuple[int, int]]] = [[] for _ in b.raw]
-    for i, first, last, s, x in shared:
-        if of[s][x] < b.ids[i]:
+    for i, first, last, s, x in Shared(b, notes):
+        of = known.setdefault(s, {})
+        number, least = of.setdefault(x, (len(of), b.ids[i]))
+        if least < b.ids[i]:
             starts[i].append((first, last))
-        elif s in masks and (mask := masks[s][number[s][x]]):
+        elif s in masks and (mask := masks[s][number]):
             starts[i] += [(first + t, first + t) for t in range(last - first + 1) if mask >> t & 1]
     out = []
     for i, t in enumerate(b.raw):
