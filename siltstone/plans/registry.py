@@ -435,7 +435,7 @@ def eval_regressions(spark, sf_dir):
     t AS (SELECT DISTINCT task_id, unnest(alow) AS term FROM parsed), h AS (SELECT task_id, doc_id, CAST(sum(n) AS BIGINT) AS cnt FROM c JOIN t USING (term) GROUP BY ALL)
     SELECT task_id, doc_id, cnt, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY cnt DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 20""")
 def term_topn(spark, sf_dir):
-    terms = score.anchor_rows(benchmark_tasks(spark, sf_dir)).withColumnRenamed("anchor", "term")
+    terms = benchmark_tasks(spark, sf_dir).select("task_id", F.array_distinct(tasks.lower_all(F.col("anchors"))).alias("terms"))
     texts = V.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     return evaluate.term_counts(terms, texts, 20).withColumnRenamed("path", "doc_id")
 

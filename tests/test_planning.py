@@ -160,6 +160,15 @@ def test_metrics_edge_cases(spark):
     assert got == {"none": (1, 1, 1), "half": (0.25, 0.5, 0.3333), "miss": (1, 0, 0)}
 
 
+def test_terms_count_anywhere_in_the_text(spark):
+    terms = spark.createDataFrame([("a", ["token", "refresh.go", "tokens"]), ("b", ["foo_bar", "é f()"]), ("c", ["aaaa"]), ("d", [])], "task_id string, terms array<string>")
+    texts = {"x": "Tokens, tokenstoken; Refresh.go refreshxgo foo_barfoo_bar", "y": "aaaaaaaaaa-aaaa É F() é  f()", "z": None, "w": "retokenize/refresh.gone"}
+    found = evaluate.term_counts(terms, spark.createDataFrame(list(texts.items()), "path string, text string").repartition(3), 2)
+    want = {(r.task_id, p): n for r in terms.collect() if r.terms for p, t in texts.items() if (n := len(re.findall("|".join(map(re.escape, r.terms)), (t or "").lower())))}
+    assert {(r.task_id, r.path): r.cnt for r in found.collect()} == want == {("a", "x"): 4, ("a", "w"): 2, ("b", "x"): 2, ("b", "y"): 1, ("c", "y"): 3}
+    assert [(r.path, r["rank"]) for r in found.where("task_id = 'a'").orderBy("rank").collect()] == [("x", 1), ("w", 2)]
+
+
 def test_diff(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string")
     b = spark.createDataFrame([(2, "z"), (3, None), (4, "n")], "k int, v string")
