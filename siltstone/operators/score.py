@@ -1,8 +1,8 @@
 """Scoring of files for tasks.
 
-Scores are kept for the pairs that some lexical signal reaches (mention, filename, symbol, package,
-doc). The rest could gain at most the weights of import, test and config, which together must stay
-below the least band, so no pair that matters is left out and no cross product is formed.
+Scores are kept for the pairs that any signal reaches: mention, filename, symbol, package, doc and
+config at first, then those that only an import or a tested file reaches. In all other pairs every
+signal and the score are 0; everywhere() adds them where a result lists every file for every task.
 
 Tables: tasks (task_id, raw_text, type, anchors); files (path, extension, language, package,
 is_test, symbols array<string>, text); imports (path, import).
@@ -23,6 +23,7 @@ from .graph import package_edges, resolve_imports
 from .tasks import lower_all
 
 FACTORS = list(K.WEIGHTS)
+LEXICAL = ["mention", "filename", "symbol", "package", "doc"]
 #: Words of a path that a mention may span.
 MENTION_WORDS = 12
 
@@ -39,8 +40,6 @@ class Settings:
             raise ValueError("weights must cover all factors and sum to 1")
         if not (0 <= self.floor <= 1 and 0 <= self.slope <= 1):
             raise ValueError("floor and slope must lie in [0, 1]")
-        if self.weights["import"] + self.weights["test"] + self.weights["config"] >= K.BANDS[-1][1]:
-            raise ValueError("import, test and config alone must not reach the least band")
 
 
 def task_phrases(tasks: DataFrame, most: int = MENTION_WORDS) -> DataFrame:
@@ -143,12 +142,12 @@ def lexical(tasks: DataFrame, files: DataFrame) -> DataFrame:
     return rows.groupBy("task_id", "path").agg(*[F.max(F.when(F.col("factor") == n, F.col("signal")).otherwise(0.0)).alias(n) for n in parts])
 
 
-def first_pass(tasks: DataFrame, files: DataFrame, settings: Settings) -> DataFrame:
-    """The lexical signals with config and the first reading of test, and the score they give."""
+def with_facts(rows: DataFrame, tasks: DataFrame, files: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs with the lexical signals, with config and the first reading of test, and the score they give."""
     outside = F.col("out_of_scope") if "out_of_scope" in files.columns else F.lit(False)
     about = files.select("path", F.col("package").alias("dir"), "is_test", config_for_score(F.col("path")).alias("is_config"), outside.alias("outside"))
     known = tasks.select("task_id", "type", lower_all(F.col("anchors")).alias("low"))
-    rows = lexical(tasks, files).join(about, "path").join(known, "task_id")
+    rows = rows.join(about, "path").join(known, "task_id")
     config = F.when(~F.col("is_config"), 0.0).when(F.col("type").isin("feature", "migration", "refactor"), 1.0).otherwise(0.5)
     named = F.col("is_test") & F.array_contains("low", F.lower(basename(F.col("dir"))))
     rows = rows.withColumns({"config": config, "named": F.when(named, 0.5).otherwise(0.0), "import": F.lit(0.0)})
@@ -157,6 +156,14 @@ def first_pass(tasks: DataFrame, files: DataFrame, settings: Settings) -> DataFr
     return rows.withColumn("pass1", scored(settings, imported=False)[1])
 
 
+def first_pass(tasks: DataFrame, files: DataFrame, settings: Settings) -> DataFrame:
+    """Every pair that has a signal before imports and tested files are known (a test of a named package has package too)."""
+    configs = files.where(config_for_score(F.col("path"))).select("path")
+    pairs = tasks.select("task_id").crossJoin(configs).withColumns({c: F.lit(0.0) for c in LEXICAL})
+    rows = lexical(tasks, files).unionByName(pairs).groupBy("task_id", "path").agg(*[F.max(c).alias(c) for c in LEXICAL])
+    return with_facts(rows, tasks, files, settings)
+
+
 def scored(settings: Settings, imported: bool = True) -> tuple[Column, Column]:
     """Dampener and score from signal columns."""
     others = ["symbol", "filename", "package"] + ["import"] * imported
@@ -181,14 +188,25 @@ def imported(rows: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame
 def score(tasks: DataFrame, files: DataFrame, imports: DataFrame, links: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """task_id, path, the eight signals, dampener, pass1 and score."""
     rows = written(first_pass(tasks, files, settings), "first-pass")
-    tested = links.join(rows.where("pass1 >= 0.5").select("task_id", F.col("path").alias("link")), "link").select("task_id", "path").distinct().withColumn("tested", F.lit(True))
-    rows = rows.join(tested, ["task_id", "path"], "left").join(imported(rows, files, imports), ["task_id", "path"], "left")
+    tested = links.join(rows.where("pass1 >= 0.5").select("task_id", F.col("path").alias("link")), "link").join(files.where("is_test").select("path"), "path").select("task_id", "path").distinct().withColumn("tested", F.lit(True))
+    late = tested.join(imported(rows, files, imports), ["task_id", "path"], "full_outer")
+    late = written(late, "late-signals")
+    new = late.select("task_id", "path").join(rows.select("task_id", "path"), ["task_id", "path"], "left_anti")
+    rows = rows.unionByName(with_facts(new.withColumns({c: F.lit(0.0) for c in LEXICAL}), tasks, files, settings).select(rows.columns))
+    rows = rows.join(late, ["task_id", "path"], "left")
     test = F.when(F.col("is_test") & F.coalesce("tested", F.lit(False)), 1.0).otherwise(F.col("named"))
     rows = rows.withColumns({"test": test, "import": F.when(F.col("outside"), 0.0).otherwise(F.coalesce("reached", F.lit(0.0)))})
     damp, final = scored(settings)
     return rows.withColumns({"dampener": damp}).withColumn("score", final).select("task_id", "path", *FACTORS, "dampener", "pass1", "score")
 
 
+def everywhere(rows: DataFrame, tasks: DataFrame, files: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """Scores of every file for every task: those of score() and, with all signals 0, the rest."""
+    damp = dampener([F.lit(0.0)] * 2, settings)
+    none = {c: F.coalesce(c, F.lit(0.0)) for c in [*FACTORS, "pass1", "score"]} | {"dampener": F.coalesce("dampener", damp)}
+    return tasks.select("task_id").crossJoin(files.select("path")).join(rows, ["task_id", "path"], "left").withColumns(none).select(rows.columns)
+
+
 def breakdown(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """task_id, path, factor, signal, weight, contribution of every factor that isn't 0."""
     parts = [F.struct(F.lit(f).alias("factor"), F.col(f).alias("signal"), F.lit(settings.weights[f]).alias("weight")) for f in FACTORS]

@@ -200,9 +200,13 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.score(V.task_table(spark, sf_dir), files, V.import_table(spark, sf_dir), index.test_links(files))
 
 
+def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.everywhere(scores(spark, sf_dir), V.task_table(spark, sf_dir), V.file_table(spark, sf_dir))
+
+
 @query("combined_score", SCORED + "SELECT task_id, path, round(import_signal, 9) AS s_import, round(test, 9) AS s_test, round(config, 9) AS s_config, round(dampener, 9) AS dampener, round(score, 9) AS score FROM scores")
 def combined_score(spark, sf_dir):
-    rows = scores(spark, sf_dir)
+    rows = all_scores(spark, sf_dir)
     return rows.select("task_id", "path", F.round("import", 9).alias("s_import"), F.round("test", 9).alias("s_test"), F.round("config", 9).alias("s_config"), F.round("dampener", 9).alias("dampener"), F.round("score", 9).alias("score"))
 
 
@@ -218,7 +222,7 @@ def score_breakdown(spark, sf_dir):
 
 @query("score_band_counts", SCORED + "SELECT task_id, CASE WHEN score >= 0.8 THEN 'highly_relevant' WHEN score >= 0.6 THEN 'moderately_relevant' WHEN score >= 0.3 THEN 'plausibly_relevant' ELSE 'low' END AS band, count(*) AS n FROM scores GROUP BY ALL")
 def score_band_counts(spark, sf_dir):
-    return scores(spark, sf_dir).groupBy("task_id", pack.score_band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return all_scores(spark, sf_dir).groupBy("task_id", pack.score_band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("dampener_curve", "SELECT event_id, round(least(1.0, 0.3 + 0.7 * least(1.0, greatest(0.0, value / 100))), 9) AS dampener FROM events")

@@ -86,6 +86,25 @@ def test_mentions_need_boundaries(spark):
     assert {(r.task_id, r.path) for r in score.mention(task, files).collect()} == {("t1", "a/run.go"), ("t2", ".eslintrc")}
 
 
+def test_scores_without_lexical_overlap(spark):
+    """Files that only import a relevant package, only test a relevant file or only are configuration."""
+    task = parsed(spark, "Refactor RefreshToken in internal/auth/provider.go, `auth`")
+    files = files_of(spark, [("internal/auth/provider.go", 1, ["RefreshToken", "RefactorProvider", "AuthInternal"], ""), ("cmd/x/main.go", 1, [], ""), ("config/a.yaml", 1, [], ""), ("zz/q_test.go", 1, [], ""), ("lone.txt", 1, [], "")])
+    imports = spark.createDataFrame([("cmd/x/main.go", "m/internal/auth")], "path string, import string")
+    links = spark.createDataFrame([("zz/q_test.go", "internal/auth/provider.go")], "path string, link string")
+    rows = score.score(task, files, imports, links)
+    got = {r.path: r for r in rows.collect()}
+    best = got["internal/auth/provider.go"].pass1
+    assert best >= 0.5 and set(got) == {"internal/auth/provider.go", "config/a.yaml", "zz/q_test.go"} | ({"cmd/x/main.go"} if best >= 0.6 else set())
+    assert got["config/a.yaml"].score == pytest.approx(0.06) and (got["zz/q_test.go"].test, got["zz/q_test.go"].score) == (1, pytest.approx(0.08))
+    weights = {"mention": 0.35, "filename": 0.0, "symbol": 0.1, "import": 0.3, "package": 0.2, "test": 0.02, "doc": 0.02, "config": 0.01}
+    heavy = score.Settings(weights)
+    rows = score.score(task, files, imports, links, heavy)
+    got = {r.path: r for r in score.everywhere(rows, task, files, heavy).collect()}
+    assert got["internal/auth/provider.go"].pass1 >= 0.6 and got["cmd/x/main.go"]["import"] in (0.7, 1.0) and got["cmd/x/main.go"].score >= 0.2
+    assert len(got) == 5 and (got["lone.txt"].score, got["lone.txt"].dampener) == (0, pytest.approx(0.3))
+
+
 def test_imports_reach_two_steps(spark):
     files = files_of(spark, [(f"{d}/x.go", 1, [], "") for d in ("auth", "internal/auth", "b", "c")])
     imports = spark.createDataFrame([("b/x.go", "example.com/m/internal/auth"), ("c/x.go", "m/b"), ("c/x.go", "xauth")], "path string, import string")
