@@ -1,7 +1,7 @@
 """Symbols and imports of source files.
 
-Go, TypeScript and JavaScript declarations are found by patterns over top-level lines, inside the
-JVM; Python files go through the standard parser, a batch at a time. Files whose language has no
+Go, TypeScript and JavaScript declarations are found by patterns from the start of top-level lines
+(and of lines in Go groups), as formatters leave them, inside the JVM; Python files go through the standard parser, a batch at a time. Files whose language has no
 analyser have neither symbols nor imports.
 """
 
@@ -30,20 +30,27 @@ def without_comments(text: Column) -> Column:
 
 
 def go_symbols(text: Column) -> Column:
-    """Exported top-level declarations, grouped ones included."""
+    """Exported top-level declarations, those in groups and in lists of names included."""
     t = without_comments(text)
     name = r"([A-Z][A-Za-z0-9_]*)"
+    one = r"[\p{L}_][\p{L}\p{Nd}_]*"
 
     def grouped(word: str) -> Column:
-        blocks = F.regexp_extract_all(t, F.lit(rf"(?ms)^{word} \((.*?)^\)"), F.lit(1))
-        return found(F.array_join(blocks, "\n"), rf"^\t{name}\b", word)
+        return F.array_join(F.regexp_extract_all(t, F.lit(rf"(?ms)^{word} \((.*?)^\)"), F.lit(1)), "\n")
+
+    def listed(text: Column, prefix: str, kind: str) -> Column:
+        lists = F.regexp_extract_all(text, F.lit(rf"(?m){prefix}({one}(?:[ \t]*,\s*{one})*)"), F.lit(1))
+        names = F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*,\s*")))
+        return F.transform(F.filter(names, lambda n: n.rlike(r"^\p{Lu}")), lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind"), F.lit("").alias("receiver"), F.lit(True).alias("exported"))).cast(SYMBOL)
 
     return F.concat(
         found(t, rf"^type {name}(?:\[[^\]]*\])? interface\b", "interface"),
         found(t, rf"^type {name}(?:\[[^\]]*\])? =?\s?(?!interface\b)", "type"),
         found(t, rf"^func {name}\s*[\[(]", "func"),
         found(t, rf"^func \((?:\w+\s+)?\*?(\w+)(?:\[[^\]]*\])?\) {name}\s*\(", "method", group=2, receiver=1),
-        found(t, rf"^const {name}\b", "const"), found(t, rf"^var {name}\b", "var"), grouped("const"), grouped("var"),
+        found(grouped("type"), rf"^\t{name}(?:\[[^\]]*\])?[ \t]+(?:=[ \t]*)?interface\b", "interface"),
+        found(grouped("type"), rf"^\t{name}(?:\[[^\]]*\])?[ \t]++(?:=[ \t]*+)?+(?!interface\b)", "type"),
+        listed(t, "^const ", "const"), listed(t, "^var ", "var"), listed(grouped("const"), r"^\t", "const"), listed(grouped("var"), r"^\t", "var"),
     )
 
 
@@ -73,7 +80,9 @@ def script_symbols(text: Column) -> Column:
 
 def script_imports(text: Column) -> Column:
     t = without_comments(text)
-    patterns = [r"(?m)^(?:import|export)\b[^;\n]*?from\s+['\"]([^'\"]+)['\"]", r"(?m)^import\s+['\"]([^'\"]+)['\"]", r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)"]
+    # over line breaks up to the first quote, past comments; a clause has neither = nor (
+    clause = r"[^;'\"`(=/]*+(?://[^\n]*+[^;'\"`(=/]*+)*+(?<=\bfrom\s{0,99})"
+    patterns = [rf"(?m)^(?:import|export)\b{clause}['\"]([^'\"]+)['\"]", r"(?m)^import\s+['\"]([^'\"]+)['\"]", r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)"]
     return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in patterns])))
 
 

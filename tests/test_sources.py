@@ -52,6 +52,49 @@ def test_analyzers(spark):
     assert got["c.py"].imports == [".", "os.path"] and got["d.py"].parse_error and got["f.go"].parse_error and not got["e.md"].symbols
 
 
+def test_declarations_over_several_lines_and_names(spark):
+    go = """package p
+
+type (
+	Reader   interface{ Read() }
+	Box[T any] struct {
+		Inner int
+	}
+	ID = string
+	hidden int
+)
+
+const A, b, C = 1, 2, 3
+
+var d, E int
+
+const (
+	F, G = 1, 2
+	h    = 3
+)
+"""
+    ts = """import {
+  a, // don't stop; here
+  b
+} from "./x";
+import type D, {
+  e,
+} from './y'
+export {
+  a as z
+} from "./w"
+export * from"./v";
+export const s = 1
+const t = pick("from 'nowhere'")
+import "./side"
+"""
+    rows = spark.createDataFrame([("a.go", "go", go), ("b.ts", "typescript", ts)], "path string, language string, text string")
+    got = {r.path: r for r in analyze.analyze(rows).collect()}
+    want = {("Reader", "interface"), ("Box", "type"), ("ID", "type")} | {(n, "const") for n in "ACFG"} | {("E", "var")}
+    assert {(s.name, s.kind) for s in got["a.go"].symbols} == want
+    assert got["b.ts"].imports == ["./side", "./v", "./w", "./x", "./y"]
+
+
 def test_walk(spark, tmp_path):
     for name, data in {"a/x.go": b"package a", ".git/config": b"x", "b.bin": b"a\x00b", "vendor/v.go": b"x", "keep/me.txt": b"y", ".github/ci.yaml": b"z"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
