@@ -24,7 +24,7 @@ from .tasks import lower_all
 
 FACTORS = list(K.WEIGHTS)
 LEXICAL = ["mention", "filename", "symbol", "package", "doc"]
-#: Words of a path that a mention may span.
+#: Words by which a mention meets a name; of longer names the rest is compared in the task's text.
 MENTION_WORDS = 12
 
 
@@ -58,8 +58,14 @@ def mention(tasks: DataFrame, files: DataFrame) -> DataFrame:
     names = files.select("path", F.explode(F.array_distinct(F.array(F.lower("path"), F.lower(basename(F.col("path")))))).alias("phrase"))
     phrases = task_phrases(tasks)
     whole = names.where(F.col("phrase").rlike("^[a-z0-9_].*[a-z0-9_]$|^[a-z0-9_]$"))
+    texts = tasks.select("task_id", F.lower("raw_text").alias("t"))
+    head = F.regexp_extract("phrase", f"^[a-z0-9_]+(?:[^a-z0-9_]+[a-z0-9_]+){{{MENTION_WORDS - 1}}}(?=[^a-z0-9_])", 0)
+    headed = whole.withColumn("head", head)
+    whole = headed.where("head = ''").drop("head")
+    # names of more words meet by their first ones
+    long = headed.where("head <> ''").join(phrases.withColumnRenamed("phrase", "head"), "head").join(texts, "task_id").where(F.expr("contains(t, phrase)"))
     # names that begin or end with another character are few: they are looked for one by one
-    odd = names.exceptAll(whole).join(tasks.select("task_id", F.lower("raw_text").alias("t")), F.expr("contains(t, phrase)"))
+    odd = names.exceptAll(headed.drop("head")).join(texts, F.expr("contains(t, phrase)")).unionByName(long.drop("head"))
     before, after = "(?:^|[^a-z0-9_])", "(?:$|[^a-z0-9_])"
     odd = odd.where(F.expr(f"t rlike concat('{before}\\\\Q', phrase, '\\\\E{after}')")).select("task_id", "path")
     return whole.join(phrases, "phrase").select("task_id", "path").unionByName(odd).distinct()

@@ -86,6 +86,14 @@ def test_mentions_need_boundaries(spark):
     assert {(r.task_id, r.path) for r in score.mention(task, files).collect()} == {("t1", "a/run.go"), ("t2", ".eslintrc")}
 
 
+def test_mentions_of_long_names(spark):
+    adr = "docs/adr/0007-how-we-move-all-of-the-old-tables-to-the-new-store.md"
+    twelve = "a-b-c-d-e-f-g-h-i-j-k.md"
+    task = parsed(spark, f"See {adr.upper()} now", "read " + adr.rsplit("/", 1)[1], f"see {adr}x", "how we move all of the old tables to the new", f"{twelve}, please")
+    files = files_of(spark, [(adr, 1, [], ""), (twelve, 1, [], ""), ("x/" + twelve, 1, [], "")])
+    assert {(r.task_id, r.path) for r in score.mention(task, files).collect()} == {("t0", adr), ("t1", adr), ("t4", twelve), ("t4", "x/" + twelve)}
+
+
 def test_scores_without_lexical_overlap(spark):
     """Files that only import a relevant package, only test a relevant file or only are configuration."""
     task = parsed(spark, "Refactor RefreshToken in internal/auth/provider.go, `auth`")
