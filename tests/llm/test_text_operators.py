@@ -80,6 +80,26 @@ def test_codec_parity_and_round_trip(spark):
     assert all(parity) and ours == reference.encode([t or "" for _, t in rows])
 
 
+def test_codec_verifies_every_text(monkeypatch):
+    texts = [f"plain words number {i} and no more" for i in range(40)] + ["", "a  b", " a", "a ", "line\nbreak", "é ▁ x"]
+    _, reference, *rest = sentencepiece_codec.load(PIECES, 2)
+    ids, parity = sentencepiece_codec.encode(texts, PIECES)
+    assert all(p is True for p in parity) and ids == reference.encode(texts)
+    right = sentencepiece_codec.load(PIECES, 2)
+
+    class Wrong:
+        """Loses the last id of what holds the word odd."""
+
+        def encode_batch_fast(self, some, **_):
+            found = right[0].encode_batch_fast(some, add_special_tokens=False)
+            return [type("E", (), {"ids": e.ids[:-1] if "odd" in t else e.ids}) for e, t in zip(found, some, strict=True)]
+
+    monkeypatch.setattr(sentencepiece_codec, "load", lambda *_: (Wrong(), *right[1:]))
+    texts = [f"an odd number {i}" for i in range(20)] + ["an even number"]
+    ids, parity = sentencepiece_codec.encode(texts, PIECES)
+    assert parity == [False] * 20 + [True] and ids == reference.encode(texts)
+
+
 def test_unigram_models_are_rebuilt():
     spec = sentencepiece_codec.Spec([("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -2.5, 1), ("<0x63>", -9.0, 6)], sentencepiece_codec.UNIGRAM, True)
     assert sentencepiece_codec.build(spec).encode("  ab  a ").tokens == ["▁ab", "▁a"]
