@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir, written
 
-__all__ = ["ascii_lower", "held_out", "join_groups", "shared_dir", "table", "unit", "written"]
+__all__ = ["ascii_lower", "free_names", "held_out", "join_groups", "shared_dir", "table", "unit", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,18 +32,30 @@ def held_out(doc_id: Column) -> Column:
 HOT_PARTS = 2048
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join of rows with one row per key, where a few keys may hold most rows.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
+    """Inner join of rows with one row per key, where a few keys may hold most rows (total: how many those are, if known).
 
     Groups above one part in HOT_PARTS of all rows number HOT_PARTS at most; they are broadcast,
     so that no task gathers a hot key. The others meet in a sort-merge join.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     hot = groups.where(F.col(size) * HOT_PARTS > total).limit(HOT_PARTS)
     cold = groups.where(F.col(size) * HOT_PARTS <= total)
     left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return left.hint("merge").join(cold, key).unionByName(rows.join(F.broadcast(hot), key))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,32 +10,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_groups, written
 
 
 def least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """u, its smallest neighbour, and how many it has."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    top = least(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(top, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    top = least(both).select("u", F.least("u", "m").alias("m"), "size")
+    # a centre of many edges is joined without gathering them in a task
+    return join_groups(both, top, "u", "size", 2 * total).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     top = least(down)
-    others = down.join(top, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = join_groups(down, top, "u", "size", total).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(top.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component for every node that is not its component's smallest."""
     edges = written(edges.where("u <> v").select("u", "v"), "edges")
+    total = edges.count()
     while True:
-        edges = written(small_star(large_star(edges)), "edges")
-        loose = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
+        edges = written(small_star(large_star(edges, total), total), "edges")
+        loose = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
         many = edges.groupBy("u").count().where("count > 1").select("u")
-        if loose.isEmpty() and many.isEmpty():
+        if loose.unionByName(many).isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

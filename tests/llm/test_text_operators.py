@@ -169,20 +169,35 @@ def test_one_of_each_stays(spark):
 
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(1)
-    for n in (5, 50, 700, 3000):
+    for n in (5, 50, 700, 3000, 9000):
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, n // 3).astype(np.uint64)]))
-        real = len(np.setxor1d(x, y))
-        assert jaccard_join.differing(np.array([jaccard_join.sketch(x)]), np.array([jaccard_join.sketch(y)]))[0] <= real
-        assert jaccard_join.differing(jaccard_join.unpack([jaccard_join.wide_sketch(x)]), jaccard_join.unpack([jaccard_join.wide_sketch(y)]))[0] <= real
-        a, b = (jaccard_join.histogram(z) for z in (x, y))
-        if a and b:
-            assert np.abs(np.frombuffer(a, np.uint8).astype(int) - np.frombuffer(b, np.uint8)).sum() <= real
-        a, b = (jaccard_join.long_sketch(z) for z in (x, y))
-        if a and b:
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            k = min(len(a), len(b))
-            assert np.bitwise_count(jaccard_join.folded(a, k) ^ jaccard_join.folded(b, k)).sum() <= real
+        both = jaccard_join.Sketches([jaccard_join.sketch(x), jaccard_join.sketch(y), None])
+        assert 0 < both.apart(np.array([0]), np.array([1]))[0] <= len(np.setxor1d(x, y))
+        assert both.apart(np.array([0, 2]), np.array([2, 1])).tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("tile, short", [(16, 8), (4, 2)])
+def test_long_lists_in_tiles_and_groups(spark, monkeypatch, tile, short):
+    """Lists above the tile size; sets that share prefix and size, some of which are linked only through others."""
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    rng = random.Random(9)
+    rows = []
+    for f in range(3):
+        base = prose(rng, 60, 10**6).split()
+        for _ in range(45):
+            w = list(base)
+            for k in rng.sample(range(60), rng.randrange(5)):
+                w[k] = rng.choice(["changed", f"x{rng.randrange(10**6)}"])
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    want, _ = brute(rows, 3, 75)
+    for common in (True, False):
+        if not common:
+            monkeypatch.setattr(jaccard_join, "common_shingles", lambda *_: np.zeros(0, np.uint64))
+        got = {r.doc_id: r.component_id for r in jaccard_join.classes(docs_of(spark, rows), 3, 75).collect()}
+        assert got == want
 
 
 def test_components_of_chains(spark):
