@@ -411,13 +411,16 @@ def links_of(nodes: DataFrame, groups: DataFrame, docs: DataFrame, width: int, p
     near = near.select("u", "v", "bits").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "bits"))
     partners = best(to_leads(entries.where(F.col("c") >= SHORT), sketches, percent), "node", "lead").unionByName(best(near, "v", "u"))
     links = verified(partners.distinct(), docs, width, percent)
+    comp = components(links).select("node", F.col("component").alias("comp"))
     long = every.where(F.col("c") >= LONG)
     if not long.isEmpty():
         # what the first leads left apart in long lists, so that the pairs of all that is apart stay few
-        partners = best(to_leads(with_component(long, links), sketches, percent), "node", "lead")
-        links = links.unionByName(verified(partners, docs, width, percent))
+        rows = long.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        more = verified(best(to_leads(rows, sketches, percent), "node", "lead"), docs, width, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = components(links).select("node", F.col("component").alias("comp"))
 
-    comp = components(links).withColumnRenamed("component", "comp")
     named = written(nodes.join(comp, "node", "left").select("group", "node", "n", F.coalesce("comp", "node").alias("comp")), "components")
     # a group whose members are of several components differs from all others, and its sketches don't bind it
     of_group = named.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
@@ -438,11 +441,6 @@ def short_lists(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("c") < SHORT).groupBy("s").agg(F.collect_list(F.struct("node", "n", "pos", "comp")).alias("items"))
 
 
-def with_component(entries: DataFrame, links: DataFrame) -> DataFrame:
-    comp = components(links).withColumnRenamed("component", "comp")
-    return entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
