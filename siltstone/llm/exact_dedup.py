@@ -8,6 +8,10 @@ Defined cases: a null text counts as empty; texts are equal when they agree afte
 A-Z; of the equal rows of a batch the largest doc_id stays (a null id only if all are null); of
 rows that repeat id and text one stays; a text that an earlier batch brought is kept there and
 dropped here; an empty batch adds nothing. Columns beside doc_id and text are not looked at.
+
+A batch has a name, which the caller gives. If a batch is lost after it was appended and comes again
+under its name, what the index holds of that name counts as its own, so it gets the rows it would
+have got at first.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_groups, shared_dir, table, written
+from .common import ascii_lower, free_names, join_groups, shared_dir, table, written
 
-ENTRY = "digest string, keep_id bigint, keep_row bigint, group_size bigint, batch string"
+ENTRY = "digest string, keep_id bigint, group_size bigint, batch string"
 
 
 def text_digest(text: Column) -> Column:
@@ -49,7 +53,7 @@ class DigestIndex:
         return groups.hint("merge").join(self.entries().select("digest"), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
-        fresh = self.unseen(groups).select("digest", "keep_id", "keep_row", "group_size", "batch")
+        fresh = self.unseen(groups).select("digest", "keep_id", "group_size", "batch")
         (
             fresh.repartition(self.buckets, "digest")
             .write.mode("append")
@@ -80,14 +84,13 @@ def batch_groups(rows: DataFrame, batch: str) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row; new texts are appended to the index."""
-    batch = uuid.uuid4().hex
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row; texts new to the index are appended to it under the batch's name."""
     rows = digest_rows(docs)
-    groups = batch_groups(rows, batch)
+    groups = written(batch_groups(rows, batch), "digest-groups")
     index.append(groups)
-    kept = groups.select("digest", F.col("group_size").alias("n")).hint("merge").join(index.entries(), "digest")
-    out = join_groups(rows, kept, "digest", "n")
+    own = groups.select("digest", "keep_row", F.col("group_size").alias("n"))
+    out = join_groups(rows, own.hint("merge").join(index.entries(), "digest"), "digest", "n")
     return out.select(
         "doc_id",
         "keep_id",
@@ -101,19 +104,19 @@ def new_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
 
 
-def keep_first_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def keep_first_copies(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    columns = docs.columns
-    keys = ["__id", "__null", "__sha"]
-    key = {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__null": F.col("doc_id").isNull()}
-    stay = deduplicate(docs, index).where("kept").select(*[c.alias(k) for k, c in key.items()], F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumns(key | {"__sha": text_digest(F.col("text"))}).hint("merge").join(stay, keys, "left_semi")
-    once = rows.withColumn("__turn", F.row_number().over(W.partitionBy(keys).orderBy("__id"))).where("__turn = 1")
-    return once.select(*[F.col(f"`{c}`") for c in columns])
+    keys = [number, null, sha, turn] = free_names(docs, "id", "null", "sha", "turn")
+    del keys[-1]
+    key = {number: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), null: F.col("doc_id").isNull()}
+    stay = deduplicate(docs, index, batch).where("kept").select(*[c.alias(k) for k, c in key.items()], F.col("text_sha256").alias(sha))
+    rows = docs.withColumns(key | {sha: text_digest(F.col("text"))}).hint("merge").join(stay, keys, "left_semi")
+    once = rows.withColumn(turn, F.row_number().over(W.partitionBy(keys).orderBy(number))).where(F.col(turn) == 1)
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"), new_index(spark))
+    return deduplicate(table(spark, sf_dir, "documents"), new_index(spark), "documents")
 
 
 ORACLE = """
