@@ -1,11 +1,15 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection, tree merging.
 
-Queries and rows are packed into tiles (one binary matrix per row), each query tile meets each
-row tile once, a matrix product scores the pair, and the k best per query leave it. Lists are
-merged FAN_IN tiles at a time until one list per query is left.
-
-Defined cases: a vector that is null, empty, or holds a null or non-finite component takes no
-part, nor does a null id; vectors of different lengths are not compared; of rows that repeat an
+Queries and rows are packed into tiles (one binary matrix per row, of the narrowest numbers that
+hold its components), each query tile meets each row tile once, a matrix product scores the pair
+block by block, and the k best per query leave it. Lists are merged FAN_IN tiles at a time until
+one list per query is left. What is shipped are the rows once for each query tile and the queries
+once for each row tile, so tiles are as large as a task holds, but not fewer than there are cores.
+
+Defined cases: a vector that is null, empty, or holds a component that is null or not finite, before
+or after scaling, takes no part, nor does a null id; a product beyond the range of a long counts as
+the nearest end of it, and products between are exact; an empty table gives no rows; columns
+beside vec_id and embedding are not looked at; vectors of different lengths are not compared; of rows that repeat an
 id the smallest vector counts; ties go to the smaller id; a query with fewer than k candidates
 gets all.
 """
@@ -22,46 +26,58 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-SCALE, TILE, QUERY_TILE, FAN_IN = 256, 8192, 2048, 16
+SCALE, TILE, QUERY_TILE, FAN_IN = 256, 1 << 16, 1 << 14, 16
+#: Rows of a tile and queries that one product takes.
+BLOCK, QUERY_BLOCK = 8192, 256
+ENDS = -(2**63), 2**63 - 1
 
 
 def valid(vectors: DataFrame) -> DataFrame:
     """vec_id and v (whole numbers as doubles), one row per id."""
-    bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
+    bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c * SCALE) == F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0)).where(~bad)
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def packed(rows: DataFrame, tiles: int, schema: str) -> DataFrame:
-    """dim, tile, ids, mat: the rows of a tile as one matrix."""
+    """dim, tile, ids, kind (of numbers), mat: the rows of a tile as one matrix."""
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         mat = np.floor(SCALE * np.stack(pdf["v"].to_numpy()).astype(np.float64))
-        return pd.DataFrame([[key[0], key[1], pdf["vec_id"].to_numpy(np.int64).tobytes(), mat.tobytes()]], columns=["dim", schema, f"{schema}_ids", f"{schema}_mat"])
+        most = np.abs(mat).max(initial=0)
+        mat = mat.astype(np.int16) if most < 2**15 else mat.astype(np.int32) if most < 2**31 else mat
+        names = ["dim", schema, f"{schema}_ids", f"{schema}_kind", f"{schema}_mat"]
+        return pd.DataFrame([[key[0], key[1], pdf["vec_id"].to_numpy(np.int64).tobytes(), mat.dtype.str, mat.tobytes()]], columns=names)
 
     rows = rows.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int").alias("tile"))
-    return rows.groupBy("dim", "tile").applyInPandas(pack, f"dim int, {schema} int, {schema}_ids binary, {schema}_mat binary")
+    return rows.groupBy("dim", "tile").applyInPandas(pack, f"dim int, {schema} int, {schema}_ids binary, {schema}_kind string, {schema}_mat binary")
 
 
 def score_pairs(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
             q_ids, r_ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.r_ids, np.int64)
-            q = np.frombuffer(row.q_mat, np.float64).reshape(len(q_ids), row.dim)
-            r = np.frombuffer(row.r_mat, np.float64).reshape(len(r_ids), row.dim)
+            q = np.frombuffer(row.q_mat, np.dtype(row.q_kind)).reshape(len(q_ids), row.dim)
+            r = np.frombuffer(row.r_mat, np.dtype(row.r_kind)).reshape(len(r_ids), row.dim)
             # products of whole numbers are exact in doubles below 2**53
-            exact = np.abs(q).max(initial=0) * np.abs(r).max(initial=0) * row.dim < 2.0**53
-            for at in range(0, len(q_ids), 256):
-                qi = q_ids[at : at + 256]
-                if exact:
-                    s = q[at : at + 256] @ r.T
-                else:
-                    s = q[at : at + 256].astype(np.int64).astype(object) @ r.T.astype(np.int64).astype(object)
-                    s = s.astype(np.float64) if np.abs(s.astype(np.float64)).max(initial=0) < 2.0**53 else s
-                i, j = pick(s, qi, r_ids, k)
-                yield pd.DataFrame({"query_id": qi[i], "tile": row.r, "vec_id": r_ids[j], "score": s[i, j].astype(np.int64)})
+            exact = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(r.astype(np.float64)).max(initial=0)) * row.dim < 2.0**53
+            for at in range(0, len(q_ids), QUERY_BLOCK):
+                qi, kept = q_ids[at : at + QUERY_BLOCK], []
+                for to in range(0, len(r_ids), BLOCK):
+                    rows, ri = r[to : to + BLOCK], r_ids[to : to + BLOCK]
+                    s = q[at : at + QUERY_BLOCK].astype(np.float64) @ rows.astype(np.float64).T if exact else long_products(q[at : at + QUERY_BLOCK], rows)
+                    i, j = pick(s, qi, ri, k)
+                    kept.append(pd.DataFrame({"query_id": qi[i], "tile": row.r, "vec_id": ri[j], "score": s[i, j].astype(np.int64)}))
+                every = pd.concat(kept).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                yield every[every.groupby("query_id").cumcount() < k]
+
+
+def long_products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Exact products of rows of whole numbers of any size, within the range of a long."""
+    whole = [np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (q, r)]
+    return np.clip(whole[0] @ whole[1].T, *ENDS)
 
 
 def pick(s: np.ndarray, q_ids: np.ndarray, r_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +101,12 @@ def pick(s: np.ndarray, q_ids: np.ndarray, r_ids: np.ndarray, k: int) -> tuple[n
 def search(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest inner product for each query."""
     n_rows, n_queries = rows.count(), queries.count()
-    r_tiles, q_tiles = max(1, -(-n_rows // TILE)), max(1, -(-n_queries // QUERY_TILE))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    r_tiles, q_tiles = max(1, -(-n_rows // TILE), min(2 * cores, -(-n_rows // BLOCK))), max(1, -(-n_queries // QUERY_TILE))
     r = packed(rows, r_tiles, "r")
     q = packed(queries, q_tiles, "q")
     pairs = r.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1)))).join(q, ["dim", "q"])
-    pairs = pairs.select("dim", "r", "r_ids", "r_mat", "q_ids", "q_mat").repartition(r_tiles * q_tiles, "r", F.crc32("q_ids"))
+    pairs = pairs.select("dim", "r", "r_ids", "r_kind", "r_mat", "q_ids", "q_kind", "q_mat").repartition(r_tiles * q_tiles, "r", F.crc32("q_ids"))
     lists = pairs.mapInPandas(lambda b: score_pairs(b, k), "query_id bigint, tile int, vec_id bigint, score bigint")
     left = r_tiles
     while True:
