@@ -4,15 +4,18 @@ Trusted positives are documents labelled good; unlabelled is web text as it come
 class prior pi, the risk  pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)])  is minimised for a
 small network over statistics of whole texts; where a minibatch's second term falls below zero,
 the step goes up that term instead, so that the network can't fit it below zero. With the
-logistic loss the output is a probability. The prior is estimated as the share of good documents
-among the labelled ones of the sample, the only use of documents labelled bad.
+logistic loss the output is a probability. The prior is estimated from positives and unlabelled
+text alone, by the best bin of a classifier between the two (Garg et al. 2021): above a score that
+positives reach often, unlabelled text that reaches it is taken to be positive. Labels of bad
+documents are never read.
 
-Fitting reads at most PER_CLASS labelled documents of each class and UNLABELLED others, none held
-out; scoring reads whole texts of all documents.
+Fitting reads at most PER_CLASS labelled documents and UNLABELLED others, none held out, in the
+order of their ids; scoring reads whole texts of all documents.
 
 Defined cases: null counts as empty; an empty text has the statistics of no words and is scored
-like any other; without positives every document scores 0.5; rows that repeat a text score
-alike; columns beside doc_id and text are never an input.
+like any other; a very long text is measured as a whole, in memory that grows with it; without
+positives every document scores 0.5; rows that repeat a text score alike; an empty table gives no
+rows; columns beside doc_id and text are never an input.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,8 +66,10 @@ def statistics(text: str) -> list[float]:
     lower = bytes_of[97:123].sum()
     counts = Counter(words)
     common = counts.most_common(3)
-    pairs = Counter(zip(words, words[1:]))  # noqa: B905
-    runs = sum(a == b for a, b in zip(words, words[1:]))  # noqa: B905
+    number = {w: i for i, w in enumerate(counts)}
+    turn = np.array([number[w] for w in words], np.int64)
+    pairs = len(np.unique(turn[:-1] * len(number) + turn[1:]))
+    runs = int((turn[:-1] == turn[1:]).sum())
     lines = [x.strip() for x in text.replace(".", "\n").split("\n")]
     lines = [x for x in lines if x]
     marked = sum(c for w, c in counts.items() if not w[-1].isalnum() and w[-1] not in ".,;:")
@@ -93,7 +98,7 @@ def statistics(text: str) -> list[float]:
         bytes_of[44] / k,
         len(counts) / k,
         math.log(len(counts)) / math.log(k + 1),
-        len(pairs) / max(1, k - 1),
+        pairs / max(1, k - 1),
         runs / k,
         common[0][1] / k,
         sum(c for _, c in common) / k,
@@ -113,8 +118,49 @@ def forward(model: Model, x: np.ndarray) -> np.ndarray:
     return h @ model.w2 + model.b2
 
 
-def train(positive: np.ndarray, other: np.ndarray, prior: float, seed: int = 5) -> Model:
-    """Adam on the non-negative risk, minibatches of positives and unlabelled rows."""
+Weights = list[np.ndarray]
+
+
+def network(theta: Weights, x: np.ndarray) -> np.ndarray:
+    return np.tanh(x @ theta[0] + theta[1]) @ theta[2] + theta[3]
+
+
+def sigmoid(g: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+
+
+def back(theta: Weights, x: np.ndarray, slope: Callable[[np.ndarray], np.ndarray]) -> Weights:
+    """The gradient of a sum over rows whose derivative by g is slope(g)."""
+    h = np.tanh(x @ theta[0] + theta[1])
+    e = slope(h @ theta[2] + theta[3])
+    eh = np.outer(e, theta[2]) * (1 - h * h)
+    return [x.T @ eh, eh.sum(0), h.T @ e, np.array([e.sum()])]
+
+
+def risk(theta: Weights, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """pi E_p[l(g)] and E_u[l(-g)] - pi E_p[l(-g)], with l(g) = log(1 + exp(-g))."""
+    gp, gu = network(theta, xp), network(theta, xu)
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+
+def risk_gradient(theta: Weights, xp: np.ndarray, xu: np.ndarray, prior: float) -> Weights:
+    """Of the sum of both terms, or of the second term taken negative where that is below zero."""
+    of_u = back(theta, xu, lambda g: sigmoid(g) / len(xu))
+    of_p = back(theta, xp, lambda g: -prior * sigmoid(g) / len(xp))
+    if risk(theta, xp, xu, prior)[1] < 0:
+        return [-(a + b) for a, b in zip(of_u, of_p, strict=True)]
+    of_good = back(theta, xp, lambda g: prior * (sigmoid(g) - 1) / len(xp))
+    return [a + b + c for a, b, c in zip(of_u, of_p, of_good, strict=True)]
+
+
+def telling_gradient(theta: Weights, xp: np.ndarray, xu: np.ndarray, _: float) -> Weights:
+    """Of E_p[l(g)] + E_u[l(-g)], which tells positives from unlabelled rows."""
+    both = back(theta, xp, lambda g: (sigmoid(g) - 1) / len(xp)), back(theta, xu, lambda g: sigmoid(g) / len(xu))
+    return [a + b for a, b in zip(*both, strict=True)]
+
+
+def train(positive: np.ndarray, other: np.ndarray, prior: float, gradient: Callable = risk_gradient, seed: int = 5) -> Model:
+    """Adam over minibatches of positives and unlabelled rows; the weights are the mean of the second half of the steps."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, other])
     mean, scale = both.mean(0), both.std(0) + 1e-6
@@ -123,35 +169,11 @@ def train(positive: np.ndarray, other: np.ndarray, prior: float, seed: int = 5)
     theta = [rng.normal(0, 1 / math.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / math.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     average = [np.zeros_like(t) for t in theta]
-
-    def back(x: np.ndarray, weight) -> list[np.ndarray]:
-        """Gradients of sum(weight(g) as dl/dg) through the network."""
-        h = np.tanh(x @ theta[0] + theta[1])
-        g = h @ theta[2] + theta[3]
-        e = weight(g)
-        eh = np.outer(e, theta[2]) * (1 - h * h)
-        return [x.T @ eh, eh.sum(0), h.T @ e, np.array([e.sum()])]
-
-    def value(x: np.ndarray) -> np.ndarray:
-        return np.tanh(x @ theta[0] + theta[1]) @ theta[2] + theta[3]
-
-    def sigmoid(g: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-
     for step in range(1, STEPS + 1):
         xp = p[rng.integers(0, len(p), min(BATCH, len(p)))]
         xu = u[rng.integers(0, len(u), 2 * BATCH)]
-        negative = np.logaddexp(0, value(xu)).mean() - prior * np.logaddexp(0, value(xp)).mean()
-        # l(g) = log(1 + exp(-g)); l(-g) has the derivative sigmoid(g)
-        of_u = back(xu, lambda g: sigmoid(g) / len(xu))  # noqa: B023
-        of_p = back(xp, lambda g: -prior * sigmoid(g) / len(xp))  # noqa: B023
-        if negative >= 0:
-            of_pos = back(xp, lambda g: prior * (sigmoid(g) - 1) / len(xp))  # noqa: B023
-            grads = [a + b + c for a, b, c in zip(of_u, of_p, of_pos, strict=True)]
-        else:
-            grads = [-(a + b) for a, b in zip(of_u, of_p, strict=True)]
         rate = RATE * (1 - step / (STEPS + 1))
-        for i, g in enumerate(grads):
+        for i, g in enumerate(gradient(theta, xp, xu, prior)):
             g = g + DECAY * theta[i]
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
@@ -161,6 +183,23 @@ def train(positive: np.ndarray, other: np.ndarray, prior: float, seed: int = 5)
     return Model(mean, scale, average[0], average[1], average[2], float(average[3][0]), prior)
 
 
+def class_prior(positive: np.ndarray, other: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among the others, by the best bin.
+
+    A classifier between the two is fitted on every other row of each; on the rest, that threshold is
+    taken whose share of others over its share of positives is surely lowest.
+    """
+    if min(len(positive), len(other)) < 4:
+        return 0.5
+    model = train(positive[::2], other[::2], 0.5, telling_gradient)
+    p, u = np.sort(forward(model, positive[1::2])), np.sort(forward(model, other[1::2]))
+    of_p = 1 - np.arange(len(p)) / len(p)
+    of_u = 1 - np.searchsorted(u, p) / len(u)
+    error = math.sqrt(math.log(4 / delta) / 2 / len(u)) + math.sqrt(math.log(4 / delta) / 2 / len(p))
+    at = int(((of_u + (1 + gamma) * error) / of_p).argmin())
+    return min(0.98, max(0.02, float(of_u[at] / of_p[at])))
+
+
 def measured(rows: DataFrame, columns: str) -> pd.DataFrame:
     """The statistics of a bounded sample, with the named columns."""
 
@@ -172,14 +211,13 @@ def measured(rows: DataFrame, columns: str) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, others: int = UNLABELLED) -> Model | None:
-    known = measured(labelled(docs, labels, "quality", per_class).select("doc_id", "label", "text"), "doc_id bigint, label int")
+    good = measured(labelled(docs, labels, "quality", per_class, classes=(1,)).select("doc_id", "text"), "doc_id bigint")
     web = measured(unlabelled(docs, others).select("doc_id", "text"), "doc_id bigint")
-    good = known[known["label"] == 1]
     if good.empty or web.empty:
         return None
-    share = labels.where(~held_out(F.col("doc_id"))).agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    prior = min(0.98, max(0.02, float(share)))
-    return train(np.array(good["x"].tolist()), np.array(web["x"].tolist()), prior)
+    # in one order, however the rows came
+    good, web = (np.array(sorted((i, *x) for i, x in zip(d["doc_id"], d["x"], strict=True)))[:, 1:] for d in (good, web))
+    return train(good, web, class_prior(good, web))
 
 
 def scorer(model: Model | None):

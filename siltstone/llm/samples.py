@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,13 @@ def drawn(ids: DataFrame, n: int) -> DataFrame:
     return ids.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.lit("draw"), "doc_id"), "doc_id").limit(n)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> DataFrame:
-    """doc_id, label, text of at most per_class labelled documents of each class, none of them held out.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int, classes: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """doc_id, label, text of at most per_class labelled documents of each of the classes, none of them held out.
 
     The ids are bounded by per_class, so they are broadcast and the texts of the corpus stay in place.
     """
     known = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
-    ids = drawn(known.where("label = 0"), per_class).unionByName(drawn(known.where("label = 1"), per_class))
+    ids = reduce(DataFrame.unionByName, [drawn(known.where(F.col("label") == c), per_class) for c in classes])
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return written(rows.join(F.broadcast(ids), "doc_id"), "labelled")
 
