@@ -1,19 +1,21 @@
 """Toxicity by maximum-scoring segments.
 
-A word's score is the best log-odds, between toxic and clean documents, of the word itself and of
-its beginnings (inflected and compound forms share those), under an informative Dirichlet prior
-(the pooled frequencies of the sample); log-odds that are not clear of their own error count
-nothing, and every word pays a small drift. One linear scan over a document's scores
-finds all maximal-scoring segments. Scores follow Karlin-Altschul statistics: lambda solves
+A word's score is the log-odds, between toxic and clean documents, of the word itself or of one of
+its beginnings (inflected and compound forms share those), whichever is farthest from 0, under an
+informative Dirichlet prior (the pooled frequencies of the sample). Log-odds of either sign count
+that are clear of their own error, and every word pays a small drift. One linear scan over a
+document's scores finds all maximal-scoring segments. Scores follow Karlin-Altschul statistics: lambda solves
 E[exp(lambda s)] = 1 on clean words, K is set by the segments clean documents have, and a
 document's segments together give one -ln p, which a logistic curve turns into a probability.
 
 Fitting reads at most PER_CLASS labelled documents of each class, none held out; everything
-else reads whole texts of all documents. The lexicon holds LEXICON words at most.
+else reads whole texts of all documents. The lexicon is every term of the sample whose log-odds are
+significant, which the sample bounds.
 
 Defined cases: null counts as empty; a text without words has no segments and the score of a
-document with no evidence; without labels of both classes every document scores 0; rows that
-repeat a text score alike; columns beside doc_id and text are never an input.
+document with no evidence; a very long text is scanned whole; without labels of both classes every
+document scores 0; rows that repeat a text score alike; an empty table gives no rows; columns beside
+doc_id and text are never an input.
 """
 
 from __future__ import annotations
@@ -32,11 +34,10 @@ from .common import held_out, table
 from .samples import labelled
 
 PER_CLASS = 5_000
-LEXICON = 5_000
 #: Lengths of the beginnings of words that count as terms; a whole word ends in END.
 STEMS, END = range(3, 9), "$"
-#: Weight of the Dirichlet prior as a share of the sample, least z, and the largest score of a word.
-PRIOR, LEAST_Z, TOP_SCORE = 0.2, 2.3, 8.0
+#: Weight of the Dirichlet prior as a share of the sample, and least z, of either sign.
+PRIOR, LEAST_Z = 0.2, 2.3
 THRESHOLD = 0.5
 KNOWN = 400_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -56,7 +57,7 @@ class Model:
 
     def score(self, word: str) -> float:
         get = self.scores.get
-        return max(get(word + END, 0.0), *[get(word[:k], 0.0) for k in STEMS if k < len(word)], 0.0)
+        return max([get(word + END, 0.0), *[get(word[:k], 0.0) for k in STEMS if k < len(word)]], key=abs)
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -73,8 +74,8 @@ def stems(words: Column, k: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.substring(w, 1, k))
 
 
-def log_odds(counts: DataFrame, prior: float, least_z: float, size: int) -> DataFrame:
-    """The terms whose log-odds are positive by least_z errors: term, score, y1, y0, n1, n0."""
+def log_odds(counts: DataFrame, prior: float, least_z: float) -> DataFrame:
+    """The terms whose log-odds are least_z errors from 0, on either side: term, score, z, y1, y0, n1, n0."""
     totals = counts.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"))
     rows = counts.join(F.broadcast(totals))
     a0 = F.lit(prior) * (F.col("n1") + F.col("n0"))
@@ -83,12 +84,12 @@ def log_odds(counts: DataFrame, prior: float, least_z: float, size: int) -> Data
     rest = F.log((F.col("y0") + a) / (F.col("n0") + a0 - F.col("y0") - a))
     error = F.sqrt(1.0 / (F.col("y1") + a) + 1.0 / (F.col("y0") + a))
     rows = rows.withColumn("score", top - rest).withColumn("z", F.col("score") / error)
-    return rows.where(F.col("z") >= least_z).orderBy(F.col("z").desc(), "term").limit(size)
+    return rows.where(F.abs("z") >= least_z)
 
 
 def segments(values: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first and last word, score) of a sequence in which the words named
-    score as given and all others drift; linear in the named words.
+    score as given (above 0 or not) and all others drift; linear in the named words.
 
     Each candidate keeps the sums before and up to its end, and which earlier candidate is the last
     with a lower sum before it; a candidate that ends higher than that one joins with it.
@@ -98,6 +99,8 @@ def segments(values: list[tuple[int, float]], drift: float) -> list[tuple[int, i
     for at, s in values:
         low = drift * at + raised
         raised += s - drift
+        if s <= 0:
+            continue
         high = low + s
         first = at
         j = len(found) - 1
@@ -144,11 +147,11 @@ def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> float
             break
         # P(sum of r) is about exp(-t) t**(r-1) / (r! (r-1)!)
         best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r))
-    return min(best, 60.0)
+    return best
 
 
 def solve_lambda(drift: float, n: int, clean: np.ndarray) -> float:
-    """The positive root of E[exp(lambda s)] = 1 over n clean words, of which clean holds the scores above the drift."""
+    """The positive root of E[exp(lambda s)] = 1 over n clean words, 2 at most; clean holds the scores of those that have one."""
 
     def over(lam: float) -> float:
         return (1 - len(clean) / n) * math.exp(lam * drift) + float(np.exp(lam * (clean + drift)).sum()) / n - 1
@@ -187,10 +190,10 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     sample = labelled(docs, labels, "toxic", per_class)
-    lexicon = log_odds(term_counts(sample), PRIOR, LEAST_Z, LEXICON).toPandas()
+    lexicon = log_odds(term_counts(sample), PRIOR, LEAST_Z).toPandas()
     if lexicon.empty:
         return Model({}, -1.0, fitted=False)
-    model = Model(dict(zip(lexicon["term"], lexicon["score"].clip(upper=TOP_SCORE).astype(float), strict=True)), -1.0)
+    model = Model(dict(zip(lexicon["term"], lexicon["score"].astype(float), strict=True)), -1.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -201,15 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     y = seen["label"].to_numpy()
     n1, n0 = (int(seen["n"][y == c].sum()) for c in (1, 0))
     of1, of0 = (np.array([x for s in seen["s"][y == c] for x in s]) for c in (1, 0))
-    if not n1 or not n0 or not len(of1):
+    if not n1 or not n0 or not (of1 > 0).any():
         return Model({}, -1.0, fitted=False)
-    # half a chance hit stands for what a finite sample of clean text can't show
-    of0 = np.append(of0, np.median(of1))
-    rho1 = min(0.5, len(of1) / n1)
-    model.drift = math.log((1 - rho1) / (1 - min(rho1 / 2, len(of0) / n0)))
+    # one chance hit stands for what a finite sample of clean text can't show
+    usual = float(np.median(of1[of1 > 0]))
+    of0 = np.append(of0, usual)
+    rho1 = min(0.5, float((of1 > 0).sum()) / n1)
+    model.drift = math.log((1 - rho1) / (1 - min(rho1 / 2, float((of0 > 0).sum()) / n0)))
     model.lam = solve_lambda(model.drift, n0, of0)
     found = [segments([(int(i), v + model.drift) for i, v in zip(at, s, strict=True)], model.drift) for at, s in zip(seen["at"], seen["s"], strict=True)]
-    typical = float(np.median(of1)) + model.drift
+    typical = usual + model.drift
     chance = sum(v >= typical for f, c in zip(found, y, strict=True) if c == 0 for *_, v in f)
     model.k = (0.5 + chance) * math.exp(model.lam * typical) / n0
     x = np.array([evidence(int(n), f, model) for n, f in zip(seen["n"], found, strict=True)])
