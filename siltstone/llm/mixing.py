@@ -3,14 +3,19 @@
 Each document draws an exponential key divided by its quality weight; within a source, documents
 are taken by ascending key until the source's token budget is spent. A source whose target is at
 least its own size is first taken whole, as often as that goes; only what is left is selected by
-key. The document on which a budget ends gives the words that were still missing.
+key. The document on which a budget ends gives the words that were still missing. The weight is
+a column of the caller's; the query takes the score of the quality classifier.
 
 The prefix sum of a source is never one task's work: keys are cut into ranges of about
-RANGE_ROWS documents, ranges are summed first, and only rows of one range are sorted together.
+RANGE_ROWS documents each, ranges are summed first, and only rows of one range are sorted
+together. Weights have LEVELS steps, so the distribution of a source's keys is known from how many
+documents have each of them, and ranges are equal parts of it. Sources themselves are ranked in one
+task, one row for each.
 
 Defined cases: a null text has no words; null is a source of its own and comes last; documents
-without words are never taken; rows that repeat an id draw the same key and are ordered by the
-crc of their text; an empty table gives an empty mix.
+without words are never taken; a null weight counts as 1, one below 1 / LEVELS as that; rows that
+repeat an id draw the same key and are ordered by the crc of their text; very long texts are counted
+whole; an empty table gives an empty mix; columns beside doc_id, text and source are not looked at.
 """
 
 from __future__ import annotations
@@ -19,36 +24,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table, unit, written
+from . import quality
+from .common import WORD, free_names, table, unit, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
-RANGE_ROWS = 4096
+RANGE_ROWS, LEVELS = 4096, 16
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def quality_weight(text: Column) -> Column:
-    """From 0.2 to 1: how much of the text is left without the marks that fill junk."""
-    n = F.length(text)
-    marks = n - F.length(F.translate(text, "#$%&*|!<>{}[]\\^~_=+@", ""))
-    return F.coalesce(F.when(n > 0, F.greatest(F.lit(0.2), 1.0 - 4.0 * marks / n)), F.lit(1.0))
-
-
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size, key, crc; the only pass over the texts."""
+def sized(docs: DataFrame, seed: int, weight: Column) -> DataFrame:
+    """doc_id, source, size, crc, w, key; the only pass over the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    level = F.round(F.coalesce(F.nanvl(weight.cast("double"), F.lit(1.0)), F.lit(1.0)) * LEVELS)
     rows = docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
         n_words(text).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        quality_weight(text).alias("w"),
+        (F.least(F.lit(float(LEVELS)), F.greatest(F.lit(1.0), level)) / LEVELS).alias("w"),
     )
     key = -F.log(unit(F.lit(seed), F.col("doc_id"), F.col("crc"))) / F.col("w")
-    return rows.select("doc_id", "source", "size", "crc", key.alias("key"))
+    return rows.withColumn("key", key)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -74,15 +74,20 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def mix(
+    docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, weight: Column | None = None
+) -> DataFrame:
     """doc_id, size, source_size, target, taken (words), crc of every row of docs."""
-    sizes = written(sized(docs, seed), "mix-sizes")
-    per = written(targets(sizes, weights, share, cap).withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-targets")
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    sizes = written(sized(docs, seed, F.lit(1.0) if weight is None else weight).withColumn("name", name), "mix-sizes")
+    levels = sizes.groupBy("name", "w").agg(F.count(F.lit(1)).alias("k")).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("w", "k"))).alias("levels"))
+    per = written(targets(sizes, weights, share, cap).withColumn("name", name).join(levels, "name"), "mix-targets")
     ranges = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(RANGE_ROWS)))
+    beyond = F.aggregate("levels", F.lit(0.0), lambda a, x: a + x["k"] / F.col("n_docs") * F.exp(-F.col("key") * x["w"]))
     rows = (
-        sizes.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-        .join(per.drop("source"), "name")
-        .withColumn("range", F.least(ranges - 1, F.floor(ranges * (1.0 - F.exp(-F.col("key") * F.lit(0.95))))).cast("bigint"))
+        sizes.join(per.drop("source"), "name")
+        .withColumn("range", F.greatest(F.lit(0), F.least(ranges - 1, F.floor(ranges * (1.0 - beyond)))).cast("bigint"))
+        .drop("levels")
     )
     summed = rows.groupBy("name", "range").agg(F.sum("size").alias("words"))
     before = W.partitionBy("name").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
@@ -96,29 +101,39 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, sh
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, **kw) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each whole time a document is taken, and one cut to the words of a partial taking."""
-    columns = docs.columns
-    keys = ["__id", "__null", "__crc"]
-    key = {"__id": F.coalesce(F.col("doc_id"), F.lit(0)), "__null": F.col("doc_id").isNull()}
+    """The mix itself, with the columns of docs: a row for each time a document is taken.
+
+    Texts stay whole: the document on which a budget ends is taken if half of it or more was still missing.
+    """
+    keys = [number, null, crc, turn, times, first, last] = free_names(docs, "id", "null", "crc", "turn", "times", "first", "last")
+    keys = keys[:3]
+    key = {number: F.coalesce(F.col("doc_id"), F.lit(0)), null: F.col("doc_id").isNull()}
+    rounds = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
     plan = (
         mix(docs, seed, **kw)
-        .where("taken > 0")
-        .select(*[c.alias(k) for k, c in key.items()], F.col("crc").alias("__crc"), "size", "taken")
-        .groupBy(keys)
-        .agg(F.max("size").alias("__size"), F.sort_array(F.collect_list("taken"), asc=False).alias("__takes"))
+        .select(*[c.alias(k) for k, c in key.items()], F.col("crc").alias(crc), rounds.alias(times))
+        .groupBy(*keys, times)
+        .agg(F.count(F.lit(1)).alias(last))
     )
-    rows = docs.withColumns(key | {"__crc": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
-    # rows that repeat id and text share one plan row; each copy of the row has an entry of its own
-    turn = F.row_number().over(W.partitionBy(keys).orderBy("__id"))
-    rows = rows.hint("merge").join(plan, keys).withColumn("__turn", turn)
-    rows = rows.withColumn("__taken", F.get(F.col("__takes"), F.col("__turn") - 1)).where("__taken > 0")
-    whole, left = F.floor(F.col("__taken") / F.col("__size")).cast("int"), (F.col("__taken") % F.col("__size")).cast("int")
-    pieces = F.concat(F.array_repeat(F.lit(0), whole), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("__words", F.explode(pieces))
-    first = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words")))
-    cut = F.when(F.col("__words") == 0, F.col("text")).otherwise(first)
-    return rows.withColumn("text", cut).select(*[F.col(f"`{c}`") for c in columns])
+    plan = written(plan, "mix-plan")
+    rows = docs.withColumns(key | {crc: F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+    # rows that repeat id and text are alike but where a budget ends among them: there the first ones are taken more often
+    torn = plan.groupBy(keys).agg(F.count(F.lit(1)).alias(turn)).where(F.col(turn) > 1).select(keys)
+    alike = rows.hint("merge").join(plan.join(torn, keys, "left_anti").where(F.col(times) > 0).drop(last), keys)
+    order = W.partitionBy(keys).orderBy(F.col(times).desc())
+    spans = plan.join(torn, keys, "left_semi").withColumn(last, F.sum(last).over(order)).withColumn(first, F.coalesce(F.lag(last).over(order), F.lit(0)))
+    apart = rows.join(torn, keys, "left_semi").withColumn(turn, F.row_number().over(W.partitionBy(keys).orderBy(number)))
+    apart = apart.join(spans, keys).where((F.col(turn) > F.col(first)) & (F.col(turn) <= F.col(last)) & (F.col(times) > 0))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    both = alike.select(*columns, times).unionByName(apart.select(*columns, times))
+    return both.withColumn(turn, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*columns)
+
+
+def by_quality(docs: DataFrame, labels: DataFrame) -> Column:
+    """The quality classifier's score of a text, as a weight."""
+    return quality.scorer(quality.fit(docs, labels))(F.col("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("crc")
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, weight=by_quality(docs, table(spark, sf_dir, "labels"))).drop("crc")
