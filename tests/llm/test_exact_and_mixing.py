@@ -19,7 +19,7 @@ ODD = [(1, "A b", "s"), (2, "a B", "s"), (2, "a B", "s"), (3, None, None), (None
 
 
 def test_exact_dedup_odd_rows(spark):
-    got = exact_dedup.deduplicate(docs_of(spark, ODD), exact_dedup.new_index(spark)).collect()
+    got = exact_dedup.deduplicate(docs_of(spark, ODD), exact_dedup.new_index(spark), "a").collect()
     assert len(got) == len(ODD)
     by = defaultdict(list)
     for r in got:
@@ -33,19 +33,38 @@ def test_exact_dedup_odd_rows(spark):
 
 def test_index_keeps_what_came_before(spark):
     index = exact_dedup.new_index(spark)
-    exact_dedup.deduplicate(docs_of(spark, [(9, "one", "s"), (3, "two", "s")]), index).count()
-    second = {r.doc_id: r for r in exact_dedup.deduplicate(docs_of(spark, [(20, "ONE", "s"), (21, "three", "s"), (22, "three", "s")]), index).collect()}
+    exact_dedup.deduplicate(docs_of(spark, [(9, "one", "s"), (3, "two", "s")]), index, "first").count()
+    second = {r.doc_id: r for r in exact_dedup.deduplicate(docs_of(spark, [(20, "ONE", "s"), (21, "three", "s"), (22, "three", "s")]), index, "second").collect()}
     assert (second[20].keep_id, second[20].kept) == (9, False)
     assert (second[21].keep_id, second[21].kept, second[22].kept) == (22, False, True)
     again = exact_dedup.DigestIndex(spark, index.path, index.buckets)
     assert again.entries().count() == 3
 
 
+def test_a_lost_batch_comes_again(spark):
+    index = exact_dedup.new_index(spark)
+    exact_dedup.deduplicate(docs_of(spark, [(1, "old", "s")]), index, "before").count()
+    rows = docs_of(spark, [*ODD, (8, "OLD", "s")])
+    exact_dedup.deduplicate(rows, index, "lost")  # appended, but its result is never written
+    again = exact_dedup.deduplicate(rows.repartition(3), index, "lost").collect()
+    assert sum(r.kept for r in again) == 6 and [(r.keep_id, r.kept) for r in again if r.doc_id == 8] == [(1, False)]
+    assert index.entries().count() == 7
+    assert not any(r.kept for r in exact_dedup.deduplicate(rows, index, "later").collect())
+
+
+def test_columns_of_clashing_names_survive(spark):
+    rows = spark.createDataFrame([(1, "a b c", "s", 9, 8, 7, 6), (2, "a b c", "s", 5, 4, 3, 2)], "doc_id bigint, text string, source string, id int, null int, sha int, crc int")
+    kept = exact_dedup.keep_first_copies(rows, exact_dedup.new_index(spark), "a").collect()
+    assert [tuple(r) for r in kept] == [(2, "a b c", "s", 5, 4, 3, 2)]
+    mixed = mixing.mixed_documents(rows)
+    assert mixed.columns == rows.columns and {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in rows.collect()}
+
+
 def test_kept_rows_have_all_columns(spark):
     rows = docs_of(spark, ODD)
-    out = exact_dedup.keep_first_copies(rows, exact_dedup.new_index(spark))
+    out = exact_dedup.keep_first_copies(rows, exact_dedup.new_index(spark), "a")
     assert out.schema == rows.schema and out.count() == 6
-    assert exact_dedup.keep_first_copies(rows.where("false"), exact_dedup.new_index(spark)).count() == 0
+    assert exact_dedup.keep_first_copies(rows.where("false"), exact_dedup.new_index(spark), "b").count() == 0
 
 
 def water(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
@@ -82,22 +101,41 @@ def test_mix_meets_targets(spark):
 
 
 def test_mixed_documents_follow_the_plan(spark):
-    docs = docs_of(spark, [(i, f"w{i} " * (3 + i % 9), f"s{i % 4}") for i in range(60)] + [(7, "w7 " * 10, "s3")])
+    docs = docs_of(spark, [(i, f"w{i}  \n" * (3 + i % 9), f"s{i % 4}") for i in range(60)] + [(7, "w7  \n" * 10, "s3"), (7, "w7  \n" * 10, "s3"), (None, "x y", "s0"), (None, "x y", "s0"), (61, None, "s1")])
     plan = Counter()
     for r in mixing.mix(docs).collect():
-        plan[r.doc_id] += r.taken
+        if r.size:
+            plan[r.doc_id] += (2 * r.taken + r.size) // (2 * r.size)
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    words = Counter()
+    texts, times = {(r.doc_id, r.text) for r in docs.collect()}, Counter()
     for r in out.collect():
-        words[r.doc_id] += len(r.text.split())
-    assert words == Counter({k: v for k, v in plan.items() if v})
+        times[r.doc_id] += 1
+        assert (r.doc_id, r.text) in texts
+    assert times == Counter({k: v for k, v in plan.items() if v})
     assert mixing.mixed_documents(docs.where("false")).count() == 0
 
 
-def test_mix_prefers_quality(spark):
-    rows = [(i, ("good words here " if i % 2 else "%%% ### *** ") * 5, "abc"[i % 3]) for i in range(3000)]
-    got = {r.doc_id: r.taken for r in mixing.mix(docs_of(spark, rows)).collect()}
+def test_selection_by_keys_and_prefix_sums(spark, monkeypatch):
+    """Against one sorted list for each source; ranges hold about as many rows as they should."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    docs = docs_of(spark, [(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(3000)])
+    weight = F.when(F.col("doc_id") % 5 == 0, 0.1).otherwise(0.9)
+    rows = mixing.sized(docs, 7, weight).collect()
+    assert {r.w for r in rows} == {2 / 16, 14 / 16}
+    got = {r.doc_id: r for r in mixing.mix(docs, weight=weight).collect()}
+    for s in "abc":
+        own = sorted((r for r in rows if r.source == s), key=lambda r: (r.key, r.doc_id, r.crc))
+        total, target = sum(r.size for r in own), got[own[0].doc_id].target
+        epochs, left = int(target // total), round(target % total)
+        for r in own:
+            assert got[r.doc_id].taken == epochs * r.size + max(0, min(r.size, left))
+            left -= r.size
+
+
+def test_mix_prefers_weight(spark):
+    rows = [(i, "good words here " * 5, "abc"[i % 3]) for i in range(3000)]
+    got = {r.doc_id: r.taken for r in mixing.mix(docs_of(spark, rows), weight=F.when(F.col("doc_id") % 2 == 1, 1.0).otherwise(0.2)).collect()}
     part = range(2, 3000, 3)  # the source of least weight is taken in part
     assert sum(got[i] for i in part if i % 2) > 1.1 * sum(got[i] for i in part if not i % 2)
 

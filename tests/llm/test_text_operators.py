@@ -276,6 +276,7 @@ def test_suffix_order_and_prefixes():
 
 def test_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "TILE", 64)
+    monkeypatch.setattr(topk, "BLOCK", 50)
     monkeypatch.setattr(topk, "QUERY_TILE", 7)
     monkeypatch.setattr(topk, "FAN_IN", 2)
     rng = np.random.default_rng(2)
@@ -297,6 +298,15 @@ def test_few_candidates(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 256_000_000**2 * 3)]
 
 
+def test_products_beyond_a_long(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.0, 2.0]), (4, [1e308, 0.0]), (5, [3e7, 0.0])]
+    table = topk.valid(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, q string"))
+    assert table.count() == 5  # 256 times 1e308 is not finite
+    got = [(r.vec_id, r.score) for r in topk.search(table.where("vec_id = 0"), table).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (5, 2**63 - 1), (3, 2 * 256 * 256), (2, -(2**63))]
+    assert topk.search(table.where("vec_id = 0"), table.where("false")).count() == 0
+
+
 # --- classifiers
 
 
@@ -313,7 +323,7 @@ def test_segments_are_all_maximal():
     rng = random.Random(4)
     for _ in range(150):
         drift = -rng.choice([0.3, 0.7, 1.1])
-        hits = {i: rng.choice([0.5, 1.3, 2.9]) for i in range(rng.randrange(1, 16)) if rng.random() < 0.5}
+        hits = {i: rng.choice([0.5, 1.3, 2.9, -1.7]) for i in range(rng.randrange(1, 16)) if rng.random() < 0.5}
         n = max(hits, default=0) + 2
         want = naive([hits.get(i, drift) for i in range(n)])
         got = toxicity.segments(sorted(hits.items()), drift)
@@ -321,6 +331,38 @@ def test_segments_are_all_maximal():
         assert [x for *_, x in got] == pytest.approx([x for *_, x in want])
 
 
+def test_lambda_is_the_root_over_all_words():
+    rng = np.random.default_rng(8)
+    for drift in (-0.2, -0.5):
+        scored = np.concatenate([rng.choice([1.1, 2.3, -0.8], 40), [3.0]])
+        n = 4000
+        lam = toxicity.solve_lambda(drift, n, scored)
+        every = np.concatenate([np.full(n - len(scored), drift), scored + drift])
+        assert 0 < lam <= 2 and (np.exp(lam * every).mean() == pytest.approx(1, abs=1e-9) or lam == 2.0)
+
+
+def test_evidence_of_one_segment_is_its_own_tail():
+    """One segment: -ln(K n exp(-lambda s)); more segments than one never count less than the best alone."""
+    model = toxicity.Model({}, -0.1, lam=0.9, k=1e-3)
+    assert toxicity.evidence(500, [(0, 1, 12.0)], model) == pytest.approx(0.9 * 12 - np.log(1e-3 * 500))
+    assert toxicity.evidence(500, [(0, 1, 12.0), (5, 6, 11.0)], model) >= toxicity.evidence(500, [(0, 1, 12.0)], model)
+    assert toxicity.evidence(500, [], model) == 0 and toxicity.evidence(500, [(0, 0, -9.0)], model) == 0
+
+
+def test_log_odds_of_both_signs(spark):
+    rows = [("bad", 30, 1), ("good", 1, 60), ("even", 50, 100)]
+    got = {r.term: r for r in toxicity.log_odds(spark.createDataFrame(rows, "term string, y1 bigint, y0 bigint"), 0.2, 2.3).collect()}
+    n1, n0 = 81, 161
+    for t, y1, y0 in rows:
+        a, a0 = 0.2 * (y1 + y0), 0.2 * (n1 + n0)
+        score = np.log((y1 + a) / (n1 + a0 - y1 - a)) - np.log((y0 + a) / (n0 + a0 - y0 - a))
+        z = score / np.sqrt(1 / (y1 + a) + 1 / (y0 + a))
+        assert (t in got) == (abs(z) >= 2.3)
+        if t in got:
+            assert got[t].score == pytest.approx(score)
+    assert got["bad"].score > 0 > got["good"].score
+
+
 def labelled(n=600, seed=6):
     rng = random.Random(seed)
     docs, labels = [], []
@@ -352,7 +394,44 @@ def check_scores(spark, module, column):
     assert len(held) > 80 and np.mean([got[i].predicted == truth[i] for i in held]) > 0.95
     flipped = spark.createDataFrame([(i, 1 - q, 1 - t) if got[i].held_out else (i, q, t) for i, q, t in labels], "doc_id bigint, quality int, toxic int")
     same = {r.doc_id: r.score for r in module.score_documents(rows, module.fit(rows, flipped)).collect()}
-    assert module is not toxicity or all(same[i] == pytest.approx(got[i].score) for i in same)
+    assert all(same[i] == pytest.approx(got[i].score) for i in same)
+    dealt = {r.doc_id: r.score for r in module.score_documents(rows, module.fit(rows.repartition(7), marks.repartition(5))).collect()}
+    assert all(dealt[i] == pytest.approx(got[i].score) for i in dealt)
+    assert module.score_documents(rows.where("false"), module.fit(rows.where("false"), marks)).count() == 0
+
+
+@pytest.mark.parametrize("prior", [0.4, 2.0])
+def test_risk_gradient_equals_differences(prior):
+    """With the second term above zero, and below (which so large a weight of positives forces)."""
+    rng = np.random.default_rng(3)
+    xp, xu = rng.normal(0, 1, (30, 4)), rng.normal(0.3, 1, (50, 4))
+    theta = [rng.normal(0, 1, (4, 3)), rng.normal(0, 1, 3), rng.normal(0, 1, 3), np.array([0.2])]
+    sign = quality.risk(theta, xp, xu, prior)[1]
+    assert (sign < 0) == (prior > 1)
+
+    def loss():
+        good, rest = quality.risk(theta, xp, xu, prior)
+        return good + rest if sign >= 0 else -rest
+
+    got = quality.risk_gradient(theta, xp, xu, prior)
+    for t, g in zip(theta, got, strict=True):
+        for at in np.ndindex(t.shape):
+            kept, step = t[at], 1e-6
+            t[at] = kept + step
+            up = loss()
+            t[at] = kept - step
+            down = loss()
+            t[at] = kept
+            assert g[at] == pytest.approx((up - down) / 2 / step, abs=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.7])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(1.5, 1, (9000, 3)), rng.normal(-1.5, 1, (6000, 3))
+    k = int(share * 6000)
+    other = rng.permutation(np.concatenate([good[3000 : 3000 + k], bad[: 6000 - k]]))
+    assert quality.class_prior(good[:3000], other) == pytest.approx(share, abs=0.06)
 
 
 def test_toxicity_on_held_out(spark):
