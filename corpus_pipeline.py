@@ -19,7 +19,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text (lower-cased A-Z), against a fresh digest index."""
-    return exact_dedup.keep_first_copies(docs, exact_dedup.new_index(spark))
+    return exact_dedup.keep_first_copies(docs, exact_dedup.new_index(spark), "pipeline")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a row for each time a document is taken."""
-    return mixing.mixed_documents(docs)
+    """Sources at their target weights: a row for each time a document is taken, good ones first."""
+    return mixing.mixed_documents(docs, weight=mixing.by_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
