@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir; where that is unset and all runs on this machine, a folder of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         place = held.get() if held.isDefined() else None
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="siltstone-shared-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
