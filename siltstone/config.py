@@ -17,6 +17,7 @@ class Config:
     dampener_floor: float = K.DAMPENER_FLOOR
     dampener_slope: float = K.DAMPENER_SLOPE
     exclude: tuple[str, ...] = ()
+    disable_defaults: bool = False
     budget: int = 0
     reserve: dict[str, int] = field(default_factory=lambda: dict(K.RESERVE))
     blocking: tuple[str, ...] = ()

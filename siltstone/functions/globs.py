@@ -45,11 +45,13 @@ def ignore(pattern: str) -> str:
 
 
 def supplemental(pattern: str) -> str:
-    """Supplemental patterns: lower-cased; what stands before ** is a plain prefix; without a slash they match base names anywhere."""
+    """Supplemental patterns: lower-cased; what stands before one ** is a plain prefix, which may end within a name; without a slash they match base names anywhere."""
     p = pattern.lower()
+    if p.count("**") > 1:
+        return NEVER
     if "**" in p:
-        before, after = p.split("**", 1)
-        return f"^{re.escape(before)}(.*/)?{part(after.lstrip('/'))}$"
+        before, after = p.split("**")
+        return f"^{re.escape(before.removesuffix('/'))}" + (f"/?(.*/)?{part(after.removeprefix('/'))}$" if after else "")
     return f"^(.*/)?{part(p)}$" if "/" not in p else f"^{part(p)}$"
 
 

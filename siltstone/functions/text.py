@@ -55,8 +55,8 @@ def dirname(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """With the dot, as written; empty without one."""
-    return F.regexp_extract(basename(path), r"(\.[^.]*)$", 1)
+    """With the dot, in lower case; empty without one."""
+    return F.lower(F.regexp_extract(basename(path), r"(\.[^.]*)$", 1))
 
 
 def tokens_heuristic(n_bytes: Column) -> Column:

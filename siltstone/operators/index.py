@@ -23,17 +23,14 @@ def packages(files: DataFrame) -> DataFrame:
     return files.where("language = 'go'").groupBy(F.col("package").alias("dir")).agg(F.sort_array(F.collect_list("path")).alias("files"))
 
 
-def exclusions(paths: DataFrame, user: list[str]) -> DataFrame:
-    """path and reason of every path that a pattern leaves out; the user's patterns are named first."""
-    reason = F.when(globs.any_of(F.col("path"), user), "user_pattern").when(globs.any_of(F.col("path"), K.EXCLUSIONS), "default_pattern")
-    return paths.withColumn("reason", reason).where("reason is not null").select("path", "reason")
+def pattern_reason(path: Column, user: list[str], default: list[str] = K.EXCLUSIONS) -> Column:
+    """Why a file or folder (without a slash at its end) is left out; the user's patterns are named first."""
+    return F.when(globs.any_of(path, user), "user_pattern").when(globs.any_of(path, default), "default_pattern")
 
 
-def hidden_folder(path: Column) -> Column:
-    """The topmost hidden folder above path that isn't allowed, with a slash; null without one."""
-    parts = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
-    bad = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts))), lambda i: F.coalesce(F.try_element_at(parts, i).startswith(".") & ~F.try_element_at(parts, i).isin(K.HIDDEN_ALLOWED), F.lit(False)))
-    return F.when(F.size(bad) > 0, F.concat(F.array_join(F.slice(parts, 1, F.try_element_at(bad, F.lit(1))), "/"), F.lit("/")))
+def exclusions(paths: DataFrame, user: list[str]) -> DataFrame:
+    """path and reason of every path that a pattern leaves out; the user's patterns are named first."""
+    return paths.withColumn("reason", pattern_reason(F.col("path"), user)).where("reason is not null").select("path", "reason")
 
 
 def supplementals(paths: DataFrame) -> DataFrame:
@@ -50,10 +47,25 @@ def scoped(files: DataFrame, supplemental: DataFrame, scope: str | None) -> Data
     return rows.where(~F.col("out_of_scope") | F.col("known")).drop("known")
 
 
+def scope_of(given: str | None) -> str | None:
+    """A scope as given, below the root and with forward slashes; None for the whole repository.
+
+    Empty and "." are the whole; absolute paths and parts that go up are refused.
+    """
+    if given in (None, "", "."):
+        return None
+    scope = given.replace("\\", "/").removeprefix("./").removesuffix("/")
+    while "/./" in scope:
+        scope = scope.replace("/./", "/")
+    if not scope or scope.startswith("/") or "\0" in scope or ".." in scope.split("/"):
+        raise ValueError(f"{given!r} is no folder below the root")
+    return scope
+
+
 def test_links(files: DataFrame) -> DataFrame:
     """path and link, both ways between tests and what they test, for Go, TypeScript/JavaScript and Python."""
     base, ext = basename(F.col("path")), F.col("extension")
-    family = F.when(ext == ".go", "go").when(ext.isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), F.when(ext.isin(".ts", ".tsx"), "ts").otherwise("js")).when(ext == ".py", "py")
+    family = F.when(ext == ".go", "go").when(ext.isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), "script").when(ext == ".py", "py")
     stem = F.regexp_replace(base, r"\.[^.]*$", "")
     stem = F.when(family == "py", F.regexp_replace(stem, r"^test_|_test$", "")).when(family == "go", F.regexp_replace(stem, "_test$", "")).otherwise(F.regexp_replace(stem, r"\.(test|spec)$", ""))
     order = F.array_position(F.array(*map(F.lit, [".tsx", ".ts", ".mjs", ".cjs", ".jsx", ".js"])), ext)

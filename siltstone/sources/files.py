@@ -1,48 +1,119 @@
-"""Repositories as tables: files with their content, and what is left out and why."""
+"""Repositories as tables: a walk that prunes folders level by level, and contents of what stays."""
 
 from __future__ import annotations
 
+import hashlib
+import os
+from collections.abc import Iterator
+from datetime import UTC
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions import globs
-from ..operators.index import describe, hidden_folder
+from ..operators.index import describe, pattern_reason
+from .shared import written
 
+#: Bytes of content that leave a task at once.
+PART = 16 << 20
 
-def raw_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), size, mtime and content of every regular file; Spark's file listing does the walk.
 
-    It passes over names that start with a dot or an underscore; the hidden folders that are allowed
-    are listed for themselves.
-    """
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    fs = place(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    more = [f"{root}/{d}" for d in K.HIDDEN_ALLOWED if fs.exists(place(f"{root}/{d}"))]
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *more])
-    base = root.split("://", 1)[-1].rstrip("/") + "/"
-    whole = F.url_decode(F.regexp_replace("path", "%(?![0-9A-Fa-f]{2})", "%25"))
-    below = F.substring_index(whole, base, -1)
-    return rows.select(below.alias("path"), F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime"), "content")
+def store_of(root: str):
+    """The file system that root names, its path there, and whether that is this machine's own."""
+    from pyarrow import fs
+
+    if "://" not in root:
+        return fs.LocalFileSystem(), root.rstrip("/"), True
+    store, place = fs.FileSystem.from_uri(root)
+    return store, place.rstrip("/"), isinstance(store, fs.LocalFileSystem)
+
+
+def entries(folders: DataFrame, root: str) -> DataFrame:
+    """path (below root), kind (file, folder, symlink, error), size and mtime of what the folders (path) hold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base, local = store_of(root)
+        kinds = {fs.FileType.File: "file", fs.FileType.Directory: "folder"}
+        for pdf in batches:
+            rows = []
+            for folder in pdf["path"]:
+                try:
+                    found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                except OSError:
+                    rows.append((folder, "error", 0, None))
+                    continue
+                for x in found:
+                    kind = "symlink" if local and os.path.islink(x.path) else kinds.get(x.type, "error")
+                    time = x.mtime.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ") if x.mtime else None
+                    rows.append((f"{folder}/{x.base_name}".lstrip("/"), kind, x.size or 0, time))
+            yield pd.DataFrame(rows, columns=["path", "kind", "size", "mtime"])
+
+    return folders.mapInPandas(run, "path string, kind string, size bigint, mtime string")
 
 
-def walk(files: DataFrame, user: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Files that stay, described and hashed, and exclusions (path, reason).
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """files (path, size, mtime) with content, sha256 and reason: read_error, binary (a NUL in the first bytes) or null."""
 
-    Hidden folders go first (as one entry each), then patterns, then files above 10 MiB, then those
-    with a NUL in their first 8 KiB. Size and patterns are decided before content is read.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base, _ = store_of(root)
+        for pdf in batches:
+            rows, held = [], 0
+            for path, size, mtime in pdf.itertuples(index=False):
+                try:
+                    with store.open_input_stream(f"{base}/{path}") as f:
+                        raw = f.read()
+                    out = (None, None, "binary") if b"\0" in raw[: K.PROBE_BYTES] else (raw, hashlib.sha256(raw).hexdigest(), None)
+                except OSError:
+                    out = (None, None, "read_error")
+                rows.append((path, size, mtime, *out))
+                held += len(out[0] or b"")
+                if held > PART:
+                    yield pd.DataFrame(rows, columns=NAMES)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=NAMES)
+
+    return files.select("path", "size", "mtime").mapInPandas(run, "path string, size bigint, mtime string, content binary, sha256 string, reason string")
+
+
+NAMES = ["path", "size", "mtime", "content", "sha256", "reason"]
+
+
+def walk(spark: SparkSession, root: str, user: tuple[str, ...] = (), default: list[str] = K.EXCLUSIONS) -> tuple[DataFrame, DataFrame]:
+    """Files that stay, described, hashed and with their text, and exclusions (path, reason).
+
+    One job lists all folders of a level; hidden folders and those that a pattern names are not entered
+    and logged once, with a slash. Size and patterns are decided before any content is read. Symbolic
+    links are not followed, and what can't be read is logged. root is a local folder that all
+    executors see, or an address that pyarrow's file systems read.
     """
-    pattern = F.when(globs.any_of(F.col("path"), list(user)), "user_pattern").when(globs.any_of(F.col("path"), K.EXCLUSIONS), "default_pattern")
-    nul = F.instr(F.decode(F.substring("content", 1, K.PROBE_BYTES), "ISO-8859-1"), "\x00") > 0
-    hidden = hidden_folder(F.col("path"))
-    rows = files.withColumn("hidden", hidden).withColumn("reason", F.when(F.col("hidden").isNotNull(), "hidden_directory").otherwise(F.coalesce(pattern, F.when(F.col("size") > K.MAX_BYTES, "too_large").when(nul, "binary"))))
-    out = rows.where("reason is not null").select(F.coalesce("hidden", "path").alias("path"), "reason").distinct()
-    kept = describe(rows.where("reason is null").drop("reason", "hidden"))
-    return kept.withColumn("sha256", F.sha2("content", 256)), out
+    folders, files, out = spark.createDataFrame([("",)], "path string"), [], []
+    while True:
+        found = written(entries(folders, root), "listing")
+        name = F.element_at(F.split("path", "/"), -1)
+        hidden = F.when((F.col("kind") == "folder") & name.startswith(".") & ~name.isin(K.HIDDEN_ALLOWED), "hidden_dir")
+        odd = F.when(F.col("kind") == "error", "read_error").when(F.col("kind") == "symlink", "symlink")
+        size = F.when((F.col("kind") == "file") & (F.col("size") > K.MAX_BYTES), "oversize_cutoff")
+        rows = found.withColumn("reason", F.coalesce(odd, hidden, pattern_reason(F.col("path"), list(user), default), size))
+        files.append(rows.where("kind = 'file' and reason is null"))
+        out.append(rows.where("reason is not null").select(F.concat("path", F.when(F.col("kind") == "folder", "/").otherwise("")).alias("path"), "reason"))
+        folders = rows.where("kind = 'folder' and reason is null").select("path")
+        if folders.isEmpty():
+            break
+        folders = folders.repartition("path")
+    read = written(contents(reduce(DataFrame.unionByName, files).repartition("path"), root), "contents")
+    kept = describe(read.where("reason is null").drop("reason")).withColumn("text", F.decode("content", "UTF-8"))
+    return kept, reduce(DataFrame.unionByName, out).unionByName(read.where("reason is not null").select("path", "reason"))
 
 
 def fingerprint(files: DataFrame, version: str) -> DataFrame:
-    """One row: a digest of all paths, digests, sizes and times in order of path."""
+    """One row: a digest of all paths, digests, sizes and times in order of path.
+
+    The hash is serial, so one row holds a line for each file of a repository.
+    """
     line = F.to_json(F.struct("path", "sha256", "size", "mtime"))
     rows = files.select(F.struct("path", line.alias("line")).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("xs"))
     text = F.concat(F.lit(version + "["), F.array_join(F.transform("xs", lambda x: x["line"]), ","), F.lit("]"))

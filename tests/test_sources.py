@@ -1,8 +1,14 @@
 """Reading repositories, analysing sources, the cache and its stream."""
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
-from siltstone.sources import analyze, cache, files
+from siltstone.config import Config
+from siltstone.operators import manifest_diff
+from siltstone.plans import repository
+from siltstone.sources import analyze, cache, files, tasks
 from siltstone.streaming.incremental import follow
 
 GO = '''package oauth
@@ -96,16 +102,53 @@ import "./side"
 
 
 def test_walk(spark, tmp_path):
-    for name, data in {"a/x.go": b"package a", ".git/config": b"x", "b.bin": b"a\x00b", "vendor/v.go": b"x", "keep/me.txt": b"y", ".github/ci.yaml": b"z"}.items():
+    held = {"a/x.go": b"package a", ".git/config": b"x", "b.bin": b"a\x00b", "vendor/v.go": b"x", "keep/me.txt": b"y", ".github/ci.yaml": b"z", "pkg/__init__.py": b"", "pkg/_helper.go": b"package pkg",
+            ".golangci.yml": b"x", "R.MD": b"x", "big.txt": b"x" * ((10 << 20) + 1), "a/b c/%41é.txt": b"q", "sub/vendor/v.go": b"x", "x.min.js": b"x"}
+    for name, data in held.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    kept, out = files.walk(files.raw_files(spark, str(tmp_path)), ("keep/**",))
-    assert {(r.path, r.language) for r in kept.collect()} == {("a/x.go", "go"), (".github/ci.yaml", "yaml")}
-    assert {(r.path, r.reason) for r in out.collect()} == {("b.bin", "binary"), ("vendor/v.go", "default_pattern"), ("keep/me.txt", "user_pattern")}
-    listed = kept.select(F.lit(".git/x/config").alias("path"), "size", "mtime", "content")
-    assert files.walk(listed)[1].first() == (".git/", "hidden_directory")
+    (tmp_path / "link.go").symlink_to(tmp_path / "a/x.go")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    kept, out = files.walk(spark, str(tmp_path), ("keep",))
+    got = {r.path: r for r in kept.collect()}
+    assert {(p, r.language) for p, r in got.items()} == {("a/x.go", "go"), (".github/ci.yaml", "yaml"), ("pkg/__init__.py", "python"), ("pkg/_helper.go", "go"), (".golangci.yml", "yaml"), ("R.MD", "markdown"), ("a/b c/%41é.txt", ""), ("sub/vendor/v.go", "go")}
+    assert got["R.MD"].extension == ".md" and got["a/x.go"].sha256 == hashlib.sha256(b"package a").hexdigest() and got["a/x.go"].text == "package a"
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", got["a/x.go"].mtime)
+    assert {(r.path, r.reason) for r in out.collect()} == {(".git/", "hidden_dir"), ("b.bin", "binary"), ("vendor/", "default_pattern"), ("keep/", "user_pattern"), ("big.txt", "oversize_cutoff"), ("link.go", "symlink"), ("loop", "symlink"), ("x.min.js", "default_pattern")}
     a, b = (files.fingerprint(kept.repartition(n), "v").first().fingerprint for n in (1, 5))
     assert a == b
+    assert {r.path for r in files.walk(spark, str(tmp_path), (), [])[0].collect()} >= {"vendor/v.go", "keep/me.txt", "x.min.js"}
+    missing = files.walk(spark, str(tmp_path / "nowhere"))
+    assert missing[0].count() == 0 and [r.reason for r in missing[1].collect()] == ["read_error"]
+
+
+def test_task_files(spark, tmp_path):
+    (tmp_path / "t.md").write_text("# Fix it")
+    (tmp_path / "u.txt").write_bytes(b"a\x00b")
+    good, bad = tasks.read_tasks(spark, [str(tmp_path / "t.md"), str(tmp_path / "u.txt")])
+    assert [(r.raw_text, r.markdown) for r in good.collect()] == [("# Fix it", True)] and [r.reason for r in bad.collect()] == ["binary"]
+
+
+def test_plan_of_a_folder(spark, tmp_path):
+    held = {"go.mod": "module m\n", "auth/provider.go": GO, "auth/provider_test.go": "package oauth\n\nfunc TestX() {}\n", "cmd/main.go": 'package main\n\nimport "m/auth"\n\nfunc main() {}\n', "docs/auth.md": "provider refresh guide", "AGENTS.md": "x", "node_modules/a.js": "x"}
+    for name, data in held.items():
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(data)
+    texts = spark.createDataFrame([("t", "Refactor NewProvider in auth/provider.go, `auth` `provider`", False)], "task_id string, raw_text string, markdown boolean")
+    plan, manifests = repository.plan_repository(spark, str(tmp_path / "r"), texts, Config.of({"budget": 60_000}))
+    assert {r.path: r.load_mode for r in plan.assigned.collect()}["auth/provider.go"] == "full"
+    m = manifests.first().manifest
+    assert [(x.path, x.reason) for x in m.exclusions] == [("node_modules/", "default_pattern")] and m.repo.language_hints == ["go", "markdown"]
+    assert {x.category for x in m.supplementals} == {"agents", "build_files"} and m.language_tiers["go"] == "tier1_deep" and m.budget.token_ceiling == 60_000
+    assert m.feasibility.positives and {g.type: g.suggested_remediation for g in m.gaps}["missing_tests" if "missing_tests" in {g.type for g in m.gaps} else m.gaps[0].type]
+    repository.write_artifacts(manifests, str(tmp_path / "out"))
+    back = repository.read_manifests(spark, str(tmp_path / "out"), manifests)
+    assert back.first() == manifests.first()
+    other = repository.plan_repository(spark, str(tmp_path / "r"), texts, Config.of({"budget": 48_100}), "auth/")[1]
+    row = manifest_diff.documents(manifests, other).first()
+    assert not row.semantic_equivalent and '"scope":{"unchanged":false' in row.json and "## Budget" in row.markdown
+    same = manifest_diff.documents(manifests, back).first()
+    assert same.semantic_equivalent and '"tool_bug_diagnostic":[]' in same.json and '"unchanged":false' not in same.json
 
 
 def rows(spark, *names):
