@@ -24,9 +24,10 @@ def added(a: Column, b: Column) -> Column:
 
 
 def first_difference(a: Column, b: Column, longest: int = 200) -> Column:
-    """The first line in which b differs from a, cut to longest characters."""
+    """The first line in which a and b differ, of both sides, cut to longest characters; empty where they are equal."""
     lines = F.arrays_zip(F.split(a, "\n").alias("x"), F.split(b, "\n").alias("y"))
-    line = F.coalesce(F.try_element_at(F.filter(lines, lambda z: ~z["x"].eqNullSafe(z["y"])), F.lit(1))["y"], F.lit(""))
+    pair = F.try_element_at(F.filter(lines, lambda z: ~z["x"].eqNullSafe(z["y"])), F.lit(1))
+    line = F.when(a == b, "").otherwise(F.concat(F.lit("A:"), F.coalesce(pair["x"], F.lit("<eof>")), F.lit(" -> B:"), F.coalesce(pair["y"], F.lit("<eof>"))))
     return F.when(F.length(line) > longest, F.concat(F.substring(line, 1, longest - 1), F.lit("..."))).otherwise(line)
 
 

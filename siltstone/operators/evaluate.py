@@ -37,14 +37,12 @@ def metrics(cases: DataFrame, expected: DataFrame, actual: DataFrame, weighted:
 
 
 def regressions(current: DataFrame, baseline: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """name and status (regressed, orphaned: only in the baseline, unreferenced: only in the run, ok) of every case."""
-    b = baseline.select("name", *[F.col(c).alias(f"b_{c}") for c in ("precision", "recall", "f1")], F.lit(True).alias("in_b"))
-    rows = current.select("name", "precision", "recall", "f1", F.lit(True).alias("in_c")).join(b, "name", "full_outer")
-    worse = F.lit(False)
-    for c in ("precision", "recall", "f1"):
-        worse = worse | (F.col(f"b_{c}") - F.col(c) > tolerance)
+    """name and status of every case: regressed (F1 fell by more than tolerance), orphaned (only in the baseline), unreferenced (only in the run), ok; with both F1."""
+    b = baseline.select("name", F.col("f1").alias("baseline_f1"), F.lit(True).alias("in_b"))
+    rows = current.select("name", "f1", F.lit(True).alias("in_c")).join(b, "name", "full_outer")
+    worse = F.col("baseline_f1") - F.col("f1") > tolerance
     status = F.when(F.col("in_c").isNull(), "orphaned").when(F.col("in_b").isNull(), "unreferenced").when(worse, "regressed").otherwise("ok")
-    return rows.select("name", status.alias("status"))
+    return rows.select("name", status.alias("status"), "f1", "baseline_f1")
 
 
 #: Characters of plain terms. A match holds only characters of its terms, so texts may be cut at all others.
@@ -159,15 +157,14 @@ def advisory(rows: DataFrame, least: float = 10.0) -> DataFrame:
 
 def percentiles(samples: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """key, cold (first sample), warm (median of the rest) and nearest-rank p95."""
-    place = F.row_number().over(W.partitionBy(key).orderBy(order))
-    rows = samples.select(key, F.col(value).alias("v"), place.alias("place"))
-    out = rows.groupBy(key).agg(
-        F.max(F.when(F.col("place") == 1, F.col("v"))).alias("cold"),
-        F.sort_array(F.collect_list(F.when(F.col("place") > 1, F.col("v")))).alias("rest"),
-        F.sort_array(F.collect_list("v")).alias("all"),
-    )
-
-    def at(values: Column, p: float) -> Column:
-        return F.try_element_at(values, F.greatest(F.lit(1), F.ceil(F.lit(p) * F.size(values)).cast("int")))
-
-    return out.select(key, "cold", at(F.col("rest"), 0.5).alias("warm"), at(F.col("all"), 0.95).alias("p95"))
+    # values are counted before ranks are taken, so that a key's samples are never gathered
+    first = samples.groupBy(key).agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("t")).select(key, F.col("t.v").alias("cold"))
+    counts = samples.groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.join(first, key).withColumn("later", F.col("n") - (F.col("v") == F.col("cold")).cast("int"))
+    upto, whole = W.partitionBy(key).orderBy("v"), W.partitionBy(key)
+    rows = rows.withColumns({c: F.sum(c).over(upto) for c in ("n", "later")} | {f"all_{c}": F.sum(c).over(whole) for c in ("n", "later")})
+
+    def at(c: str, p: float) -> Column:
+        return F.min(F.when(F.col(c) >= F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col(f"all_{c}"))), F.col("v")))
+
+    return rows.groupBy(key).agg(F.first("cold").alias("cold"), at("later", 0.5).alias("warm"), at("n", 0.95).alias("p95"))

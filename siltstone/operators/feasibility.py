@@ -51,6 +51,20 @@ def assessment(score: Column) -> Column:
     return F.when(score >= 0.85, "high feasibility").when(score >= 0.65, "moderate feasibility").when(score >= 0.40, "weak feasibility").otherwise("poor feasibility")
 
 
+def reasons(feasible: DataFrame, gaps: DataFrame) -> DataFrame:
+    """task_id, positives, negatives (sub-signals of 0.50 on and below, with their values) and blocking_conditions."""
+    factors = ("coverage", "anchor_resolution", "task_specificity", "budget_headroom")
+    lines = F.array(*[F.struct(F.format_string(f"{f}=%.2f", F.col(f)).alias("line"), (F.col(f) >= 0.5).alias("good")) for f in factors])
+    penalty = F.when(F.col("gap_penalty") > 0, F.array(F.format_string("gap_penalty=%.2f", F.col("gap_penalty")))).otherwise(F.array().cast("array<string>"))
+    blocking = gaps.where("severity = 'blocking'").groupBy("task_id").agg(F.sort_array(F.collect_list(F.concat_ws(": ", "type", "description"))).alias("blocking_conditions"))
+    return feasible.join(blocking, "task_id", "left").select(
+        "task_id",
+        F.transform(F.filter(lines, lambda x: x["good"]), lambda x: x["line"]).alias("positives"),
+        F.concat(F.transform(F.filter(lines, lambda x: ~x["good"]), lambda x: x["line"]), penalty).alias("negatives"),
+        F.coalesce("blocking_conditions", F.array().cast("array<string>")).alias("blocking_conditions"),
+    )
+
+
 def compute(tasks: DataFrame, assigned: DataFrame, files: DataFrame, gaps: DataFrame, budgets: DataFrame) -> DataFrame:
     """task_id, the five sub-signals, score and assessment."""
     spent = assigned.groupBy("task_id").agg(F.sum("cost").alias("spent"))

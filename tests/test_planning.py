@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import Config
 from siltstone.functions import globs, paths, text
-from siltstone.operators import diff, evaluate, feasibility, index, manifest, pack, rules, score, tasks
+from siltstone.operators import diff, evaluate, feasibility, index, manifest, pack, report, rules, score, tasks
 
 
 def parsed(spark, *texts):
@@ -36,7 +36,7 @@ def test_objective_is_first_line_with_text(spark):
         (globs.ignore, "node_modules/**", ["node_modules", "node_modules/a/b.js"], ["pkg/node_modules/a"]),
         (globs.ignore, "*.lock", ["a.lock", "x/y.lock"], ["a.locks"]),
         (globs.ignore, "a/**/b/**", [], ["a/x/b/y"]),
-        (globs.supplemental, "docs/adr/**/*.md", ["docs/adr/x.md", "docs/adr/a/b.md"], ["docs/x.md"]),
+        (globs.supplemental, "docs/adr/**/*.md", ["docs/adr/x.md", "docs/adr/a/b.md", "docs/adr-old/x.md"], ["docs/x.md", "a/docs/adr/x.md"]),
         (globs.supplemental, "README", ["readme", "sub/readme"], ["readme.md"]),
         (globs.forbidden, "a/**", ["a", "a/b/c"], ["ab/c"]),
         (globs.forbidden, "a/**/x.go", ["a/x.go", "a/b/x.go"], ["b/x.go", "a/b/y.go"]),
@@ -122,9 +122,9 @@ def test_imports_reach_two_steps(spark):
 
 
 def test_links_and_supplementals(spark):
-    files = files_of(spark, [(p, 1, [], "") for p in ("a/x.go", "a/x_test.go", "b/y.ts", "b/y.tsx", "b/y.test.ts", "c/z.py", "c/test_z.py", "specs/a/SPEC.md", "AGENTS.md")])
+    files = files_of(spark, [(p, 1, [], "") for p in ("a/x.go", "a/x_test.go", "b/y.ts", "b/y.tsx", "b/y.test.ts", "d/w.TS", "d/w.test.js", "c/z.py", "c/test_z.py", "specs/a/SPEC.md", "AGENTS.md")])
     got = {(r.path, r.link) for r in index.test_links(files).collect()}
-    assert got == {("a/x.go", "a/x_test.go"), ("a/x_test.go", "a/x.go"), ("b/y.tsx", "b/y.test.ts"), ("b/y.test.ts", "b/y.tsx"), ("c/z.py", "c/test_z.py"), ("c/test_z.py", "c/z.py")}
+    assert got == {("a/x.go", "a/x_test.go"), ("a/x_test.go", "a/x.go"), ("b/y.tsx", "b/y.test.ts"), ("b/y.test.ts", "b/y.tsx"), ("d/w.TS", "d/w.test.js"), ("d/w.test.js", "d/w.TS"), ("c/z.py", "c/test_z.py"), ("c/test_z.py", "c/z.py")}
     assert {(r.category, r.path) for r in index.supplementals(files).collect()} == {("spec", "specs/a/SPEC.md"), ("agents", "AGENTS.md")}
 
 
@@ -201,7 +201,7 @@ def test_diff(spark):
     b = spark.createDataFrame([(2, "z"), (3, None), (4, "n")], "k int, v string")
     assert {(r.k, r.change) for r in diff.changes(a, b, ["k"], ["v"]).collect()} == {(1, "removed"), (2, "changed"), (4, "added")}
     row = spark.range(1).select(diff.first_difference(F.lit("a\nb\nc"), F.lit("a\nx\nc")).alias("d"), diff.version_at_least(F.lit("1"), 1, 0).alias("v"), diff.version_at_least(F.lit("x"), 1, 0).alias("w")).first()
-    assert (row.d, row.v, row.w) == ("x", True, False)
+    assert (row.d, row.v, row.w) == ("A:b -> B:x", True, False)
 
 
 def test_canonical_json():
@@ -216,3 +216,34 @@ def test_config():
     with pytest.raises(ValueError):
         Config.of({"weights": {"mention": 1.0}}).scoring()
     assert Config.of({"budget": 50_000}).effective_budget() == 2000
+
+
+@pytest.mark.parametrize("given, want", [("", None), (".", None), ("./a\\b/", "a/b"), ("a/././b", "a/b"), ("/a", ValueError), ("a/../b", ValueError), ("./", ValueError)])
+def test_scopes(given, want):
+    if want is ValueError:
+        with pytest.raises(ValueError):
+            index.scope_of(given)
+    else:
+        assert index.scope_of(given) == want
+
+
+def test_reports(spark, tmp_path):
+    now = spark.createDataFrame([("a", 1.0, 0.5, 0.6), ("b", 0.2, 0.2, 0.2), ("n", 1.0, 1.0, 1.0)], "name string, precision double, recall double, f1 double")
+    before = spark.createDataFrame([("a", 0.1, 1.0, 0.6), ("b", 0.2, 0.2, 0.5), ("o", 1.0, 1.0, 1.0)], "name string, precision double, recall double, f1 double")
+    report.write_baseline(before, str(tmp_path / "base"), "sel-v2", "2026-01-01T00:00:00Z")
+    held = report.load_baseline(spark, str(tmp_path / "base"))
+    rows = report.results(now, held, spark.createDataFrame([("a", "forbidden: x.go")], "name string, reason string"))
+    assert {r.name: r.status for r in rows.collect()} == {"a": "ok", "b": "regressed", "n": "unreferenced", "o": "orphaned"}
+    assert tuple(report.verdict(rows).first()) == (1, 1, 1, 1, False)
+    texts = [report.markdown(rows.repartition(k), "fx", "base", 0.02, "sel-v2", {"pid": str(k)}).select("markdown", report.without_per_run(F.col("markdown")).alias("same")).first() for k in (1, 4)]
+    assert texts[0].same == texts[1].same and texts[0].markdown != texts[1].markdown
+    assert "- **b**: F1 0.5000 → 0.2000 (drop 0.3000, tolerance 0.0200)" in texts[0].same and "| a | 1.0000 | 0.5000 | 0.6000 | yes |" in texts[0].same and "## Orphaned baseline entries\n\n- o\n" in texts[0].same
+    spark.createDataFrame([("0.9", "a")], "schema_version string, name string").write.json(str(tmp_path / "old"))
+    with pytest.raises(ValueError):
+        report.load_baseline(spark, str(tmp_path / "old"))
+    assert report.verdict(report.results(now, None), bootstrap=True).first().passed
+
+
+def test_percentiles_of_repeated_values(spark):
+    rows = spark.createDataFrame([("a", 5.0, 1), ("a", 1.0, 2), ("a", 1.0, 3), ("a", 5.0, 4), ("a", 9.0, 5), ("b", 2.0, 1)], "k string, v double, o int")
+    assert {r.k: (r.cold, r.warm, r.p95) for r in evaluate.percentiles(rows, "k", "v", "o").collect()} == {"a": (5.0, 1.0, 9.0), "b": (2.0, None, 2.0)}
