@@ -16,8 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import __version__ as VERSION
+from ..functions.paths import tier
 from ..functions.text import rounded
-from .score import FACTORS
+from . import feasibility
+from .rules import with_remedies
+from .score import FACTORS, breakdown
 
 # What the hash leaves out, the id's prefix, phrases for factors.
 VOLATILE = ["manifest_hash", "manifest_id", "generated_at"]
@@ -65,8 +69,25 @@ def rationale(rows: DataFrame) -> DataFrame:
     return rows.select("task_id", "path", F.transform(kept, lambda p: p["phrase"]).alias("rationale"))
 
 
-def assemble(tasks: DataFrame, assigned: DataFrame, scores: DataFrame, gaps: DataFrame, feasible: DataFrame, budgets: DataFrame) -> DataFrame:
-    """task_id and one nested manifest per task, with manifest_hash and manifest_id."""
+#: What a manifest says of its run: literals that assemble() takes.
+ABOUT = {"model": "", "token_ceiling": 0, "estimator": "heuristic-3.5", "scope": "", "fingerprint": "", "config_digest": "", "version": VERSION}
+
+
+def listing(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row with all of rows as a sorted list, for what is said once of a repository."""
+    return rows.agg(F.sort_array(F.collect_set(F.struct(*columns) if len(columns) > 1 else F.col(columns[0]))).alias("all"))
+
+
+def assemble(
+    tasks: DataFrame, assigned: DataFrame, scores: DataFrame, gaps: DataFrame, feasible: DataFrame, budgets: DataFrame,
+    files: DataFrame | None = None, supplemental: DataFrame | None = None, exclusions: DataFrame | None = None, about: dict | None = None,
+) -> DataFrame:
+    """task_id and one nested manifest per task, with manifest_hash and manifest_id.
+
+    files (language), supplemental (category, path) and exclusions (path, reason) are of the whole repository.
+    """
+    spark = tasks.sparkSession
+    say = ABOUT | (about or {})
     why = assigned.join(rationale(scores), ["task_id", "path"], "left")
     picked = F.struct("path", "load_mode", rounded(F.col("score"), 4).alias("relevance_score"), F.col("cost").alias("estimated_tokens"), "demoted_reason", "rationale")
     plans = why.groupBy("task_id").agg(
@@ -74,11 +95,27 @@ def assemble(tasks: DataFrame, assigned: DataFrame, scores: DataFrame, gaps: Dat
         F.sort_array(F.collect_list(F.when(F.col("load_mode") == "reachable", F.struct("path", rounded(F.col("score"), 4).alias("relevance_score"), F.lit("plausibly_relevant").alias("reason"))))).alias("reachable"),
         F.sum("cost").alias("spent"),
     )
-    gap_list = gaps.groupBy("task_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "id", "type", "severity", "description"))), lambda g: F.struct(g["id"].alias("id"), g["type"].alias("type"), g["severity"].alias("severity"), g["description"].alias("description"))).alias("gaps"))
-    rows = tasks.select("task_id", F.struct("type", "objective", "anchors").alias("task")).join(budgets, "task_id").join(plans, "task_id", "left").join(gap_list, "task_id", "left")
+    fields = ["id", "type", "severity", "description", "suggested_remediation"]
+    gap_list = with_remedies(gaps).groupBy("task_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", *fields))), lambda g: F.struct(*[g[f].alias(f) for f in fields])).alias("gaps"))
+    rows = tasks.select("task_id", F.struct("type", "objective", "anchors", "raw_text").alias("task")).join(budgets, "task_id").join(plans, "task_id", "left").join(gap_list, "task_id", "left")
+    parts = breakdown(scores).groupBy("task_id", "path").agg(F.sort_array(F.collect_list(F.struct("factor", rounded(F.col("signal"), 4).alias("signal"), "weight", rounded(F.col("contribution"), 4).alias("contribution")))).alias("breakdown"))
+    parts = assigned.where("load_mode <> 'reachable'").select("task_id", "path").join(parts, ["task_id", "path"]).groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("path", "breakdown"))).alias("breakdowns"))
+    rows = rows.join(parts, "task_id", "left")
+    empty = {"languages": (files, "language string", "language"), "supplementals": (supplemental, "category string, path string", "category", "path"), "exclusions": (exclusions, "path string, reason string", "path", "reason")}
+    for name, (frame, schema, *columns) in empty.items():
+        rows = rows.join(F.broadcast(listing(spark.createDataFrame([], schema) if frame is None else frame.where(F.col(columns[0]) != ""), *columns).withColumnRenamed("all", name)))
     numbers = F.struct(*[rounded(F.col(c), 4).alias(c) for c in ("coverage", "anchor_resolution", "task_specificity", "budget_headroom", "gap_penalty")])
-    rows = rows.join(feasible.select("task_id", F.struct(rounded(F.col("score"), 4).alias("score"), "assessment", numbers.alias("sub_signals")).alias("feasibility")), "task_id")
-    whole = F.struct(F.lit("1.0").alias("schema_version"), F.lit("sel-v2").alias("selection_logic_version"), "task_id", "task", F.struct("budget", F.coalesce("spent", F.lit(0)).alias("spent")).alias("budget"), "selections", "reachable", "gaps", "feasibility")
+    why = feasibility.reasons(feasible, gaps)
+    rows = rows.join(feasible.join(why, "task_id").select("task_id", F.struct(rounded(F.col("score"), 4).alias("score"), "assessment", numbers.alias("sub_signals"), "positives", "negatives", "blocking_conditions").alias("feasibility")), "task_id")
+    tiers = F.map_from_entries(F.transform("languages", lambda x: F.struct(x.alias("language"), tier(x).alias("tier"))))
+    spent = F.struct("budget", F.coalesce("spent", F.lit(0)).alias("spent"), *[F.lit(say[c]).alias(c) for c in ("model", "token_ceiling", "estimator")])
+    empties = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("selections", "reachable", "gaps", "breakdowns")}
+    rows = rows.withColumns(empties)
+    whole = F.struct(
+        F.lit("1.0").alias("schema_version"), F.lit("sel-v2").alias("selection_logic_version"), F.lit(say["version"]).alias("version"), F.lit(say["config_digest"]).alias("config_digest"), F.lit(say["scope"]).alias("scope"),
+        F.struct(F.lit(say["fingerprint"]).alias("fingerprint"), F.col("languages").alias("language_hints")).alias("repo"), tiers.alias("language_tiers"),
+        "task_id", "task", spent.alias("budget"), "selections", "reachable", "supplementals", "exclusions", "gaps", "feasibility", "breakdowns",
+    )
     rows = rows.select("task_id", whole.alias("manifest"), hashed(F.to_json(whole)).alias("manifest_hash"))
     return rows.withColumn("manifest_id", F.concat(F.lit(ID_PREFIX), F.substring("manifest_hash", 8, 16)))
 
@@ -113,6 +150,8 @@ def markdown(manifests: DataFrame) -> DataFrame:
         ("Reachable Context", bullets(m["reachable"], lambda r: F.concat(F.lit("- `"), r["path"], F.lit("`")))),
         ("Gaps", bullets(m["gaps"], lambda g: F.concat(F.lit("- "), g["id"], F.lit(" "), g["type"], F.lit(" ("), g["severity"], F.lit("): "), g["description"]))),
         ("Feasibility", F.concat(m["feasibility"]["score"].cast("string"), F.lit(" "), m["feasibility"]["assessment"])),
+        ("Supplemental Files", bullets(m["supplementals"], lambda r: F.concat(F.lit("- `"), r["path"], F.lit("` ("), r["category"], F.lit(")")))),
+        ("Exclusions", bullets(m["exclusions"], lambda r: F.concat(F.lit("- `"), r["path"], F.lit("`: "), r["reason"]))),
         ("Token Accounting", F.concat(F.lit("- spent: "), m["budget"]["spent"].cast("string"))),
         ("Usage Instructions", F.lit("Load full files as they are, summaries in place of the rest; reachable files on demand.")),
     ]
@@ -133,6 +172,6 @@ def explain(manifests: DataFrame) -> DataFrame:
 def gates(manifests: DataFrame, fail_on_gaps: bool = False, least: float | None = None) -> DataFrame:
     """task_id and exit_code: 8 for a blocking gap where that fails, 7 below the least feasibility, else 0."""
     m = F.col("manifest")
-    blocked = F.exists(F.coalesce(m["gaps"], F.array().cast("array<struct<id:string,type:string,severity:string,description:string>>")), lambda g: g["severity"] == "blocking")
+    blocked = F.exists(F.coalesce(m["gaps"], F.array().cast("array<struct<id:string,type:string,severity:string,description:string,suggested_remediation:array<string>>>")), lambda g: g["severity"] == "blocking")
     code = F.when(F.lit(fail_on_gaps) & blocked, 8).when(m["feasibility"]["score"] < least if least is not None else F.lit(False), 7).otherwise(0)
     return manifests.select("task_id", code.alias("exit_code"))

@@ -96,15 +96,16 @@ def doc(tasks: DataFrame, files: DataFrame) -> DataFrame:
 def symbol(tasks: DataFrame, files: DataFrame) -> DataFrame:
     """task_id, path, signal: the share of anchors (copies in other case count) found within the file's symbol names.
 
-    Parts of distinct names meet anchors by equality.
+    Parts of distinct names, of the lengths that anchors have, meet anchors by equality.
     """
     names = files.select("path", F.explode(F.array_distinct(lower_all(F.col("symbols")))).alias("name"))
     anchors = tasks.select("task_id", F.size("anchors").alias("all"), F.explode(lower_all(F.col("anchors"))).alias("anchor"))
     anchors = anchors.groupBy("task_id", "anchor").agg(F.count(F.lit(1)).alias("times"), F.first("all").alias("all"))
-    length = F.length("name")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), length))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), length - i + 1), lambda k: F.col("name").substr(i, k))))
-    parts = names.select("name").distinct().select("name", F.explode(F.array_distinct(parts)).alias("anchor"))
+    lengths = anchors.agg(F.collect_set(F.length("anchor")).alias("lengths"))
+    starts = lambda k: F.sequence(F.lit(1), F.length("name") - k + 1)
+    fitting = F.filter("lengths", lambda k: (k > 0) & (k <= F.length("name")))
+    parts = F.flatten(F.transform(fitting, lambda k: F.transform(starts(k), lambda i: F.col("name").substr(i, k))))
+    parts = names.select("name").distinct().join(F.broadcast(lengths)).select("name", F.explode(F.array_distinct(parts)).alias("anchor"))
     hits = parts.join(anchors, "anchor").join(names, "name").select("task_id", "path", "anchor", "times", "all").distinct()
     return hits.groupBy("task_id", "path").agg(F.least(F.lit(1.0), F.sum("times") / F.first("all")).alias("signal"))
 
@@ -132,14 +133,18 @@ def combined(column: dict[str, Column], damp: Column, settings: Settings) -> Col
     return clamp01(total([F.lit(settings.weights[f]) * column[f] * (damp if f == "mention" else F.lit(1.0)) for f in FACTORS]))
 
 
-def lexical(tasks: DataFrame, files: DataFrame) -> DataFrame:
-    """task_id, path and the five lexical signals, for the pairs that any of them reaches."""
+def lexical(tasks: DataFrame, files: DataFrame, readable: DataFrame | None = None) -> DataFrame:
+    """task_id, path and the five lexical signals, for the pairs that any of them reaches.
+
+    readable: the pairs (task_id, path) whose texts count, where those are not all.
+    """
+    docs = doc(tasks, files)
     parts = {
         "mention": mention(tasks, files).withColumn("signal", F.lit(1.0)),
         "filename": filename(tasks, files),
         "symbol": symbol(tasks, files),
         "package": package(tasks, files),
-        "doc": doc(tasks, files),
+        "doc": docs if readable is None else docs.join(readable, ["task_id", "path"], "left_semi"),
     }
     rows = None
     for name, part in parts.items():
@@ -162,11 +167,11 @@ def with_facts(rows: DataFrame, tasks: DataFrame, files: DataFrame, settings: Se
     return rows.withColumn("pass1", scored(settings, imported=False)[1])
 
 
-def first_pass(tasks: DataFrame, files: DataFrame, settings: Settings) -> DataFrame:
+def first_pass(tasks: DataFrame, files: DataFrame, settings: Settings, readable: DataFrame | None = None) -> DataFrame:
     """Every pair that has a signal before imports and tested files are known (a test of a named package has package too)."""
     configs = files.where(config_for_score(F.col("path"))).select("path")
     pairs = tasks.select("task_id").crossJoin(configs).withColumns({c: F.lit(0.0) for c in LEXICAL})
-    rows = lexical(tasks, files).unionByName(pairs).groupBy("task_id", "path").agg(*[F.max(c).alias(c) for c in LEXICAL])
+    rows = lexical(tasks, files, readable).unionByName(pairs).groupBy("task_id", "path").agg(*[F.max(c).alias(c) for c in LEXICAL])
     return with_facts(rows, tasks, files, settings)
 
 
@@ -191,9 +196,9 @@ def imported(rows: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame
     return near.unionByName(far).groupBy("task_id", "path").agg(F.max("signal").alias("reached"))
 
 
-def score(tasks: DataFrame, files: DataFrame, imports: DataFrame, links: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """task_id, path, the eight signals, dampener, pass1 and score."""
-    rows = written(first_pass(tasks, files, settings), "first-pass")
+def score(tasks: DataFrame, files: DataFrame, imports: DataFrame, links: DataFrame, settings: Settings = Settings(), readable: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """task_id, path, the eight signals, dampener, pass1 and score; readable as in lexical()."""
+    rows = written(first_pass(tasks, files, settings, readable), "first-pass")
     tested = links.join(rows.where("pass1 >= 0.5").select("task_id", F.col("path").alias("link")), "link").join(files.where("is_test").select("path"), "path").select("task_id", "path").distinct().withColumn("tested", F.lit(True))
     late = tested.join(imported(rows, files, imports), ["task_id", "path"], "full_outer")
     late = written(late, "late-signals")

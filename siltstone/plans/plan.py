@@ -1,8 +1,10 @@
 """From tasks and files to manifests, for a batch of tasks at once.
 
 tasks: task_id and what operators.tasks.parse adds; files: path, extension, language, package,
-is_test, size_bytes, symbols (names), text; imports: path, import; budgets: task_id, budget
-(effective tokens). Tables that several others read are written once in the shared folder.
+is_test, size_bytes, symbols (names), text, and for the summaries' costs details
+(array<struct<name, kind, receiver, exported>>), package_name and parse_error; imports: path,
+import; budgets: task_id, budget (effective tokens). Tables that several others read are written
+once in the shared folder.
 """
 
 from __future__ import annotations
@@ -11,22 +13,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import feasibility, index, manifest, pack, rules, score
+from ..operators import feasibility, index, manifest, pack, rules, score, summary
 from ..sources.shared import written
 
 
+def with_costs(files: DataFrame, imports: DataFrame, links: DataFrame) -> DataFrame:
+    """files with side_effects and the tokens of the whole file and of its two summaries."""
+    lists = {
+        "imports": imports.groupBy("path").agg(F.sort_array(F.collect_set("import")).alias("imports")),
+        "side_effects": index.side_effects(imports).groupBy("path").agg(F.sort_array(F.collect_set("tag")).alias("side_effects")),
+        "test_links": links.groupBy("path").agg(F.sort_array(F.collect_set("link")).alias("test_links")),
+    }
+    rows = files
+    for name, part in lists.items():
+        rows = rows.join(part, "path", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+
+    def of(name: str) -> F.Column:
+        return F.col("details" if name == "symbols" else name)
+
+    full = pack.full_tokens(F.col("size_bytes"))
+    costs = {
+        "cost_full": full,
+        "cost_structural": pack.summary_tokens(F.octet_length(summary.structural(of))),
+        "cost_behavioral": pack.summary_tokens(F.octet_length(summary.behavioral(full, of))),
+    }
+    return rows.withColumns(costs).drop("imports", "test_links", "details", "package_name", "parse_error")
+
+
 class Plan:
     def __init__(self, tasks: DataFrame, files: DataFrame, imports: DataFrame, budgets: DataFrame, settings: score.Settings | None = None, blocking: tuple[str, ...] = (), force_full: bool = False):
         self.tasks, self.budgets = written(tasks, "tasks"), budgets
-        effects = index.side_effects(imports).groupBy("path").agg(F.sort_array(F.collect_set("tag")).alias("side_effects"))
-        files = files.join(effects, "path", "left").withColumn("side_effects", F.coalesce("side_effects", F.array().cast("array<string>")))
-        self.files = written(files, "files")
-        scores = score.score(self.tasks, self.files, imports, index.test_links(self.files), settings or score.Settings())
-        self.scores = written(scores.where(F.col("score") >= K.BANDS[-1][1]), "scores")
-        about = self.files.select("path", "size_bytes", "language", "symbols", "side_effects")
-        half, third = (F.ceil(F.col("size_bytes") / n / F.lit(7)) for n in (2, 3))
-        costs = [pack.full_tokens(F.col("size_bytes")).alias("cost_full"), (half + 24).cast("bigint").alias("cost_structural"), (third + 24).cast("bigint").alias("cost_behavioral")]
-        rows = self.scores.join(about, "path").select("task_id", "path", "score", (F.col("mention") == 1).alias("mentioned"), "size_bytes", *costs, "language", F.size("symbols").alias("n_symbols"), "side_effects")
+        settings = settings or score.Settings()
+        links = written(index.test_links(files), "links")
+        self.files = written(with_costs(files, imports, links), "files")
+        least = F.col("score") >= K.BANDS[-1][1]
+        nothing = self.tasks.select("task_id", F.lit("").alias("path")).where("false")
+        first = score.score(self.tasks, self.files, imports, links, settings, nothing).where(least)
+        # files are read only if they are relevant by their names and links; their texts then count for all scores
+        viable = written(first.select("task_id", "path"), "viable")
+        self.scores = written(score.score(self.tasks, self.files, imports, links, settings, viable).join(viable, ["task_id", "path"], "left_semi"), "scores")
+        about = self.files.select("path", "size_bytes", "language", "symbols", "side_effects", "cost_full", "cost_structural", "cost_behavioral")
+        rows = self.scores.join(about, "path").select("task_id", "path", "score", (F.col("mention") == 1).alias("mentioned"), "size_bytes", "cost_full", "cost_structural", "cost_behavioral", "language", F.size("symbols").alias("n_symbols"), "side_effects")
         self.eligible = written(pack.with_eligibility(rows), "candidates")
         pairs = pack.mode_rows(self.eligible)
         chosen = pack.forced_full(pairs, budgets)[0] if force_full else pack.greedy(pairs, budgets)
@@ -36,6 +63,6 @@ class Plan:
         self.gaps = written(rules.gaps(self.tasks, self.assigned, self.files, self.supplemental, self.underflow, blocking), "gaps")
         self.feasibility = feasibility.compute(self.tasks, self.assigned, self.files, self.gaps, budgets)
 
-    def manifests(self) -> DataFrame:
+    def manifests(self, exclusions: DataFrame | None = None, about: dict | None = None) -> DataFrame:
         """task_id, manifest (nested), manifest_hash, manifest_id."""
-        return manifest.assemble(self.tasks, self.assigned, self.scores, self.gaps, self.feasibility, self.budgets)
+        return manifest.assemble(self.tasks, self.assigned, self.scores, self.gaps, self.feasibility, self.budgets, self.files, self.supplemental, exclusions, about)

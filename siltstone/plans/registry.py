@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import globs, text
-from ..operators import diff, evaluate, graph, index, manifest, pack, score, summary, tasks
+from ..operators import diff, evaluate, feasibility, graph, index, manifest, manifest_diff, pack, report, score, summary, tasks
+from ..sources.tasks import is_markdown
 from . import sql as S
 from . import virtual as V
 from .plan import Plan
@@ -146,7 +147,7 @@ def forbidden_hits(spark, sf_dir):
 @query("scope_projection", S.with_(S.FILES) + "SELECT path, FALSE AS out_of_scope FROM files WHERE path LIKE 'internal/brand2/%'")
 def scope_projection(spark, sf_dir):
     files = V.file_table(spark, sf_dir)
-    return index.scoped(files, index.supplementals(files), "internal/brand2").select("path", "out_of_scope")
+    return index.scoped(files, index.supplementals(files), index.scope_of("./internal\\./brand2/")).select("path", "out_of_scope")
 
 
 @query("test_links", S.with_(S.FILES) + "SELECT path, link FROM links")
@@ -178,7 +179,7 @@ def two_hop_reach(spark, sf_dir):
     return graph.reach(graph.package_edges(files, imports, graph.resolve_imports(imports, dirs(files))))
 
 
-SCORED = S.with_(S.parsed(S.TASKS), S.FILES, S.SIGNALS)
+SCORED = S.with_(S.parsed(S.TASKS), S.FILES, S.SIGNALS, S.scored())
 
 
 def signal(name: str, column: str, build):
@@ -300,15 +301,30 @@ PLAN = [
     S.parsed(S.TASKS),
     S.FILES,
     S.SIGNALS,
+    # files are read only if they are relevant without their texts
+    "dense0 AS (SELECT * REPLACE (CAST(0.0 AS DOUBLE) AS doc) FROM dense)",
+    S.scored("_first", "dense0"),
+    """viable AS (SELECT task_id, path FROM scores_first WHERE score >= 0.3),
+dense1 AS (SELECT d.* REPLACE (CASE WHEN v.path IS NULL THEN 0.0 ELSE d.doc END AS doc) FROM dense d LEFT JOIN viable v ON v.task_id = d.task_id AND v.path = d.path)""",
+    S.scored("_final", "dense1"),
     """
 fxt AS (SELECT DISTINCT path, tag FROM imports JOIN fx ON (import = prefix OR starts_with(import, prefix || '/')) AND NOT (prefix = 'os' AND (import = 'os/exec' OR starts_with(import, 'os/exec/')))),
 fxn AS (SELECT path, count(*) AS n FROM fxt GROUP BY path),
 buds AS (SELECT concat('task-', CAST(n_nationkey AS STRING)) AS task_id, CAST(300 * (n_nationkey + 1) AS BIGINT) AS budget FROM nation),
-cand AS (SELECT s.task_id, s.path, s.score, s.mention = 1.0 AS mentioned, s.size_bytes, CAST(ceil(s.size_bytes * 2 / 7) AS BIGINT) + 32 AS cost_full, CAST(ceil(s.size_bytes / 2 / 7) AS BIGINT) + 24 AS cost_structural,
-  CAST(ceil(s.size_bytes / 3 / 7) AS BIGINT) + 24 AS cost_behavioral, s.language, CASE WHEN f.blob = '' THEN 0 ELSE 2 END AS n_symbols, coalesce(x.n, 0) AS n_tags,
+listed AS (SELECT path, sum(n) AS n FROM (SELECT path, sum(strlen(import) + 5) + 9 AS n FROM imports GROUP BY path UNION ALL SELECT path, sum(strlen(link) + 5) + 7 FROM links GROUP BY path) GROUP BY path),
+effects AS (SELECT path, sum(strlen(tag) + 5) + 14 AS n FROM fxt GROUP BY path),
+texts AS (SELECT f.path, CAST(ceil(f.size_bytes * 2 / 7) AS BIGINT) + 32 AS cost_full,
+  CASE WHEN language <> 'go' THEN 0 ELSE strlen('# structural summary: ' || f.path || chr(10) || 'package ' || regexp_extract(package, '[^/]*$') || chr(10)) + coalesce(l.n, 0)
+    + CASE WHEN blob = '' THEN 0 ELSE strlen('type:' || chr(10) || '  - ' || camel || chr(10) || 'func:' || chr(10) || '  - New' || camel || chr(10)) END END AS structural,
+  strlen('# behavioral summary: ' || f.path || chr(10) || 'size_band: ' || CASE WHEN size_bytes <= 8192 AND t <= 2000 THEN 'small' WHEN size_bytes <= 32768 AND t <= 8000 THEN 'medium' ELSE 'large' END || chr(10)
+    || 'size_bytes: ' || CAST(size_bytes AS STRING) || chr(10) || 'estimated_tokens_full: ' || CAST(t AS STRING) || chr(10) || 'language: ' || language || chr(10)
+    || CASE WHEN language = 'go' AND blob <> '' THEN 'exported_api:' || chr(10) || '  - func New' || camel || chr(10) || '  - type ' || camel || chr(10) ELSE '' END) + coalesce(l.n, 0) + coalesce(e.n, 0) AS behavioral
+  FROM (SELECT *, CAST(ceil(size_bytes * 2 / 7) AS BIGINT) + 32 AS t FROM files) f LEFT JOIN listed l ON l.path = f.path LEFT JOIN effects e ON e.path = f.path),
+cand AS (SELECT s.task_id, s.path, s.score, s.mention = 1.0 AS mentioned, s.size_bytes, c.cost_full, CAST(ceil(c.structural * 2 / 7) AS BIGINT) + 24 AS cost_structural,
+  CAST(ceil(c.behavioral * 2 / 7) AS BIGINT) + 24 AS cost_behavioral, s.language, CASE WHEN f.blob = '' THEN 0 ELSE 2 END AS n_symbols, coalesce(x.n, 0) AS n_tags,
   CASE WHEN score >= 0.8 THEN 'highly_relevant' WHEN score >= 0.6 THEN 'moderately_relevant' WHEN score >= 0.3 THEN 'plausibly_relevant' ELSE 'low' END AS band,
   CASE WHEN s.size_bytes <= 8192 AND CAST(ceil(s.size_bytes * 2 / 7) AS BIGINT) + 32 <= 2000 THEN 'small' WHEN s.size_bytes <= 32768 AND CAST(ceil(s.size_bytes * 2 / 7) AS BIGINT) + 32 <= 8000 THEN 'medium' ELSE 'large' END AS size_band
-  FROM scores s JOIN files f USING (path) LEFT JOIN fxn x ON x.path = s.path WHERE s.score >= 0.3),
+  FROM scores_final s JOIN viable v ON v.task_id = s.task_id AND v.path = s.path JOIN files f ON f.path = s.path JOIN texts c ON c.path = s.path LEFT JOIN fxn x ON x.path = s.path),
 elig0 AS (SELECT *, (band = 'highly_relevant' OR mentioned) AND size_band <> 'large' AS is_full, band IN ('highly_relevant', 'moderately_relevant') AND language = 'go' AND n_symbols > 0 AS is_structural FROM cand),
 elig AS (SELECT *, band IN ('highly_relevant', 'moderately_relevant') AND (NOT is_structural OR n_tags >= 2 OR path LIKE '%.md') AS is_behavioral FROM elig0),
 modes AS (
@@ -426,18 +442,18 @@ SEGMENTS = "SELECT c_mktsegment || '-' || CAST(c_nationkey AS STRING) AS name, r
 
 
 @query("eval_regressions", f"""WITH c AS ({SEGMENTS.format("c_custkey % 2 = 0")}), b AS ({SEGMENTS.format("c_custkey % 2 = 1")})
-    SELECT coalesce(c.name, b.name) AS name, CASE WHEN c.name IS NULL THEN 'orphaned' WHEN b.name IS NULL THEN 'unreferenced' WHEN b.precision - c.precision > 0.02 OR b.recall - c.recall > 0.02 OR b.f1 - c.f1 > 0.02 THEN 'regressed' ELSE 'ok' END AS status FROM c FULL JOIN b ON b.name = c.name""")
+    SELECT coalesce(c.name, b.name) AS name, CASE WHEN c.name IS NULL THEN 'orphaned' WHEN b.name IS NULL THEN 'unreferenced' WHEN b.f1 - c.f1 > 0.02 THEN 'regressed' ELSE 'ok' END AS status FROM c FULL JOIN b ON b.name = c.name""")
 def eval_regressions(spark, sf_dir):
     def half(rest: int) -> DataFrame:
         rows = V.load(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == rest).groupBy(F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("name"))
         return rows.agg(*[F.round(f("c_acctbal") / 10000, 6).alias(n) for n, f in (("precision", F.avg), ("recall", F.max), ("f1", F.min))])
 
-    return evaluate.regressions(half(0), half(1))
+    return evaluate.regressions(half(0), half(1)).select("name", "status")
 
 
-@query("term_topn", S.with_(S.parsed(RAW_BENCHMARK)) + """, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL),
-    t AS (SELECT DISTINCT task_id, unnest(alow) AS term FROM parsed), h AS (SELECT task_id, doc_id, CAST(sum(n) AS BIGINT) AS cnt FROM c JOIN t USING (term) GROUP BY ALL)
-    SELECT task_id, doc_id, cnt, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY cnt DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 20""")
+@query("term_topn", S.with_(S.parsed(RAW_BENCHMARK)) + """, t AS (SELECT task_id, array_to_string(list_transform(list_filter(alow, lambda x, i: list_position(alow, x) = i), lambda x: regexp_escape(x)), '|') AS pattern FROM parsed WHERE len(alow) > 0),
+    h AS (SELECT task_id, doc_id, CAST(len(regexp_extract_all(lower(text), pattern)) AS BIGINT) AS cnt FROM t CROSS JOIN documents)
+    SELECT task_id, doc_id, cnt, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY cnt DESC, doc_id) AS INTEGER) AS rank FROM h WHERE cnt > 0) WHERE rank <= 20""")
 def term_topn(spark, sf_dir):
     terms = benchmark_tasks(spark, sf_dir).select("task_id", F.array_distinct(tasks.lower_all(F.col("anchors"))).alias("terms"))
     texts = V.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
@@ -496,3 +512,83 @@ def cache_hit_miss(spark, sf_dir):
     docs = V.load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("|", "doc_id", F.octet_length("text"), F.lit("v1")), 256).alias("key"))
     seen = V.load(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
     return docs.join(seen, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+# --- sections of a diff, reports, reasons, odd paths -----------------------------------------------
+
+SECOND = "buds2 AS (SELECT task_id, budget * 2 AS budget FROM buds)"
+HALVES = S.with_(S.CANDIDATES, S.picked("chosen", "pairs", "buds"), SECOND, S.picked("chosen2", "pairs", "buds2"), recursive=True)
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Assignments of the packing candidates under a budget and under twice that."""
+    rows, limits = eligible(spark, sf_dir), V.candidate_budgets(spark, sf_dir)
+    pairs = pack.mode_rows(rows)
+    return tuple(pack.assignments(rows, pack.greedy(pairs, b)) for b in (limits, limits.withColumn("budget", F.col("budget") * 2)))
+
+
+@query("diff_selections", HALVES + """SELECT coalesce(a.task_id, b.task_id) AS task_id, 'selections' AS section, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'load_mode_changed' END AS change,
+    coalesce(a.path, b.path) AS item, a.mode AS a, b.mode AS b FROM chosen a FULL JOIN chosen2 b ON a.task_id = b.task_id AND a.path = b.path WHERE a.mode IS DISTINCT FROM b.mode""")
+def diff_selections(spark, sf_dir):
+    a, b = (x.where("load_mode <> 'reachable'") for x in halves(spark, sf_dir))
+    return manifest_diff.selection_changes(a, b)
+
+
+@query("diff_reachable", HALVES + """, ra AS (SELECT task_id, path FROM cand c WHERE band <> 'low' AND NOT EXISTS (SELECT 1 FROM chosen x WHERE x.task_id = c.task_id AND x.path = c.path)),
+    rb AS (SELECT task_id, path FROM cand c WHERE band <> 'low' AND NOT EXISTS (SELECT 1 FROM chosen2 x WHERE x.task_id = c.task_id AND x.path = c.path))
+    SELECT task_id, 'added' AS change, path AS item FROM rb WHERE NOT EXISTS (SELECT 1 FROM ra WHERE ra.task_id = rb.task_id AND ra.path = rb.path)
+    UNION ALL SELECT task_id, CASE WHEN EXISTS (SELECT 1 FROM chosen2 x WHERE x.task_id = ra.task_id AND x.path = ra.path) THEN 'promoted' ELSE 'removed' END, path FROM ra WHERE NOT EXISTS (SELECT 1 FROM rb WHERE rb.task_id = ra.task_id AND rb.path = ra.path)""")
+def diff_reachable(spark, sf_dir):
+    a, b = halves(spark, sf_dir)
+    low = "load_mode = 'reachable'"
+    return manifest_diff.reachable_changes(a.where(low), b.where(low), b.where(f"not {low}")).select("task_id", "change", "item")
+
+
+GAP_ROWS = "SELECT CAST(user_id % 50 AS STRING) AS task_id, event_id AS ordinal, event_type AS type, CASE WHEN value >= 40 THEN 'blocking' WHEN value >= 10 THEN 'warning' ELSE 'info' END AS severity, concat('case ', CAST(user_id % 7 AS STRING)) AS description FROM events"
+
+
+@query("diff_gaps", f"""WITH g AS ({GAP_ROWS}), a AS (SELECT task_id, type, description, max_by(severity, ordinal) AS s FROM g WHERE ordinal % 3 > 0 GROUP BY ALL), b AS (SELECT task_id, type, description, max_by(severity, ordinal) AS s FROM g WHERE ordinal % 2 = 0 GROUP BY ALL)
+    SELECT coalesce(a.task_id, b.task_id) AS task_id, CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'resolved' ELSE 'severity_changed' END AS change, concat(coalesce(a.type, b.type), ': ', coalesce(a.description, b.description)) AS item, a.s AS a, b.s AS b
+    FROM a FULL JOIN b ON a.task_id = b.task_id AND a.type = b.type AND a.description = b.description WHERE a.s IS DISTINCT FROM b.s""")
+def diff_gaps(spark, sf_dir):
+    V.load(spark, sf_dir, "events").createOrReplaceTempView("gap_events")
+    rows = spark.sql(GAP_ROWS.replace("FROM events", "FROM gap_events"))
+    return manifest_diff.gap_changes(rows.where("ordinal % 3 > 0"), rows.where("ordinal % 2 = 0")).drop("section")
+
+
+@query("diff_documents")
+def diff_documents(spark, sf_dir):
+    """Two plans of the same tasks, the second under twice the budget, as JSON and Markdown of their differences."""
+    a = virtual_plan(spark, sf_dir).manifests()
+    budgets = V.budgets(spark, sf_dir).withColumn("budget", F.col("budget") * 2)
+    b = Plan(V.task_table(spark, sf_dir), V.file_table(spark, sf_dir), V.import_table(spark, sf_dir), budgets).manifests()
+    return manifest_diff.documents(a, b)
+
+
+@query("feasibility_reasons", PLAN_SQL + """, lines AS (SELECT task_id, 1 AS o, 'coverage=' AS n, coverage AS v FROM feas UNION ALL SELECT task_id, 2, 'anchor_resolution=', anchor_resolution FROM feas
+    UNION ALL SELECT task_id, 3, 'task_specificity=', task_specificity FROM feas UNION ALL SELECT task_id, 4, 'budget_headroom=', budget_headroom FROM feas),
+    low AS (SELECT task_id, o, n, v FROM lines WHERE v < 0.5 UNION ALL SELECT task_id, 5, 'gap_penalty=', gap_penalty FROM feas WHERE gap_penalty > 0)
+    SELECT f.task_id, coalesce((SELECT string_agg(n || printf('%.2f', CAST(v AS DOUBLE)), '|' ORDER BY o) FROM lines l WHERE l.task_id = f.task_id AND v >= 0.5), '') AS positives,
+    coalesce((SELECT string_agg(n || printf('%.2f', CAST(v AS DOUBLE)), '|' ORDER BY o) FROM low l WHERE l.task_id = f.task_id), '') AS negatives,
+    coalesce((SELECT string_agg(type || ': ' || description, '|' ORDER BY type || ': ' || description) FROM gaps g WHERE g.task_id = f.task_id AND severity = 'blocking'), '') AS blocking_conditions FROM feas f""")
+def feasibility_reasons(spark, sf_dir):
+    plan = virtual_plan(spark, sf_dir)
+    rows = feasibility.reasons(plan.feasibility, plan.gaps)
+    return rows.select("task_id", *[exploded(c).alias(c) for c in ("positives", "negatives", "blocking_conditions")])
+
+
+@query("eval_results", f"""WITH c AS ({SEGMENTS.format("c_custkey % 2 = 0")}), b AS ({SEGMENTS.format("c_custkey % 3 = 1")})
+    SELECT coalesce(c.name, b.name) AS name, c.f1 AS f1, b.f1 AS baseline_f1, CASE WHEN c.name IS NULL THEN 'orphaned' WHEN b.name IS NULL THEN 'unreferenced' WHEN b.f1 - c.f1 > 0.02 THEN 'regressed' ELSE 'ok' END AS status,
+    CASE WHEN b.f1 - c.f1 > 0.02 THEN b.f1 - c.f1 END AS "drop" FROM c FULL JOIN b ON b.name = c.name""")
+def eval_results(spark, sf_dir):
+    def part(cond: str) -> DataFrame:
+        rows = V.load(spark, sf_dir, "customer").where(cond).groupBy(F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("name"))
+        return rows.agg(*[F.round(f("c_acctbal") / 10000, 6).alias(n) for n, f in (("precision", F.avg), ("recall", F.max), ("f1", F.min))])
+
+    return report.results(part("c_custkey % 2 = 0"), part("c_custkey % 3 = 1")).select("name", "f1", "baseline_f1", "status", "drop")
+
+
+@query("markdown_paths", """SELECT p, regexp_matches(lower(p), '\\.(md|markdown|mdx)$') AS markdown FROM (SELECT concat(url, CASE page_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.MARKDOWN' WHEN 2 THEN '.mdx' WHEN 3 THEN '.md.txt' ELSE 'md' END) AS p FROM pages)""")
+def markdown_paths(spark, sf_dir):
+    ends = F.get(F.array(*map(F.lit, [".md", ".MARKDOWN", ".mdx", ".md.txt", "md"])), (F.col("page_id") % 5).cast("int"))
+    return V.load(spark, sf_dir, "pages").select(F.concat("url", ends).alias("p")).withColumn("markdown", is_markdown(F.col("p")))

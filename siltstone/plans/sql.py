@@ -61,8 +61,7 @@ def flanked(name: str) -> str:
     return f"regexp_matches(low, '(^|[^a-z0-9_])' || replace({name}, '.', '\\.') || '($|[^a-z0-9_])')"
 
 
-SIGNALS = (
-    f"""
+SIGNALS = f"""
 anc AS (SELECT task_id, list_distinct(alow) AS aset FROM parsed),
 dense AS (SELECT p.task_id, p.type, p.alow, f.path, f.package, f.is_test, f.language, f.size_bytes,
   CASE WHEN {flanked("lower(f.path)")} OR {flanked("lower(f.base)")} THEN 1.0 ELSE 0.0 END::DOUBLE AS mention,
@@ -74,21 +73,25 @@ dense AS (SELECT p.task_id, p.type, p.alow, f.path, f.package, f.is_test, f.lang
   CASE WHEN NOT f.path LIKE 'config/%' THEN 0.0 WHEN p.type IN ('feature', 'migration', 'refactor') THEN 1.0 ELSE 0.5 END::DOUBLE AS config,
   CASE WHEN f.is_test AND list_contains(p.alow, regexp_extract(f.package, '[^/]*$')) THEN 0.5 ELSE 0.0 END::DOUBLE AS named
   FROM parsed p JOIN anc a USING (task_id) CROSS JOIN files f),
-reached AS (SELECT * FROM dense WHERE mention > 0 OR filename > 0 OR symbol > 0 OR package_signal > 0 OR doc > 0),
-p1 AS (SELECT *, least(1.0, 0.3 + 0.7 * greatest(symbol, filename, package_signal)) AS damp1 FROM reached),
-pass1 AS (SELECT *, least(1.0, greatest(0.0, 0.25 * mention * damp1 + 0.12 * filename + 0.2 * symbol + 0.12 * 0.0 + 0.1 * package_signal + 0.08 * named + 0.07 * doc + 0.06 * config)) AS pass1 FROM p1),
-pkg AS (SELECT task_id, package AS dir, max(pass1) AS best FROM pass1 WHERE package <> '' GROUP BY ALL),
 direct AS (SELECT DISTINCT path, dir FROM imports JOIN resolved USING (import)),
-onward AS (SELECT DISTINCT d.path, e.dst AS dir FROM direct d JOIN edges e ON e.src = d.dir WHERE NOT EXISTS (SELECT 1 FROM direct x WHERE x.path = d.path AND x.dir = e.dst)),
-imp AS (SELECT task_id, path, max(s) AS import_signal FROM (
-  SELECT task_id, path, CASE WHEN best >= 0.8 THEN 1.0 WHEN best >= 0.6 THEN 0.7 ELSE 0.0 END AS s FROM direct JOIN pkg USING (dir)
-  UNION ALL SELECT task_id, path, CASE WHEN best >= 0.6 THEN 0.4 ELSE 0.0 END FROM onward JOIN pkg USING (dir)) GROUP BY ALL),
-tested AS (SELECT DISTINCT p.task_id, l.path FROM links l JOIN pass1 p ON p.path = l.link WHERE p.pass1 >= 0.5),
-sig AS (SELECT p.*, CAST(coalesce(i.import_signal, 0.0) AS DOUBLE) AS import_signal, CASE WHEN p.is_test AND t.path IS NOT NULL THEN 1.0 ELSE named END::DOUBLE AS test
-  FROM pass1 p LEFT JOIN imp i ON i.task_id = p.task_id AND i.path = p.path LEFT JOIN tested t ON t.task_id = p.task_id AND t.path = p.path),
-sig2 AS (SELECT *, CAST(least(1.0, 0.3 + 0.7 * greatest(symbol, filename, package_signal, import_signal)) AS DOUBLE) AS dampener FROM sig),
-scores AS (SELECT *, least(1.0, greatest(0.0, 0.25 * mention * dampener + 0.12 * filename + 0.2 * symbol + 0.12 * import_signal + 0.1 * package_signal + 0.08 * test + 0.07 * doc + 0.06 * config)) AS score FROM sig2)"""
-)
+onward AS (SELECT DISTINCT d.path, e.dst AS dir FROM direct d JOIN edges e ON e.src = d.dir WHERE NOT EXISTS (SELECT 1 FROM direct x WHERE x.path = d.path AND x.dir = e.dst))"""
+
+
+def scored(tag: str = "", source: str = "dense") -> str:
+    """From the signals in source to scores; every name ends in tag."""
+    return f"""
+p1{tag} AS (SELECT *, least(1.0, 0.3 + 0.7 * greatest(symbol, filename, package_signal)) AS damp1 FROM {source}),
+pass1{tag} AS (SELECT *, least(1.0, greatest(0.0, 0.25 * mention * damp1 + 0.12 * filename + 0.2 * symbol + 0.12 * 0.0 + 0.1 * package_signal + 0.08 * named + 0.07 * doc + 0.06 * config)) AS pass1 FROM p1{tag}),
+pkg{tag} AS (SELECT task_id, package AS dir, max(pass1) AS best FROM pass1{tag} WHERE package <> '' GROUP BY ALL),
+imp{tag} AS (SELECT task_id, path, max(s) AS import_signal FROM (
+  SELECT task_id, path, CASE WHEN best >= 0.8 THEN 1.0 WHEN best >= 0.6 THEN 0.7 ELSE 0.0 END AS s FROM direct JOIN pkg{tag} USING (dir)
+  UNION ALL SELECT task_id, path, CASE WHEN best >= 0.6 THEN 0.4 ELSE 0.0 END FROM onward JOIN pkg{tag} USING (dir)) GROUP BY ALL),
+tested{tag} AS (SELECT DISTINCT p.task_id, l.path FROM links l JOIN pass1{tag} p ON p.path = l.link WHERE p.pass1 >= 0.5),
+sig{tag} AS (SELECT p.*, CAST(coalesce(i.import_signal, 0.0) AS DOUBLE) AS import_signal, CASE WHEN p.is_test AND t.path IS NOT NULL THEN 1.0 ELSE named END::DOUBLE AS test
+  FROM pass1{tag} p LEFT JOIN imp{tag} i ON i.task_id = p.task_id AND i.path = p.path LEFT JOIN tested{tag} t ON t.task_id = p.task_id AND t.path = p.path),
+sig2{tag} AS (SELECT *, CAST(least(1.0, 0.3 + 0.7 * greatest(symbol, filename, package_signal, import_signal)) AS DOUBLE) AS dampener FROM sig{tag}),
+scores{tag} AS (SELECT *, least(1.0, greatest(0.0, 0.25 * mention * dampener + 0.12 * filename + 0.2 * symbol + 0.12 * import_signal + 0.1 * package_signal + 0.08 * test + 0.07 * doc + 0.06 * config)) AS score FROM sig2{tag})"""
+
 
 CANDIDATES = """
 li AS (SELECT CAST(l_suppkey AS STRING) AS task_id,

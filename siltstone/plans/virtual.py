@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import basename
 from ..operators import index, tasks
 
 BRAND = "replace(lower(p_brand), '#', '')"
@@ -49,7 +50,10 @@ def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = index.describe(rows.groupBy("path").agg(F.sum("size").alias("size_bytes"), F.min("camel").alias("camel"), F.min("text").alias("text")))
     plain = F.array("camel", F.concat(F.lit("New"), "camel"))
     code = (F.col("language") == "go") & ~F.col("is_test")
-    return rows.withColumn("symbols", F.when(code, plain).when(F.col("language") == "typescript", F.array(F.concat("camel", F.lit("View")))).otherwise(F.array().cast("array<string>")))
+    kind = lambda n: F.when(n.startswith("New"), "func").otherwise("type")
+    rows = rows.withColumn("symbols", F.when(code, plain).when(F.col("language") == "typescript", F.array(F.concat("camel", F.lit("View")))).otherwise(F.array().cast("array<string>")))
+    details = F.transform("symbols", lambda n: F.struct(n.alias("name"), kind(n).alias("kind"), F.lit("").alias("receiver"), F.lit(True).alias("exported")))
+    return rows.withColumns({"details": details, "package_name": F.when(F.col("package") != "", basename(F.col("package"))).otherwise(""), "parse_error": F.lit(False)})
 
 
 def import_table(spark: SparkSession, sf_dir: str) -> DataFrame:
