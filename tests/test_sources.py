@@ -101,6 +101,39 @@ import "./side"
     assert got["b.ts"].imports == ["./side", "./v", "./w", "./x", "./y"]
 
 
+def test_scanner_knows_strings_comments_and_brackets(spark):
+    go = """package p
+
+type ( Alpha struct{}; Beta int )
+
+var X, Y int
+
+var s = "a/*"
+
+func Between() { _ = `raw " ( */` }
+
+// func Commented() {}
+/* type Hidden int
+func Nor() {} */
+const C = '"'
+
+func After(a []int) {}
+"""
+    ts = """export const a = `x ${f({ k: `in ${1} (` })} func( export`
+/* export class No {} */
+export const re = /[/"(]+/g
+export function b(x) { return x / 2 / 3 }
+const s = "export class Nope { '"
+export class Yes {}
+"""
+    texts = [("a.go", "go", go), ("b.ts", "typescript", ts), ("c.go", "go", 'package p\n\nimport "fmt"\n\nfunc Broken( {\n'), ("d.ts", "typescript", "export const a = (;\n"), ("e.js", "javascript", "export const t = `open\n"), ("f.go", "go", "package p\n/* open\nfunc F() {}\n"), ("g.txt", "", "(")]
+    got = {r.path: r for r in analyze.analyze(spark.createDataFrame(texts, "path string, language string, text string")).collect()}
+    assert {(s.name, s.kind) for s in got["a.go"].symbols} == {("Alpha", "type"), ("Beta", "type"), ("X", "var"), ("Y", "var"), ("Between", "func"), ("C", "const"), ("After", "func")}
+    assert {s.name for s in got["b.ts"].symbols if s.exported} == {"a", "re", "b", "Yes"}
+    assert [(p, got[p].parse_error, len(got[p].symbols)) for p in ("c.go", "d.ts", "e.js", "f.go", "g.txt")] == [("c.go", True, 0), ("d.ts", True, 0), ("e.js", True, 0), ("f.go", True, 0), ("g.txt", False, 0)]
+    assert got["c.go"].imports == ["fmt"] and not got["a.go"].parse_error and not got["b.ts"].parse_error
+
+
 def test_walk(spark, tmp_path):
     held = {"a/x.go": b"package a", ".git/config": b"x", "b.bin": b"a\x00b", "vendor/v.go": b"x", "keep/me.txt": b"y", ".github/ci.yaml": b"z", "pkg/__init__.py": b"", "pkg/_helper.go": b"package pkg",
             ".golangci.yml": b"x", "R.MD": b"x", "big.txt": b"x" * ((10 << 20) + 1), "a/b c/%41é.txt": b"q", "sub/vendor/v.go": b"x", "x.min.js": b"x"}
