@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir, written
 
-__all__ = ["ascii_lower", "free_names", "held_out", "join_groups", "shared_dir", "table", "unit", "written"]
+__all__ = ["ascii_lower", "free_names", "given_back", "held_out", "join_groups", "shared_dir", "small_batches", "table", "unit", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +49,36 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return left.hint("merge").join(cold, key).unionByName(rows.join(F.broadcast(hot), key))
 
 
+#: Rows of texts that go to a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are longer than what Spark's default of rows for an Arrow batch is meant for; a value of the caller's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def given_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which a Python worker, which goes on to other stages, gives free memory back."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for columns that df doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, join_groups, table, written
+from .common import free_names, given_back, join_groups, table, written
 from .components import components
 from .hashing import shingles
 
@@ -48,8 +48,8 @@ LONG = 256
 FAN = 256
 #: Buckets of the filter that keeps texts no pair asks for out of the shuffle.
 SIEVE = 1 << 20
-#: Texts hashed at once, and their characters.
-PART, CHARS = 512, 1 << 20
+#: Texts hashed at once, their characters, and characters of texts whose shingles are counted together.
+PART, CHARS, COUNTED = 512, 1 << 18, 1 << 22
 
 
 def parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -74,13 +74,13 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
                 if texts is not None:
                     sets += shingles(texts, width)
                     size += sum(map(len, texts))
-                if sets and (texts is None or size > 8 * CHARS):
+                if sets and (texts is None or size > COUNTED):
                     held, n = np.unique(np.concatenate(sets), return_counts=True)
                     most = n >= max(3, len(sets) // 400)
                     yield pd.DataFrame({"s": held[most].view(np.int64), "n": n[most]})
                     sets, size = [], 0
 
-    seen = docs.mapInPandas(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+    seen = docs.mapInPandas(given_back(run), "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
     top = seen.orderBy(F.col("n").desc(), "s").limit(COMMON).toPandas()
     return top.sort_values(["n", "s"])["s"].to_numpy(np.int64).view(np.uint64)
 
@@ -160,7 +160,7 @@ def described(docs: DataFrame, width: int, percent: int, common: np.ndarray) ->
                 out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "kind", "prefix", "sketch"])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    return docs.mapInPandas(run, "doc_id bigint, n bigint, key binary, kind binary, prefix array<bigint>, sketch binary")
+    return docs.mapInPandas(given_back(run), "doc_id bigint, n bigint, key binary, kind binary, prefix array<bigint>, sketch binary")
 
 
 def limit(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -229,7 +229,7 @@ def streamed(entries: DataFrame, choose: Callable[[dict[str, np.ndarray]], np.nd
         if held:
             yield pd.DataFrame(np.concatenate(held), columns=names)
 
-    return entries.repartition("s", "tile").sortWithinPartitions("s", "tile").mapInPandas(run, schema)
+    return entries.repartition("s", "tile").sortWithinPartitions("s", "tile").mapInPandas(given_back(run), schema)
 
 
 def sketched(entries: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     for side in ("u", "v"):
         pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"x_{side}")), side)
-    return pairs.mapInPandas(run, "u bigint, v bigint, bits bigint")
+    return pairs.mapInPandas(given_back(run), "u bigint, v bigint, bits bigint")
 
 
 def dealt(entries: DataFrame) -> DataFrame:
@@ -369,7 +369,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                         out.append((u, v))
                 yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return written(met.mapInPandas(run, "u bigint, v bigint").distinct(), "links")
+    return written(met.mapInPandas(given_back(run), "u bigint, v bigint").distinct(), "links")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import given_back, held_out, table
 from .samples import labelled, unlabelled
 
 PER_CLASS, UNLABELLED = 10_000, 20_000
@@ -207,7 +207,7 @@ def measured(rows: DataFrame, columns: str) -> pd.DataFrame:
         for pdf in batches:
             yield pdf.drop(columns="text").assign(x=[statistics(t) for t in pdf["text"]])
 
-    return rows.mapInPandas(run, f"{columns}, x array<double>").toPandas()
+    return rows.mapInPandas(given_back(run), f"{columns}, x array<double>").toPandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, others: int = UNLABELLED) -> Model | None:
@@ -229,7 +229,10 @@ def scorer(model: Model | None):
                 g = forward(model, np.array([statistics(t) for t in texts.fillna("")]))
                 yield pd.Series(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
-    return F.pandas_udf(run, "double")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return given_back(run)(batches)
+
+    return F.pandas_udf(code, "double")
 
 
 def score_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

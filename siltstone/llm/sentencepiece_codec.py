@@ -12,7 +12,8 @@ are returned; parity is false where the two differ.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to the empty text; no
 begin or end ids are added; decoding gives the normalised text (for a model without a character
-map the text itself, byte for byte).
+map the text itself, byte for byte); rows that repeat an id are encoded each; a very long text comes
+alone; an empty table gives no rows; columns of docs that bear the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, given_back, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-BATCH = 32
+#: Texts encoded at once, and their characters.
+BATCH, CHARS = 32, 1 << 17
 #: Verified words that a worker remembers, and the longest of them.
-WORDS, LONGEST = 400_000, 64
+WORDS, LONGEST = 100_000, 64
 
 
 @dataclass
@@ -220,24 +222,39 @@ def decode(ids: list[list[int]], path: str, threads: int = 2) -> list[str]:
     return out
 
 
+def parts(texts: list[str]) -> Iterator[list[str]]:
+    """BATCH texts at a time, or fewer that have CHARS characters together; a longer one comes alone."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        if i > at and (i - at == BATCH or held + len(t) > CHARS):
+            yield texts[at:i]
+            at, held = i, 0
+        held += len(t)
+    if at < len(texts):
+        yield texts[at:]
+
+
 def encoded(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     """docs with token_ids, n_tokens, parity (both libraries agree) and round_trip (decoding gives the text)."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             texts = texts.fillna("").tolist()
-            for at in range(0, len(texts), BATCH):
-                some = texts[at : at + BATCH]
+            for some in parts(texts):
                 ids, parity = encode(some, path, threads)
                 back = [a == b for a, b in zip(decode(ids, path, threads), some, strict=True)]
                 # few rows at a time leave here: a token takes many times its four bytes until then
                 yield pd.DataFrame({"token_ids": [np.array(i, np.int32) for i in ids], "parity": pd.Series(parity, dtype="boolean"), "round_trip": back})
 
-    code = F.pandas_udf(run, "token_ids array<int>, parity boolean, round_trip boolean")
+    def code_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return given_back(run)(batches)
+
+    code = F.pandas_udf(code_of, "token_ids array<int>, parity boolean, round_trip boolean")
     taken = {"token_ids", "n_tokens", "parity", "round_trip"}
     columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
-    rows = docs.select(*columns, code(F.col("text")).alias("__code"))
-    return rows.select(*columns, "__code.token_ids", F.size("__code.token_ids").cast("bigint").alias("n_tokens"), "__code.parity", "__code.round_trip")
+    (name,) = free_names(docs, "code")
+    rows = docs.select(*columns, code(F.col("text")).alias(name))
+    return rows.select(*columns, f"{name}.token_ids", F.size(f"{name}.token_ids").cast("bigint").alias("n_tokens"), f"{name}.parity", f"{name}.round_trip")
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "token_ids", threads: int = 2) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import given_back, held_out, table
 from .samples import labelled
 
 PER_CLASS = 5_000
@@ -39,7 +39,7 @@ STEMS, END = range(3, 9), "$"
 #: Weight of the Dirichlet prior as a share of the sample, and least z, of either sign.
 PRIOR, LEAST_Z = 0.2, 2.3
 THRESHOLD = 0.5
-KNOWN = 400_000
+KNOWN = 100_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             got = [hits(t, model) for t in pdf["text"]]
             yield pd.DataFrame({"label": pdf["label"], "n": [n for n, _ in got], "at": [[i for i, _ in h] for _, h in got], "s": [[s for _, s in h] for _, h in got]})
 
-    seen = sample.mapInPandas(run, "label int, n bigint, at array<bigint>, s array<double>").toPandas()
+    seen = sample.mapInPandas(given_back(run), "label int, n bigint, at array<bigint>, s array<double>").toPandas()
     y = seen["label"].to_numpy()
     n1, n0 = (int(seen["n"][y == c].sum()) for c in (1, 0))
     of1, of0 = (np.array([x for s in seen["s"][y == c] for x in s]) for c in (1, 0))
@@ -231,7 +231,10 @@ def scorer(model: Model):
         for texts in batches:
             yield texts.fillna("").map(lambda t: probability(t, model) if model.fitted else 0.0).astype("float64")
 
-    return F.pandas_udf(run, "double")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return given_back(run)(batches)
+
+    return F.pandas_udf(code, "double")
 
 
 def passages(docs: DataFrame, model: Model, least: float = 3.0) -> DataFrame:
