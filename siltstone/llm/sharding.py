@@ -7,11 +7,12 @@ alone, so a changed weight moves documents only into or out of the subtrees on t
 A shard that is added forms a region of its own: all other draws stay as they were, and every
 document that moves, moves into it.
 
-Slots are dense per shard without sorting a shard in one task: ids are cut into BLOCKS blocks by
-hash, blocks are counted first (from the id column alone), and only a block is sorted.
+Slots are dense per shard without sorting a shard in one task: ids are cut by hash into blocks of about
+BLOCK_ROWS rows, blocks are counted first (from the id column alone), and only a block is sorted.
 
 Defined cases: a null text has no bytes and size 8; a null id is hashed as an id of its own; rows
-that repeat an id share its shard and get slots one after the other; an empty table gives no rows.
+that repeat an id share its shard and get slots one after the other; a very long text counts with all
+its bytes; an empty table gives no rows; columns beside doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import table, unit
 
 OVERHEAD = 8
-#: Blocks per shard; shards times blocks rows are broadcast.
-BLOCKS = 64
+#: Rows of a block, and blocks of a shard at least.
+BLOCK_ROWS, BLOCKS = 100_000, 64
 
 Tree = dict[str, dict[str, dict[int, float]]]
 
@@ -68,7 +69,8 @@ def choose(key: Column, node: dict, levels: tuple[str, ...] = ("region", "rack",
 def shard_documents(docs: DataFrame, layout: Tree, grown: Tree | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    block = F.pmod(F.xxhash64(F.lit("block"), F.col("doc_id")), F.lit(BLOCKS))
+    shards = sum(len(rack) for region in layout.values() for rack in region.values())
+    block = F.pmod(F.xxhash64(F.lit("block"), F.col("doc_id")), F.lit(max(BLOCKS, -(-docs.count() // (shards * BLOCK_ROWS)))))
     ids = docs.select("doc_id").select(choose(F.col("doc_id"), layout).alias("shard"), block.alias("block"))
     counted = ids.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -84,7 +86,7 @@ def shard_documents(docs: DataFrame, layout: Tree, grown: Tree | None = None) ->
     turn = F.row_number().over(W.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
     return (
         rows.withColumn("turn", turn)
-        .join(F.broadcast(starts), ["shard", "block"])
+        .join(starts, ["shard", "block"])
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("turn") - 1).cast("bigint").alias("slot"), "grown_shard")
     )
 

@@ -1,9 +1,12 @@
 """Exact dedup, mixing and sharding against brute force and on odd rows."""
 
 import hashlib
+import math
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, mixing, sharding
@@ -152,6 +155,37 @@ def test_shards_are_dense_and_only_the_new_one_takes_rows(spark):
     assert next(r for r in got if r.doc_id is None).size == 8 and next(r for r in got if r.doc_id == 4).size == 16
 
 
+def test_draws_equal_their_definition(spark):
+    """Every level's draws recomputed from the hash of the id and the child's name, with unequal weights."""
+    layout = sharding.tree(24)
+    layout["region0"]["rack1"] = {s: w for s, w in zip(layout["region0"]["rack1"], (0.5, 3.0, 0.0, 1.0), strict=True)}
+
+    def pick(key, node, level):
+        def drawn(name):
+            h = xxhash.xxh64_intdigest(f"{level}/{name}".encode(), seed=xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42))
+            return -math.log(((h >> 11) + 0.5) * 2.0**-53) / sharding.weight(node[name])
+
+        return min((n for n in node if sharding.weight(node[n]) > 0), key=drawn)
+
+    def shard(key):
+        region = pick(key, layout, "region")
+        rack = pick(key, layout[region], "rack")
+        return pick(key, layout[region][rack], "shard")
+
+    got = spark.range(-50, 400).select("id", sharding.choose(F.col("id"), layout).alias("s")).collect()
+    assert [r.s for r in got] == [shard(r.id) for r in got]
+
+
+def test_slots_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 1)
+    docs = docs_of(spark, [(i // 2, "x" * (i % 3), "s") for i in range(4000)])
+    slots = defaultdict(list)
+    for r in sharding.shard_documents(docs, sharding.tree(3)).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 4000
+    assert sharding.shard_documents(docs.where("false"), sharding.tree(3)).count() == 0
+
+
 def test_weight_change_moves_only_along_its_path(spark):
     before, after = sharding.tree(24), sharding.tree(24)
     after["region0"]["rack1"] = {s: 2.0 for s in after["region0"]["rack1"]}
