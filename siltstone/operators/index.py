@@ -35,7 +35,7 @@ def exclusions(paths: DataFrame, user: list[str]) -> DataFrame:
 
 def supplementals(paths: DataFrame) -> DataFrame:
     """category and path of every supplemental file."""
-    found = [F.when(globs.any_of(F.lower(F.col("path")), p.split(), globs.supplemental), F.lit(c)) for c, p in K.SUPPLEMENTAL.items()]
+    found = [F.when(globs.any_of(F.lower(F.col("path")), p, globs.supplemental), F.lit(c)) for c, p in K.SUPPLEMENTAL.items()]
     rows = paths.select("path", F.explode(F.array(*found)).alias("category")).where("category is not null")
     return rows.select("category", "path").distinct()
 
@@ -81,7 +81,7 @@ def test_links(files: DataFrame) -> DataFrame:
 
 def side_effects(imports: DataFrame) -> DataFrame:
     """path and tag, from path and import; prefixes of an import meet the rules by equality."""
-    rules = [F.struct(F.lit(p).alias("prefix"), F.lit(t).alias("tag")) for t, ps in K.SIDE_EFFECTS.items() for p in ps.split()]
+    rules = [F.struct(F.lit(p).alias("prefix"), F.lit(t).alias("tag")) for t, ps in K.SIDE_EFFECTS.items() for p in ps]
     parts = F.split("import", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     # a few dozen rules: a literal map from prefix to tag

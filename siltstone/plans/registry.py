@@ -155,7 +155,7 @@ def test_links(spark, sf_dir):
     return index.test_links(V.file_table(spark, sf_dir))
 
 
-EFFECT_SQL = " UNION ALL ".join(f"SELECT '{p}' AS prefix, '{t}' AS tag" for t, ps in K.SIDE_EFFECTS.items() for p in ps.split())
+EFFECT_SQL = " UNION ALL ".join(f"SELECT '{p}' AS prefix, '{t}' AS tag" for t, ps in K.SIDE_EFFECTS.items() for p in ps)
 
 
 @query("side_effect_tags", S.with_(S.FILES, f"fx AS ({EFFECT_SQL})") + "SELECT DISTINCT path, tag FROM imports JOIN fx ON (import = prefix OR starts_with(import, prefix || '/')) AND NOT (prefix = 'os' AND (import = 'os/exec' OR starts_with(import, 'os/exec/')))")
