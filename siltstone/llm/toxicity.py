@@ -3,7 +3,7 @@
 A word's score is the log-odds, between toxic and clean documents, of the word itself or of one of
 its beginnings (inflected and compound forms share those), whichever is farthest from 0, under an
 informative Dirichlet prior (the pooled frequencies of the sample). Log-odds of either sign count
-that are clear of their own error, and every word pays a small drift. One linear scan over a
+that are clear of their own error, by more than chance gives the best of so many terms, and every word pays a small drift. One linear scan over a
 document's scores finds all maximal-scoring segments. Scores follow Karlin-Altschul statistics: lambda solves
 E[exp(lambda s)] = 1 on clean words, K is set by the segments clean documents have, and a
 document's segments together give one -ln p, which a logistic curve turns into a probability.
@@ -36,8 +36,8 @@ from .samples import labelled
 PER_CLASS = 5_000
 #: Lengths of the beginnings of words that count as terms; a whole word ends in END.
 STEMS, END = range(3, 9), "$"
-#: Weight of the Dirichlet prior as a share of the sample, and least z, of either sign.
-PRIOR, LEAST_Z = 0.2, 2.3
+#: Weight of the Dirichlet prior as a share of the sample, and documents of a term that can be significant.
+PRIOR, LEAST_DOCS = 0.2, 5
 THRESHOLD = 0.5
 KNOWN = 100_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -74,9 +74,14 @@ def stems(words: Column, k: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.substring(w, 1, k))
 
 
-def log_odds(counts: DataFrame, prior: float, least_z: float) -> DataFrame:
-    """The terms whose log-odds are least_z errors from 0, on either side: term, score, z, y1, y0, n1, n0."""
-    totals = counts.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"))
+def log_odds(counts: DataFrame, prior: float, least_z: float | None = None) -> DataFrame:
+    """The terms whose log-odds are least_z errors from 0, on either side: term, score, z, y1, y0, n1, n0.
+
+    By default that is sqrt(2 ln m), about the largest of m chance values, for the m terms of LEAST_DOCS documents.
+    """
+    tried = F.greatest(F.lit(2), F.count_if(F.col("y1") + F.col("y0") >= LEAST_DOCS))
+    bound = F.sqrt(2 * F.log(tried.cast("double"))) if least_z is None else F.lit(float(least_z))
+    totals = counts.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), bound.alias("bound"))
     rows = counts.join(F.broadcast(totals))
     a0 = F.lit(prior) * (F.col("n1") + F.col("n0"))
     a = F.lit(prior) * (F.col("y1") + F.col("y0"))
@@ -84,7 +89,7 @@ def log_odds(counts: DataFrame, prior: float, least_z: float) -> DataFrame:
     rest = F.log((F.col("y0") + a) / (F.col("n0") + a0 - F.col("y0") - a))
     error = F.sqrt(1.0 / (F.col("y1") + a) + 1.0 / (F.col("y0") + a))
     rows = rows.withColumn("score", top - rest).withColumn("z", F.col("score") / error)
-    return rows.where(F.abs("z") >= least_z)
+    return rows.where(F.abs("z") >= F.col("bound")).drop("bound")
 
 
 def segments(values: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -190,7 +195,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     sample = labelled(docs, labels, "toxic", per_class)
-    lexicon = log_odds(term_counts(sample), PRIOR, LEAST_Z).toPandas()
+    lexicon = log_odds(term_counts(sample), PRIOR).toPandas()
     if lexicon.empty:
         return Model({}, -1.0, fitted=False)
     model = Model(dict(zip(lexicon["term"], lexicon["score"].astype(float), strict=True)), -1.0)
