@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, toxicity
+from . import divergence, exact_dedup, fast_minhash, jaccard_join, mixing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_topk_search": topk.query,
     "op9_toxicity": toxicity.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op12_source_divergence": divergence.query,
+    "op13_minhash": fast_minhash.query,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op8_topk_search": topk.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
