@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, exact_dedup, fast_minhash, jaccard_join, mixing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, toxicity
+from . import divergence, exact_dedup, fast_minhash, jaccard_join, mixing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, toxicity, whitening
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk_search": topk.query,
     "op9_toxicity": toxicity.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_whitening": whitening.query,
     "op12_source_divergence": divergence.query,
     "op13_minhash": fast_minhash.query,
 }

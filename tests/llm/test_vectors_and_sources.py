@@ -2,12 +2,13 @@
 
 import math
 import random
+from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
 
-from siltstone.llm import divergence, fast_minhash, jaccard_join
+from siltstone.llm import divergence, fast_minhash, jaccard_join, whitening
 from tests.llm.test_text_operators import brute, docs_of, near_copies, prose
 
 # --- source divergence
@@ -124,3 +125,74 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, seed, tile, long):
 
 def test_no_documents(spark):
     assert fast_minhash.classes(docs_of(spark, [])).count() == 0
+
+
+# --- whitening
+
+
+SCHEMA = "vec_id bigint, embedding array<double>, x int, part string"
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(i, v if v is None else [None if c is None else float(c) for c in v], 1, "p") for i, v in rows], SCHEMA)
+
+
+def skewed(rng, n, d, spread):
+    mix = np.linalg.qr(rng.normal(size=(d, d)))[0]
+    return rng.normal(size=(n, d)) * np.logspace(0, -spread, d) @ mix * 50 + 3e4
+
+
+def exact_covariance(x):
+    n, sums = len(x), [sum(map(int, c)) for c in x.T]
+    y = [[n * int(c) - s for c, s in zip(row, sums, strict=True)] for row in x]
+    d = x.shape[1]
+    return np.array([[float(Fraction(sum(r[i] * r[j] for r in y), n**3)) for j in range(d)] for i in range(d)]), [sum(c * c for c in r) for r in y]
+
+
+@pytest.mark.parametrize("d, spread, block", [(6, 2, 2048), (40, 3, 7)])
+def test_whitening_equals_eigenvectors(spark, monkeypatch, d, spread, block):
+    monkeypatch.setattr(whitening, "BLOCK", block)
+    monkeypatch.setattr(whitening, "FAN_IN", 2)
+    v = skewed(np.random.default_rng(d), 150, d, spread)
+    odd = [(900, None), (901, [None] * d), (902, [float("nan")] * d), (903, [float("inf")] * d), (904, [1.0]), (905, [])]
+    rows = [*enumerate(v.tolist()), (3, v[5].tolist()), (None, v[6].tolist()), *odd]
+    got = whitening.whiten(vectors_of(spark, rows).repartition(5)).collect()
+    x = np.floor(64 * np.vstack([v, v[5:7]])).astype(np.int64) + 1_000_000
+    n, k = len(x), min(32, d)
+    covariance, deviations = exact_covariance(x)
+    values, basis = np.linalg.eigh(covariance)
+    values, basis = values[::-1][:k], basis[:, ::-1][:, :k]
+    want = (x - x.mean(0)) @ basis / np.sqrt(values)
+    assert len(got) == n * k and {r.n for r in got} == {n} and len({r.identity_error for r in got}) == 1
+    assert 0 <= got[0].identity_error < 1e-9
+    signs = {}
+    for r in got:
+        if r.vec_id not in (3, None):
+            w = want[r.vec_id, r.component - 1]
+            signs.setdefault(r.component, set()).add(np.sign(r.whitened * w) if abs(w) > 1e-3 else 0)
+            assert abs(abs(r.whitened) - abs(w)) < 1e-6 and r.deviation == deviations[r.vec_id]
+            assert abs(r.explained / (values[r.component - 1] / np.trace(covariance)) - 1) < 1e-9
+    assert all(len(s - {0}) == 1 for s in signs.values())
+
+
+def test_small_deviations_keep_their_digits():
+    """Deviations 1e10 apart, far below what a covariance in doubles would keep."""
+    rng = np.random.default_rng(8)
+    a = np.linalg.qr(rng.normal(size=(300, 12)))[0] * np.logspace(0, -10, 12)
+    lengths, v = whitening.jacobi(whitening.triangle(a))
+    assert np.allclose(lengths, np.logspace(0, -10, 12), rtol=1e-9, atol=0)
+    assert np.allclose(v.T @ v, np.eye(12), atol=1e-13)
+    seen = [tuple(sorted(p)) for i, j in whitening.meetings(7) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert sorted(seen) == [(i, j) for i in range(7) for j in range(i + 1, 7)]
+
+
+def test_whitening_of_odd_tables(spark):
+    assert whitening.whiten(vectors_of(spark, [])).count() == 0
+    assert whitening.whiten(vectors_of(spark, [(1, None), (2, [])])).count() == 0
+    assert whitening.whiten(vectors_of(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).count() == 0
+    # one direction alone has a deviation; lengths 2 and 1 are equally common
+    got = whitening.whiten(vectors_of(spark, [(1, [0.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0]), (4, [2.0])])).orderBy("vec_id").collect()
+    assert [(r.vec_id, r.component, r.n, r.deviation, r.whitened, r.explained) for r in got] == [(1, 1, 2, 64**2, -1.0, 1.0), (2, 1, 2, 64**2, 1.0, 1.0)]
+    # beyond the range of longs
+    got = whitening.whiten(vectors_of(spark, [(1, [1e15]), (2, [-1e15]), (3, [1e15])])).orderBy("vec_id").collect()
+    assert [r.deviation for r in got] == [2**63 - 1] * 3 and np.allclose([r.whitened for r in got], [0.5**0.5, -(2**0.5), 0.5**0.5])
