@@ -6,14 +6,13 @@ least its own size is first taken whole, as often as that goes; only what is lef
 key. The document on which a budget ends gives the words that were still missing. The weight is
 a column of the caller's; the query takes the score of the quality classifier.
 
-The prefix sum of a source is never one task's work: keys are cut into ranges of about
-RANGE_ROWS documents each, ranges are summed first, and only rows of one range are sorted
-together. Weights have LEVELS steps, so the distribution of a source's keys is known from how many
-documents have each of them, and ranges are equal parts of it. Sources themselves are ranked in one
-task, one row for each.
+The prefix sum of a source is never one task's work: keys fall into cells, CELLS for each factor of e,
+which follow one another in order. Cells are summed first, and only rows of one cell are sorted
+together, about one in 10,000 of a source's at most, whatever their weights. Sources themselves are
+ranked in one task, one row for each.
 
 Defined cases: a null text has no words; null is a source of its own and comes last; documents
-without words are never taken; a null weight counts as 1, one below 1 / LEVELS as that; rows that
+without words are never taken; a null weight counts as 1, of those of 0 or below all others come first; rows that
 repeat an id draw the same key and are ordered by the crc of their text; very long texts are counted
 whole; an empty table gives an empty mix; columns beside doc_id, text and source are not looked at.
 """
@@ -29,7 +28,7 @@ from .common import WORD, free_names, table, unit, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
-RANGE_ROWS, LEVELS = 4096, 16
+CELLS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -39,16 +38,16 @@ def n_words(text: Column) -> Column:
 def sized(docs: DataFrame, seed: int, weight: Column) -> DataFrame:
     """doc_id, source, size, crc, w, key; the only pass over the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    level = F.round(F.coalesce(F.nanvl(weight.cast("double"), F.lit(1.0)), F.lit(1.0)) * LEVELS)
+    given = F.coalesce(F.nanvl(weight.cast("double"), F.lit(1.0)), F.lit(1.0))
     rows = docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
         n_words(text).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        (F.least(F.lit(float(LEVELS)), F.greatest(F.lit(1.0), level)) / LEVELS).alias("w"),
+        given.alias("w"),
     )
-    key = -F.log(unit(F.lit(seed), F.col("doc_id"), F.col("crc"))) / F.col("w")
-    return rows.withColumn("key", key)
+    drawn = -F.log(unit(F.lit(seed), F.col("doc_id"), F.col("crc")))
+    return rows.withColumn("key", F.when(F.col("w") > 0, drawn / F.col("w")).otherwise(F.lit(float("inf"))))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -80,15 +79,10 @@ def mix(
     """doc_id, size, source_size, target, taken (words), crc of every row of docs."""
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     sizes = written(sized(docs, seed, F.lit(1.0) if weight is None else weight).withColumn("name", name), "mix-sizes")
-    levels = sizes.groupBy("name", "w").agg(F.count(F.lit(1)).alias("k")).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("w", "k"))).alias("levels"))
-    per = written(targets(sizes, weights, share, cap).withColumn("name", name).join(levels, "name"), "mix-targets")
-    ranges = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(RANGE_ROWS)))
-    beyond = F.aggregate("levels", F.lit(0.0), lambda a, x: a + x["k"] / F.col("n_docs") * F.exp(-F.col("key") * x["w"]))
-    rows = (
-        sizes.join(per.drop("source"), "name")
-        .withColumn("range", F.greatest(F.lit(0), F.least(ranges - 1, F.floor(ranges * (1.0 - beyond)))).cast("bigint"))
-        .drop("levels")
-    )
+    per = written(targets(sizes, weights, share, cap).withColumn("name", name), "mix-targets")
+    # in order of the keys: 0 comes before all logarithms, what is infinite after them
+    cell = F.when(F.col("key") <= 0, -(2**40)).when(F.col("key") == float("inf"), 2**40).otherwise(F.floor(F.log("key") * CELLS))
+    rows = sizes.join(per.drop("source"), "name").withColumn("range", cell.cast("bigint"))
     summed = rows.groupBy("name", "range").agg(F.sum("size").alias("words"))
     before = W.partitionBy("name").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = summed.select("name", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))

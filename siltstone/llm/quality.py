@@ -187,7 +187,8 @@ def class_prior(positive: np.ndarray, other: np.ndarray, delta: float = 0.1, gam
     """The share of positives among the others, by the best bin.
 
     A classifier between the two is fitted on every other row of each; on the rest, that threshold is
-    taken whose share of others over its share of positives is surely lowest.
+    taken whose share of others over its share of positives is surely lowest. It is one row of the
+    others at least and all of them at most; from fewer than four rows of either kind it is 0.5.
     """
     if min(len(positive), len(other)) < 4:
         return 0.5
@@ -197,7 +198,7 @@ def class_prior(positive: np.ndarray, other: np.ndarray, delta: float = 0.1, gam
     of_u = 1 - np.searchsorted(u, p) / len(u)
     error = math.sqrt(math.log(4 / delta) / 2 / len(u)) + math.sqrt(math.log(4 / delta) / 2 / len(p))
     at = int(((of_u + (1 + gamma) * error) / of_p).argmin())
-    return min(0.98, max(0.02, float(of_u[at] / of_p[at])))
+    return min(1.0, max(1 / len(u), float(of_u[at] / of_p[at])))
 
 
 def measured(rows: DataFrame, columns: str) -> pd.DataFrame:

@@ -156,14 +156,20 @@ def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> float
 
 
 def solve_lambda(drift: float, n: int, clean: np.ndarray) -> float:
-    """The positive root of E[exp(lambda s)] = 1 over n clean words, 2 at most; clean holds the scores of those that have one."""
+    """The positive root of E[exp(lambda s)] = 1 over n clean words; clean holds the scores of those that have one.
+
+    The bracket grows until the sign changes, which it does where some word scores above 0; else the root is infinite.
+    """
+    if not len(clean) or clean.max() + drift <= 0:
+        return math.inf
 
     def over(lam: float) -> float:
-        return (1 - len(clean) / n) * math.exp(lam * drift) + float(np.exp(lam * (clean + drift)).sum()) / n - 1
+        with np.errstate(over="ignore"):
+            return (1 - len(clean) / n) * math.exp(lam * drift) + float(np.exp(lam * (clean + drift)).sum()) / n - 1
 
-    low, high = 1e-3, 2.0
-    if over(high) < 0:
-        return high
+    low, high = 1e-3, 1.0
+    while over(high) < 0:
+        low, high = high, 2 * high
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if over(mid) < 0 else (low, mid)
@@ -217,6 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     rho1 = min(0.5, float((of1 > 0).sum()) / n1)
     model.drift = math.log((1 - rho1) / (1 - min(rho1 / 2, float((of0 > 0).sum()) / n0)))
     model.lam = solve_lambda(model.drift, n0, of0)
+    if math.isinf(model.lam):
+        return Model({}, -1.0, fitted=False)
     found = [segments([(int(i), v + model.drift) for i, v in zip(at, s, strict=True)], model.drift) for at, s in zip(seen["at"], seen["s"], strict=True)]
     typical = usual + model.drift
     chance = sum(v >= typical for f, c in zip(found, y, strict=True) if c == 0 for *_, v in f)

@@ -119,13 +119,18 @@ def test_mixed_documents_follow_the_plan(spark):
     assert mixing.mixed_documents(docs.where("false")).count() == 0
 
 
-def test_selection_by_keys_and_prefix_sums(spark, monkeypatch):
-    """Against one sorted list for each source; ranges hold about as many rows as they should."""
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+@pytest.mark.parametrize("cells", [2, 4096])
+def test_selection_by_keys_and_prefix_sums(spark, monkeypatch, cells):
+    """Against one sorted list for each source, weights as they are given."""
+    monkeypatch.setattr(mixing, "CELLS", cells)
     docs = docs_of(spark, [(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(3000)])
-    weight = F.when(F.col("doc_id") % 5 == 0, 0.1).otherwise(0.9)
+    weights = {0: 0.001, 1: 0.9, 2: 7.0, 3: None, 4: 0.0, 5: float("nan"), 6: 0.12345}
+    weight = F.expr("CASE doc_id % 7 WHEN 0 THEN 0.001D WHEN 1 THEN 0.9D WHEN 2 THEN 7D WHEN 4 THEN 0D WHEN 5 THEN double('nan') WHEN 6 THEN 0.12345D END")
     rows = mixing.sized(docs, 7, weight).collect()
-    assert {r.w for r in rows} == {2 / 16, 14 / 16}
+    for r in rows:
+        given = weights[r.doc_id % 7]
+        assert r.w == (1.0 if given is None or given != given else given)
+        assert r.w > 0 or r.key == float("inf")
     got = {r.doc_id: r for r in mixing.mix(docs, weight=weight).collect()}
     for s in "abc":
         own = sorted((r for r in rows if r.source == s), key=lambda r: (r.key, r.doc_id, r.crc))

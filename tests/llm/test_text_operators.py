@@ -333,12 +333,12 @@ def test_segments_are_all_maximal():
 
 def test_lambda_is_the_root_over_all_words():
     rng = np.random.default_rng(8)
-    for drift in (-0.2, -0.5):
+    for drift, n in ((-0.2, 4000), (-0.5, 4000), (-0.69, 10**6), (-0.69, 10**9)):
         scored = np.concatenate([rng.choice([1.1, 2.3, -0.8], 40), [3.0]])
-        n = 4000
         lam = toxicity.solve_lambda(drift, n, scored)
-        every = np.concatenate([np.full(n - len(scored), drift), scored + drift])
-        assert 0 < lam <= 2 and (np.exp(lam * every).mean() == pytest.approx(1, abs=1e-9) or lam == 2.0)
+        mean = ((n - len(scored)) * np.exp(lam * drift) + np.exp(lam * (scored + drift)).sum()) / n
+        assert lam > 0 and mean == pytest.approx(1, abs=1e-9)
+    assert lam > 2 and toxicity.solve_lambda(-0.69, 100, np.array([0.5])) == np.inf
 
 
 def test_evidence_of_one_segment_is_its_own_tail():
