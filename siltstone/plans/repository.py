@@ -11,24 +11,25 @@ from ..functions import constants as K
 from ..operators import index, manifest
 from ..operators import tasks as parsing
 from ..sources import analyze, files
+from ..sources.cache import AnalysisCache
 from ..sources.shared import written
 from .plan import Plan
 
 
-def indexed(spark: SparkSession, root: str, config: Config, scope: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """files as Plan takes them, imports (path, import) and exclusions (path, reason) of a folder."""
+def indexed(spark: SparkSession, root: str, config: Config, scope: str | None = None, cache: AnalysisCache | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files as Plan takes them, imports (path, import) and exclusions (path, reason) of a folder; a cache gives results of files that haven't changed."""
     kept, out = files.walk(spark, root, config.exclude, [] if config.disable_defaults else K.EXCLUSIONS)
     rows = index.scoped(kept, index.supplementals(kept), index.scope_of(scope))
-    rows = written(analyze.analyze(rows), "analysed")
+    rows = written(analyze.analyze(rows) if cache is None else cache.analyze(rows).drop("key"), "analysed")
     package = F.when(F.col("language") == "go", F.regexp_extract("text", r"(?m)^package (\w+)", 1)).otherwise("")
     exported = F.filter("symbols", lambda s: s["exported"])
     made = rows.withColumnRenamed("size", "size_bytes").withColumns({"details": exported, "package_name": package, "symbols": F.transform(exported, lambda s: s["name"])})
     return made.drop("content", "imports"), rows.select("path", F.explode("imports").alias("import")).distinct(), out
 
 
-def plan_repository(spark: SparkSession, root: str, texts: DataFrame, config: Config = Config(), scope: str | None = None) -> tuple[Plan, DataFrame]:  # noqa: B008
+def plan_repository(spark: SparkSession, root: str, texts: DataFrame, config: Config = Config(), scope: str | None = None, cache: AnalysisCache | None = None) -> tuple[Plan, DataFrame]:  # noqa: B008
     """The plan of all texts (task_id, raw_text, markdown) over a folder, and its manifests."""
-    made, imports, out = indexed(spark, root, config, scope)
+    made, imports, out = indexed(spark, root, config, scope, cache)
     budgets = texts.select("task_id", F.lit(config.effective_budget()).cast("bigint").alias("budget"))
     plan = Plan(parsing.parse(texts), made, imports, budgets, config.scoring(), config.blocking)
     digest = files.fingerprint(made.withColumnRenamed("size_bytes", "size"), __version__).first()["fingerprint"]

@@ -1,170 +1,23 @@
 """Symbols and imports of source files.
 
-A scanner blanks comments and the insides of strings of Go, TypeScript and JavaScript, a batch at a
-time, and tells where brackets, comments or strings don't close; declarations are then found by
-patterns from the start of top-level lines (and of lines in Go groups) inside the JVM. Python files
-go through the standard parser. A file that can't be parsed has no symbols, and of its imports those
-of Go alone. Files whose language has no analyser have neither symbols nor imports.
+Go, TypeScript and JavaScript are read by small recursive-descent readers, Python by the standard
+parser, a batch of files at a time. A file that can't be read has no symbols, and of its imports
+those of Go alone. Files whose language has no analyser, or one that isn't enabled, have neither
+symbols nor imports.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SYMBOL = "array<struct<name:string,kind:string,receiver:string,exported:boolean>>"
-
-
-def found(text: Column, pattern: str, kind: str, exported: bool = True, group: int = 1, receiver: int | None = None) -> Column:
-    """Symbols of one kind: the names a pattern captures, line by line."""
-    names = F.regexp_extract_all(text, F.lit("(?m)" + pattern), F.lit(group))
-    owners = F.regexp_extract_all(text, F.lit("(?m)" + pattern), F.lit(receiver)) if receiver else F.transform(names, lambda n: F.lit(""))
-    pairs = F.arrays_zip(names.alias("n"), owners.alias("r"))
-    return F.transform(pairs, lambda p: F.struct(p["n"].alias("name"), F.lit(kind).alias("kind"), p["r"].alias("receiver"), F.lit(exported).alias("exported"))).cast(SYMBOL)
-
-
-CLOSES = {")": "(", "]": "[", "}": "{"}
-#: What a scanner stops at in code, and in the literal text of a script's template.
-GO_TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|/\*|"(?:\\.|[^"\\\n])*"|`[^`]*`|`|'(?:\\.|[^'\\\n])*'|[()\[\]{};]""", re.S)
-SCRIPT_TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|/\*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[()\[\]{}`/]""", re.S)
-TEMPLATE_TOKEN = re.compile(r"\\.|`|\$\{", re.S)
-#: A regular expression may follow these, but no division.
-PATTERN = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/")
-BEFORE_PATTERN = re.compile(r"(?:^|[(,=:\[!&|?{};+*%~^<>-]|\b(?:return|typeof|case|in|of|do|else))\s*$")
-
-
-GROUP = re.compile(r"(?:^|\n)(?:type|const|var|import)[ \t]*$")
+from . import go_grammar, script_grammar
 
-
-def blank(text: str) -> str:
-    return "".join(["\n" if c == "\n" else " " for c in text]) if "\n" in text else " " * len(text)
-
-
-def scan(text: str, script: bool) -> tuple[str, str, bool]:
-    """The text without comments, the same without the insides of strings, and whether something doesn't close.
-
-    In Go, declarations that share a line are put on lines of their own.
-    """
-    code, bare, stack, broken, group, at = [], [], [], False, False, 0
-    while True:
-        inside = bool(stack) and stack[-1] == "`"
-        m = (TEMPLATE_TOKEN if inside else SCRIPT_TOKEN if script else GO_TOKEN).search(text, at)
-        plain = text[at : m.start() if m else len(text)]
-        code.append(plain)
-        bare.append(blank(plain) if inside else plain)
-        if m is None:
-            return "".join(code), "".join(bare), broken or bool(stack)
-        token, at = m.group(), m.end()
-        shown = token
-        if inside:
-            if token == "`":
-                stack.pop()
-            elif token == "${":
-                stack.append("${")
-            shown = blank(token)
-        elif token[:2] in ("//", "/*"):
-            broken |= token == "/*"
-            token = shown = blank(token)
-        elif token == "/":
-            if BEFORE_PATTERN.search(text, max(0, m.start() - 60), m.start()) and (p := PATTERN.match(text, m.start())):
-                token, at = p.group(), p.end()
-                shown = "/" + blank(token[1:-1]) + "/"
-        elif token == "`":
-            stack.append("`")
-            broken |= not script
-        elif len(token) > 1:
-            shown = token[0] + blank(token[1:-1]) + token[-1]
-        elif token in "([{":
-            if not stack:
-                group = not script and token == "(" and GROUP.search(plain) is not None
-                shown = "(\n\t" if group else token
-            stack.append(token)
-        elif token == "}" and stack and stack[-1] == "${":
-            stack.pop()
-            shown = " "
-        elif token in CLOSES:
-            if stack and stack[-1] == CLOSES[token]:
-                stack.pop()
-            else:
-                broken = True
-            if token == ")" and not stack and group:
-                shown = "\n)"
-        elif not stack or group and len(stack) == 1:
-            shown = "\n\t" if stack else "\n"
-        code.append(token)
-        bare.append(shown)
-
-
-def scanned(text: Column, script: Column) -> Column:
-    """code, bare and broken of each text, as scan() gives them."""
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, scripts in batches:
-            yield pd.DataFrame([scan(t or "", bool(s)) for t, s in zip(texts, scripts, strict=True)], columns=["code", "bare", "broken"])
-
-    return F.pandas_udf(run, "code string, bare string, broken boolean")(text, script)
-
-
-def go_symbols(text: Column) -> Column:
-    """Exported top-level declarations of bare text, those in groups and in lists of names included."""
-    t = text
-    name = r"([A-Z][A-Za-z0-9_]*)"
-    one = r"[\p{L}_][\p{L}\p{Nd}_]*"
-
-    def grouped(word: str) -> Column:
-        return F.array_join(F.regexp_extract_all(t, F.lit(rf"(?ms)^{word} *\((.*?)^\)"), F.lit(1)), "\n")
-
-    def listed(text: Column, prefix: str, kind: str) -> Column:
-        lists = F.regexp_extract_all(text, F.lit(rf"(?m){prefix}({one}(?:[ \t]*,\s*{one})*)"), F.lit(1))
-        names = F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*,\s*")))
-        return F.transform(F.filter(names, lambda n: n.rlike(r"^\p{Lu}")), lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind"), F.lit("").alias("receiver"), F.lit(True).alias("exported"))).cast(SYMBOL)
-
-    return F.concat(
-        found(t, rf"^type {name}(?:\[[^\]]*\])? interface\b", "interface"),
-        found(t, rf"^type {name}(?:\[[^\]]*\])? =?\s?(?!interface\b)", "type"),
-        found(t, rf"^func {name}\s*[\[(]", "func"),
-        found(t, rf"^func \((?:\w+\s+)?\*?(\w+)(?:\[[^\]]*\])?\) {name}\s*\(", "method", group=2, receiver=1),
-        found(grouped("type"), rf"^\t *{name}(?:\[[^\]]*\])?[ \t]+(?:=[ \t]*)?interface\b", "interface"),
-        found(grouped("type"), rf"^\t *{name}(?:\[[^\]]*\])?[ \t]++(?:=[ \t]*+)?+(?!interface\b)", "type"),
-        listed(t, "^const ", "const"), listed(t, "^var ", "var"), listed(grouped("const"), r"^\t *", "const"), listed(grouped("var"), r"^\t *", "var"),
-    )
-
-
-def go_imports(text: Column) -> Column:
-    t = text
-    one = F.regexp_extract_all(t, F.lit(r'(?m)^import (?:[\w.]+ )?"([^"]+)"'), F.lit(1))
-    blocks = F.array_join(F.regexp_extract_all(t, F.lit(r"(?ms)^import \((.*?)^\)"), F.lit(1)), "\n")
-    return F.array_sort(F.array_distinct(F.concat(one, F.regexp_extract_all(blocks, F.lit(r'"([^"]+)"'), F.lit(1)))))
-
-
-def script_symbols(text: Column) -> Column:
-    """Module-level declarations of TypeScript and JavaScript, of bare text; those exported say so."""
-    t = text
-    name = r"([A-Za-z_$][\w$]*)"
-    out = []
-    for prefix, exported in ((r"^export (?:declare )?", True), (r"^(?:declare )?", False)):
-        out += [
-            found(t, rf"{prefix}(?:async )?function\*? {name}", "func", exported), found(t, rf"{prefix}(?:abstract )?class {name}", "type", exported),
-            found(t, rf"{prefix}interface {name}", "interface", exported), found(t, rf"{prefix}(?:type|enum) {name}", "type", exported),
-            found(t, rf"{prefix}const {name}[^=\n]*=\s*(?:async )?(?:function|\([^)]*\)\s*(?::[^=\n]+)?=>|\w+ =>)", "func", exported),
-            found(t, rf"{prefix}const {name}(?![^=\n]*=\s*(?:async )?(?:function|\([^)]*\)\s*(?::[^=\n]+)?=>|\w+ =>))", "const", exported),
-            found(t, rf"{prefix}(?:let|var) {name}", "var", exported),
-        ]
-    default = F.when(t.rlike(r"(?m)^export default\b"), F.array(F.struct(F.lit("default").alias("name"), F.lit("func").alias("kind"), F.lit("").alias("receiver"), F.lit(True).alias("exported")))).otherwise(F.array())
-    return F.concat(*out, default.cast(SYMBOL))
-
-
-def script_imports(text: Column) -> Column:
-    t = text
-    # over line breaks up to the first quote, past comments; a clause has neither = nor (
-    clause = r"[^;'\"`(=/]*+(?://[^\n]*+[^;'\"`(=/]*+)*+(?<=\bfrom\s{0,99})"
-    patterns = [rf"(?m)^(?:import|export)\b{clause}['\"]([^'\"]+)['\"]", r"(?m)^import\s+['\"]([^'\"]+)['\"]", r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)"]
-    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in patterns])))
+SYMBOL = "array<struct<name:string,kind:string,receiver:string,exported:boolean>>"
 
 
 def python_module(text: str) -> tuple[list[dict], list[str], bool]:
@@ -189,29 +42,50 @@ def python_module(text: str) -> tuple[list[dict], list[str], bool]:
     return [{"name": n, "kind": k, "receiver": "", "exported": not n.startswith("_")} for n, k in names], sorted(imports), False
 
 
-def python_facts(text: Column) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([python_module(t) for t in batch.fillna("")], columns=["symbols", "imports", "parse_error"])
+#: The version of each analyser; results of another are not reused.
+ANALYZERS = {"go": "go-2", "typescript": "script-2", "javascript": "script-2", "python": "python-1"}
+FACTS = f"package_name string, symbols {SYMBOL}, imports array<string>, parse_error boolean"
 
-    return F.pandas_udf(run, f"symbols {SYMBOL}, imports array<string>, parse_error boolean")(text)
 
+def go_file(path: str, text: str) -> tuple:
+    package, symbols, imports, broken = go_grammar.read(text)
+    return package, [{"name": n, "kind": k, "receiver": r, "exported": True} for n, k, r in symbols], imports, broken
 
-def analyze(files: DataFrame) -> DataFrame:
-    """files (language and text) with symbols, imports and parse_error."""
-    go, script = F.col("language") == "go", F.col("language").isin("typescript", "javascript")
-    none, nowhere = F.array().cast(SYMBOL), F.array().cast("array<string>")
-    (name,) = [n for n in ("scanned", "scanned_", "scanned__") if n not in files.columns][:1]
-    code = files.where(go | script).withColumn(name, scanned(F.col("text"), script))
-    broken = F.col(f"{name}.broken") | (go & ~F.col(f"{name}.bare").rlike(r"(?m)^package \w+"))
-    bare, text = F.col(f"{name}.bare"), F.col(f"{name}.code")
-    code = code.withColumn("parse_error", broken).withColumns(
-        {
-            "symbols": F.when(F.col("parse_error"), none).when(go, go_symbols(bare)).otherwise(script_symbols(bare)),
-            "imports": F.when(go, go_imports(text)).when(F.col("parse_error"), nowhere).otherwise(script_imports(text)),
-        }
+
+def script_file(path: str, text: str) -> tuple:
+    typed = path.lower().endswith((".ts", ".tsx", ".mts", ".cts"))
+    symbols, imports, broken = script_grammar.read(text, typed, not typed or path.lower().endswith(".tsx"))
+    return "", [{"name": n, "kind": k, "receiver": "", "exported": e} for n, k, e in symbols], imports, broken
+
+
+def python_file(path: str, text: str) -> tuple:
+    return "", *python_module(text)
+
+
+READERS = {"go": go_file, "typescript": script_file, "javascript": script_file, "python": python_file}
+
+
+def facts(language: Column, path: Column, text: Column) -> Column:
+    """package_name, symbols, imports and parse_error of each file, by the analyser of its language."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for languages, paths, texts in batches:
+            rows = [READERS[name](where, what or "") for name, where, what in zip(languages, paths, texts, strict=True)]
+            yield pd.DataFrame(rows, columns=["package_name", "symbols", "imports", "parse_error"])
+
+    return F.pandas_udf(run, FACTS)(language, path, text)
+
+
+def analyze(files: DataFrame, enabled: tuple[str, ...] = tuple(READERS)) -> DataFrame:
+    """files (path, language and text) with symbols, imports and parse_error.
+
+    enabled: languages whose files are read; all others have neither symbols nor imports.
+    """
+    read = F.col("language").isin(*enabled)
+    columns = [c for c in files.columns if c not in ("symbols", "imports", "parse_error")]
+    (name,) = [n for n in ("facts", "facts_", "facts__") if n not in files.columns][:1]
+    known = files.where(read).withColumn(name, facts(F.col("language"), F.col("path"), F.col("text")))
+    rest = files.where(~read | F.col("language").isNull()).select(
+        *columns, F.array().cast(SYMBOL).alias("symbols"), F.array().cast("array<string>").alias("imports"), F.lit(False).alias("parse_error")
     )
-    snakes = files.where("language = 'python'").withColumn("facts", python_facts(F.col("text")))
-    rest = files.where(~(go | script) & (F.col("language") != "python") | F.col("language").isNull()).withColumns({"symbols": none, "imports": nowhere, "parse_error": F.lit(False)})
-    columns = [*files.columns, "symbols", "imports", "parse_error"]
-    return code.select(columns).unionByName(snakes.select(*files.columns, "facts.symbols", "facts.imports", "facts.parse_error")).unionByName(rest.select(columns))
+    return known.select(*columns, f"{name}.symbols", f"{name}.imports", f"{name}.parse_error").unionByName(rest)

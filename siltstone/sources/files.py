@@ -9,7 +9,7 @@ from datetime import UTC
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -82,6 +82,11 @@ def contents(files: DataFrame, root: str) -> DataFrame:
 NAMES = ["path", "size", "mtime", "content", "sha256", "reason"]
 
 
+def lossy_text(content: Column) -> Column:
+    """Bytes as text; what isn't UTF-8 becomes replacement characters, as no file may end the job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def walk(spark: SparkSession, root: str, user: tuple[str, ...] = (), default: list[str] = K.EXCLUSIONS) -> tuple[DataFrame, DataFrame]:
     """Files that stay, described, hashed and with their text, and exclusions (path, reason).
 
@@ -105,7 +110,7 @@ def walk(spark: SparkSession, root: str, user: tuple[str, ...] = (), default: li
             break
         folders = folders.repartition("path")
     read = written(contents(reduce(DataFrame.unionByName, files).repartition("path"), root), "contents")
-    kept = describe(read.where("reason is null").drop("reason")).withColumn("text", F.decode("content", "UTF-8"))
+    kept = describe(read.where("reason is null").drop("reason")).withColumn("text", lossy_text(F.col("content")))
     return kept, reduce(DataFrame.unionByName, out).unionByName(read.where("reason is not null").select("path", "reason"))
 
 

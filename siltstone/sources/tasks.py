@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .files import lossy_text
 
 
 def is_markdown(path: Column) -> Column:
@@ -20,7 +21,7 @@ def read_tasks(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
     rows = spark.read.format("binaryFile").load(paths)
     nul = F.instr(F.decode(F.substring("content", 1, K.PROBE_BYTES), "ISO-8859-1"), "\x00") > 0
     rows = rows.select(F.col("path").alias("source"), "content", nul.alias("nul"))
-    good = rows.where("not nul").select("source", F.decode("content", "UTF-8").alias("raw_text"), is_markdown(F.col("source")).alias("markdown"))
+    good = rows.where("not nul").select("source", lossy_text(F.col("content")).alias("raw_text"), is_markdown(F.col("source")).alias("markdown"))
     return good, rows.where("nul").select("source", F.lit("binary").alias("reason"))
 
 

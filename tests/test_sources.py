@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.config import Config
 from siltstone.operators import manifest_diff
 from siltstone.plans import repository
-from siltstone.sources import analyze, cache, files, tasks
+from siltstone.sources import analyze, cache, files, go_grammar, script_grammar, tasks
 from siltstone.streaming.incremental import follow
 
 GO = '''package oauth
@@ -52,8 +52,8 @@ def test_analyzers(spark):
     got = {r.path: r for r in analyze.analyze(rows).collect()}
     assert {(s.name, s.kind, s.receiver) for s in got["a.go"].symbols} == {("DefaultTimeout", "const", ""), ("ErrExpired", "var", ""), ("Provider", "interface", ""), ("GitHub", "type", ""), ("NewProvider", "func", ""), ("Refresh", "method", "GitHub")}
     assert got["a.go"].imports == ["errors", "net/http"]
-    assert {(s.name, s.kind, s.exported) for s in got["b.ts"].symbols} == {("make", "func", True), ("Shape", "interface", True), ("Inner", "type", False), ("fs", "const", False), ("default", "func", True)}
-    assert got["b.ts"].imports == ["./util", "node:fs"]
+    assert {(s.name, s.kind, s.exported) for s in got["b.ts"].symbols} == {("make", "func", True), ("Shape", "interface", True), ("Inner", "type", False), ("fs", "var", False), ("default", "func", True)}
+    assert got["b.ts"].imports == ["./util"]
     assert {(s.name, s.kind, s.exported) for s in got["c.py"].symbols} == {("A", "type", True), ("_b", "func", False), ("c", "func", True)}
     assert got["c.py"].imports == [".", "os.path"] and got["d.py"].parse_error and got["f.go"].parse_error and not got["e.md"].symbols
 
@@ -200,3 +200,154 @@ def test_cache_and_stream(spark, tmp_path):
     assert held.entries().where(F.size("symbols") == 1).count() == 4
     held.clear()
     assert held.entries().count() == 0
+
+
+def test_cache_loses_no_row(spark, tmp_path, monkeypatch):
+    """Growing input, replays, clearing, compaction and other versions: every file has its result each time."""
+    monkeypatch.setattr(cache, "COMPACT", 3)
+    held = cache.AnalysisCache(spark, str(tmp_path / "cache"))
+    for names in ("A", "AB", "ABCDEF", "ABCDEF", "G", "AGH", "BCI"):
+        got = held.analyze(rows(spark, *names)).collect()
+        assert sorted((r.path, r.symbols[0].name) for r in got) == [(n, n) for n in sorted(names)]
+    assert len(held.pointer()[1]) <= 3 and held.entries().count() == 9
+    old = held.entries()
+    held.clear()
+    assert held.analyze(rows(spark, "A", "B")).count() == 2 and held.entries().count() == 2
+    assert old.count() == 9, "a reader keeps what it has read"
+    newer = cache.AnalysisCache(spark, str(tmp_path / "cache"), {"go": "go-next"})
+    assert newer.lookup(rows(spark, "A"))[0].count() == 0 and newer.analyze(rows(spark, "A", "C")).count() == 2
+    newer.compact()
+    assert {(r.path, r.version) for r in newer.entries().collect()} == {("A", "go-next"), ("C", "go-next")}
+    assert newer.vacuum() > 0 and newer.vacuum() == 0 and newer.entries().count() == 2
+    # of two writers that saw the same pointer one has to read again
+    number, live = newer.pointer()
+    assert newer.commit(number, live) and not newer.commit(number, [])
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "latin.go").write_bytes(b"package p\n\n// caf\xe9\nfunc Run() {}\n")
+    (tmp_path / "t.md").write_bytes(b"Fix caf\xe9 in `latin.go`")
+    kept, out = files.walk(spark, str(tmp_path / "r"))
+    row = analyze.analyze(kept).first()
+    assert "caf\ufffd" in row.text and [s.name for s in row.symbols] == ["Run"] and row.sha256 == hashlib.sha256((tmp_path / "r" / "latin.go").read_bytes()).hexdigest()
+    assert out.count() == 0
+    good, bad = tasks.read_tasks(spark, [str(tmp_path / "t.md")])
+    assert good.first().raw_text == "Fix caf\ufffd in `latin.go`" and bad.count() == 0
+
+
+def test_warm_plan_analyses_changed_files_only(spark, tmp_path, monkeypatch):
+    for n in "abc":
+        (tmp_path / "r").mkdir(exist_ok=True)
+        (tmp_path / "r" / f"{n}.go").write_text(f"package p\n\nfunc {n.upper()}() {{}}\n")
+    held = cache.AnalysisCache(spark, str(tmp_path / "cache"))
+    first = repository.indexed(spark, str(tmp_path / "r"), Config.of({}), cache=held)[0].collect()
+    (tmp_path / "r" / "b.go").write_text("package p\n\nfunc Changed() {}\n")
+    asked = []
+    monkeypatch.setattr(cache, "analyze", lambda rows: asked.append(sorted(r.path for r in rows.select("path").collect())) or analyze.analyze(rows))
+    second = repository.indexed(spark, str(tmp_path / "r"), Config.of({}), cache=held)[0].collect()
+    assert asked == [["b.go"]]
+    assert {r.path: r.symbols for r in first} == {"a.go": ["A"], "b.go": ["B"], "c.go": ["C"]}
+    assert {r.path: r.symbols for r in second} == {"a.go": ["A"], "b.go": ["Changed"], "c.go": ["C"]}
+
+
+GO_GOOD = """package p
+
+import ("a"; . "b"
+	c `d`)
+
+type Pair[K comparable, V any] struct { Key K; Val, Other []V `json:"v"`; *Base; pkg.Other }
+type (
+	Ünder interface { ~int | string; Do(x, y int, rest ...string) (n int, err error) }
+	Fn = func(int) chan<- bool
+	Grid [3 * 2]int
+)
+
+const Ägypten, b = 1 << iota, 'x'
+
+var Q, _ = map[string][]int{"a": {1, 2}, "b": nil}, struct{ A int }{A: 1}
+
+func (p *Pair[K, V]) Get(k K) (v V) { return p.Val[0] }
+func Ärger() {}
+func New[T any](xs ...T) *Pair[int, T] {
+	defer func() { recover() }()
+	for i, x := range xs {
+		if y, ok := any(x).(int); ok && y > 0 { continue } else if i == 3 { break }
+	}
+	for i := 0; i < 3; i++ {
+	}
+	for range xs {
+	}
+outer:
+	switch z := any(xs).(type) {
+	case nil, []T: goto outer
+	case func(int) bool:
+	default:
+		_ = z
+	}
+	select {
+	case v := <-ch: ch <- v
+	case ch <- 1:
+	}
+	var f = func(a, b int) (int, error) { return a &^ b, nil }
+	go f(1, 2)
+	xs = append(xs[:1:2], xs...)
+	return &Pair[int, T]{Key: []int{1}[0], Val: xs}
+}
+"""
+
+
+def test_go_files_are_read_by_their_grammar():
+    package, symbols, imports, broken = go_grammar.read(GO_GOOD)
+    assert (package, imports, broken) == ("p", ["a", "b", "d"], False)
+    assert symbols == [("Pair", "type", ""), ("Ünder", "interface", ""), ("Fn", "type", ""), ("Grid", "type", ""), ("Ägypten", "const", ""), ("Q", "var", ""), ("Get", "method", "Pair"), ("Ärger", "func", ""), ("New", "func", "")]
+    head = "package p\n\nimport \"x\"\nimport (\n\ty \"z\"\n)\n\n"
+    for bad in ("func F() { x := := 3 }", "var a", "const a = 1 1 1", "func F() { if x { }", "type T struct { a, }", "func F() { a b }", "x := 1", "func F(a int b) {}", "var s = \"open", "func F() { return 1 +\n}", "func F() { for i := 0; i < 3 {{ }", "var c = 'ab'", "var x = [1]"):
+        assert go_grammar.read(head + bad) == ("", [], ["x", "z"], True), bad
+    for good in ("var a, b = f(x)[1:], g.h(T{1})", "func F() { if (x == T{}) { } }", "func F() { for _, t := range []T{{1}} { _ = t } }", "var x = a.(*T).b", "type A []func()", "func F() { x.y++; *p = 3; <-c; f()() }", "func f()", "var f func(a, b int, c ...[]string) (map[string]int, error)", "func F() { switch { case a, b: } }", "func F() { switch x := f(); x {\n} }"):
+        assert not go_grammar.read(head + good)[3], good
+    assert go_grammar.read("package p\nvar a int\nimport \"late\"\nfunc") == ("", [], ["late"], True)
+    assert go_grammar.read("")[3] and go_grammar.read("package p" + "\nvar x = " + "(" * 5000)[3]
+
+
+TS_GOOD = """#!/usr/bin/env node
+import React, { type A, b as c } from "react"
+import * as ns from './ns';
+import "side";
+import fs = require("fs");
+export * from "./all"; export { x as y } from "./some"
+export type { T } from './types'
+export type Id<T> = { [K in keyof T]: T[K] extends string ? 1 : 2 } | undefined
+export interface Shape<T> extends Base<T> { area(): number }
+export default class {}
+export const make = async <T,>(x: T, { y }: { y: number } = { y: 1 }): Promise<T> => { return x! }
+export let p = 1, q = a ? (b) : c, { r } = o
+export function* gen() { yield* x; }
+export abstract class Abs {}
+export enum Color { Red }
+declare function ambient(x: number): string
+function over(a: string): void
+function over(a: any) { if (a) return; else throw new Error(`x ${`y ${a}`}`) }
+const re = /[/"(]+/g.test(s) || 4 / 2 / 1, g = f<Map<string, number>>(x)
+@Deco({ a: 1 }) class Kept<T> extends mix(A, B)<T> implements I { #p = 1; get z() { return 1 } }
+for (const x of y) { label: while (x--) continue label }
+try { a?.b?.[c]?.(d) } catch { } finally { }
+const ünï = function () { return require("inner") }
+switch (a) { case 1: b(); default: c() }
+export default function named() {}
+"""
+
+
+def test_scripts_are_read_by_their_grammar():
+    symbols, imports, broken = script_grammar.read(TS_GOOD, True, False)
+    assert not broken and imports == ["./all", "./ns", "./some", "./types", "react", "side"]
+    assert symbols == [
+        ("Id", "type", True), ("Shape", "interface", True), ("default", "type", True), ("make", "func", True), ("p", "var", True), ("q", "var", True), ("over", "func", False),
+        ("re", "var", False), ("g", "var", False), ("Kept", "type", False), ("ünï", "func", False), ("default", "func", True),
+    ]
+    for bad in ("const a = 1 1 1;", "export const a = (;", "const t = `open", "let x = ;", "function f( {}", "if (a {}", "const = 3", "a b", "return 1 +", "import x from", "export { a", "/* open", "class { ", "x = 'open\n'", "const f = (a) => ;", "}"):
+        assert script_grammar.read("import 'x'\n" + bad, True, False) == ([], [], True), bad
+    js = "const a = require('a'), b = require('b').c, d = require(x)\nrequire('e');\nfunction f() { require('g') }\nrequire('h')()\nvar el = <div className='it'>don't {a < 1 && <b/>} <></></div>\n"
+    symbols, imports, broken = script_grammar.read(js, False, True)
+    assert (imports, broken) == (["a", "e"], False) and [s[0] for s in symbols] == ["a", "b", "d", "f", "el"]
+    assert script_grammar.read("x = " + "(" * 5000, False, True)[2] and script_grammar.read("", True, False) == ([], [], False)
