@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from itertools import chain
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,102 +39,9 @@ def regressions(current: DataFrame, baseline: DataFrame, tolerance: float = 0.02
     return rows.select("name", status.alias("status"), "f1", "baseline_f1")
 
 
-#: Characters of plain terms. A match holds only characters of its terms, so texts may be cut at all others.
-PLAIN = "[a-z0-9_./-]+"
-#: Chunks whose matches a worker remembers.
-MEMORY = 200_000
-
-
-def lookup(terms: list[tuple[int, list[str]]]) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
-    """Of each term the tasks that have it and its place in theirs, and the lengths of terms."""
-    found: dict[str, list[tuple[int, int]]] = {}
-    for task, some in terms:
-        for place, term in enumerate(some):
-            found.setdefault(term, []).append((task, place))
-    return found, sorted({len(t) for t in found})
-
-
-def occurrences(text: str, found: dict[str, list[tuple[int, int]]], lengths: list[int]) -> dict[int, int]:
-    """Matches in text of each task's terms joined by |: from the left, the first term that fits, none overlapping."""
-    counts: dict[int, int] = {}
-    ends: dict[int, int] = {}
-    for start in range(len(text)):
-        here: dict[int, tuple[int, int]] = {}
-        for n in lengths:
-            if start + n > len(text):
-                break
-            for task, place in found.get(text[start : start + n], ()):
-                if start >= ends.get(task, 0) and (task not in here or place < here[task][0]):
-                    here[task] = (place, start + n)
-        for task, (_, end) in here.items():
-            ends[task] = end
-            counts[task] = counts.get(task, 0) + 1
-    return counts
-
-
-def matches(terms: list[tuple[int, list[str]]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows of path and low (text in lower case) to rows of path, task (its number) and cnt (above 0)."""
-    plain = [all(re.fullmatch(PLAIN, t) for t in some) for _, some in terms]
-    short = lookup([x for x, p in zip(terms, plain, strict=True) if p])
-    odd = lookup([x for x, p in zip(terms, plain, strict=True) if not p])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks, numbers, tasks, counts = re.compile(PLAIN).findall, {}, [], []
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.iloc[at : at + 256]
-                texts = some["low"].tolist()
-                if len(numbers) > MEMORY:
-                    numbers, tasks, counts = {}, [], []
-                cut = [chunks(t) for t in texts]
-                for chunk in set().union(*cut) - numbers.keys():
-                    got = occurrences(chunk, *short)
-                    numbers[chunk] = len(tasks)
-                    tasks.append(np.fromiter(got, np.int64, len(got)))
-                    counts.append(np.fromiter(got.values(), np.int64, len(got)))
-                # every pair of text and chunk once, with how often it occurs
-                width = len(tasks) + 1
-                rows = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
-                ids = np.fromiter((numbers[c] for c in chain.from_iterable(cut)), np.int64, len(rows))
-                pairs, times = np.unique(rows * width + ids, return_counts=True)
-                rows, ids = pairs // width, (pairs % width).tolist()
-                sizes = np.fromiter((len(tasks[i]) for i in ids), np.int64, len(ids))
-                rows, times = np.repeat(rows, sizes), np.repeat(times, sizes)
-                rest = [(row, *hit) for row, t in enumerate(texts) if odd[0] for hit in occurrences(t, *odd).items()]
-                more = np.array(rest, np.int64).reshape(-1, 3)
-                rows = np.concatenate([rows, more[:, 0]])
-                task = np.concatenate([*[tasks[i] for i in ids], more[:, 1]])
-                cnt = np.concatenate([times * np.concatenate([*[counts[i] for i in ids], more[:0, 2]]), more[:, 2]])
-                pairs = rows * len(terms) + task
-                total = np.bincount(pairs, cnt, len(texts) * len(terms)).astype(np.int64)
-                hit = np.flatnonzero(total)
-                yield pd.DataFrame({"path": some["path"].to_numpy()[hit // len(terms)], "task": (hit % len(terms)).astype(np.int32), "cnt": total[hit]})
-
-    return run
-
-
-def term_counts(terms: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
-    """task_id, path, cnt, rank: the limit files with most matches of a task's terms, joined by |, in the whole text (any case), ties by path.
-
-    terms: task_id and terms (array in lower case, distinct, in order), a set of queries that each
-    worker holds; texts: path, text.
-    """
-    # the tasks are numbered here and looked up again by number
-    held = terms.where(F.size("terms") > 0).orderBy("task_id").collect()
-    spark, id_type = terms.sparkSession, terms.schema["task_id"].dataType.simpleString()
-    names = spark.createDataFrame([(i, r.task_id) for i, r in enumerate(held)], f"task int, task_id {id_type}")
-    low = texts.select("path", F.coalesce(F.lower("text"), F.lit("")).alias("low"))
-    schema = f"path {texts.schema['path'].dataType.simpleString()}, task int, cnt bigint"
-    counts = low.mapInPandas(matches([(i, list(r.terms)) for i, r in enumerate(held)]), schema) if held else low.select("path", F.lit(0).alias("task"), F.lit(0).cast("bigint").alias("cnt")).where("false")
-    hits = counts.groupBy("task", "path").agg(F.sum("cnt").alias("cnt"))
-    rank = F.row_number().over(W.partitionBy("task").orderBy(F.col("cnt").desc(), "path"))
-    best = hits.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return best.join(F.broadcast(names), "task").select("task_id", "path", "cnt", "rank")
-
-
 def variant_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """task_id, path of files that plan A lowers and plan B loads in full (a, b: task_id, path, load_mode, and a.demoted_reason)."""
-    low = a.where("demoted_reason is not null").select("task_id", "path", F.col("load_mode").alias("mode_a"))
+    """task_id, path of files that plan A selects below full and plan B loads in full, whatever their scores (a, b: task_id, path, load_mode)."""
+    low = a.where("load_mode not in ('full', 'reachable')").select("task_id", "path", F.col("load_mode").alias("mode_a"))
     return low.join(b.where("load_mode = 'full'").select("task_id", "path"), ["task_id", "path"])
 
 

@@ -6,6 +6,10 @@ cost_behavioral, language, n_symbols, side_effects array<string>.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +19,10 @@ from ..functions.paths import plays_role
 from ..functions.text import rounded, tokens_heuristic
 
 
+#: Pairs whose costs are compared with what is left at once.
+BLOCK = 1024
+
+
 def full_tokens(n_bytes: Column) -> Column:
     return tokens_heuristic(n_bytes) + 32
 
@@ -54,22 +62,51 @@ def mode_rows(eligible: DataFrame) -> DataFrame:
     return rows.withColumn("efficiency", rounded(F.col("score") * F.col("weight") / F.greatest(F.lit(1), F.col("cost")), 9))
 
 
+def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs that are chosen, of a stream in order of tasks and of efficiency within each.
+
+    What a task has left only falls, so pairs that exceed it are passed over together. Held are the paths taken
+    so far, each of which cost something: their number is bounded by the budget, not by the candidates.
+    """
+    task, left, paths = None, 0, set()
+    for batch in batches:
+        out = []
+        ids = batch["task_id"].to_numpy()
+        for first, last in runs(ids):
+            if task is None or ids[first] != task:
+                task, left, paths = ids[first], int(batch["budget"].iat[first]), set()
+            cost, path = batch["cost"].to_numpy()[first:last], batch["path"].to_numpy()[first:last]
+            at = 0
+            while at < len(cost):
+                # the next that fits, found among those of one block at a time
+                fits = np.flatnonzero(cost[at : at + BLOCK] <= left)
+                for i in (fits + at).tolist():
+                    if cost[i] <= left and path[i] not in paths:
+                        left -= int(cost[i])
+                        paths.add(path[i])
+                        out.append(first + i)
+                at += BLOCK
+        yield batch.iloc[out][["task_id", "path", "mode", "cost"]]
+
+
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """First and last places of each run of equal values."""
+    cut = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return list(zip([0, *cut], [*cut, len(values)], strict=True)) if len(values) else []
+
+
 def greedy(pairs: DataFrame, budgets: DataFrame) -> DataFrame:
     """task_id, path, mode, cost chosen in order of efficiency while the budget lasts.
 
-    A pair that doesn't fit is skipped and later ones are still tried, so a running sum can't
-    express it; the fold below goes over a task's sorted pairs (few thousand viable ones).
-    budgets: task_id, budget.
+    A pair that doesn't fit is skipped and later ones are still tried, so no running sum can express
+    it; sorted partitions are streamed instead, and no task's pairs are ever gathered. Pairs that exceed the
+    whole budget are dropped before the shuffle. budgets: task_id, budget.
     """
-    order = F.struct((-F.col("efficiency")).alias("e"), "cost", "path", (-F.col("priority")).alias("p"), "mode")
-    lists = pairs.groupBy("task_id").agg(F.sort_array(F.collect_list(order)).alias("pairs")).join(budgets, "task_id")
-    chosen = F.expr(
-        """aggregate(pairs, named_struct('left', cast(budget as bigint), 'taken', cast(map() as map<string, string>)),
-           (acc, x) -> if(x.cost <= acc.left and not map_contains_key(acc.taken, x.path),
-                          named_struct('left', acc.left - x.cost, 'taken', map_concat(acc.taken, map(x.path, x.mode))), acc))"""
-    )
-    rows = lists.select("task_id", F.explode(chosen["taken"]).alias("path", "mode"))
-    return rows.join(pairs.select("task_id", "path", "mode", "cost"), ["task_id", "path", "mode"]).select("task_id", "path", "mode", "cost")
+    rows = pairs.join(budgets.select("task_id", F.col("budget").cast("bigint").alias("budget")), "task_id").where("cost <= budget")
+    order = [F.col("efficiency").desc(), "cost", "path", F.col("priority").desc(), "mode"]
+    rows = rows.repartition("task_id").sortWithinPartitions("task_id", *order).select("task_id", "path", "mode", "cost", "budget")
+    kind = rows.schema
+    return rows.mapInPandas(taken, f"task_id {kind['task_id'].dataType.simpleString()}, path {kind['path'].dataType.simpleString()}, mode string, cost bigint")
 
 
 def forced_full(pairs: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:

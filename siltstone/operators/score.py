@@ -23,9 +23,9 @@ from .graph import package_edges, resolve_imports
 from .tasks import lower_all
 
 FACTORS = list(K.WEIGHTS)
+#: Extensions of files whose text counts.
+DOCS = [".md", ".markdown", ".rst", ".adoc"]
 LEXICAL = ["mention", "filename", "symbol", "package", "doc"]
-#: Words by which a mention meets a name; of longer names the rest is compared in the task's text.
-MENTION_WORDS = 12
 
 
 @dataclass(frozen=True)
@@ -42,33 +42,42 @@ class Settings:
             raise ValueError("floor and slope must lie in [0, 1]")
 
 
-def task_phrases(tasks: DataFrame, most: int = MENTION_WORDS) -> DataFrame:
-    """task_id and phrase: every run of up to most words of the lowered text, with what stands between them."""
-    text = F.lower("raw_text")
+def word_runs(text: Column, names: bool) -> Column:
+    """Every two words in a row with what stands between them; of names, or single words where a name has no more; of texts both."""
     words, between = F.regexp_extract_all(text, F.lit("[a-z0-9_]+"), F.lit(0)), F.split(text, "[a-z0-9_]+")
-    rows = tasks.select("task_id", words.alias("w"), between.alias("b")).withColumn("n", F.size("w")).where("n > 0")
-    rows = rows.select("task_id", "w", "b", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    rows = rows.select("task_id", "w", "b", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("n") - F.col("i") + 1))).alias("k"))
-    phrase = F.array_join(F.transform(F.sequence(F.col("i"), F.col("i") + F.col("k") - 1), lambda j: F.concat(F.element_at("w", j), F.when(j < F.col("i") + F.col("k") - 1, F.element_at("b", j + 1)).otherwise(""))), "")
-    return rows.select("task_id", phrase.alias("phrase")).distinct()
+    two = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.element_at(words, i), F.element_at(between, i + 1), F.element_at(words, i + 1)))
+    two = F.when(F.size(words) > 1, two).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(words) > 1, two).otherwise(words) if names else F.concat(words, two)
+
+
+def gaps_of(text: Column) -> Column:
+    """What stands between words, each once."""
+    return F.array_distinct(F.filter(F.split(text, "[a-z0-9_]+"), lambda g: g != ""))
 
 
 def mention(tasks: DataFrame, files: DataFrame) -> DataFrame:
-    """task_id, path of files whose path or base name the task text has between word boundaries."""
+    """task_id, path of files whose path or base name the task text has between word boundaries.
+
+    Each name is indexed by its rarest run of two words (or its only word), and meets the texts that
+    have that run by equality; names without a word meet parts of what stands between words. The rest of
+    the name is compared in the texts it has met.
+    """
     names = files.select("path", F.explode(F.array_distinct(F.array(F.lower("path"), F.lower(basename(F.col("path")))))).alias("phrase"))
-    phrases = task_phrases(tasks)
-    whole = names.where(F.col("phrase").rlike("^[a-z0-9_].*[a-z0-9_]$|^[a-z0-9_]$"))
-    texts = tasks.select("task_id", F.lower("raw_text").alias("t"))
-    head = F.regexp_extract("phrase", f"^[a-z0-9_]+(?:[^a-z0-9_]+[a-z0-9_]+){{{MENTION_WORDS - 1}}}(?=[^a-z0-9_])", 0)
-    headed = whole.withColumn("head", head)
-    whole = headed.where("head = ''").drop("head")
-    # names of more words meet by their first ones
-    long = headed.where("head <> ''").join(phrases.withColumnRenamed("phrase", "head"), "head").join(texts, "task_id").where(F.expr("contains(t, phrase)"))
-    # names that begin or end with another character are few: they are looked for one by one
-    odd = names.exceptAll(headed.drop("head")).join(texts, F.expr("contains(t, phrase)")).unionByName(long.drop("head"))
+    texts = tasks.select("task_id", F.lower("raw_text").alias("t")).where("t is not null")
+    distinct = names.select("phrase").distinct()
+    runs = distinct.select("phrase", F.explode(F.array_distinct(word_runs(F.col("phrase"), True))).alias("run"))
+    common = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    rarest = runs.join(common, "run").groupBy("phrase").agg(F.min(F.struct("n", "run")).alias("r")).select("phrase", F.col("r.run").alias("run"))
+    asked = texts.select("task_id", F.explode(F.array_distinct(word_runs(F.col("t"), False))).alias("run"))
+    bare = distinct.where("phrase not rlike '[a-z0-9_]' and phrase <> ''").select("phrase", F.length("phrase").alias("k"))
+    gaps = texts.select("task_id", F.explode(gaps_of(F.col("t"))).alias("gap"))
+    lengths = bare.agg(F.sort_array(F.collect_set("k")).alias("lengths"))
+    parts = gaps.select("gap").distinct().join(F.broadcast(lengths)).select("gap", F.explode(F.filter("lengths", lambda k: k <= F.length("gap"))).alias("k"))
+    parts = parts.select("gap", F.explode(F.transform(F.sequence(F.lit(1), F.length("gap") - F.col("k") + 1), lambda i: F.col("gap").substr(i, F.col("k")))).alias("phrase")).distinct()
+    met = rarest.join(asked, "run").select("phrase", "task_id").unionByName(bare.join(parts, "phrase").join(gaps, "gap").select("phrase", "task_id").distinct())
     before, after = "(?:^|[^a-z0-9_])", "(?:$|[^a-z0-9_])"
-    odd = odd.where(F.expr(f"t rlike concat('{before}\\\\Q', phrase, '\\\\E{after}')")).select("task_id", "path")
-    return whole.join(phrases, "phrase").select("task_id", "path").unionByName(odd).distinct()
+    found = met.join(texts, "task_id").where(F.expr("contains(t, phrase)")).where(F.expr(f"t rlike concat('{before}\\\\Q', phrase, '\\\\E{after}')"))
+    return found.select("task_id", "phrase").join(names, "phrase").select("task_id", "path").distinct()
 
 
 def anchor_rows(tasks: DataFrame) -> DataFrame:
@@ -89,7 +98,7 @@ def filename(tasks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def doc(tasks: DataFrame, files: DataFrame) -> DataFrame:
-    docs = files.where(F.col("extension").isin(".md", ".markdown", ".rst", ".adoc"))
+    docs = files.where(F.col("extension").isin(*DOCS))
     return overlap(tasks, docs.select("path", alnum_tokens(head_bytes(F.col("text"))).alias("tokens")))
 
 
@@ -133,18 +142,14 @@ def combined(column: dict[str, Column], damp: Column, settings: Settings) -> Col
     return clamp01(total([F.lit(settings.weights[f]) * column[f] * (damp if f == "mention" else F.lit(1.0)) for f in FACTORS]))
 
 
-def lexical(tasks: DataFrame, files: DataFrame, readable: DataFrame | None = None) -> DataFrame:
-    """task_id, path and the five lexical signals, for the pairs that any of them reaches.
-
-    readable: the pairs (task_id, path) whose texts count, where those are not all.
-    """
-    docs = doc(tasks, files)
+def lexical(tasks: DataFrame, files: DataFrame) -> DataFrame:
+    """task_id, path and the five lexical signals, for the pairs that any of them reaches."""
     parts = {
         "mention": mention(tasks, files).withColumn("signal", F.lit(1.0)),
         "filename": filename(tasks, files),
         "symbol": symbol(tasks, files),
         "package": package(tasks, files),
-        "doc": docs if readable is None else docs.join(readable, ["task_id", "path"], "left_semi"),
+        "doc": doc(tasks, files),
     }
     rows = None
     for name, part in parts.items():
@@ -167,11 +172,11 @@ def with_facts(rows: DataFrame, tasks: DataFrame, files: DataFrame, settings: Se
     return rows.withColumn("pass1", scored(settings, imported=False)[1])
 
 
-def first_pass(tasks: DataFrame, files: DataFrame, settings: Settings, readable: DataFrame | None = None) -> DataFrame:
+def first_pass(tasks: DataFrame, files: DataFrame, settings: Settings) -> DataFrame:
     """Every pair that has a signal before imports and tested files are known (a test of a named package has package too)."""
     configs = files.where(config_for_score(F.col("path"))).select("path")
     pairs = tasks.select("task_id").crossJoin(configs).withColumns({c: F.lit(0.0) for c in LEXICAL})
-    rows = lexical(tasks, files, readable).unionByName(pairs).groupBy("task_id", "path").agg(*[F.max(c).alias(c) for c in LEXICAL])
+    rows = lexical(tasks, files).unionByName(pairs).groupBy("task_id", "path").agg(*[F.max(c).alias(c) for c in LEXICAL])
     return with_facts(rows, tasks, files, settings)
 
 
@@ -182,33 +187,92 @@ def scored(settings: Settings, imported: bool = True) -> tuple[Column, Column]:
     return damp, combined({f: F.col(f) for f in FACTORS}, damp, settings)
 
 
-def imported(rows: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame:
-    """task_id, path, signal: 1, 0.7 or 0.4 by the best first-pass score among packages a file imports, or those import."""
+def reachable(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """path, dir, near: the packages that a file imports (near), and those that these import; the same for all tasks."""
     dirs = files.where("package <> ''").select(F.col("package").alias("dir")).distinct()
     resolved = resolve_imports(imports, dirs)
-    best = rows.where("dir <> ''").groupBy("task_id", "dir").agg(F.max("pass1").alias("best")).where("best >= 0.6")
     direct = imports.join(resolved, "import").select("path", "dir").distinct()
     edges = package_edges(files, imports, resolved)
-    onward = direct.join(edges.select(F.col("src").alias("dir"), "dst"), "dir").select("path", F.col("dst").alias("dir")).distinct()
-    onward = onward.join(direct, ["path", "dir"], "left_anti")
-    near = direct.join(best, "dir").select("task_id", "path", F.when(F.col("best") >= 0.8, 1.0).otherwise(0.7).alias("signal"))
-    far = onward.join(best, "dir").select("task_id", "path", F.lit(0.4).alias("signal"))
-    return near.unionByName(far).groupBy("task_id", "path").agg(F.max("signal").alias("reached"))
-
-
-def score(tasks: DataFrame, files: DataFrame, imports: DataFrame, links: DataFrame, settings: Settings = Settings(), readable: DataFrame | None = None) -> DataFrame:  # noqa: B008
-    """task_id, path, the eight signals, dampener, pass1 and score; readable as in lexical()."""
-    rows = written(first_pass(tasks, files, settings, readable), "first-pass")
-    tested = links.join(rows.where("pass1 >= 0.5").select("task_id", F.col("path").alias("link")), "link").join(files.where("is_test").select("path"), "path").select("task_id", "path").distinct().withColumn("tested", F.lit(True))
-    late = tested.join(imported(rows, files, imports), ["task_id", "path"], "full_outer")
-    late = written(late, "late-signals")
-    new = late.select("task_id", "path").join(rows.select("task_id", "path"), ["task_id", "path"], "left_anti")
-    rows = rows.unionByName(with_facts(new.withColumns({c: F.lit(0.0) for c in LEXICAL}), tasks, files, settings).select(rows.columns))
-    rows = rows.join(late, ["task_id", "path"], "left")
-    test = F.when(F.col("is_test") & F.coalesce("tested", F.lit(False)), 1.0).otherwise(F.col("named"))
-    rows = rows.withColumns({"test": test, "import": F.when(F.col("outside"), 0.0).otherwise(F.coalesce("reached", F.lit(0.0)))})
-    damp, final = scored(settings)
-    return rows.withColumns({"dampener": damp}).withColumn("score", final).select("task_id", "path", *FACTORS, "dampener", "pass1", "score")
+    onward = direct.join(edges.select(F.col("src").alias("dir"), "dst"), "dir").select("path", F.col("dst").alias("dir"))
+    both = direct.withColumn("near", F.lit(True)).unionByName(onward.withColumn("near", F.lit(False)))
+    return both.groupBy("path", "dir").agg(F.max("near").alias("near"))
+
+
+def late_signals(rows: DataFrame, reach: DataFrame, links: DataFrame, files: DataFrame) -> DataFrame:
+    """task_id, path, reached, tested of pairs whose imports or tested files score well in the first pass.
+
+    reached is 1, 0.7 or 0.4 by the best score among packages a file imports, or those import.
+    """
+    best = rows.where("dir <> ''").groupBy("task_id", "dir").agg(F.max("pass1").alias("best")).where("best >= 0.6")
+    signal = F.when(~F.col("near"), 0.4).when(F.col("best") >= 0.8, 1.0).otherwise(0.7)
+    reached = reach.join(best, "dir").select("task_id", "path", signal.alias("reached"), F.lit(False).alias("tested"))
+    good = rows.where("pass1 >= 0.5").select("task_id", F.col("path").alias("link"))
+    tests = links.join(files.where("is_test").select("path"), "path", "left_semi")
+    tested = tests.join(good, "link").select("task_id", "path", F.lit(0.0).alias("reached"), F.lit(True).alias("tested"))
+    return reached.unionByName(tested).groupBy("task_id", "path").agg(F.max("reached").alias("reached"), F.max("tested").alias("tested"))
+
+
+class Scores:
+    """Scores of a batch of tasks over files from one pass over names, links and texts.
+
+    What differs between the first scores (no file is read) and the last ones (texts of viable
+    files count) is the doc signal alone, so the last ones are the first ones with that term put back.
+    Only where texts could raise a package or a tested file across a threshold are imports and tests looked at again.
+    """
+
+    def __init__(self, tasks: DataFrame, files: DataFrame, imports: DataFrame, links: DataFrame, settings: Settings = Settings()):  # noqa: B008
+        self.tasks, self.files, self.links, self.settings = tasks, files, links, settings
+        self.rows = written(first_pass(tasks, files, settings), "first-pass")
+        self.reach = written(reachable(files, imports), "reach")
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Scores from first-pass rows; the columns of rows stay."""
+        late = written(late_signals(rows, self.reach, self.links, self.files), "late-signals")
+        new = late.select("task_id", "path").join(rows.select("task_id", "path"), ["task_id", "path"], "left_anti")
+        empty = with_facts(new.withColumns({c: F.lit(0.0) for c in LEXICAL}), self.tasks, self.files, self.settings)
+        rows = rows.unionByName(empty, allowMissingColumns=True).join(late, ["task_id", "path"], "left")
+        test = F.when(F.col("is_test") & F.coalesce("tested", F.lit(False)), 1.0).otherwise(F.col("named"))
+        return self.last(rows.withColumns({"test": test, "import": F.when(F.col("outside"), 0.0).otherwise(F.coalesce("reached", F.lit(0.0)))}))
+
+    def last(self, rows: DataFrame) -> DataFrame:
+        damp, final = scored(self.settings)
+        return rows.withColumns({"dampener": damp}).withColumn("score", final)
+
+    def all(self) -> DataFrame:
+        """Every text counts."""
+        return self.of(self.rows).select(COLUMNS)
+
+    def viable(self, least: float) -> DataFrame:
+        """Scores of the pairs that reach least without a file being read; their texts then count."""
+        held = self.rows.withColumnRenamed("doc", "read").withColumn("doc", F.lit(0.0))
+        first = self.of(held.withColumn("pass1", scored(self.settings, imported=False)[1])).where(F.col("score") >= least)
+        if self.texts_reach_others():
+            first = written(first.select("task_id", "path"), "viable")
+            seen = self.rows.join(first.withColumn("seen", F.lit(True)), ["task_id", "path"], "left")
+            seen = seen.withColumn("doc", F.when(F.col("seen"), F.col("doc")).otherwise(0.0)).drop("seen")
+            rows = self.of(seen.withColumn("pass1", scored(self.settings, imported=False)[1]))
+            return rows.join(first, ["task_id", "path"], "left_semi").select(COLUMNS)
+        first = first.withColumn("doc", F.coalesce("read", F.lit(0.0)))
+        pass1 = combined({f: F.lit(0.0) if f == "import" else F.col("named") if f == "test" else F.col(f) for f in FACTORS}, first_dampener(self.settings), self.settings)
+        pass1 = F.when(F.col("outside"), combined({f: F.lit(0.0) if f in ("import", "test") else F.col(f) for f in FACTORS}, first_dampener(self.settings), self.settings)).otherwise(pass1)
+        return self.last(first.withColumn("pass1", pass1)).select(COLUMNS)
+
+    def texts_reach_others(self) -> bool:
+        """Whether a file whose text counts is in a package or tested by another."""
+        texts = self.files.where(F.col("extension").isin(*DOCS))
+        return not (texts.where("package <> ''").select("path").isEmpty() and texts.join(self.links, F.col("link") == texts["path"], "left_semi").isEmpty())
+
+
+def first_dampener(settings: Settings) -> Column:
+    return dampener([F.col(c) for c in ("symbol", "filename", "package")], settings)
+
+
+COLUMNS = ["task_id", "path", *FACTORS, "dampener", "pass1", "score"]
+
+
+def score(tasks: DataFrame, files: DataFrame, imports: DataFrame, links: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """task_id, path, the eight signals, dampener, pass1 and score, where every text counts."""
+    return Scores(tasks, files, imports, links, settings).all()
 
 
 def everywhere(rows: DataFrame, tasks: DataFrame, files: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008

@@ -46,12 +46,8 @@ class Plan:
         settings = settings or score.Settings()
         links = written(index.test_links(files), "links")
         self.files = written(with_costs(files, imports, links), "files")
-        least = F.col("score") >= K.BANDS[-1][1]
-        nothing = self.tasks.select("task_id", F.lit("").alias("path")).where("false")
-        first = score.score(self.tasks, self.files, imports, links, settings, nothing).where(least)
         # files are read only if they are relevant by their names and links; their texts then count for all scores
-        viable = written(first.select("task_id", "path"), "viable")
-        self.scores = written(score.score(self.tasks, self.files, imports, links, settings, viable).join(viable, ["task_id", "path"], "left_semi"), "scores")
+        self.scores = written(score.Scores(self.tasks, self.files, imports, links, settings).viable(K.BANDS[-1][1]), "scores")
         about = self.files.select("path", "size_bytes", "language", "symbols", "side_effects", "cost_full", "cost_structural", "cost_behavioral")
         rows = self.scores.join(about, "path").select("task_id", "path", "score", (F.col("mention") == 1).alias("mentioned"), "size_bytes", "cost_full", "cost_structural", "cost_behavioral", "language", F.size("symbols").alias("n_symbols"), "side_effects")
         self.eligible = written(pack.with_eligibility(rows), "candidates")

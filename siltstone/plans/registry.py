@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import globs, text
-from ..operators import diff, evaluate, feasibility, graph, index, manifest, manifest_diff, pack, report, score, summary, tasks
+from ..operators import diff, evaluate, feasibility, graph, index, manifest, manifest_diff, pack, report, score, summary, tasks, terms
 from ..sources.tasks import is_markdown
 from . import sql as S
 from . import virtual as V
@@ -286,7 +286,7 @@ def assignments(spark, sf_dir):
     return pack.assignments(rows, chosen).withColumn("score", F.round("score", 9))
 
 
-@query("loadmode_ab", S.with_(S.CANDIDATES, S.picked("chosen", "pairs", "buds"), ASSIGNED, recursive=True) + "SELECT task_id, path, load_mode AS mode_a FROM assigned a WHERE demoted_reason IS NOT NULL AND EXISTS (SELECT 1 FROM pairs p WHERE p.task_id = a.task_id AND p.path = a.path AND p.mode = 'full')")
+@query("loadmode_ab", S.with_(S.CANDIDATES, S.picked("chosen", "pairs", "buds"), ASSIGNED, recursive=True) + "SELECT task_id, path, load_mode AS mode_a FROM assigned a WHERE load_mode NOT IN ('full', 'reachable') AND EXISTS (SELECT 1 FROM pairs p WHERE p.task_id = a.task_id AND p.path = a.path AND p.mode = 'full')")
 def loadmode_ab(spark, sf_dir):
     rows, limits = eligible(spark, sf_dir), V.candidate_budgets(spark, sf_dir)
     pairs = pack.mode_rows(rows)
@@ -455,9 +455,9 @@ def eval_regressions(spark, sf_dir):
     h AS (SELECT task_id, doc_id, CAST(len(regexp_extract_all(lower(text), pattern)) AS BIGINT) AS cnt FROM t CROSS JOIN documents)
     SELECT task_id, doc_id, cnt, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY cnt DESC, doc_id) AS INTEGER) AS rank FROM h WHERE cnt > 0) WHERE rank <= 20""")
 def term_topn(spark, sf_dir):
-    terms = benchmark_tasks(spark, sf_dir).select("task_id", F.array_distinct(tasks.lower_all(F.col("anchors"))).alias("terms"))
+    wanted = benchmark_tasks(spark, sf_dir).select("task_id", F.array_distinct(tasks.lower_all(F.col("anchors"))).alias("terms"))
     texts = V.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    return evaluate.term_counts(terms, texts, 20).withColumnRenamed("path", "doc_id")
+    return terms.term_counts(wanted, texts, 20).withColumnRenamed("path", "doc_id")
 
 
 @query("advisory", """SELECT event_type AS name, floor(ra * 10000 + 0.5) / 10000 AS rate_a, floor(rb * 10000 + 0.5) / 10000 AS rate_b, rb - ra >= 10 AS advise FROM

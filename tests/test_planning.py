@@ -1,5 +1,6 @@
 """Planning operators on hand-made rows."""
 
+import random
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from siltstone.config import Config
 from siltstone.functions import globs, paths, text
 from siltstone.operators import diff, evaluate, feasibility, index, manifest, pack, report, rules, score, tasks
+from siltstone.operators import terms as term_search
 
 
 def parsed(spark, *texts):
@@ -86,6 +88,57 @@ def test_mentions_need_boundaries(spark):
     assert {(r.task_id, r.path) for r in score.mention(task, files).collect()} == {("t1", "a/run.go"), ("t2", ".eslintrc")}
 
 
+def test_mentions_of_odd_names(spark):
+    """Names that begin or end with other characters, hold no word at all or other scripts, against the definition."""
+    names = ["日本.md", "x/日本", "+++", "a/++", ".env", "a~", "~a~", "b/+.go", "é", "x_y", "_", "c++/d", "(z)", "q\\\\e.go", "main.go", "cmd/main.go", "x/main.go.bak"]
+    texts = ["See 日本.md and ++ now", "+++", "x++++y", "a~b ~a~ .env", "日本 + é", "use c++/d, (z)", "x.env", "_ x_y x_y_", "Q\\\\E.GO main.go!", "cmd/main.go", "x/main.go.bak", "", "日本日本 éé", "b/+.go"]
+    got = {(r.task_id, r.path) for r in score.mention(parsed(spark, *texts, None), files_of(spark, [(n, 1, [], "") for n in names])).collect()}
+    flanked = lambda n, t: re.search(rf"(?:^|[^a-z0-9_]){re.escape(n.lower())}(?:$|[^a-z0-9_])", t.lower())
+    assert got == {(f"t{i}", n) for i, t in enumerate(texts) for n in names if flanked(n, t) or flanked(n.rsplit("/", 1)[-1], t)}
+    plan = score.mention(parsed(spark, "x"), files_of(spark, [("a", 1, [], "")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "contains" not in next((x for x in plan.split("\n") if "Join" in x and "contains" in x), "")
+
+
+def test_texts_that_reach_packages_and_tests(spark):
+    """Text files inside of packages: the scores are those of a second pass over all pairs."""
+    task = parsed(spark, "Refactor `guide` `readme` `alpha` in pkg/guide.md, `pkg`, `beta` and `gamma`")
+    held = [("pkg/guide.md", 1, [], "guide readme alpha beta gamma pkg"), ("pkg/a.go", 1, ["alpha"], ""), ("use/b.go", 1, [], ""), ("pkg/guide_test.go", 1, [], "")]
+    files = files_of(spark, held).withColumn("package", F.when(F.col("path").startswith("pkg/"), "pkg").otherwise("use"))
+    imports = spark.createDataFrame([("use/b.go", "m/pkg")], "path string, import string")
+    links = spark.createDataFrame([("pkg/guide_test.go", "pkg/guide.md")], "path string, link string")
+    for settings in (score.Settings(), score.Settings({"mention": 0.2, "filename": 0.1, "symbol": 0.1, "import": 0.1, "package": 0.1, "test": 0.05, "doc": 0.3, "config": 0.05})):
+        scores = score.Scores(task, files, imports, links, settings)
+        assert scores.texts_reach_others()
+        first = score.Scores(task, files.withColumn("text", F.lit("")), imports, links, settings).all().where("score >= 0.1")
+        seen = files.join(first.select("path"), "path", "left").withColumn("text", F.when(files.path.isin([r.path for r in first.collect()]), F.col("text")).otherwise(""))
+        want = score.Scores(task, seen, imports, links, settings).all().join(first.select("path"), "path", "left_semi")
+        columns = ["path", *score.FACTORS, "dampener", "pass1", "score"]
+        plain = lambda rows: sorted(tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in rows.select(columns).collect())
+        assert plain(scores.viable(0.1)) == plain(want)
+
+
+def test_packing_is_linear_and_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    rows, want, budgets = [], set(), []
+    for t, budget in (("a", 900), ("b", 10**6), ("c", 0), ("d", 37)):
+        held = [(t, f"p{rng.randrange(200)}", mode, rng.randrange(1, 400), rng.randrange(9) / 10, 0.5, k) for k, mode in enumerate(("full", "structural_summary", "behavioral_summary")) for _ in range(150)]
+        held = list({(r[1], r[2]): r for r in held}.values())
+        left, paths = budget, set()
+        for r in sorted(held, key=lambda r: (-r[4], r[3], r[1], -r[6], r[2])):
+            if r[3] <= left and r[1] not in paths:
+                left -= r[3]
+                paths.add(r[1])
+                want.add(r[:4])
+        rows += held
+        budgets.append((t, budget))
+    rng.shuffle(rows)
+    pairs = spark.createDataFrame(rows, "task_id string, path string, mode string, cost bigint, efficiency double, score double, priority int")
+    monkeypatch.setattr(pack, "BLOCK", 7)
+    assert {tuple(r) for r in pack.greedy(pairs, spark.createDataFrame(budgets, "task_id string, budget bigint")).collect()} == want
+    many = spark.range(100_000).selectExpr("'t' AS task_id", "cast(id as string) AS path", "'full' AS mode", "50 + id % 97 AS cost", "id % 1009 / 1009 AS efficiency", "3 AS priority")
+    assert pack.greedy(many, spark.createDataFrame([("t", 10**6)], "task_id string, budget bigint")).agg(F.sum("cost")).first()[0] > 10**6 - 50
+
+
 def test_mentions_of_long_names(spark):
     adr = "docs/adr/0007-how-we-move-all-of-the-old-tables-to-the-new-store.md"
     twelve = "a-b-c-d-e-f-g-h-i-j-k.md"
@@ -117,7 +170,7 @@ def test_imports_reach_two_steps(spark):
     files = files_of(spark, [(f"{d}/x.go", 1, [], "") for d in ("auth", "internal/auth", "b", "c")])
     imports = spark.createDataFrame([("b/x.go", "example.com/m/internal/auth"), ("c/x.go", "m/b"), ("c/x.go", "xauth")], "path string, import string")
     rows = spark.createDataFrame([("t", "internal/auth", 0.9)], "task_id string, dir string, pass1 double").withColumn("path", F.lit("internal/auth/x.go"))
-    got = {r.path: r.reached for r in score.imported(rows, files, imports).collect()}
+    got = {r.path: r.reached for r in score.late_signals(rows, score.reachable(files, imports), spark.createDataFrame([], "path string, link string"), files).collect()}
     assert got == {"b/x.go": 1.0, "c/x.go": 0.4}
 
 
@@ -190,12 +243,38 @@ def test_metrics_edge_cases(spark):
 def test_terms_count_anywhere_in_the_text(spark):
     terms = spark.createDataFrame([("a", ["token", "refresh.go", "tokens"]), ("b", ["foo_bar", "é f()"]), ("c", ["aaaa"]), ("d", [])], "task_id string, terms array<string>")
     texts = {"x": "Tokens, tokenstoken; Refresh.go refreshxgo foo_barfoo_bar", "y": "aaaaaaaaaa-aaaa É F() é  f()", "z": None, "w": "retokenize/refresh.gone"}
-    found = evaluate.term_counts(terms, spark.createDataFrame(list(texts.items()), "path string, text string").repartition(3), 2)
+    found = term_search.term_counts(terms, spark.createDataFrame(list(texts.items()), "path string, text string").repartition(3), 2)
     want = {(r.task_id, p): n for r in terms.collect() if r.terms for p, t in texts.items() if (n := len(re.findall("|".join(map(re.escape, r.terms)), (t or "").lower())))}
     assert {(r.task_id, r.path): r.cnt for r in found.collect()} == want == {("a", "x"): 4, ("a", "w"): 2, ("b", "x"): 2, ("b", "y"): 1, ("c", "y"): 3}
     assert [(r.path, r["rank"]) for r in found.where("task_id = 'a'").orderBy("rank").collect()] == [("x", 1), ("w", 2)]
 
 
+def test_automaton_and_settling_equal_regular_expressions(monkeypatch):
+    rng = random.Random(2)
+    for lane, rounds in ((256, 16), (3, 0), (5, 2)):
+        monkeypatch.setattr(term_search, "LANE", lane)
+        monkeypatch.setattr(term_search, "ROUNDS", rounds)
+        monkeypatch.setattr(term_search, "BLOCK", 7)
+        monkeypatch.setattr(term_search, "DENSE", lane)
+        letters = "ab é-\n"[: rng.randrange(2, 6)]
+        word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(1, n)))
+        terms = [list(dict.fromkeys(word(5) for _ in range(rng.randrange(1, 6)))) for _ in range(30)]
+        texts = ["", "a" * 300, *[word(60) for _ in range(40)]]
+        counts = term_search.Counts(terms)
+        for _ in range(2):
+            got = counts.of(texts)
+            assert got.tolist() == [[len(re.findall("|".join(map(re.escape, t)), x)) for t in terms] for x in texts]
+
+
+def test_shards_of_tasks_give_the_same(spark, monkeypatch):
+    terms = spark.createDataFrame([(i, [f"w{i}", f"w{i}{i}", "w"]) for i in range(20)], "task_id int, terms array<string>")
+    texts = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i))) for i in range(40)], "path int, text string")
+    want = sorted(map(tuple, term_search.term_counts(terms, texts, 5).collect()))
+    monkeypatch.setattr(term_search, "SHARD", 40)
+    assert sorted(map(tuple, term_search.term_counts(terms, texts.repartition(3), 5).collect())) == want and len(want) == 100
+    assert term_search.term_counts(terms.where("false"), texts, 5).count() == 0
+
+
 def test_diff(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string")
     b = spark.createDataFrame([(2, "z"), (3, None), (4, "n")], "k int, v string")
