@@ -21,8 +21,14 @@ def part(pattern: str) -> str:
         elif c == "?":
             out += "[^/]"
         elif c == "[" and close > 0:
-            out += "[" + pattern[i + 1 : close].replace("\\", "\\\\") + "]"
+            # an escaped character of a class is itself, and letters after a backslash are no classes here
+            held = re.sub(r"\\(.)", lambda m: m[1] if m[1].isalnum() else "\\" + m[1], pattern[i + 1 : close])
+            out += "[" + re.sub(r"(?<!\\)([\[&])", r"\\\1", held) + "]"
             i = close
+        elif c == "\\":
+            # the next character stands for itself; nothing matches a pattern that ends here
+            i += 1
+            out += re.escape(pattern[i]) if i < len(pattern) else NEVER
         else:
             out += re.escape(c)
         i += 1

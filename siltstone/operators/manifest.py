@@ -80,11 +80,12 @@ def listing(rows: DataFrame, *columns: str) -> DataFrame:
 
 def assemble(
     tasks: DataFrame, assigned: DataFrame, scores: DataFrame, gaps: DataFrame, feasible: DataFrame, budgets: DataFrame,
-    files: DataFrame | None = None, supplemental: DataFrame | None = None, exclusions: DataFrame | None = None, about: dict | None = None,
+    files: DataFrame | None = None, supplemental: DataFrame | None = None, exclusions: DataFrame | None = None, about: dict | None = None, underflow: DataFrame | None = None,
 ) -> DataFrame:
     """task_id and one nested manifest per task, with manifest_hash and manifest_id.
 
-    files (language), supplemental (category, path) and exclusions (path, reason) are of the whole repository.
+    files (language), supplemental (category, path) and exclusions (path, reason) are of the whole repository;
+    underflow (task_id, underflow) tells which plans are incomplete.
     """
     spark = tasks.sparkSession
     say = ABOUT | (about or {})
@@ -101,6 +102,8 @@ def assemble(
     parts = breakdown(scores).groupBy("task_id", "path").agg(F.sort_array(F.collect_list(F.struct("factor", rounded(F.col("signal"), 4).alias("signal"), "weight", rounded(F.col("contribution"), 4).alias("contribution")))).alias("breakdown"))
     parts = assigned.where("load_mode <> 'reachable'").select("task_id", "path").join(parts, ["task_id", "path"]).groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("path", "breakdown"))).alias("breakdowns"))
     rows = rows.join(parts, "task_id", "left")
+    short = spark.createDataFrame([], rows.select("task_id").schema).withColumn("underflow", F.lit(True)) if underflow is None else underflow
+    rows = rows.join(short.select("task_id", "underflow"), "task_id", "left")
     empty = {"languages": (files, "language string", "language"), "supplementals": (supplemental, "category string, path string", "category", "path"), "exclusions": (exclusions, "path string, reason string", "path", "reason")}
     for name, (frame, schema, *columns) in empty.items():
         rows = rows.join(F.broadcast(listing(spark.createDataFrame([], schema) if frame is None else frame.where(F.col(columns[0]) != ""), *columns).withColumnRenamed("all", name)))
@@ -114,7 +117,7 @@ def assemble(
     whole = F.struct(
         F.lit("1.0").alias("schema_version"), F.lit("sel-v2").alias("selection_logic_version"), F.lit(say["version"]).alias("version"), F.lit(say["config_digest"]).alias("config_digest"), F.lit(say["scope"]).alias("scope"),
         F.struct(F.lit(say["fingerprint"]).alias("fingerprint"), F.col("languages").alias("language_hints")).alias("repo"), tiers.alias("language_tiers"),
-        "task_id", "task", spent.alias("budget"), "selections", "reachable", "supplementals", "exclusions", "gaps", "feasibility", "breakdowns",
+        F.coalesce("underflow", F.lit(False)).alias("incomplete"), "task_id", "task", spent.alias("budget"), "selections", "reachable", "supplementals", "exclusions", "gaps", "feasibility", "breakdowns",
     )
     rows = rows.select("task_id", whole.alias("manifest"), hashed(F.to_json(whole)).alias("manifest_hash"))
     return rows.withColumn("manifest_id", F.concat(F.lit(ID_PREFIX), F.substring("manifest_hash", 8, 16)))
@@ -170,8 +173,8 @@ def explain(manifests: DataFrame) -> DataFrame:
 
 
 def gates(manifests: DataFrame, fail_on_gaps: bool = False, least: float | None = None) -> DataFrame:
-    """task_id and exit_code: 8 for a blocking gap where that fails, 7 below the least feasibility, else 0."""
+    """task_id and exit_code: 9 where nothing of the best fits the budget, then 8 for a blocking gap where that fails, 7 below the least feasibility, else 0."""
     m = F.col("manifest")
     blocked = F.exists(F.coalesce(m["gaps"], F.array().cast("array<struct<id:string,type:string,severity:string,description:string,suggested_remediation:array<string>>>")), lambda g: g["severity"] == "blocking")
-    code = F.when(F.lit(fail_on_gaps) & blocked, 8).when(m["feasibility"]["score"] < least if least is not None else F.lit(False), 7).otherwise(0)
+    code = F.when(m["incomplete"], 9).when(F.lit(fail_on_gaps) & blocked, 8).when(m["feasibility"]["score"] < least if least is not None else F.lit(False), 7).otherwise(0)
     return manifests.select("task_id", code.alias("exit_code"))

@@ -15,14 +15,25 @@ BASELINE_VERSION, PER_RUN = "1.0", "## Per-Run Metadata"
 METRICS = ["precision", "recall", "f1"]
 
 
-def write_baseline(metrics: DataFrame, path: str, logic: str, generated_at: str) -> None:
-    """One JSON row for each case, with the versions, in place of what path held."""
+def write_baseline(metrics: DataFrame, path: str, logic: str, generated_at: str, force: bool = False) -> None:
+    """One JSON row for each case, with the versions, in place of what path held.
+
+    A case whose F1 would fall below the one that is held is an error, unless forced.
+    """
+    held = load_baseline(metrics.sparkSession, path)
+    if held is not None and not force:
+        lower = metrics.select("name", "f1").join(held.select("name", F.col("f1").alias("held")), "name").where("f1 < held").orderBy("name").select("name").take(20)
+        if lower:
+            raise ValueError(f"F1 would fall: {', '.join(r.name for r in lower)}")
     stamps = [F.lit(BASELINE_VERSION).alias("schema_version"), F.lit(logic).alias("selection_logic_version"), F.lit(generated_at).alias("generated_at")]
     metrics.select(*stamps, "name", *METRICS).write.mode("overwrite").json(path)
 
 
-def load_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """name and metrics of a written baseline; another version is an error."""
+def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
+    """name and metrics of a written baseline, None where there is none (a first run); another version is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
     rows = spark.read.schema("schema_version string, selection_logic_version string, generated_at string, name string, precision double, recall double, f1 double").json(path)
     other = rows.where(~F.col("schema_version").eqNullSafe(F.lit(BASELINE_VERSION))).select("schema_version").first()
     if other:
@@ -80,3 +91,15 @@ def markdown(rows: DataFrame, fixtures: str, baseline: str, tolerance: float, lo
 def without_per_run(report: Column) -> Column:
     """The report up to what changes from run to run."""
     return F.substring_index(report, PER_RUN, 1)
+
+
+def as_json(rows: DataFrame, fixtures: str, baseline: str, tolerance: float, logic: str, per_run: dict[str, str]) -> DataFrame:
+    """One row with the report as JSON; what changes from run to run is the last field, per_run_metadata."""
+    cases = F.sort_array(F.collect_list(F.struct("name", *METRICS, "status", "baseline_f1", "drop", "failures")))
+    about = [F.lit(v).alias(k) for k, v in {"schema_version": BASELINE_VERSION, "selection_logic_version": logic, "fixtures_dir": fixtures, "baseline_path": baseline, "tolerance": tolerance}.items()]
+    made = F.struct(*[F.lit(v).alias(k) for k, v in per_run.items()]) if per_run else F.create_map()
+    return rows.agg(cases.alias("fixtures")).select(F.to_json(F.struct(*about, "fixtures", made.alias("per_run_metadata"))).alias("json"))
+
+
+def json_without_per_run(report: Column) -> Column:
+    return F.regexp_replace(report, r',"per_run_metadata":\{[^{}]*\}\}$', "}")

@@ -61,4 +61,4 @@ class Plan:
 
     def manifests(self, exclusions: DataFrame | None = None, about: dict | None = None) -> DataFrame:
         """task_id, manifest (nested), manifest_hash, manifest_id."""
-        return manifest.assemble(self.tasks, self.assigned, self.scores, self.gaps, self.feasibility, self.budgets, self.files, self.supplemental, exclusions, about)
+        return manifest.assemble(self.tasks, self.assigned, self.scores, self.gaps, self.feasibility, self.budgets, self.files, self.supplemental, exclusions, about, self.underflow)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import globs, text
-from ..operators import diff, evaluate, feasibility, graph, index, manifest, manifest_diff, pack, report, score, summary, tasks, terms
+from ..operators import diff, evaluate, feasibility, fingerprint, graph, index, loadmode, manifest, manifest_diff, pack, report, score, summary, tasks, terms
+from ..sources import analyze
+from ..sources.cache import AnalysisCache
+from ..sources.shared import shared_dir
 from ..sources.tasks import is_markdown
 from . import sql as S
 from . import virtual as V
@@ -288,11 +294,8 @@ def assignments(spark, sf_dir):
 
 @query("loadmode_ab", S.with_(S.CANDIDATES, S.picked("chosen", "pairs", "buds"), ASSIGNED, recursive=True) + "SELECT task_id, path, load_mode AS mode_a FROM assigned a WHERE load_mode NOT IN ('full', 'reachable') AND EXISTS (SELECT 1 FROM pairs p WHERE p.task_id = a.task_id AND p.path = a.path AND p.mode = 'full')")
 def loadmode_ab(spark, sf_dir):
-    rows, limits = eligible(spark, sf_dir), V.candidate_budgets(spark, sf_dir)
-    pairs = pack.mode_rows(rows)
-    a = pack.assignments(rows, pack.greedy(pairs, limits))
-    b = pack.assignments(rows, pack.forced_full(pairs, limits)[0])
-    return evaluate.variant_diff(a, b)
+    both = loadmode.packed(eligible(spark, sf_dir), V.candidate_budgets(spark, sf_dir))[0]
+    return evaluate.variant_diff(loadmode.of_plan(both, loadmode.A), loadmode.of_plan(both, loadmode.B))
 
 
 # --- rules, feasibility and whole plans ----------------------------------------------------------
@@ -395,6 +398,29 @@ def feasibility_score(spark, sf_dir):
     return rows.select("task_id", *[F.round(c, 9).alias(c) for c in ("coverage", "anchor_resolution", "task_specificity", "budget_headroom", "gap_penalty", "score")], "assessment")
 
 
+# the tables of a plan from its choices on, again for the plan that demotes nothing
+TAIL = ["assigned", *re.findall(r"(?m)^(\w+) AS \(", PLAN[-1])]
+FORCED_TAIL = re.sub(rf"\b({'|'.join(TAIL)})\b", r"\1_b", ASSIGNED.replace("chosen c", "chosen_b c") + "," + PLAN[-1])
+FORCED_PLAN = S.with_(f"fx AS ({EFFECT_SQL})", *PLAN, FORCED, S.picked("rest_b", "frest", "fleft"), "chosen_b AS (SELECT task_id, path, mode, cost FROM forced UNION ALL SELECT task_id, path, mode, cost FROM rest_b)", FORCED_TAIL, recursive=True)
+
+
+@query("loadmode_report", FORCED_PLAN + """, low AS (SELECT a.task_id, string_agg(a.path || ' ' || CAST(a.cost AS STRING), '|' ORDER BY a.path) AS demoted FROM assigned a JOIN assigned_b b ON b.task_id = a.task_id AND b.path = a.path AND b.load_mode = 'full'
+      WHERE a.load_mode NOT IN ('full', 'reachable') GROUP BY a.task_id),
+    ta AS (SELECT DISTINCT task_id, type FROM gaps), tb AS (SELECT DISTINCT task_id, type FROM gaps_b),
+    ga AS (SELECT task_id, string_agg(type, '|' ORDER BY type) AS g FROM ta WHERE NOT EXISTS (SELECT 1 FROM tb WHERE tb.task_id = ta.task_id AND tb.type = ta.type) GROUP BY task_id),
+    gb AS (SELECT task_id, string_agg(type, '|' ORDER BY type) AS g FROM tb WHERE NOT EXISTS (SELECT 1 FROM ta WHERE ta.task_id = tb.task_id AND tb.type = ta.type) GROUP BY task_id)
+    SELECT f.task_id, coalesce(low.demoted, '') AS demoted, CAST(greatest(0, coalesce(cb.spent, 0) - coalesce(ca.spent, 0)) AS BIGINT) AS tokens_gained, round(fb.score - f.score, 9) AS feasibility_delta,
+      coalesce(ga.g, '') AS gaps_a_only, coalesce(gb.g, '') AS gaps_b_only, CAST(greatest(0, -l.budget) AS BIGINT) AS overflow_tokens, l.budget < 0 AS would_underflow
+    FROM feas f JOIN feas_b fb ON fb.task_id = f.task_id JOIN fleft l ON l.task_id = f.task_id LEFT JOIN low ON low.task_id = f.task_id LEFT JOIN cov ca ON ca.task_id = f.task_id LEFT JOIN cov_b cb ON cb.task_id = f.task_id
+    LEFT JOIN ga ON ga.task_id = f.task_id LEFT JOIN gb ON gb.task_id = f.task_id""")
+def loadmode_report(spark, sf_dir):
+    """What forcing files to full would change for each task of the virtual repository."""
+    plan = virtual_plan(spark, sf_dir)
+    rows = loadmode.report(loadmode.variants(plan.tasks, plan.eligible, plan.files, plan.supplemental, plan.budgets))
+    listed = F.array_join(F.transform("demoted_in_a", lambda d: F.concat_ws(" ", d["path"], d["tokens"])), "|")
+    return rows.select("task_id", listed.alias("demoted"), "tokens_gained", F.round("feasibility_delta", 9).alias("feasibility_delta"), exploded("gaps_a_only").alias("gaps_a_only"), exploded("gaps_b_only").alias("gaps_b_only"), "overflow_tokens", "would_underflow")
+
+
 @query("plan_manifests")
 def plan_manifests(spark, sf_dir):
     """Whole plans: hash, id, Markdown and explanation of each task's manifest."""
@@ -502,16 +528,54 @@ def anchor_setdiff(spark, sf_dir):
 
 @query("corpus_fingerprint", "SELECT source, sha256(string_agg(CAST(doc_id AS STRING) || ':' || sha256(text), ',' ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM documents GROUP BY source")
 def corpus_fingerprint(spark, sf_dir):
-    rows = V.load(spark, sf_dir, "documents").select("source", F.struct("doc_id", F.sha2("text", 256).alias("sha")).alias("x")).groupBy("source").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    line = F.array_join(F.transform("xs", lambda x: F.concat_ws(":", x["doc_id"], x["sha"])), ",")
-    return rows.select("source", F.sha2(line, 256).alias("fingerprint"), F.size("xs").cast("bigint").alias("n"))
+    docs = V.load(spark, sf_dir, "documents")
+    return fingerprint.chained(docs, "source", ["doc_id"], F.concat_ws(":", "doc_id", F.sha2("text", 256)), between=b",")
+
+
+CACHED = "2026-01-01T00:00:00Z"
 
 
-@query("cache_hit_miss", "SELECT d.doc_id, sha256(CAST(d.doc_id AS STRING) || '|' || CAST(strlen(d.text) AS STRING) || '|v1') AS key, e.k IS NOT NULL AS hit FROM documents d LEFT JOIN (SELECT DISTINCT user_id AS k FROM events) e ON e.k = d.doc_id")
+@query("cache_hit_miss", f"""SELECT doc_id, sha256(concat('docs/', CAST(doc_id AS STRING), '.md', chr(0), CAST(strlen(coalesce(text, '')) AS STRING), chr(0), '{CACHED}', chr(0), 'none')) AS key,
+    doc_id IN (SELECT user_id FROM events) AS hit, CAST((SELECT count(DISTINCT doc_id) FROM documents) AS BIGINT) AS held FROM documents""")
 def cache_hit_miss(spark, sf_dir):
-    docs = V.load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("|", "doc_id", F.octet_length("text"), F.lit("v1")), 256).alias("key"))
-    seen = V.load(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
-    return docs.join(seen, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    """Documents as files: those that events name are analysed first, then all; which were hits, and how many entries are held at the end."""
+    path, size = F.concat(F.lit("docs/"), "doc_id", F.lit(".md")), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    docs = V.load(spark, sf_dir, "documents").select("doc_id", path.alias("path"), size.alias("size"), F.lit(CACHED).alias("mtime"), F.lit("markdown").alias("language"), "text")
+    cache = AnalysisCache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}")
+    cache.analyze(docs.join(V.load(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct(), "doc_id"))
+    hits, misses = cache.lookup(docs)
+    rows = hits.select("doc_id", "key", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", "key", F.lit(False).alias("hit")))
+    cache.analyze(docs)
+    return rows.join(cache.entries().agg(F.count(F.lit(1)).alias("held")))
+
+
+# --- sources of the virtual repository, read by their grammars --------------------------------------
+
+NL, TAB = "chr(10)", "chr(9)"
+BROKEN = "p_partkey % 7 = 0"
+IS_GO = "p_partkey % 2 = 0"
+GO_SOURCE = f"""concat('package ', {V.BRAND}, {NL}, {NL}, 'import (', {NL}, {TAB}, '"', {V.MODULE}, '"', {NL}, {TAB}, 'lib "', {V.LIBRARY}, '"', {NL}, ')', {NL}, {NL}, '// type Hidden int', {NL},
+    'type (', {NL}, {TAB}, {V.CAMEL}, '[T any] struct {{ n, m int }}', {NL}, {TAB}, 'hidden = map[string]func(int) bool', {NL}, ')', {NL}, {NL}, 'const Max', {V.CAMEL}, ', min = ', CAST(p_size AS STRING), ', 1', {NL}, {NL},
+    'func New', {V.CAMEL}, '(xs ...int) (*', {V.CAMEL}, '[int], error) {{', {NL}, {TAB}, 'for i, x := range xs {{', {NL}, {TAB}, {TAB}, 'if y := x << 2; y > i {{ continue }}', {NL}, {TAB}, '}}', {NL}, {TAB}, 'return &', {V.CAMEL}, '[int]{{n: 1}}, nil', {NL}, '}}', {NL}, {NL},
+    'func (r *', {V.CAMEL}, '[T]) Run', CASE WHEN {BROKEN} THEN '() {{ x := := 3 }}' ELSE '() {{ r.n++ }}' END, {NL})"""
+TS_SOURCE = f"""concat('import {{ a }} from "', {V.MODULE}, '"', {NL}, 'export const make', {V.CAMEL}, ' = async (x: number): Promise<number> => x', {NL}, 'let one = 1, two = `${{one}} {{`', {NL},
+    'export interface ', {V.CAMEL}, 'View<T> extends Base {{ n: T }}', {NL}, 'export enum Kind {{ A }}', {NL}, 'function local() {{ return /[/"]/.test("x") ? 1 : 2 }}', {NL}, 'export default class {{ run() {{}} }}', {NL},
+    CASE WHEN {BROKEN} THEN 'const a = 1 1 1;' ELSE 'const a = 1;' END, {NL})"""
+SOURCE_PATH = f"concat('src/', {V.BRAND}, '/f', CAST(p_partkey AS STRING), CASE WHEN {IS_GO} THEN '.go' ELSE '.ts' END)"
+
+
+@query("source_symbols", f"""WITH s AS (SELECT {SOURCE_PATH} AS path, {BROKEN} AS parse_error, {IS_GO} AS go, {V.CAMEL} AS camel, {V.MODULE} AS module, {V.LIBRARY} AS library FROM part)
+    SELECT path, parse_error, CASE WHEN parse_error THEN '' WHEN go THEN concat('type ', camel, '|const Max', camel, '|func New', camel, '|method ', camel, '.Run')
+      ELSE concat('*func make', camel, '|var one|var two|*interface ', camel, 'View|func local|*type default|var a') END AS symbols,
+    CASE WHEN NOT go THEN CASE WHEN parse_error THEN '' ELSE module END WHEN module < library THEN concat(module, '|', library) ELSE concat(library, '|', module) END AS imports FROM s""")
+def source_symbols(spark, sf_dir):
+    """Symbols (scripts': exported ones marked) and imports of generated Go and TypeScript files, one in seven of them broken."""
+    parts = V.load(spark, sf_dir, "part").withColumns({"path": F.expr(SOURCE_PATH), "language": F.expr(f"CASE WHEN {IS_GO} THEN 'go' ELSE 'typescript' END")})
+    rows = analyze.analyze(parts.select("path", "language", F.expr(f"CASE WHEN {IS_GO} THEN {GO_SOURCE} ELSE {TS_SOURCE} END").alias("text")))
+    mark = lambda s: F.when((F.col("language") != "go") & s["exported"], "*").otherwise("")
+    owner = lambda s: F.when(s["receiver"] != "", F.concat(s["receiver"], F.lit("."))).otherwise("")
+    shown = F.transform("symbols", lambda s: F.concat(mark(s), s["kind"], F.lit(" "), owner(s), s["name"]))
+    return rows.select("path", "parse_error", F.array_join(shown, "|").alias("symbols"), exploded("imports").alias("imports"))
 
 
 # --- sections of a diff, reports, reasons, odd paths -----------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 from collections.abc import Iterator
 from datetime import UTC
 from functools import reduce
@@ -13,9 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..operators.fingerprint import chained
 from ..operators.index import describe, pattern_reason
 from .shared import written
 
+# Fixed value: what digests of trees begin with.
+TREE = "fixture-fingerprint-v1"
 #: Bytes of content that leave a task at once.
 PART = 16 << 20
 
@@ -115,11 +119,68 @@ def walk(spark: SparkSession, root: str, user: tuple[str, ...] = (), default: li
 
 
 def fingerprint(files: DataFrame, version: str) -> DataFrame:
-    """One row: a digest of all paths, digests, sizes and times in order of path.
+    """One row: a digest of all paths, digests, sizes and times in order of path."""
+    line = F.to_json(F.struct("path", "sha256", "size", "mtime"))
+    rows = chained(files.withColumn("repo", F.lit("")), "repo", ["path"], line, f"{version}[".encode(), b",", b"]")
+    empty = "sha256:" + hashlib.sha256(f"{version}[]".encode()).hexdigest()
+    return rows.agg(F.coalesce(F.concat(F.lit("sha256:"), F.max("fingerprint")), F.lit(empty)).alias("fingerprint"))
+
+
+class NotPlain(Exception):
+    """A tree of files holds a symbolic link, another thing than a file, or what can't be read."""
+
+
+def composed(path: Column) -> Column:
+    """The path in composed form (NFC); most are plain and stay in the JVM."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda p: unicodedata.normalize("NFC", p))
+
+    return F.when(path.rlike(r"[^\x00-\x7F]"), F.pandas_udf(run, "string")(path)).otherwise(path)
 
-    The hash is serial, so one row holds a line for each file of a repository.
+
+def hashes(files: DataFrame, root: str) -> DataFrame:
+    """path and sha256 of whole files, read in parts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base, _ = store_of(root)
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                state = hashlib.sha256()
+                with store.open_input_stream(f"{base}/{path}") as f:
+                    while part := f.read(1 << 20):
+                        state.update(part)
+                rows.append((path, state.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "sha256"])
+
+    return files.select("path").mapInPandas(run, "path string, sha256 string")
+
+
+def tree_fingerprint(spark: SparkSession, root: str) -> str:
+    """The digest of a tree of files: composed paths and digests of everything below root, in order of path.
+
+    Nothing is left out. What isn't a plain file or folder is an error, a missing root too.
     """
-    line = F.to_json(F.struct("path", "sha256", "size", "mtime"))
-    rows = files.select(F.struct("path", line.alias("line")).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    text = F.concat(F.lit(version + "["), F.array_join(F.transform("xs", lambda x: x["line"]), ","), F.lit("]"))
-    return rows.select(F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("fingerprint"))
+    folders, files = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        found = written(entries(folders, root), "listing")
+        odd = found.where("kind not in ('file', 'folder')").select("path", "kind").first()
+        if odd:
+            raise NotPlain(f"{odd.kind}: {odd.path or root}")
+        files.append(found.where("kind = 'file'").select("path"))
+        folders = found.where("kind = 'folder'").select("path")
+        if folders.isEmpty():
+            break
+        folders = folders.repartition("path")
+    rows = hashes(reduce(DataFrame.unionByName, files).repartition("path"), root).withColumns({"path": composed(F.col("path")), "repo": F.lit("")})
+    held = chained(rows, "repo", ["path"], F.concat("path", F.lit("\0"), "sha256", F.lit("\0")), TREE.encode() + b"\0").first()
+    return "sha256:" + (held.fingerprint if held else hashlib.sha256(TREE.encode() + b"\0").hexdigest())
+
+
+def verify_tree(spark: SparkSession, root: str, expected: str) -> None:
+    """An error unless the tree's digest is the expected one."""
+    got = tree_fingerprint(spark, root)
+    if got != expected:
+        raise ValueError(f"fingerprint of {root}: expected {expected}, got {got}")
