@@ -6,6 +6,7 @@ import hashlib
 from dataclasses import asdict, dataclass, field, fields
 
 from .functions import constants as K
+from .functions.estimator import Estimator, resolve
 from .operators.manifest import canonical
 from .operators.score import Settings
 
@@ -24,6 +25,8 @@ class Config:
     min_feasibility: float | None = None
     fail_on_gaps: bool = False
     model: str = ""
+    #: Paths of rank tables by encoding; not part of the digest, as they change with the place alone.
+    token_tables: dict[str, str] = field(default_factory=dict)
 
     @classmethod
     def of(cls, values: dict) -> Config:
@@ -40,8 +43,11 @@ class Config:
     def scoring(self) -> Settings:
         return Settings(dict(self.weights), self.dampener_floor, self.dampener_slope, self.dampener_enabled)
 
+    def estimator(self) -> Estimator:
+        return resolve(self.model, self.token_tables)
+
     def effective_budget(self) -> int:
         return max(0, self.budget - sum(self.reserve.values()))
 
     def digest(self) -> str:
-        return "sha256:" + hashlib.sha256(canonical({k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items()}).encode()).hexdigest()
+        return "sha256:" + hashlib.sha256(canonical({k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items() if k != "token_tables"}).encode()).hexdigest()

@@ -10,23 +10,42 @@ from pyspark.sql import functions as F
 NEVER = r"(?!)"
 
 
+def char_class(pattern: str, at: int) -> tuple[str, int]:
+    """The class that begins at a bracket, for the JVM, and where it ends; NEVER if it doesn't."""
+    out, i = "", at + 1
+    if pattern[i : i + 1] == "^":
+        out, i = "^", i + 1
+    first = i
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "]" and i > first:
+            return f"[{out}]", i
+        if c == "\\":
+            # an escaped character is itself
+            i += 1
+            c = pattern[i : i + 1]
+            if not c:
+                break
+            out += re.escape(c) if not c.isalnum() else c
+        else:
+            out += "-" if c == "-" and first < i else re.escape(c) if not c.isalnum() else c
+        i += 1
+    return NEVER, len(pattern)
+
+
 def part(pattern: str) -> str:
-    """Wildcards that don't cross a slash."""
+    """Wildcards that don't cross a slash; a pattern with an open class or a backslash at its end matches nothing."""
     out, i = "", 0
     while i < len(pattern):
         c = pattern[i]
-        close = pattern.find("]", i + 2)
         if c == "*":
             out += "[^/]*"
         elif c == "?":
             out += "[^/]"
-        elif c == "[" and close > 0:
-            # an escaped character of a class is itself, and letters after a backslash are no classes here
-            held = re.sub(r"\\(.)", lambda m: m[1] if m[1].isalnum() else "\\" + m[1], pattern[i + 1 : close])
-            out += "[" + re.sub(r"(?<!\\)([\[&])", r"\\\1", held) + "]"
-            i = close
+        elif c == "[":
+            held, i = char_class(pattern, i)
+            out += held
         elif c == "\\":
-            # the next character stands for itself; nothing matches a pattern that ends here
             i += 1
             out += re.escape(pattern[i]) if i < len(pattern) else NEVER
         else:

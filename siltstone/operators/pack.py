@@ -19,16 +19,18 @@ from ..functions.paths import plays_role
 from ..functions.text import rounded, tokens_heuristic
 
 
+# Tokens that a whole file and a summary cost beyond their text.
+FULL, SUMMARY = 32, 24
 #: Pairs whose costs are compared with what is left at once.
 BLOCK = 1024
 
 
 def full_tokens(n_bytes: Column) -> Column:
-    return tokens_heuristic(n_bytes) + 32
+    return tokens_heuristic(n_bytes) + FULL
 
 
 def summary_tokens(n_bytes: Column) -> Column:
-    return tokens_heuristic(n_bytes) + 24
+    return tokens_heuristic(n_bytes) + SUMMARY
 
 
 def score_band(score: Column) -> Column:

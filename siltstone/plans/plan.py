@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.estimator import Estimator
 from ..operators import feasibility, index, manifest, pack, rules, score, summary
 from ..sources.shared import written
 
 
-def with_costs(files: DataFrame, imports: DataFrame, links: DataFrame) -> DataFrame:
+def with_costs(files: DataFrame, imports: DataFrame, links: DataFrame, estimator: Estimator = Estimator()) -> DataFrame:  # noqa: B008
     """files with side_effects and the tokens of the whole file and of its two summaries."""
     lists = {
         "imports": imports.groupBy("path").agg(F.sort_array(F.collect_set("import")).alias("imports")),
@@ -31,21 +32,20 @@ def with_costs(files: DataFrame, imports: DataFrame, links: DataFrame) -> DataFr
     def of(name: str) -> F.Column:
         return F.col("details" if name == "symbols" else name)
 
-    full = pack.full_tokens(F.col("size_bytes"))
+    rows = rows.withColumn("cost_full", estimator.tokens(F.col("text"), F.col("size_bytes")) + pack.FULL)
     costs = {
-        "cost_full": full,
-        "cost_structural": pack.summary_tokens(F.octet_length(summary.structural(of))),
-        "cost_behavioral": pack.summary_tokens(F.octet_length(summary.behavioral(full, of))),
+        "cost_structural": estimator.tokens(summary.structural(of)) + pack.SUMMARY,
+        "cost_behavioral": estimator.tokens(summary.behavioral(F.col("cost_full"), of)) + pack.SUMMARY,
     }
     return rows.withColumns(costs).drop("imports", "test_links", "details", "package_name", "parse_error")
 
 
 class Plan:
-    def __init__(self, tasks: DataFrame, files: DataFrame, imports: DataFrame, budgets: DataFrame, settings: score.Settings | None = None, blocking: tuple[str, ...] = (), force_full: bool = False):
+    def __init__(self, tasks: DataFrame, files: DataFrame, imports: DataFrame, budgets: DataFrame, settings: score.Settings | None = None, blocking: tuple[str, ...] = (), force_full: bool = False, estimator: Estimator = Estimator()):  # noqa: B008
         self.tasks, self.budgets = written(tasks, "tasks"), budgets
         settings = settings or score.Settings()
         links = written(index.test_links(files), "links")
-        self.files = written(with_costs(files, imports, links), "files")
+        self.files = written(with_costs(files, imports, links, estimator), "files")
         # files are read only if they are relevant by their names and links; their texts then count for all scores
         self.scores = written(score.Scores(self.tasks, self.files, imports, links, settings).viable(K.BANDS[-1][1]), "scores")
         about = self.files.select("path", "size_bytes", "language", "symbols", "side_effects", "cost_full", "cost_structural", "cost_behavioral")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import globs, text
-from ..operators import diff, evaluate, feasibility, fingerprint, graph, index, loadmode, manifest, manifest_diff, pack, report, score, summary, tasks, terms
+from ..operators import diff, evaluate, feasibility, fingerprint, graph, index, loadmode, manifest, manifest_diff, pack, report, schema_check, score, summary, tasks, terms
 from ..sources import analyze
 from ..sources.cache import AnalysisCache
 from ..sources.shared import shared_dir
@@ -426,7 +426,26 @@ def plan_manifests(spark, sf_dir):
     """Whole plans: hash, id, Markdown and explanation of each task's manifest."""
     m = virtual_plan(spark, sf_dir).manifests()
     rows = m.select("task_id", "manifest_hash", "manifest_id").join(manifest.markdown(m), "task_id").join(manifest.explain(m), "task_id")
-    return rows.join(manifest.gates(m, fail_on_gaps=True, least=0.3), "task_id")
+    checked = schema_check.violations(m, "manifest", schema_check.MANIFEST).select("task_id", exploded("violations").alias("violations"))
+    return rows.join(manifest.gates(m, fail_on_gaps=True, least=0.3), "task_id").join(checked, "task_id")
+
+
+EVENT_SCHEMA = schema_check.of(
+    id={"type": "integer", "minimum": 5}, kind={"type": "string", "enum": ["click", "view", "purchase"]}, props={"type": "string", "pattern": "[02468]"},
+    values={"type": "array", "items": schema_check.of(at={"type": "number", "minimum": 1, "maximum": 40}, ok={"type": "boolean"})},
+)
+
+
+@query("schema_violations", """SELECT event_id, concat_ws('|', CASE WHEN event_id < 5 THEN '$.id' END, CASE WHEN event_type IS NULL OR event_type NOT IN ('click', 'view', 'purchase') THEN '$.kind' END, CASE WHEN props IS NULL OR NOT regexp_matches(props, '[02468]') THEN '$.props' END,
+    CASE WHEN value IS NULL OR value < 1 OR value > 40 THEN '$.values[0].at' END, CASE WHEN value IS NULL OR value / 2 < 1 OR value / 2 > 40 THEN '$.values[1].at' END, '$.more') AS violations FROM events""")
+def schema_violations(spark, sf_dir):
+    """Events as nested values, held against a schema; a field that it doesn't know is named for each."""
+    def entry(c: F.Column) -> F.Column:
+        return F.struct(c.alias("at"), F.lit(True).alias("ok"))
+
+    made = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "props", F.array(entry(F.col("value")), entry(F.col("value") / 2)).alias("values"), F.lit(1).alias("more"))
+    rows = schema_check.violations(V.load(spark, sf_dir, "events").select("event_id", made.alias("event")), "event", EVENT_SCHEMA)
+    return rows.select("event_id", F.array_join(F.array_sort("violations", lambda a, b: F.when(a == "$.more", 1).when(b == "$.more", -1).otherwise(0)), "|").alias("violations"))
 
 
 @query("summary_costs", S.with_(S.FILES) + """SELECT path, CAST(strlen('# behavioral summary: ' || path || chr(10) || 'size_band: ' || CASE WHEN size_bytes <= 8192 AND t <= 2000 THEN 'small' WHEN size_bytes <= 32768 AND t <= 8000 THEN 'medium' ELSE 'large' END || chr(10)

@@ -27,13 +27,15 @@ def indexed(spark: SparkSession, root: str, config: Config, scope: str | None =
     return made.drop("content", "imports"), rows.select("path", F.explode("imports").alias("import")).distinct(), out
 
 
-def plan_repository(spark: SparkSession, root: str, texts: DataFrame, config: Config = Config(), scope: str | None = None, cache: AnalysisCache | None = None) -> tuple[Plan, DataFrame]:  # noqa: B008
-    """The plan of all texts (task_id, raw_text, markdown) over a folder, and its manifests."""
+def plan_repository(spark: SparkSession, root: str, texts: DataFrame, config: Config = Config(), scope: str | None = None, cache: AnalysisCache | None = None, manifests: bool = True) -> tuple[Plan, DataFrame | None]:  # noqa: B008
+    """The plan of all texts (task_id, raw_text, markdown) over a folder, and its manifests (or None, if they aren't wanted)."""
     made, imports, out = indexed(spark, root, config, scope, cache)
     budgets = texts.select("task_id", F.lit(config.effective_budget()).cast("bigint").alias("budget"))
-    plan = Plan(parsing.parse(texts), made, imports, budgets, config.scoring(), config.blocking)
+    plan = Plan(parsing.parse(texts), made, imports, budgets, config.scoring(), config.blocking, estimator=config.estimator())
+    if not manifests:
+        return plan, None
     digest = files.fingerprint(made.withColumnRenamed("size_bytes", "size"), __version__).first()["fingerprint"]
-    about = {"model": config.model, "token_ceiling": config.budget, "scope": scope or "", "fingerprint": digest, "config_digest": config.digest()}
+    about = {"model": config.model, "estimator": config.estimator().identity, "token_ceiling": config.budget, "scope": scope or "", "fingerprint": digest, "config_digest": config.digest()}
     return plan, plan.manifests(out, about)
 
 

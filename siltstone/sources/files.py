@@ -28,6 +28,9 @@ def store_of(root: str):
     """The file system that root names, its path there, and whether that is this machine's own."""
     from pyarrow import fs
 
+    if root.startswith("file:/"):
+        # as Spark names local files, with one slash or three
+        root = "/" + root.removeprefix("file:").lstrip("/")
     if "://" not in root:
         return fs.LocalFileSystem(), root.rstrip("/"), True
     store, place = fs.FileSystem.from_uri(root)
