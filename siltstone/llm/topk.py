@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SCALE, TILE, QUERY_TILE, FAN_IN = 256, 1 << 16, 1 << 14, 16
+#: Bytes of a tile's numbers, as doubles.
+TILE_BYTES = 64 << 20
 #: Rows of a tile and queries that one product takes.
 BLOCK, QUERY_BLOCK = 8192, 256
 ENDS = -(2**63), 2**63 - 1
@@ -100,9 +102,11 @@ def pick(s: np.ndarray, q_ids: np.ndarray, r_ids: np.ndarray, k: int) -> tuple[n
 
 def search(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest inner product for each query."""
-    n_rows, n_queries = rows.count(), queries.count()
+    (n_rows, dim), n_queries = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first(), queries.count()
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    r_tiles, q_tiles = max(1, -(-n_rows // TILE), min(2 * cores, -(-n_rows // BLOCK))), max(1, -(-n_queries // QUERY_TILE))
+    # a tile is one group of doubles in a task, so its rows are bounded by their bytes too
+    most = max(1, TILE_BYTES // (8 * (dim or 1)))
+    r_tiles, q_tiles = max(1, -(-n_rows // min(TILE, most)), min(2 * cores, -(-n_rows // BLOCK))), max(1, -(-n_queries // min(QUERY_TILE, most)))
     r = packed(rows, r_tiles, "r")
     q = packed(queries, q_tiles, "q")
     pairs = r.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1)))).join(q, ["dim", "q"])

@@ -160,6 +160,18 @@ def test_shards_are_dense_and_only_the_new_one_takes_rows(spark):
     assert next(r for r in got if r.doc_id is None).size == 8 and next(r for r in got if r.doc_id == 4).size == 16
 
 
+def test_rows_without_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 10)
+    docs = docs_of(spark, [(None, f"text {i}", "s") for i in range(3000)] + [(None, None, "s")] * 2000)
+    got = sharding.shard_documents(docs, sharding.tree(24), sharding.tree(25, base=24)).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 24)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 24
+    assert sorted(map(len, slots.values()))[-2] < 1.6 * 3000 / 24
+
+
 def test_draws_equal_their_definition(spark):
     """Every level's draws recomputed from the hash of the id and the child's name, with unequal weights."""
     layout = sharding.tree(24)

@@ -292,6 +292,23 @@ def test_search_equals_brute_force(spark, monkeypatch):
         assert got[q] == sorted(((i, int(whole[q] @ v)) for i, v in whole.items() if i != q), key=lambda x: (-x[1], x[0]))[:5]
 
 
+def test_tiles_of_long_vectors(spark, monkeypatch):
+    """4,096 components: tiles are bounded by bytes."""
+    monkeypatch.setattr(topk, "TILE_BYTES", 8 * 4096 * 10)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(64, 4096)).astype(np.float32)
+    rows = topk.valid(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>"))
+    sizes = []
+    packed = topk.packed
+    monkeypatch.setattr(topk, "packed", lambda r, tiles, schema: sizes.append(tiles) or packed(r, tiles, schema))
+    got = {(r.query_id, r["rank"]): r.vec_id for r in topk.search(rows.where("vec_id % 4 = 0"), rows, 3).collect()}
+    assert sizes == [7, 2]
+    whole = np.floor(256 * vectors.astype(np.float64))
+    for q in range(0, 64, 4):
+        order = sorted((i for i in range(64) if i != q), key=lambda i: (-int(whole[q] @ whole[i]), i))[:3]
+        assert [got[q, k] for k in (1, 2, 3)] == order
+
+
 def test_few_candidates(spark):
     table = topk.valid(spark.createDataFrame([(0, [1e6, 1e6]), (1, [1e6, 2e6]), (2, [1.0])], "vec_id bigint, embedding array<double>"))
     got = topk.search(table.where("vec_id = 0"), table).collect()
