@@ -167,9 +167,7 @@ def load(path: str, threads: int):
 
     with open(path, "rb") as f:
         raw = f.read()
-    spec = parse(raw)
-    strings = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in spec.pieces]
-    return build(spec), sentencepiece.SentencePieceProcessor(model_proto=raw), strings, spec.add_dummy_prefix
+    return build(parse(raw)), sentencepiece.SentencePieceProcessor(model_proto=raw)
 
 
 def differing(texts: list[str], path: str, threads: int) -> list[int]:
@@ -180,7 +178,7 @@ def differing(texts: list[str], path: str, threads: int) -> list[int]:
     whole = {i for i, t in enumerate(texts) if "  " in t or MARK in t or t[:1] == " " or t[-1:] == " "}
     words = {i: set(t.split(" ")) for i, t in enumerate(texts) if i not in whole}
     new = list(set().union(*words.values()) - known - {""})
-    tok, reference = load(path, threads)[:2]
+    tok, reference = load(path, threads)
 
     def equal(some: list[str]) -> list[bool]:
         ours = tok.encode_batch_fast(some, add_special_tokens=False)
@@ -195,31 +193,19 @@ def differing(texts: list[str], path: str, threads: int) -> list[int]:
 
 
 def encode(texts: list[str], path: str, threads: int = 2, one_in: int = 0) -> tuple[list[list[int]], list[bool]]:
-    """Ids of each text, and whether both libraries gave the same; with one_in = 1 every text is compared whole."""
-    tok, reference = load(path, threads)[:2]
+    """The backend's ids of each text, and whether both libraries gave the same; with one_in = 1 every text is compared whole."""
+    tok, reference = load(path, threads)
     ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     parity = [True] * len(texts)
     held = list(range(len(texts))) if one_in == 1 else differing(texts, path, threads)
     for i, theirs in zip(held, reference.encode([texts[i] for i in held], num_threads=threads), strict=True):
         parity[i] = ids[i] == theirs
-        ids[i] = theirs
     return ids, parity
 
 
 def decode(ids: list[list[int]], path: str, threads: int = 2) -> list[str]:
-    """The texts of lists of ids; ids whose bytes are no UTF-8 go through the library's decoder."""
-    tok, _, strings, prefix = load(path, threads)
-    out = []
-    for x in ids:
-        raw = b"".join([strings[i] for i in x])
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            text = tok.decode(x, skip_special_tokens=False)
-        else:
-            text = text[1:] if prefix and text[:1] == " " else text
-        out.append(text)
-    return out
+    """The texts of lists of ids, by the backend's decoder."""
+    return load(path, threads)[0].decode_batch(ids, skip_special_tokens=False)
 
 
 def parts(texts: list[str]) -> Iterator[list[str]]:
