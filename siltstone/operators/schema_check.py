@@ -91,11 +91,11 @@ SUM = {"type": "string", "pattern": "^(sha256:[0-9a-f]{64})?$"}
 # The manifest as operators.manifest writes it.
 MANIFEST = of(
     schema_version={"type": "string", "const": "1.0"}, selection_logic_version=STRING, version=STRING, config_digest=SUM, scope=STRING,
-    repo=of(fingerprint=SUM, language_hints=TEXTS),
+    repo=of(root=STRING, fingerprint=SUM, language_hints=TEXTS),
     language_tiers={"type": "object", "additionalProperties": {"type": "string", "enum": ["tier1_deep", "tier2_structural", "tier3_lexical"]}},
     incomplete={"type": "boolean"}, task_id=STRING,
-    task=of(type={"type": "string", "enum": ["bugfix", "feature", "refactor", "test-addition", "documentation", "investigation", "migration", "unknown"]}, objective=STRING, anchors=TEXTS, raw_text=STRING),
-    budget=of(budget=COUNT, spent=COUNT, model=STRING, token_ceiling=COUNT, estimator=STRING),
+    task=of(source=STRING, type={"type": "string", "enum": ["bugfix", "feature", "refactor", "test-addition", "documentation", "investigation", "migration", "unknown"]}, objective=STRING, anchors=TEXTS, raw_text=STRING, **dict.fromkeys(["expects_tests", "expects_config", "expects_docs", "expects_migration", "expects_api"], {"type": "boolean"})),
+    budget=of(budget=COUNT, spent=COUNT, model=STRING, token_ceiling=COUNT, estimator=STRING, estimator_version=STRING, reserved=of(instructions=COUNT, reasoning=COUNT, tool_output=COUNT, expansion=COUNT)),
     selections={"type": "array", "items": of(path=STRING, load_mode={"type": "string", "enum": ["full", "structural_summary", "behavioral_summary"]}, relevance_score=SHARE, estimated_tokens=COUNT, demoted_reason={"type": ["string", "null"]}, rationale=TEXTS)},
     reachable={"type": "array", "items": of(path=STRING, relevance_score=SHARE, reason=STRING)},
     supplementals={"type": "array", "items": of(category=STRING, path=STRING)},

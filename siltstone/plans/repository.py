@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
 from ..config import Config
 from ..functions import constants as K
-from ..operators import index, manifest
+from ..operators import index, manifest, schema_check
 from ..operators import tasks as parsing
 from ..sources import analyze, files
 from ..sources.cache import AnalysisCache
@@ -35,7 +38,7 @@ def plan_repository(spark: SparkSession, root: str, texts: DataFrame, config: Co
     if not manifests:
         return plan, None
     digest = files.fingerprint(made.withColumnRenamed("size_bytes", "size"), __version__).first()["fingerprint"]
-    about = {"model": config.model, "estimator": config.estimator().identity, "token_ceiling": config.budget, "scope": scope or "", "fingerprint": digest, "config_digest": config.digest()}
+    about = {"model": config.model, "estimator": config.estimator().identity, "estimator_version": config.estimator().version, "reserve": config.reserve, "root": root, "token_ceiling": config.budget, "scope": scope or "", "fingerprint": digest, "config_digest": config.digest()}
     return plan, plan.manifests(out, about)
 
 
@@ -45,6 +48,36 @@ def write_artifacts(manifests: DataFrame, folder: str) -> None:
     manifest.markdown(manifests).write.mode("overwrite").json(f"{folder}/markdown")
 
 
+def write_files(manifests: DataFrame, folder: str) -> DataFrame:
+    """Three files for each manifest below folder, named by its hash or id; task_id and their paths.
+
+    They are the manifest as indented JSON and as Markdown, and a run document: the Markdown, a rule, the task's
+    text. A manifest that breaks its schema is an error. Names and contents depend on the manifest alone, so a
+    task that runs again writes the same.
+    """
+    bad = schema_check.violations(manifests, "manifest", schema_check.MANIFEST).where(F.size("violations") > 0).select("task_id", "violations").take(5)
+    if bad:
+        raise ValueError("; ".join(f"{r.task_id}: {', '.join(r.violations[:5])}" for r in bad))
+    rows = manifests.select("task_id", "manifest_id", "manifest_hash", F.col("manifest.task.raw_text").alias("text"))
+    rows = rows.join(manifest.pretty(manifests), "task_id").join(manifest.markdown(manifests), "task_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base, _ = files.store_of(folder)
+        store.create_dir(base, recursive=True)
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                name = r.manifest_hash.removeprefix("sha256:")
+                held = {f"manifest-{name}.json": r.json, f"manifest-{name}.md": r.markdown, f"run-{r.manifest_id}.md": f"{r.markdown}\n---\n\n{r.text}"}
+                for path, body in held.items():
+                    with store.open_output_stream(f"{base}/{path}") as f:
+                        f.write(body.encode("utf-8", "replace"))
+                out.append((r.task_id, *held))
+            yield pd.DataFrame(out, columns=["task_id", "json", "markdown", "run"])
+
+    return written(rows.mapInPandas(run, "task_id string, json string, markdown string, run string"), "artefacts")
+
+
 def read_manifests(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
     """Manifests that write_artifacts wrote, with the columns of like; those of another major version are an error."""
     rows = spark.read.schema("task_id string, manifest_id string, manifest_hash string, manifest string").json(f"{folder}/manifests")

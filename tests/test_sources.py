@@ -1,12 +1,14 @@
 """Reading repositories, analysing sources, the cache and its stream."""
 
 import hashlib
+import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
-from siltstone.operators import manifest_diff
+from siltstone.operators import manifest, manifest_diff
 from siltstone.plans import repository
 from siltstone.sources import analyze, cache, files, go_grammar, script_grammar, tasks
 from siltstone.streaming.incremental import follow
@@ -176,6 +178,16 @@ def test_plan_of_a_folder(spark, tmp_path):
     assert m.feasibility.positives and {g.type: g.suggested_remediation for g in m.gaps}["missing_tests" if "missing_tests" in {g.type for g in m.gaps} else m.gaps[0].type]
     repository.write_artifacts(manifests, str(tmp_path / "out"))
     back = repository.read_manifests(spark, str(tmp_path / "out"), manifests)
+    made = repository.write_files(manifests, str(tmp_path / "files")).first()
+    whole = json.loads((tmp_path / "files" / made.json).read_text())
+    assert whole["manifest_hash"] == manifests.first().manifest_hash and made.json == f"manifest-{whole['manifest_hash'][7:]}.json" and whole["task"]["type"] == "refactor" and whole["budget"]["reserved"]["reasoning"] > 0
+    text = (tmp_path / "files" / made.markdown).read_text()
+    assert [x for x in text.split("\n") if x.startswith("## ")][:7] == ["## Task Summary", "## Planning Assumptions", "## Selected Full Context", "## Selected Summaries", "## Reachable Context", "## Gaps", "## Feasibility"]
+    assert "- `auth/provider.go` — score 0." in text and "  - rationale: direct task mention" in text and "- estimator: heuristic-3.5 (v1)" in text and "incomplete" not in text
+    assert (tmp_path / "files" / made.run).read_text() == text + "\n---\n\n" + whole["task"]["raw_text"]
+    with pytest.raises(ValueError, match=r"t: \$\.schema_version"):
+        repository.write_files(manifests.withColumn("manifest", F.col("manifest").withField("schema_version", F.lit("2.0"))), str(tmp_path / "files"))
+    assert "mention 1.0000 x 0.2500" in manifest.explain(manifests).first().explanation
     assert back.first() == manifests.first()
     other = repository.plan_repository(spark, str(tmp_path / "r"), texts, Config.of({"budget": 48_100}), "auth/")[1]
     row = manifest_diff.documents(manifests, other).first()
