@@ -9,6 +9,7 @@ symbols nor imports.
 from __future__ import annotations
 
 import ast
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,6 +64,29 @@ def python_file(path: str, text: str) -> tuple:
 
 
 READERS = {"go": go_file, "typescript": script_file, "javascript": script_file, "python": python_file}
+#: Texts that a worker remembers, and the longest of them; equal ones are read once.
+HELD, LONGEST = 2048, 4096
+#: Tasks that the copies of one text are dealt to.
+SPREAD = 16
+
+
+@functools.lru_cache(maxsize=HELD)
+def held_file(language: str, ending: str, text: str) -> tuple:
+    return READERS[language](ending, text)
+
+
+def read_file(language: str, path: str, text: str) -> tuple:
+    """What the analyser of a language says of a file: of its path, the ending alone counts."""
+    path = path or ""
+    return held_file(language, path[path.rfind(".") :], text) if len(text) <= LONGEST else READERS[language](path, text)
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """files in as many tasks as their texts are worth: a small table of many files may come as one partition.
+
+    Copies of a text meet in a few tasks, where they are read once.
+    """
+    return files.repartition(F.xxhash64("text"), F.pmod(F.xxhash64("path"), F.lit(SPREAD)))
 
 
 def facts(language: Column, path: Column, text: Column) -> Column:
@@ -70,7 +94,7 @@ def facts(language: Column, path: Column, text: Column) -> Column:
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for languages, paths, texts in batches:
-            rows = [READERS[name](where, what or "") for name, where, what in zip(languages, paths, texts, strict=True)]
+            rows = [read_file(name, where, what or "") for name, where, what in zip(languages, paths, texts, strict=True)]
             yield pd.DataFrame(rows, columns=["package_name", "symbols", "imports", "parse_error"])
 
     return F.pandas_udf(run, FACTS)(language, path, text)
@@ -84,7 +108,7 @@ def analyze(files: DataFrame, enabled: tuple[str, ...] = tuple(READERS)) -> Data
     read = F.col("language").isin(*enabled)
     columns = [c for c in files.columns if c not in ("symbols", "imports", "parse_error")]
     (name,) = [n for n in ("facts", "facts_", "facts__") if n not in files.columns][:1]
-    known = files.where(read).withColumn(name, facts(F.col("language"), F.col("path"), F.col("text")))
+    known = dealt(files.where(read)).withColumn(name, facts(F.col("language"), F.col("path"), F.col("text")))
     rest = files.where(~read | F.col("language").isNull()).select(
         *columns, F.array().cast(SYMBOL).alias("symbols"), F.array().cast("array<string>").alias("imports"), F.lit(False).alias("parse_error")
     )

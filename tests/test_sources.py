@@ -363,3 +363,20 @@ def test_scripts_are_read_by_their_grammar():
     symbols, imports, broken = script_grammar.read(js, False, True)
     assert (imports, broken) == (["a", "e"], False) and [s[0] for s in symbols] == ["a", "b", "d", "f", "el"]
     assert script_grammar.read("x = " + "(" * 5000, False, True)[2] and script_grammar.read("", True, False) == ([], [], False)
+
+
+def test_files_of_one_partition_are_dealt(spark):
+    """A small table of many files comes as one partition; its files are read by several tasks, copies of a text alike."""
+    made = [(f"f{i}.{end}", language, f"export const a{i % 300} = <T>(x: T) => x") for i in range(1200) for end, language in (("ts", "typescript"), ("tsx", "typescript"), ("js", "javascript"))]
+    rows = spark.createDataFrame(made, "path string, language string, text string").coalesce(1)
+    name = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(name, "1b")
+    try:
+        got = analyze.analyze(rows).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(name)
+    assert len({r.task for r in got}) > 1
+    alone = {end: analyze.script_file(f"f.{end}", made[0][2]) for end in ("ts", "tsx", "js")}
+    assert len(got) == len(made) and alone["ts"][3] != alone["js"][3], "the ending decides"
+    assert all(r.parse_error == alone[r.path.split(".")[1]][3] for r in got)
+    assert all([s.name for s in r.symbols] == ([] if r.parse_error else [f"a{int(r.path[1:].split('.')[0]) % 300}"]) for r in got)
