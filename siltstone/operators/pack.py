@@ -64,31 +64,36 @@ def mode_rows(eligible: DataFrame) -> DataFrame:
     return rows.withColumn("efficiency", rounded(F.col("score") * F.col("weight") / F.greatest(F.lit(1), F.col("cost")), 9))
 
 
-def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pairs that are chosen, of a stream in order of tasks and of efficiency within each.
+def taken(batches: Iterator[pd.DataFrame], limits: tuple[str, ...] = ("budget",), keep: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
+    """The pairs that are chosen under each limit, of a stream in order of tasks and of efficiency within each.
 
-    What a task has left only falls, so pairs that exceed it are passed over together. Held are the paths taken
-    so far, each of which cost something: their number is bounded by the budget, not by the candidates.
+    Forced pairs come first and are taken whatever they cost. What a task has left only falls, so pairs that exceed
+    it are passed over together. Held are the paths taken so far, each of which cost something: their number is
+    bounded by the budgets, not by the candidates.
     """
-    task, left, paths = None, 0, set()
+    task, left, paths = None, [], []
     for batch in batches:
-        out = []
+        out = [[] for _ in limits]
         ids = batch["task_id"].to_numpy()
         for first, last in runs(ids):
             if task is None or ids[first] != task:
-                task, left, paths = ids[first], int(batch["budget"].iat[first]), set()
+                task, left, paths = ids[first], [int(batch[n].iat[first]) for n in limits], [set() for _ in limits]
             cost, path = batch["cost"].to_numpy()[first:last], batch["path"].to_numpy()[first:last]
-            at = 0
-            while at < len(cost):
-                # the next that fits, found among those of one block at a time
-                fits = np.flatnonzero(cost[at : at + BLOCK] <= left)
-                for i in (fits + at).tolist():
-                    if cost[i] <= left and path[i] not in paths:
-                        left -= int(cost[i])
-                        paths.add(path[i])
-                        out.append(first + i)
-                at += BLOCK
-        yield batch.iloc[out][["task_id", "path", "mode", "cost"]]
+            free = int(batch["forced"].to_numpy()[first:last].sum())
+            for k, rows in enumerate(out):
+                rows.extend(range(first, first + free))
+                left[k] -= int(cost[:free].sum())
+                at = free
+                while at < len(cost):
+                    # the next that fits, found among those of one block at a time
+                    fits = np.flatnonzero(cost[at : at + BLOCK] <= left[k])
+                    for i in (fits + at).tolist():
+                        if cost[i] <= left[k] and path[i] not in paths[k]:
+                            left[k] -= int(cost[i])
+                            paths[k].add(path[i])
+                            rows.append(first + i)
+                    at += BLOCK
+        yield pd.concat([batch.iloc[rows][["task_id", "path", "mode", "cost", *keep]].assign(plan=n) for n, rows in zip(limits, out, strict=True)])
 
 
 def runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -97,31 +102,48 @@ def runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cut], [*cut, len(values)], strict=True)) if len(values) else []
 
 
-def greedy(pairs: DataFrame, budgets: DataFrame) -> DataFrame:
-    """task_id, path, mode, cost chosen in order of efficiency while the budget lasts.
+def greedy(pairs: DataFrame, budgets: DataFrame, forced: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """task_id, path, mode, cost chosen in order of efficiency while the budget lasts, with columns of pairs to keep.
 
     A pair that doesn't fit is skipped and later ones are still tried, so no running sum can express
     it; sorted partitions are streamed instead, and no task's pairs are ever gathered. Pairs that exceed the
-    whole budget are dropped before the shuffle. budgets: task_id, budget.
+    whole budget are dropped before the shuffle. budgets: task_id, budget. Forced pairs are taken first, whatever
+    they cost and whether or not the task has a budget; no path of theirs may have another pair.
     """
-    rows = pairs.join(budgets.select("task_id", F.col("budget").cast("bigint").alias("budget")), "task_id").where("cost <= budget")
-    order = [F.col("efficiency").desc(), "cost", "path", F.col("priority").desc(), "mode"]
-    rows = rows.repartition("task_id").sortWithinPartitions("task_id", *order).select("task_id", "path", "mode", "cost", "budget")
-    kind = rows.schema
-    return rows.mapInPandas(taken, f"task_id {kind['task_id'].dataType.simpleString()}, path {kind['path'].dataType.simpleString()}, mode string, cost bigint")
+    return greedy_each(pairs, budgets, ("budget",), forced, keep).drop("plan")
+
+
+def greedy_each(pairs: DataFrame, budgets: DataFrame, limits: tuple[str, ...], forced: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What greedy gives under each of several limits (columns of budgets, whose name is the plan's), in one pass over the pairs."""
+    held = budgets.select("task_id", *[F.col(n).cast("bigint").alias(n) for n in limits])
+    if forced is None:
+        rows = pairs.withColumn("forced", F.lit(False)).join(held, "task_id")
+    else:
+        rows = pairs.withColumn("forced", F.coalesce(forced, F.lit(False))).join(held, "task_id", "left").fillna(-1, list(limits))
+    rows = rows.where(F.col("forced") | (F.col("cost") <= (F.greatest(*limits) if len(limits) > 1 else F.col(limits[0]))))
+    order = [F.col("forced").desc(), F.col("efficiency").desc(), "cost", "path", F.col("priority").desc(), "mode"]
+    rows = rows.repartition("task_id").sortWithinPartitions("task_id", *order).select("task_id", "path", "mode", "cost", "forced", *limits, *keep)
+    kind = {n: rows.schema[n].dataType.simpleString() for n in ("task_id", "path", *keep)}
+    schema = ", ".join(["task_id " + kind["task_id"], "path " + kind["path"], "mode string", "cost bigint", *[f"{n} {kind[n]}" for n in keep], "plan string"])
+    return rows.mapInPandas(lambda batches: taken(batches, limits, keep), schema)
+
+
+def full_first(pairs: DataFrame, full: Column) -> DataFrame:
+    """pairs without the summaries of those files that are taken in full."""
+    return pairs.where((F.col("mode") == "full") | ~F.coalesce(full, F.lit(False)))
 
 
 def forced_full(pairs: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The plan that demotes nothing: every full-eligible file in full whatever it costs, the rest as usual.
 
-    Gives the choices, and task_id with overflow (what the forced files exceed the budget by).
+    pairs as mode_rows gives them, which say of each whether its file may be taken in full: so forced files and the
+    rest are packed in one pass. Gives the choices, and task_id with overflow (what the forced files exceed the budget by).
     """
-    forced = pairs.where("mode = 'full'").select("task_id", "path", "mode", "cost")
-    spent = forced.groupBy("task_id").agg(F.sum("cost").alias("spent"))
+    forced = F.col("mode") == "full"
+    spent = pairs.where(forced).groupBy("task_id").agg(F.sum("cost").alias("spent"))
     left = budgets.join(spent, "task_id", "left").select("task_id", (F.col("budget") - F.coalesce("spent", F.lit(0))).alias("budget"))
-    rest = pairs.join(forced.select("task_id", "path"), ["task_id", "path"], "left_anti")
     overflow = left.select("task_id", F.greatest(F.lit(0), -F.col("budget")).cast("bigint").alias("overflow"))
-    return forced.unionByName(greedy(rest, left)), overflow
+    return greedy(full_first(pairs, F.col("full")), budgets, forced), overflow
 
 
 def assignments(eligible: DataFrame, chosen: DataFrame) -> DataFrame:

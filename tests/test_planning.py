@@ -10,6 +10,7 @@ from siltstone.config import Config
 from siltstone.functions import globs, paths, text
 from siltstone.operators import diff, evaluate, feasibility, index, manifest, pack, report, rules, score, tasks
 from siltstone.operators import terms as term_search
+from siltstone.plans import registry
 
 
 def parsed(spark, *texts):
@@ -326,3 +327,33 @@ def test_reports(spark, tmp_path):
 def test_percentiles_of_repeated_values(spark):
     rows = spark.createDataFrame([("a", 5.0, 1), ("a", 1.0, 2), ("a", 1.0, 3), ("a", 5.0, 4), ("a", 9.0, 5), ("b", 2.0, 1)], "k string, v double, o int")
     assert {r.k: (r.cold, r.warm, r.p95) for r in evaluate.percentiles(rows, "k", "v", "o").collect()} == {"a": (5.0, 1.0, 9.0), "b": (2.0, None, 2.0)}
+
+
+@pytest.mark.parametrize("name, most", [("pack_forced_full", 2), ("loadmode_ab", 2), ("diff_reachable", 0), ("diff_selections", 0)])
+def test_packing_reads_its_candidates_once(spark, tmp_path, name, most):
+    """Candidates and budgets are two readings of the lines; of two plans packed together, only what they choose is read again."""
+    lines = spark.range(400).selectExpr("id % 4 AS l_suppkey", "id AS l_orderkey", "1 AS l_linenumber", "id % 90 AS l_partkey", "'F' AS l_linestatus", "if(id % 2 = 0, 'A', 'N') AS l_returnflag", "double(1 + id % 50) AS l_quantity", "id % 11 / 100 AS l_discount", "id % 9 / 100 AS l_tax")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("l_suppkey" in x for x in plan.split("\n") if "Relation [" in x) == most
+
+
+def test_limits_and_forced_pairs_in_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(t, f"p{i}", rng.randrange(1, 90), rng.randrange(9) / 10, rng.random() < 0.1) for t in "abc" for i in range(120)]
+    pairs = spark.createDataFrame(rows, "task_id string, path string, cost bigint, efficiency double, full boolean").selectExpr("*", "if(full, 'full', 'behavioral_summary') AS mode", "1 AS priority")
+    budgets = spark.createDataFrame([("a", 300), ("b", 2000)], "task_id string, budget bigint")
+    two = pack.greedy_each(pairs, budgets.selectExpr("task_id", "budget AS a", "budget * 2 AS b"), ("a", "b"), keep=("full",)).collect()
+    for plan, times in (("a", 1), ("b", 2)):
+        alone = pack.greedy(pairs, budgets.withColumn("budget", F.col("budget") * times)).collect()
+        assert {(r.task_id, r.path) for r in two if r.plan == plan} == {(r.task_id, r.path) for r in alone}
+    assert all(r.full == (r.mode == "full") for r in two)
+    got = {(r.task_id, r.path) for r in pack.forced_full(pairs, budgets)[0].collect()}
+    want = {(t, p) for t, p, *_, full in rows if full}
+    for task, budget in (("a", 300), ("b", 2000)):
+        left = budget - sum(c for t, _, c, _, full in rows if full and t == task)
+        for t, p, c, *_ in sorted((r for r in rows if r[0] == task and not r[4]), key=lambda r: (-r[3], r[2], r[1])):
+            if c <= left:
+                left -= c
+                want.add((t, p))
+    assert got == want, "forced files of a task without a budget stay"
