@@ -43,14 +43,23 @@ class Variants:
 def packed(eligible: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Assignments of both plans by doubled id, and task_id and overflow of plan B."""
     pairs, limits = pack.mode_rows(doubled(eligible)), doubled(budgets)
-    forced = pairs.where((F.col("plan") == B) & (F.col("mode") == "full")).select("task_id", "path", "mode", "cost")
-    spent = forced.groupBy("task_id").agg(F.sum("cost").alias("spent"))
+    forced = (F.col("plan") == B) & (F.col("mode") == "full")
+    spent = pairs.where(forced).groupBy("task_id").agg(F.sum("cost").alias("spent"))
     left = limits.join(spent, "task_id", "left").select("task_id", (F.col("budget") - F.coalesce("spent", F.lit(0))).alias("budget"))
-    chosen = pack.greedy(pairs.join(forced.select("task_id", "path"), ["task_id", "path"], "left_anti"), left).unionByName(forced)
+    chosen = pack.greedy(pack.full_first(pairs, (F.col("plan") == B) & F.col("full")), limits.select("task_id", "budget"), forced)
     overflow = of_plan(left, B).select("task_id", F.greatest(F.lit(0), -F.col("budget")).cast("bigint").alias("overflow"))
     return pack.assignments(doubled(eligible), chosen), overflow
 
 
+def demoted(eligible: DataFrame, budgets: DataFrame) -> DataFrame:
+    """task_id, path, mode_a of files that plan A selects below full and plan B loads in full.
+
+    Plan B loads in full what may be, whatever else it packs; so plan A's choices, which keep that mark, tell both.
+    """
+    chosen = pack.greedy(pack.mode_rows(eligible), budgets, keep=("full",))
+    return chosen.where("full and mode <> 'full'").select("task_id", "path", F.col("mode").alias("mode_a"))
+
+
 def variants(tasks: DataFrame, eligible: DataFrame, files: DataFrame, supplemental: DataFrame, budgets: DataFrame, blocking: tuple[str, ...] = ()) -> Variants:
     """Both plans of every task, from its candidates on."""
     assigned, overflow = packed(eligible, budgets)
