@@ -4,11 +4,11 @@ The model file's protobuf is parsed here; from it the normaliser, the metaspace
 unigram scores (or, for a BPE model, the merges that its scores imply) and byte fallback are
 rebuilt as a tokenizers pipeline. Texts are encoded in multithreaded batches and every text is
 decoded again. Parity with the sentencepiece library is verified for every text. A text without
-markers, repeated blanks or blanks at its ends is verified by its words where the model allows it:
-no piece holds a marker after another character and nothing is normalised, so in both libraries its
-ids are those of its words, and each worker holds a word against the library when it first meets
-it. All other texts, and those with a word that differs, go through the library whole, and its ids
-are returned; parity is false where the two differ.
+markers, repeated blanks or blanks at its ends is encoded and verified by its words where the model
+allows it: no piece holds a marker after another character and nothing is normalised, so in both
+libraries its ids are those of its words, and each worker encodes a word, and holds it against the
+library, when it first meets it. All other texts, and those with a word that differs, go through both
+libraries whole. The backend's ids are returned; parity is false where the two differ.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to the empty text; no
 begin or end ids are added; decoding gives the normalised text (for a model without a character
@@ -153,10 +153,10 @@ def by_words(spec: Spec) -> bool:
 
 
 @lru_cache(maxsize=4)
-def verified(path: str) -> tuple[bool, set[str]]:
-    """Whether texts may be verified by words, and the words found equal so far."""
+def verified(path: str) -> tuple[bool, dict[str, bytes]]:
+    """Whether texts may be encoded by words, and the backend's ids of the words found equal so far."""
     with open(path, "rb") as f:
-        return by_words(parse(f.read())), set()
+        return by_words(parse(f.read())), {}
 
 
 @lru_cache(maxsize=4)
@@ -170,37 +170,49 @@ def load(path: str, threads: int):
     return build(parse(raw)), sentencepiece.SentencePieceProcessor(model_proto=raw)
 
 
-def differing(texts: list[str], path: str, threads: int) -> list[int]:
-    """Places of the texts that have to be held against the library whole."""
-    allowed, known = verified(path)
-    if not allowed:
-        return list(range(len(texts)))
-    whole = {i for i, t in enumerate(texts) if "  " in t or MARK in t or t[:1] == " " or t[-1:] == " "}
-    words = {i: set(t.split(" ")) for i, t in enumerate(texts) if i not in whole}
-    new = list(set().union(*words.values()) - known - {""})
-    tok, reference = load(path, threads)
+def odd(text: str) -> bool:
+    """Whether blanks or markers of a text may make more of it than its words."""
+    return "  " in text or MARK in text or text[:1] == " " or text[-1:] == " "
 
-    def equal(some: list[str]) -> list[bool]:
-        ours = tok.encode_batch_fast(some, add_special_tokens=False)
-        return [a.ids == b for a, b in zip(ours, reference.encode(some, num_threads=threads), strict=True)]
 
-    # all new words as one text first, which costs less; each by itself only if that differs
-    wrong = set() if not new or equal([" ".join(new)])[0] else {w for w, same in zip(new, equal(new), strict=True) if not same}
-    if len(known) > WORDS:
+def by_word(texts: dict[int, str], path: str, threads: int) -> tuple[dict[int, list[int]], list[int]]:
+    """The backend's ids of the texts all of whose words both libraries give alike, and the places of the others."""
+    tok, reference = load(path, threads)
+    known = verified(path)[1]
+    words = {i: t.split(" ") if t else [] for i, t in texts.items()}
+    met = set().union(*words.values())
+    new = list(met - known.keys())
+    if len(known) + len(new) > WORDS:
+        kept = {w: known[w] for w in met if w in known}
         known.clear()
-    known.update(w for w in new if len(w) <= LONGEST and w not in wrong)
-    return sorted(whole | ({i for i, w in words.items() if not wrong.isdisjoint(w)} if wrong else set()))
+        known.update(kept)
+    ours = [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+    # all new words as one text first, which costs less; each by itself only if that differs
+    same = not new or reference.encode([" ".join(new)], num_threads=threads)[0] == [x for ids in ours for x in ids]
+    theirs = ours if same else reference.encode(new, num_threads=threads)
+    wrong = {w for w, a, b in zip(new, ours, theirs, strict=True) if a != b}
+    known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in zip(new, ours, strict=True) if w not in wrong)
+    others = [i for i, w in words.items() if not wrong.isdisjoint(w)] if wrong else []
+    for i in others:
+        del words[i]
+    ids = {i: np.frombuffer(b"".join(map(known.__getitem__, w)), np.int32).tolist() for i, w in words.items()}
+    for w in new:
+        if len(w) > LONGEST:
+            known.pop(w, None)
+    return ids, others
 
 
 def encode(texts: list[str], path: str, threads: int = 2, one_in: int = 0) -> tuple[list[list[int]], list[bool]]:
     """The backend's ids of each text, and whether both libraries gave the same; with one_in = 1 every text is compared whole."""
     tok, reference = load(path, threads)
-    ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    plain = {i: t for i, t in enumerate(texts) if not odd(t)} if one_in != 1 and verified(path)[0] else {}
+    found, others = by_word(plain, path, threads) if plain else ({}, [])
+    whole = sorted({i for i in range(len(texts)) if i not in plain} | set(others))
     parity = [True] * len(texts)
-    held = list(range(len(texts))) if one_in == 1 else differing(texts, path, threads)
-    for i, theirs in zip(held, reference.encode([texts[i] for i in held], num_threads=threads), strict=True):
-        parity[i] = ids[i] == theirs
-    return ids, parity
+    some = [texts[i] for i in whole]
+    for i, e, theirs in zip(whole, tok.encode_batch_fast(some, add_special_tokens=False), reference.encode(some, num_threads=threads), strict=True):
+        found[i], parity[i] = e.ids, e.ids == theirs
+    return [found[i] for i in range(len(texts))], parity
 
 
 def decode(ids: list[list[int]], path: str, threads: int = 2) -> list[str]:

@@ -100,6 +100,30 @@ def test_codec_verifies_every_text(monkeypatch):
     assert parity == [False] * 20 + [True] and ids == [x[:-1] for x in reference.encode(texts[:20])] + reference.encode(texts[20:])
 
 
+def test_codec_encodes_a_word_once(monkeypatch):
+    """Texts of known words cost neither library a call; the words' memory is bounded, and long words are not kept."""
+    tok, reference = sentencepiece_codec.load(PIECES, 2)
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, some, **_):
+            asked.extend(some)
+            return tok.encode_batch_fast(some, add_special_tokens=False)
+
+    monkeypatch.setattr(sentencepiece_codec, "load", lambda *_: (Counting(), reference))
+    monkeypatch.setattr(sentencepiece_codec, "WORDS", 50)
+    known = sentencepiece_codec.verified(PIECES)[1]
+    known.clear()
+    texts = ["once more twice more", "twice once", "é\tñ 漢字 once", "y" * 100 + " once", "", "twice  once"]
+    want = reference.encode(texts)
+    assert sentencepiece_codec.encode(texts, PIECES) == (want, [True] * 6)
+    asked.clear()
+    assert sentencepiece_codec.encode(texts, PIECES) == (want, [True] * 6) and sorted(asked) == ["twice  once", "y" * 100]
+    for k in range(20):
+        many = [f"w{k}x{i} once" for i in range(20)]
+        assert sentencepiece_codec.encode(many, PIECES) == (reference.encode(many), [True] * 20) and len(known) <= 50
+
+
 def test_unigram_models_are_rebuilt():
     spec = sentencepiece_codec.Spec([("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -2.5, 1), ("<0x63>", -9.0, 6)], sentencepiece_codec.UNIGRAM, True)
     assert sentencepiece_codec.build(spec).encode("  ab  a ").tokens == ["▁ab", "▁a"]
