@@ -9,6 +9,8 @@ once in the shared folder.
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def with_costs(files: DataFrame, imports: DataFrame, links: DataFrame, estimator
 
 class Plan:
     def __init__(self, tasks: DataFrame, files: DataFrame, imports: DataFrame, budgets: DataFrame, settings: score.Settings | None = None, blocking: tuple[str, ...] = (), force_full: bool = False, estimator: Estimator = Estimator()):  # noqa: B008
-        self.tasks, self.budgets = written(tasks, "tasks"), budgets
+        self.tasks = written(tasks, "tasks")
         settings = settings or score.Settings()
         links = written(index.test_links(files), "links")
         self.files = written(with_costs(files, imports, links, estimator), "files")
@@ -51,14 +53,26 @@ class Plan:
         about = self.files.select("path", "size_bytes", "language", "symbols", "side_effects", "cost_full", "cost_structural", "cost_behavioral")
         rows = self.scores.join(about, "path").select("task_id", "path", "score", (F.col("mention") == 1).alias("mentioned"), "size_bytes", "cost_full", "cost_structural", "cost_behavioral", "language", F.size("symbols").alias("n_symbols"), "side_effects")
         self.eligible = written(pack.with_eligibility(rows), "candidates")
+        self.supplemental = index.supplementals(self.files)
+        self.blocking, self.force_full = blocking, force_full
+        self.pack(budgets)
+
+    def pack(self, budgets: DataFrame) -> None:
+        """What depends on the budgets: choices, gaps and feasibility."""
+        self.budgets = budgets
         pairs = pack.mode_rows(self.eligible)
-        chosen = pack.forced_full(pairs, budgets)[0] if force_full else pack.greedy(pairs, budgets)
+        chosen = pack.forced_full(pairs, budgets)[0] if self.force_full else pack.greedy(pairs, budgets)
         self.assigned = written(pack.assignments(self.eligible, chosen), "assigned")
         self.underflow = pack.underflow(self.eligible, budgets)
-        self.supplemental = index.supplementals(self.files)
-        self.gaps = written(rules.gaps(self.tasks, self.assigned, self.files, self.supplemental, self.underflow, blocking), "gaps")
+        self.gaps = written(rules.gaps(self.tasks, self.assigned, self.files, self.supplemental, self.underflow, self.blocking), "gaps")
         self.feasibility = feasibility.compute(self.tasks, self.assigned, self.files, self.gaps, budgets)
 
+    def under(self, budgets: DataFrame) -> Plan:
+        """The same tasks, files and scores under other budgets."""
+        other = copy.copy(self)
+        other.pack(budgets)
+        return other
+
     def manifests(self, exclusions: DataFrame | None = None, about: dict | None = None) -> DataFrame:
         """task_id, manifest (nested), manifest_hash, manifest_id."""
         return manifest.assemble(self.tasks, self.assigned, self.scores, self.gaps, self.feasibility, self.budgets, self.files, self.supplemental, exclusions, about, self.underflow)

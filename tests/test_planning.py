@@ -357,3 +357,11 @@ def test_limits_and_forced_pairs_in_one_pass(spark):
                 left -= c
                 want.add((t, p))
     assert got == want, "forced files of a task without a budget stay"
+
+
+def test_two_plans_read_the_parts_twice(spark, monkeypatch):
+    """Files and imports are made of the parts once each, whatever plans are compared."""
+    asked, load = [], registry.V.load
+    monkeypatch.setattr(registry.V, "load", lambda s, d, name: asked.append(name) or load(s, d, name))
+    registry.diff_documents(spark, "/root/testdata/sf0.001")
+    assert asked.count("part") == 2
