@@ -4,11 +4,12 @@ import hashlib
 import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import components, jaccard_join, quality, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity
@@ -124,6 +125,68 @@ def test_codec_encodes_a_word_once(monkeypatch):
         assert sentencepiece_codec.encode(many, PIECES) == (reference.encode(many), [True] * 20) and len(known) <= 50
 
 
+def test_codec_work_grows_with_distinct_words(monkeypatch):
+    """New words go through the libraries many at once, and the ids of a part's words are decoded once, not those of its texts."""
+    tok, reference = sentencepiece_codec.load(PIECES, 2)
+    asked, told = [], []
+
+    class Counting:
+        def encode_batch_fast(self, some, **_):
+            asked.extend(some)
+            return tok.encode_batch_fast(some, add_special_tokens=False)
+
+        def decode_batch(self, some, **_):
+            told.extend(some)
+            return tok.decode_batch(some, skip_special_tokens=False)
+
+    monkeypatch.setattr(sentencepiece_codec, "load", lambda *_: (Counting(), reference))
+    sentencepiece_codec.verified(PIECES)[1].clear()
+    rng = random.Random(8)
+    texts = [" ".join(f"term{rng.randrange(300)}" for _ in range(400)) for _ in range(20)]
+    words = {w for t in texts for w in t.split(" ")}
+    assert sentencepiece_codec.encode(texts, PIECES) == (reference.encode(texts), [True] * 20)
+    assert len(asked) <= 10 and Counter(" ".join(asked).split(" ")) == Counter(words)
+    ids, parity, trip = sentencepiece_codec.coded(pa.array(texts), PIECES)
+    assert ids.to_pylist() == reference.encode(texts) and parity.all() and trip.all()
+    assert sum(map(len, told)) == sum(map(len, reference.encode(list(words))))
+
+
+def test_codec_words_and_whole_texts_keep_their_places(monkeypatch):
+    """Blanks, markers, empty and long texts among plain ones, in parts of any size, words that differ or are decoded to something else."""
+    tok, reference = sentencepiece_codec.load(PIECES, 2)
+    rng = random.Random(9)
+    pieces = ["ab", "the", "\n", "\t", " ", " ", "  ", "▁", "é", "e\u0301", "漢字", "😀", "\x00", "\u00a0", "\ue000", "<s>", "<0x20>", "x" * 90, ""]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(400)] + ["", " ", "▁", "a", "", "plain words", "z " * 50000 + "z"]
+    want, array = reference.encode(texts), pa.array(["none", *texts])[1:]
+    assert sum(map(bool, sentencepiece_codec.odd(array))) not in (0, len(texts))
+    for most, joined in ((1, 128), (7, 2), (500, 128)):
+        monkeypatch.setattr(sentencepiece_codec, "JOINED", joined)
+        sentencepiece_codec.verified(PIECES)[1].clear()
+        done = [sentencepiece_codec.coded(array[some], PIECES) for some in sentencepiece_codec.parts([1] * len(texts), most, 1000)]
+        assert [x for ids, *_ in done for x in ids.to_pylist()] == want
+        assert all(parity.all() for _, parity, _ in done)
+        assert [x for *_, trip in done for x in trip.tolist()] == [b == t for b, t in zip(tok.decode_batch(want, skip_special_tokens=False), texts, strict=True)]
+
+    class Off:
+        """Loses the last id of what holds differs, and decodes spoilt to spoiled."""
+
+        def encode_batch_fast(self, some, **_):
+            found = tok.encode_batch_fast(some, add_special_tokens=False)
+            return [type("E", (), {"ids": e.ids[:-1] if "differs" in t else e.ids}) for e, t in zip(found, some, strict=True)]
+
+        def decode_batch(self, some, **_):
+            return [t.replace("spoilt", "spoiled") for t in tok.decode_batch(some, skip_special_tokens=False)]
+
+    monkeypatch.setattr(sentencepiece_codec, "load", lambda *_: (Off(), reference))
+    sentencepiece_codec.verified(PIECES)[1].clear()
+    texts = ["all is well", "one differs", "", "one spoilt", "well spoilt  one", "all differs  well", "is well"]
+    ids, parity, trip = sentencepiece_codec.coded(pa.array(texts), PIECES)
+    assert parity.tolist() == ["differs" not in t for t in texts]
+    assert ids.to_pylist() == [x[:-1] if "differs" in t else x for x, t in zip(reference.encode(texts), texts, strict=True)]
+    assert trip.tolist() == ["differs" not in t and "spoilt" not in t for t in texts]
+    sentencepiece_codec.verified(PIECES)[1].clear()
+
+
 def test_unigram_models_are_rebuilt():
     spec = sentencepiece_codec.Spec([("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -2.5, 1), ("<0x63>", -9.0, 6)], sentencepiece_codec.UNIGRAM, True)
     assert sentencepiece_codec.build(spec).encode("  ab  a ").tokens == ["▁ab", "▁a"]
